@@ -118,12 +118,17 @@ def number_text(x: Column | str) -> Column:
     )
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """Fixed decimals, rounding the exact binary value half-even."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def duration_text(seconds: Column | str) -> Column:
-    s = _col(seconds)
+    s = _col(seconds).cast("double")
     return (
-        F.when(s > 3600, F.format_string("%.2fh", s / 3600.0))
-        .when(s > 60, F.format_string("%.2fm", s / 60.0))
-        .otherwise(F.format_string("%.2fs", s.cast("double")))
+        F.when(s > 3600, F.concat(_fixed(s / 3600, 2), F.lit("h")))
+        .when(s > 60, F.concat(_fixed(s / 60, 2), F.lit("m")))
+        .otherwise(F.concat(_fixed(s, 2), F.lit("s")))
     )
 
 
