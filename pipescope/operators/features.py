@@ -110,11 +110,13 @@ def mean_position_vector(rows: DataFrame) -> DataFrame:
 
 
 def batched_features(
-    docs: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str,
+    docs: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str, width: int,
     batch_size: int = 100, out: str = "features",
 ) -> DataFrame:
-    """Apply a user model in batches; the model is built once per Python worker."""
-    run = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    """Apply a user model to batches of `width`-number inputs; it is built once per Python worker."""
+    run = predict_batch_udf(
+        make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[width]]
+    )
     return docs.withColumn(out, run(column))
 
 

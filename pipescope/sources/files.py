@@ -115,11 +115,14 @@ def preprocess_csv(spark: SparkSession, name: str, path: str, out_dir: str) -> s
 
 
 def read_results(spark: SparkSession, root: str, schema: T.StructType = RECORD_SCHEMA,
-                 pattern: str = "*results.json") -> DataFrame:
-    """Every result file below a folder, with `path` and the seed taken from it when missing."""
+                 pattern: str = "*results.json", multi_line: bool = False) -> DataFrame:
+    """Every result file below a folder, with `path` and the seed taken from it when missing.
+
+    Records are one line each; `multi_line` reads files holding one indented record.
+    """
     df = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", True)
-        .schema(schema).json(root)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .option("multiLine", multi_line).schema(schema).json(root)
     )
     path = F.col("_metadata.file_path")
     return df.select("*", path.alias("path")).withColumn("seed", F.coalesce("seed", seed_from_path("path")))
