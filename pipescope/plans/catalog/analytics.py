@@ -25,7 +25,7 @@ def steps(column: str = "preprocessers"):
 
 
 @query("best_configs", f"""WITH {RESULTS}
-SELECT {CFG}, round(avg(rmse), 8) AS mean, round({SEM}, 4) AS sem, count(*) AS replicates FROM results
+SELECT {CFG}, approx(avg(rmse), 8) AS mean, approx({SEM}, 4) AS sem, count(*) AS replicates FROM results
 GROUP BY {CFG} HAVING count(*) = 4 ORDER BY avg(rmse), {CFG} LIMIT 10""")
 def best_configs(spark, d):
     summary = ag.per_config(v.results(spark, d), "rmse", replicates=4)
@@ -33,7 +33,7 @@ def best_configs(spark, d):
 
 
 @query("worst_configs", f"""WITH {RESULTS}
-SELECT {CFG}, round(avg(rmse), 8) AS mean, round({SEM}, 4) AS sem, count(*) AS replicates FROM results
+SELECT {CFG}, approx(avg(rmse), 8) AS mean, approx({SEM}, 4) AS sem, count(*) AS replicates FROM results
 GROUP BY {CFG} HAVING count(*) = 4
 ORDER BY avg(rmse) DESC, codes DESC, tokeniser DESC, featuriser DESC, model DESC LIMIT 10""")
 def worst_configs(spark, d):
@@ -43,7 +43,7 @@ def worst_configs(spark, d):
 
 @query("cleaned_records", f"""WITH {RECORDS}
 SELECT array_to_string(preprocessers, ',') AS preprocessers, codes, tokeniser, featuriser, model, finetune, seed,
-       round(rmse, 4) AS rmse FROM records""")
+       approx(rmse, 4) AS rmse FROM records""")
 def cleaned_records(spark, d):
     """Defaults are restored where the raw record lacks the field."""
     raw = v.raw_results(spark, d).withColumns({
@@ -65,7 +65,7 @@ def pruned_zero_fields(spark, d):
 
 
 @query("results_table", f"""WITH {RESULTS}
-SELECT {CFG}, seed, finetune, config_key, run_key, round(rmse, 4) AS rmse, total_time FROM results""")
+SELECT {CFG}, seed, finetune, config_key, run_key, approx(rmse, 4) AS rmse, total_time FROM results""")
 def results_table(spark, d):
     return v.results(spark, d).select(
         "codes", "tokeniser", "featuriser", "model", "seed", "finetune", "config_key", "run_key",
@@ -85,7 +85,7 @@ def excluded_rows(spark, d):
 
 @query("rescaled_metrics", f"""WITH {RESULTS}, params AS (
   SELECT seed, stddev_pop(rmse) AS std FROM results GROUP BY seed)
-SELECT run_key, round(rmse * std, 0) AS rmse, round(ln(rmse * std), 6) AS log_rmse
+SELECT run_key, approx(rmse * std, 0) AS rmse, approx(ln(rmse * std), 6) AS log_rmse
 FROM results JOIN params USING (seed)""")
 def rescaled_metrics(spark, d):
     results = v.results(spark, d).select("run_key", "seed", "rmse")
@@ -131,7 +131,7 @@ def segment_table(spark, d):
 
 
 @query("segment_grouped_means", f"""WITH {SEGMENTS}
-SELECT config_key, model_type, round(avg(rmse), 8) AS rmse FROM segments GROUP BY 1, 2""")
+SELECT config_key, model_type, approx(avg(rmse), 8) AS rmse FROM segments GROUP BY 1, 2""")
 def segment_grouped_means(spark, d):
     segments = rs.with_segments(v.results(spark, d), rs.segment_rules())
     return segments.groupBy("config_key", "model_type").agg(rnd(F.avg("rmse"), 8).alias("rmse"))
@@ -147,9 +147,9 @@ labelled AS (
     WHEN model IN ('catboost', 'xgboost') AND bow THEN 'GBDT w/ BoW' END AS model_type
   FROM (SELECT *, featuriser IN ('bow_count', 'bow_binary', 'tf_idf') AS bow FROM means
         WHERE featuriser <> 'glove_mean'))
-SELECT model_type, round(min(rmse), 4) AS min, round(quantile_cont(rmse, 0.25), 4) AS q1,
-       round(quantile_cont(rmse, 0.5), 4) AS median, round(quantile_cont(rmse, 0.75), 4) AS q3,
-       round(max(rmse), 4) AS max, count(*) AS n
+SELECT model_type, approx(min(rmse), 4) AS min, approx(quantile_cont(rmse, 0.25), 4) AS q1,
+       approx(quantile_cont(rmse, 0.5), 4) AS median, approx(quantile_cont(rmse, 0.75), 4) AS q3,
+       approx(max(rmse), 4) AS max, count(*) AS n
 FROM labelled WHERE model_type IS NOT NULL GROUP BY model_type""")
 def bow_segment_box(spark, d):
     means = ag.replicate_means(v.results(spark, d), "rmse")
@@ -158,7 +158,7 @@ def bow_segment_box(spark, d):
 
 
 @query("metric_range", f"""WITH {RESULTS}
-SELECT run_key, round(rmse, 4) AS rmse FROM results WHERE rmse BETWEEN 20000 AND 60000 AND total_time < 80""")
+SELECT run_key, approx(rmse, 4) AS rmse FROM results WHERE rmse BETWEEN 20000 AND 60000 AND total_time < 80""")
 def metric_range(spark, d):
     kept = v.results(spark, d).where(F.col("rmse").between(20000, 60000) & (F.col("total_time") < 80))
     return kept.select("run_key", rnd("rmse").alias("rmse"))
@@ -183,14 +183,14 @@ def step_predicates(spark, d):
     )
 
 
-@query("minimised_metric", f"""WITH {RESULTS} SELECT run_key, round(-rmse, 4) AS rmse FROM results""")
+@query("minimised_metric", f"""WITH {RESULTS} SELECT run_key, approx(-rmse, 4) AS rmse FROM results""")
 def minimised_metric(spark, d):
     return rk.minimise(v.results(spark, d).select("run_key", "rmse"), "rmse").withColumn("rmse", rnd("rmse"))
 
 
 @query("paired_features", f"""WITH {RESULTS}
 SELECT codes, model, seed, g.tokeniser AS tokeniser_glove, b.tokeniser AS tokeniser_bert,
-       round(g.rmse, 4) AS rmse_glove, round(b.rmse, 4) AS rmse_bert, round(b.rmse - g.rmse, 4) AS rmse_diff
+       approx(g.rmse, 4) AS rmse_glove, approx(b.rmse, 4) AS rmse_bert, approx(b.rmse - g.rmse, 4) AS rmse_diff
 FROM (SELECT * FROM results WHERE featuriser = 'glove_mean') g
 JOIN (SELECT * FROM results WHERE featuriser IN ('bert_cls', 'bert_mean')) b USING (codes, model, seed)
 ORDER BY b.rmse - g.rmse""")
@@ -223,7 +223,7 @@ def pairs_per_key(spark, d):
 
 
 @query("without_worst_rows", f"""WITH {RESULTS}
-SELECT run_key, round(rmse, 4) AS rmse
+SELECT run_key, approx(rmse, 4) AS rmse
 FROM (SELECT *, row_number() OVER (ORDER BY rmse DESC, run_key DESC) AS place FROM results) WHERE place > 10""")
 def without_worst_rows(spark, d):
     return rs.drop_extremes(v.results(spark, d), "rmse", "run_key", 10).select("run_key", rnd("rmse").alias("rmse"))
@@ -233,8 +233,8 @@ def without_worst_rows(spark, d):
 
 
 @query("moments_by_model", f"""WITH {RESULTS}
-SELECT model, count(rmse) AS n, round(avg(rmse), 4) AS mean, round(stddev_samp(rmse), 4) AS std,
-       round(var_samp(rmse), 0) AS var, round({SEM}, 4) AS sem FROM results GROUP BY model""")
+SELECT model, count(rmse) AS n, approx(avg(rmse), 4) AS mean, approx(stddev_samp(rmse), 4) AS std,
+       approx(var_samp(rmse), 0) AS var, approx({SEM}, 4) AS sem FROM results GROUP BY model""")
 def moments_by_model(spark, d):
     return ag.moments(v.results(spark, d), ["model"], "rmse").select(
         "model", "n", rnd("mean").alias("mean"), rnd("std").alias("std"), rnd("var", 0).alias("var"),
@@ -245,22 +245,22 @@ def moments_by_model(spark, d):
 @query("five_number_summary", f"""WITH {RESULTS}, s AS (
   SELECT min(rmse) AS min, quantile_cont(rmse, 0.25) AS q1, quantile_cont(rmse, 0.5) AS median,
          quantile_cont(rmse, 0.75) AS q3, max(rmse) AS max, count(*) AS n FROM results)
-SELECT round(min, 4) AS min, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(max, 4) AS max,
-       n, round(q3 + 1.5 * (q3 - q1), 4) AS fence, round((median + 1.5 * (q3 - q1)) * 1.1, 4) AS axis_high,
-       round(min * 0.9, 4) AS axis_low FROM s""")
+SELECT approx(min, 4) AS min, approx(q1, 4) AS q1, approx(median, 4) AS median, approx(q3, 4) AS q3, approx(max, 4) AS max,
+       n, approx(q3 + 1.5 * (q3 - q1), 4) AS fence, approx((median + 1.5 * (q3 - q1)) * 1.1, 4) AS axis_high,
+       approx(min * 0.9, 4) AS axis_low FROM s""")
 def five_number_summary(spark, d):
     out = ag.fences(ag.five_numbers(v.results(spark, d), "rmse"))
     return out.select(*[rnd(c).alias(c) if c != "n" else F.col(c) for c in out.columns])
 
 
 @query("replicate_means", f"""WITH {RESULTS}
-SELECT {CFG}, round(avg(rmse), 8) AS rmse, count(*) AS replicates FROM results GROUP BY {CFG}""")
+SELECT {CFG}, approx(avg(rmse), 8) AS rmse, count(*) AS replicates FROM results GROUP BY {CFG}""")
 def replicate_means(spark, d):
     return ag.replicate_means(v.results(spark, d), "rmse").withColumn("rmse", rnd("rmse", 8))
 
 
 @query("complete_configs", f"""WITH {RESULTS}
-SELECT {CFG}, round(avg(rmse), 8) AS mean, round({SEM}, 4) AS sem, count(*) AS replicates
+SELECT {CFG}, approx(avg(rmse), 8) AS mean, approx({SEM}, 4) AS sem, count(*) AS replicates
 FROM results GROUP BY {CFG} HAVING count(*) = 4""")
 def complete_configs(spark, d):
     return ag.per_config(v.results(spark, d), "rmse", replicates=4).withColumns(
@@ -293,8 +293,8 @@ def coverage(spark, d):
 
 
 def _reduction_sql(source: str) -> str:
-    return f"""SELECT coalesce(model, '(all)') AS model, round(min(rmse), 4) AS best, round(max(rmse), 4) AS worst,
-  round({SEM}, 4) AS sem, round((max(rmse) - min(rmse)) / max(rmse) * 100, 6) AS reduction
+    return f"""SELECT coalesce(model, '(all)') AS model, approx(min(rmse), 4) AS best, approx(max(rmse), 4) AS worst,
+  approx({SEM}, 4) AS sem, approx((max(rmse) - min(rmse)) / max(rmse) * 100, 6) AS reduction
 FROM {source} GROUP BY ROLLUP (model)"""
 
 
@@ -322,13 +322,13 @@ _UP = "codes, tokeniser, featuriser"
 
 
 @query("variance_over_model", f"""WITH {RESULTS}, {_MEANS}
-SELECT {_UP}, round(var_samp(rmse), 0) AS spread, count(*) AS models_n, string_agg(model, ',' ORDER BY model) AS models
+SELECT {_UP}, approx(var_samp(rmse), 0) AS spread, count(*) AS models_n, string_agg(model, ',' ORDER BY model) AS models
 FROM means GROUP BY {_UP} HAVING count(*) > 1""")
 def variance_over_model(spark, d):
     return vr.spread_over_model(v.results(spark, d), "rmse").withColumn("spread", rnd("spread", 0))
 
 
-def _rest_sql(step: str, spread: str = "round(var_samp(rmse), 0)") -> str:
+def _rest_sql(step: str, spread: str = "approx(var_samp(rmse), 0)") -> str:
     return f"""WITH {RESULTS}, {_MEANS}
 SELECT {step}, {spread} AS spread, count(*) AS configs FROM means GROUP BY {step}"""
 
@@ -338,13 +338,13 @@ def variance_over_rest(spark, d):
     return vr.spread_over_rest(v.results(spark, d), "rmse").withColumn("spread", rnd("spread", 0))
 
 
-@query("deviation_over_rest_by_featuriser", _rest_sql("featuriser", "round(stddev_samp(rmse), 4)"))
+@query("deviation_over_rest_by_featuriser", _rest_sql("featuriser", "approx(stddev_samp(rmse), 4)"))
 def deviation_over_rest_by_featuriser(spark, d):
     return vr.spread_over_rest(v.results(spark, d), "rmse", "std", "featuriser").withColumn("spread", rnd("spread"))
 
 
 @query("variance_over_replicate", f"""WITH {RESULTS}
-SELECT {CFG}, round(var_samp(rmse), 0) AS spread, count(*) AS replicates FROM results
+SELECT {CFG}, approx(var_samp(rmse), 0) AS spread, count(*) AS replicates FROM results
 GROUP BY {CFG} HAVING count(*) > 1""")
 def variance_over_replicate(spark, d):
     return vr.spread_over_replicate(v.results(spark, d), "rmse").withColumn("spread", rnd("spread", 0))
@@ -357,9 +357,9 @@ def _decomposition_sql(spread: str, by: str = "", digits: int = 0) -> str:
 m AS (SELECT {pre}{_UP}, {spread} AS s FROM means GROUP BY {pre}{_UP} HAVING count(*) > 1),
 u AS (SELECT {pre}model, {spread} AS s FROM means GROUP BY {pre}model),
 r AS (SELECT {pre}{CFG}, {spread} AS s FROM ft GROUP BY {pre}{CFG} HAVING count(*) > 1)
-SELECT {pre}'model' AS component, round(avg(s), {digits}) AS expected, count(*) AS groups FROM m {grp}
-UNION ALL SELECT {pre}'upstream', round(avg(s), {digits}), count(*) FROM u {grp}
-UNION ALL SELECT {pre}'replicate', round(avg(s), {digits}), count(*) FROM r {grp}"""
+SELECT {pre}'model' AS component, approx(avg(s), {digits}) AS expected, count(*) AS groups FROM m {grp}
+UNION ALL SELECT {pre}'upstream', approx(avg(s), {digits}), count(*) FROM u {grp}
+UNION ALL SELECT {pre}'replicate', approx(avg(s), {digits}), count(*) FROM r {grp}"""
 
 
 @query("variance_decomposition", _decomposition_sql("var_samp(rmse)"))
@@ -381,9 +381,9 @@ def variance_decomposition_by_finetuning(spark, d):
 
 
 @query("variance_table", f"""WITH {RESULTS}, {_MEANS}
-SELECT (SELECT round(avg(s), 0) FROM (SELECT var_samp(rmse) AS s FROM means GROUP BY {_UP} HAVING count(*) > 1)) AS model,
-  (SELECT round(avg(s), 0) FROM (SELECT var_samp(rmse) AS s FROM means GROUP BY model)) AS upstream,
-  (SELECT round(avg(s), 0) FROM (SELECT var_samp(rmse) AS s FROM results GROUP BY {CFG} HAVING count(*) > 1)) AS replicate
+SELECT (SELECT approx(avg(s), 0) FROM (SELECT var_samp(rmse) AS s FROM means GROUP BY {_UP} HAVING count(*) > 1)) AS model,
+  (SELECT approx(avg(s), 0) FROM (SELECT var_samp(rmse) AS s FROM means GROUP BY model)) AS upstream,
+  (SELECT approx(avg(s), 0) FROM (SELECT var_samp(rmse) AS s FROM results GROUP BY {CFG} HAVING count(*) > 1)) AS replicate
 """)
 def variance_table(spark, d):
     table = vr.decomposition_table(v.results(spark, d), "rmse")
@@ -403,7 +403,7 @@ def _bins(metric: str, lo: str, hi: str, n: int) -> str:
 
 @query("metric_histogram", f"""WITH {RESULTS}, b AS (SELECT min(rmse) AS lo, max(rmse) AS hi FROM results)
 SELECT {_bins("rmse", "lo", "hi", 100)} AS bin, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
+       approx(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
 FROM results, b GROUP BY 1""")
 def metric_histogram(spark, d):
     return ag.histogram(v.results(spark, d), "rmse").withColumn("percent", rnd("percent", 6))
@@ -414,7 +414,7 @@ def metric_histogram(spark, d):
   WHERE contains(model, '_ft') OR featuriser IN ('bow_binary', 'bow_count', 'tf_idf')),
 b AS (SELECT min(total_time) AS lo, max(total_time) AS hi FROM t)
 SELECT grp, {_bins("total_time", "lo", "hi", 20)} AS bin, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY grp), 6) AS percent FROM t, b GROUP BY 1, 2""")
+       approx(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY grp), 6) AS percent FROM t, b GROUP BY 1, 2""")
 def timing_histogram(spark, d):
     return ag.histogram(timed_groups(spark, d), "total_time", 20, "grp").withColumn("percent", rnd("percent", 6))
 
@@ -426,7 +426,7 @@ def timed_groups(spark, d):
 
 @query("bounded_histogram", f"""WITH {RESULTS}
 SELECT {_bins("rmse", "20000", "60000", 40)} AS bin, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
+       approx(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
 FROM results WHERE rmse BETWEEN 20000 AND 60000 GROUP BY 1""")
 def bounded_histogram(spark, d):
     return ag.histogram(v.results(spark, d), "rmse", 40, low=20000, high=60000).withColumn("percent", rnd("percent", 6))
@@ -435,7 +435,7 @@ def bounded_histogram(spark, d):
 @query("timing_summary", f"""WITH {RESULTS}, t AS (
   SELECT total_time, CASE WHEN contains(model, '_ft') THEN 'Finetuned' ELSE 'BOW' END AS grp FROM results
   WHERE contains(model, '_ft') OR featuriser IN ('bow_binary', 'bow_count', 'tf_idf'))
-SELECT grp, count(*) AS n, round(avg(total_time), 4) AS mean, round(stddev_samp(total_time), 4) AS std FROM t GROUP BY grp
+SELECT grp, count(*) AS n, approx(avg(total_time), 4) AS mean, approx(stddev_samp(total_time), 4) AS std FROM t GROUP BY grp
 """)
 def timing_summary(spark, d):
     return ag.moments(timed_groups(spark, d), ["grp"], "total_time").select(
@@ -448,8 +448,8 @@ def _box_sql(source: str, key: str) -> str:
   SELECT {key}, quantile_cont(rmse, 0.25) AS q1, quantile_cont(rmse, 0.5) AS median, quantile_cont(rmse, 0.75) AS q3
   FROM results GROUP BY {key}),
 j AS (SELECT *, rmse BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM results JOIN q USING ({key}))
-SELECT {key}, round(any_value(q1), 4) AS q1, round(any_value(median), 4) AS median, round(any_value(q3), 4) AS q3,
-  round(min(rmse) FILTER (inside), 4) AS whisker_low, round(max(rmse) FILTER (inside), 4) AS whisker_high,
+SELECT {key}, approx(any_value(q1), 4) AS q1, approx(any_value(median), 4) AS median, approx(any_value(q3), 4) AS q3,
+  approx(min(rmse) FILTER (inside), 4) AS whisker_low, approx(max(rmse) FILTER (inside), 4) AS whisker_high,
   count(*) FILTER (NOT inside) AS outliers, count(*) AS n FROM j GROUP BY {key}"""
 
 
@@ -480,9 +480,9 @@ def missing_seeds(spark, d):
 
 
 @query("regression_metrics", f"""WITH {PREDS}
-SELECT split, round(sqrt(avg((prediction - label) ** 2)), 4) AS rmse, round(avg(abs(prediction - label)), 4) AS mae,
-  round(1 - sum((prediction - label) ** 2) / (var_pop(label) * count(*)), 6) AS r2,
-  round(median(abs(prediction - label)), 4) AS medae, count(*) AS n FROM preds GROUP BY split""")
+SELECT split, approx(sqrt(avg((prediction - label) ** 2)), 4) AS rmse, approx(avg(abs(prediction - label)), 4) AS mae,
+  approx(1 - sum((prediction - label) ** 2) / (var_pop(label) * count(*)), 6) AS r2,
+  approx(median(abs(prediction - label)), 4) AS medae, count(*) AS n FROM preds GROUP BY split""")
 def regression_metrics(spark, d):
     return ag.evaluate(v.predictions(spark, d)).select(
         "split", rnd("rmse").alias("rmse"), rnd("mae").alias("mae"), rnd("r2", 6).alias("r2"),
@@ -491,7 +491,7 @@ def regression_metrics(spark, d):
 
 
 @query("mean_baseline", f"""WITH {PREDS}, b AS (SELECT avg(label) AS baseline FROM preds WHERE split <> 'test')
-SELECT round(any_value(baseline), 4) AS baseline, round(sqrt(avg((label - baseline) ** 2)), 4) AS rmse,
+SELECT approx(any_value(baseline), 4) AS baseline, approx(sqrt(avg((label - baseline) ** 2)), 4) AS rmse,
        count(*) AS n_test FROM preds, b WHERE split = 'test'""")
 def mean_baseline(spark, d):
     return ag.mean_baseline(v.predictions(spark, d)).select(
@@ -501,8 +501,8 @@ def mean_baseline(spark, d):
 
 @query("standardised_labels", f"""WITH {PREDS}, s AS (
   SELECT avg(label) AS mean, stddev_pop(label) AS std FROM preds WHERE split = 'train')
-SELECT split, round(avg((label - mean) / std), 6) + 0.0 AS mean_scaled, round(min((label - mean) / std), 6) AS low,
-       round(max((label - mean) / std), 6) AS high, count(*) AS n FROM preds, s GROUP BY split""")
+SELECT split, approx(avg((label - mean) / std), 6) + 0.0 AS mean_scaled, approx(min((label - mean) / std), 6) AS low,
+       approx(max((label - mean) / std), 6) AS high, count(*) AS n FROM preds, s GROUP BY split""")
 def standardised_labels(spark, d):
     return ag.standardise(v.predictions(spark, d)).groupBy("split").agg(
         (rnd(F.avg("label_scaled"), 6) + 0.0).alias("mean_scaled"), rnd(F.min("label_scaled"), 6).alias("low"),
@@ -512,7 +512,7 @@ def standardised_labels(spark, d):
 
 @query("sem_by_finetuning", f"""WITH {RESULTS}, c AS (
   SELECT model, {SEM} AS sem FROM results GROUP BY {CFG} HAVING count(*) = 4)
-SELECT contains(model, '_ft') AS finetuned, round(avg(sem), 4) AS mean_sem, count(*) AS n FROM c GROUP BY 1""")
+SELECT contains(model, '_ft') AS finetuned, approx(avg(sem), 4) AS mean_sem, count(*) AS n FROM c GROUP BY 1""")
 def sem_by_finetuning(spark, d):
     complete = ag.per_config(v.results(spark, d), "rmse", replicates=4)
     return ag.sem_by_finetuning(complete).withColumn("mean_sem", rnd("mean_sem"))
@@ -522,7 +522,7 @@ def sem_by_finetuning(spark, d):
   SELECT contains(model, '_ft') AS finetuned, {SEM} AS sem FROM results GROUP BY {CFG} HAVING count(*) = 4),
 b AS (SELECT min(sem) AS lo, max(sem) AS hi FROM c)
 SELECT finetuned, {_bins("sem", "lo", "hi", 20)} AS bin, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY finetuned), 6) AS percent FROM c, b GROUP BY 1, 2""")
+       approx(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY finetuned), 6) AS percent FROM c, b GROUP BY 1, 2""")
 def sem_histogram(spark, d):
     complete = vr.finetuned(ag.per_config(v.results(spark, d), "rmse", replicates=4))
     return ag.histogram(complete, "sem", 20, "finetuned").withColumn("percent", rnd("percent", 6))
@@ -556,12 +556,12 @@ ranked AS (
             + (count(*) OVER (PARTITION BY experiment, value) - 1) / 2.0 AS rank FROM panel)"""
 
 
-@query("method_ranks", f"WITH {_RANKED} SELECT experiment, method, round(value, 4) AS value, CAST(rank AS DOUBLE) AS rank FROM ranked")  # noqa: E501
+@query("method_ranks", f"WITH {_RANKED} SELECT experiment, method, approx(value, 4) AS value, CAST(rank AS DOUBLE) AS rank FROM ranked")  # noqa: E501
 def method_ranks(spark, d):
     return rk.ranked(v.panel(spark, d)).withColumn("value", rnd("value"))
 
 
-@query("average_ranks", f"WITH {_RANKED} SELECT method, round(avg(rank), 6) AS average_rank FROM ranked GROUP BY method")
+@query("average_ranks", f"WITH {_RANKED} SELECT method, approx(avg(rank), 6) AS average_rank FROM ranked GROUP BY method")
 def average_ranks(spark, d):
     return rk.average_ranks(v.panel(spark, d)).withColumn("average_rank", rnd("average_rank", 6))
 
@@ -583,7 +583,7 @@ def method_sizes(spark, d):
 @query("balanced_panel", f"""WITH {RECORDS}, sized AS (
   SELECT model AS method, concat_ws('_', codes, tokeniser, featuriser, seed) AS experiment, rmse AS value FROM records),
 smallest AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM sized GROUP BY method) WHERE n >= 3)
-SELECT experiment, method, round(value, 4) AS value
+SELECT experiment, method, approx(value, 4) AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY md5(experiment)) AS place FROM sized), smallest
 WHERE place <= k""")
 def balanced_panel(spark, d):
@@ -593,7 +593,7 @@ def balanced_panel(spark, d):
 
 
 @query("method_pairs", f"""WITH {PANEL}
-SELECT x.method AS a, y.method AS b, x.experiment, round(x.value - y.value, 4) + 0.0 AS diff
+SELECT x.method AS a, y.method AS b, x.experiment, approx(x.value - y.value, 4) + 0.0 AS diff
 FROM panel x JOIN panel y ON x.experiment = y.experiment AND x.method < y.method""")
 def method_pairs(spark, d):
     return rk.method_pairs(v.panel(spark, d)).withColumn("diff", rnd("diff") + 0.0)
@@ -606,13 +606,13 @@ def metric_positions(spark, d):
     return placed.select("run_key", (F.col("position") - 1).alias("idx"))
 
 
-@query("sorted_results", f"""WITH {RESULTS} SELECT run_key, round(rmse, 4) AS rmse FROM results""")
+@query("sorted_results", f"""WITH {RESULTS} SELECT run_key, approx(rmse, 4) AS rmse FROM results""")
 def sorted_results(spark, d):
     return v.results(spark, d).orderBy("rmse", "run_key").select("run_key", rnd("rmse").alias("rmse"))
 
 
 @query("extremes_by_model", f"""WITH {RESULTS}
-SELECT model, round(min(rmse), 4) AS low, round(max(rmse), 4) AS high FROM results GROUP BY model""")
+SELECT model, approx(min(rmse), 4) AS low, approx(max(rmse), 4) AS high FROM results GROUP BY model""")
 def extremes_by_model(spark, d):
     return v.results(spark, d).groupBy("model").agg(rnd(F.min("rmse")).alias("low"), rnd(F.max("rmse")).alias("high"))
 
@@ -652,8 +652,8 @@ def time_limit_stops(spark, d):
 
 
 @query("stacked_splits", f"""WITH {PREDS}
-SELECT split, count(*) AS n, round(sum(label), 2) AS total FROM preds GROUP BY split
-UNION ALL SELECT 'train+val', count(*), round(sum(label), 2) FROM preds WHERE split <> 'test'""")
+SELECT split, count(*) AS n, approx(sum(label), 2) AS total FROM preds GROUP BY split
+UNION ALL SELECT 'train+val', count(*), approx(sum(label), 2) FROM preds WHERE split <> 'test'""")
 def stacked_splits(spark, d):
     preds = v.predictions(spark, d)
     stacked = preds.unionByName(preds.where("split <> 'test'").withColumn("split", F.lit("train+val")),

@@ -431,8 +431,8 @@ def output_names(spark, d):
     return v.results(spark, d).select("run_key", sc.output_name(command).alias("name"))
 
 
-@query("prediction_errors", """SELECT l_linenumber, round(sum((l_quantity * p_retailprice - l_extendedprice) ** 2), 2) AS squared,
-  round(sum(abs(l_quantity * p_retailprice - l_extendedprice)), 2) AS absolute
+@query("prediction_errors", """SELECT l_linenumber, approx(sum((l_quantity * p_retailprice - l_extendedprice) ** 2), 2) AS squared,
+  approx(sum(abs(l_quantity * p_retailprice - l_extendedprice)), 2) AS absolute
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def prediction_errors(spark, d):
     lines = v.table(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")

@@ -73,7 +73,7 @@ def _uniform(draw: str) -> str:
 
 
 @query("synthetic_corpus", f"""SELECT doc_id, array_to_string(list_slice({WORDS}, 1, 500), ' ') AS text,
-  round(sqrt(-2 * ln({_uniform('radius')})) * cos(2 * pi() * {_uniform('angle')}), 6) + 0.0 AS label
+  approx(sqrt(-2 * ln({_uniform('radius')})) * cos(2 * pi() * {_uniform('angle')}), 6) + 0.0 AS label
 FROM documents ORDER BY doc_id LIMIT 100""")
 def synthetic_corpus(spark, d):
     return fl.synthetic_corpus(documents(spark, d)).withColumn("label", rnd("label", 6) + 0.0)
@@ -309,7 +309,7 @@ def binary_word_features(spark, d):
 @query("tf_idf_features", f"""WITH {_TERMS},
 n AS (SELECT count(*) AS n FROM toks WHERE split = 'train'),
 weighted AS (SELECT doc_id, split, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM counts JOIN fitted USING (term), n)
-SELECT doc_id, split, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 8) AS weight FROM weighted""")
+SELECT doc_id, split, term, approx(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 8) AS weight FROM weighted""")
 def tf_idf_features(spark, d):
     docs = tokenised(spark, d)
     return ft.tf_idf(docs, ft.fit_terms(docs)).withColumn("weight", rnd("weight", 8))
@@ -336,21 +336,21 @@ unit AS (SELECT doc_id, list_transform(vec, lambda x: x::DOUBLE / sqrt(list_sum(
          FROM found),
 dims AS (SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, unnest(u) AS x FROM unit),
 means AS (SELECT doc_id, dim, avg(x) AS value FROM dims GROUP BY 1, 2)
-SELECT d.doc_id, g.dim, round(coalesce(value, 0), 6) + 0.0 AS value
+SELECT d.doc_id, g.dim, approx(coalesce(value, 0), 6) + 0.0 AS value
 FROM documents d CROSS JOIN (SELECT unnest(range(0, {WIDTH})) AS dim) g LEFT JOIN means m ON m.doc_id = d.doc_id AND m.dim = g.dim""")
 def mean_word_vectors(spark, d):
     return _long(ft.mean_vectors(plain_tokens(spark, d), v.token_vectors(spark, d), WIDTH))
 
 
 @query("first_position_vectors", f"""WITH {_WORD_VECS}, first AS (SELECT doc_id, arg_min(vec, pos) AS vec FROM found GROUP BY doc_id)
-SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, round(unnest(vec)::DOUBLE, 6) + 0.0 AS value FROM first""")
+SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, approx(unnest(vec)::DOUBLE, 6) + 0.0 AS value FROM first""")
 def first_position_vectors(spark, d):
     return _long(ft.first_vector(ft.token_vector_rows(plain_tokens(spark, d), v.token_vectors(spark, d))))
 
 
 @query("mean_position_vectors", f"""WITH {_WORD_VECS},
 dims AS (SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, unnest(vec)::DOUBLE AS x FROM found)
-SELECT doc_id, dim, round(avg(x), 6) + 0.0 AS value FROM dims GROUP BY 1, 2""")
+SELECT doc_id, dim, approx(avg(x), 6) + 0.0 AS value FROM dims GROUP BY 1, 2""")
 def mean_position_vectors(spark, d):
     return _long(ft.mean_position_vector(ft.token_vector_rows(plain_tokens(spark, d), v.token_vectors(spark, d))))
 
@@ -365,8 +365,8 @@ def vector_norm_model():
     return predict
 
 
-@query("batched_model_features", """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 3) AS norm,
-  round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 3) + 0.0 AS mean FROM embeddings""")
+@query("batched_model_features", """SELECT vec_id, approx(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 3) AS norm,
+  approx(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 3) + 0.0 AS mean FROM embeddings""")
 def batched_model_features(spark, d):
     vectors = v.table(spark, d, "embeddings").select("vec_id", "embedding")
     out = ft.batched_features(vectors, vector_norm_model, "embedding", WIDTH)
@@ -379,8 +379,8 @@ def batched_model_features(spark, d):
 
 @query("mean_model_metrics", f"""WITH {SPLIT}, y AS (SELECT split, CAST(n_chars AS DOUBLE) AS label FROM documents JOIN split_of USING (doc_id)),
 m AS (SELECT avg(label) AS p FROM y WHERE split <> 'test')
-SELECT split, round(sqrt(avg((label - p) ** 2)), 4) AS rmse, round(avg(abs(label - p)), 4) AS mae,
-  round(1 - sum((label - p) ** 2) / (var_pop(label) * count(*)), 6) + 0.0 AS r2, round(median(abs(label - p)), 4) AS medae,
+SELECT split, approx(sqrt(avg((label - p) ** 2)), 4) AS rmse, approx(avg(abs(label - p)), 4) AS mae,
+  approx(1 - sum((label - p) ** 2) / (var_pop(label) * count(*)), 6) + 0.0 AS r2, approx(median(abs(label - p)), 4) AS medae,
   count(*) AS n FROM y, m GROUP BY split""")
 def mean_model_metrics(spark, d):
     labelled = split_documents(spark, d).select("split", "label")
@@ -406,8 +406,8 @@ _SHAPE = f"""{SPLIT}, shape AS (SELECT split, CAST(n_chars AS DOUBLE) AS y, len(
 
 
 @query("linear_length_coefficients", f"""WITH {_SHAPE}
-SELECT 'words' AS term, round(regr_slope(y, a), 4) AS coef FROM shape WHERE split = 'train'
-UNION ALL SELECT '(intercept)', round(regr_intercept(y, a), 3) FROM shape WHERE split = 'train'""")
+SELECT 'words' AS term, approx(regr_slope(y, a), 4) AS coef FROM shape WHERE split = 'train'
+UNION ALL SELECT '(intercept)', approx(regr_intercept(y, a), 3) FROM shape WHERE split = 'train'""")
 def linear_length_coefficients(spark, d):
     """Least squares of the label on the number of words."""
     from pyspark.ml.functions import array_to_vector
@@ -416,7 +416,7 @@ def linear_length_coefficients(spark, d):
     train = docs.select("label", array_to_vector(F.array(F.size("tokens").cast("double"))).alias("features"))
     model = md.fit_linear(train)
     out = md.coefficients(model, spark, ["words"])
-    digits = F.when(F.col("term") == "words", F.round("coef", 4)).otherwise(F.round("coef", 3))
+    digits = F.when(F.col("term") == "words", rnd("coef", 4)).otherwise(rnd("coef", 3))
     return out.select("term", digits.alias("coef"))
 
 

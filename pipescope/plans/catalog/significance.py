@@ -47,9 +47,9 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY md5(concat_
 perms AS (SELECT {pre}perm, sum(v) FILTER (taken) / count(*) FILTER (taken)
             - sum(v) FILTER (NOT taken) / count(*) FILTER (NOT taken) AS diff
           FROM placed GROUP BY {pre}perm)
-SELECT {pre}any_value(n) AS n, any_value(m) AS m, round(any_value(mean_diff), 4) AS mean_diff,
+SELECT {pre}any_value(n) AS n, any_value(m) AS m, approx(any_value(mean_diff), 4) AS mean_diff,
   count(*) FILTER (round({diff}, 6) >= round({obs}, 6)) AS extreme, count(*) AS permutations,
-  round((count(*) FILTER (round({diff}, 6) >= round({obs}, 6)) + 1) / (count(*) + 1), 8) AS p_value
+  approx((count(*) FILTER (round({diff}, 6) >= round({obs}, 6)) + 1) / (count(*) + 1), 8) AS p_value
 FROM perms {join} {outer}"""
 
 
@@ -140,7 +140,7 @@ def blocked_segments(spark, d):
     return pm.blocked_permutation_test(compared_segments(spark, d), "rmse", "x", "row_id", "seed", 100, ["comparison"])
 
 
-@query("blocked_segments_corrected", f"""SELECT comparison, mean_diff, p_value, place, round(place * 0.05 / 3, 8) AS threshold,
+@query("blocked_segments_corrected", f"""SELECT comparison, mean_diff, p_value, place, approx(place * 0.05 / 3, 8) AS threshold,
   place <= coalesce(max(CASE WHEN p_value <= place * 0.05 / 3 THEN place END) OVER (), 0) AS reject
 FROM (SELECT *, row_number() OVER (ORDER BY p_value, comparison) AS place FROM ({_BLOCKED}))""")
 def blocked_segments_corrected(spark, d):
@@ -165,9 +165,9 @@ obs AS (SELECT count(*) AS n, avg(a - b) AS mean_diff FROM pairs),
 perms AS (SELECT perm, avg(CASE WHEN substr(md5(concat_ws(':', perm, pair, '97')), 32, 1)
             IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN b - a ELSE a - b END) AS diff
           FROM pairs, (SELECT unnest(range(1, {N + 1})) AS perm) GROUP BY perm)
-SELECT any_value(n) AS n, round(any_value(mean_diff), 4) AS mean_diff,
+SELECT any_value(n) AS n, approx(any_value(mean_diff), 4) AS mean_diff,
   count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) AS extreme, count(*) AS permutations,
-  round((count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) + 1) / (count(*) + 1), 8) AS p_value
+  approx((count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) + 1) / (count(*) + 1), 8) AS p_value
 FROM perms, obs""")
 def paired_permutation_features(spark, d):
     out = pm.paired_permutation_test(keyed_pairs(spark, d), "rmse_bert", "rmse_glove", "pair", N)
@@ -183,9 +183,9 @@ signs AS (SELECT codes, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN -diff ELSE
             sum(diff) / count(*) AS mean_diff, count(*) AS n
           FROM d JOIN (SELECT codes AS c, count(*) AS k FROM d GROUP BY 1) s ON s.c = codes,
                (SELECT unnest(range(0, 4096)) AS mask) WHERE mask < 2 ** k GROUP BY codes, mask)
-SELECT codes, any_value(n) AS n, round(any_value(mean_diff), 4) AS mean_diff,
+SELECT codes, any_value(n) AS n, approx(any_value(mean_diff), 4) AS mean_diff,
   count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) AS extreme, count(*) AS permutations,
-  round((count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) + 1) / (count(*) + 1), 8) AS p_value
+  approx((count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) + 1) / (count(*) + 1), 8) AS p_value
 FROM signs GROUP BY codes""")
 def paired_exhaustive_models(spark, d):
     """Per step combination: CLS against mean features over the models, with every swap pattern."""
@@ -206,7 +206,7 @@ def monte_carlo_training_times(spark, d):
 
 
 @query("paired_t_features", f"""WITH {RESULTS}, {_PAIRS}
-SELECT count(*) AS n, round(avg(a - b), 4) AS mean_diff, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t
+SELECT count(*) AS n, approx(avg(a - b), 4) AS mean_diff, approx(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t
 FROM pairs""")
 def paired_t_features(spark, d):
     out = hy.paired_t(keyed_pairs(spark, d), "rmse_bert", "rmse_glove")
@@ -229,8 +229,8 @@ _POOLED = """s AS (SELECT step, count(*) FILTER (has) AS n, count(*) FILTER (NOT
 
 
 @query("pooled_t_steps", f"""WITH {RESULTS}, {_MARKED}, {_POOLED}
-SELECT step, n, m, round(mx - my, 4) AS mean_diff,
-  round((mx - my) / sqrt(((n - 1) * vx + (m - 1) * vy) / (n + m - 2) * (1 / n + 1 / m)), 6) AS t FROM s""")
+SELECT step, n, m, approx(mx - my, 4) AS mean_diff,
+  approx((mx - my) / sqrt(((n - 1) * vx + (m - 1) * vy) / (n + m - 2) * (1 / n + 1 / m)), 6) AS t FROM s""")
 def pooled_t_steps(spark, d):
     out = hy.pooled_t(marked_steps(spark, d), "rmse", "has", ["step"])
     return out.select("step", "n", "m", rnd("mean_diff").alias("mean_diff"), rnd("t", 6).alias("t"))
@@ -246,7 +246,7 @@ u AS (SELECT step, count(*) FILTER (has) AS n1, count(*) FILTER (NOT has) AS n2,
 
 @query("rank_sum_steps", f"""WITH {RESULTS}, {_MARKED}, {_RANK_SUM}
 SELECT step, n1, n2, CAST(u AS DOUBLE) AS u,
-  round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5)
+  approx((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5)
         / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM u""")
 def rank_sum_steps(spark, d):
     out = hy.mann_whitney(marked_steps(spark, d), "rmse", "has", ["step"])
@@ -276,7 +276,7 @@ k AS (SELECT step, has, n, (asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)))
 
 
 @query("normality_steps", f"""WITH {RESULTS}, {_MARKED}, {_K2}
-SELECT step, has, CAST(n AS BIGINT) AS n, round(k2, 4) AS k2, round(exp(-k2 / 2), 6) AS normality_p FROM k""")
+SELECT step, has, CAST(n AS BIGINT) AS n, approx(k2, 4) AS k2, approx(exp(-k2 / 2), 6) AS normality_p FROM k""")
 def normality_steps(spark, d):
     out = hy.normality(marked_steps(spark, d), "rmse", ["step", "has"])
     return out.select("step", "has", "n", rnd("k2").alias("k2"), rnd("normality_p", 6).alias("normality_p"))
@@ -285,7 +285,7 @@ def normality_steps(spark, d):
 @query("chosen_tests_steps", f"""WITH {RESULTS}, {_MARKED}, {_K2},
 p AS (SELECT step, max(exp(-k2 / 2)) FILTER (has) AS p_with, max(exp(-k2 / 2)) FILTER (NOT has) AS p_without FROM k GROUP BY step)
 SELECT step, count(*) FILTER (has) AS n1, count(*) FILTER (NOT has) AS n2,
-  round(avg(rmse) FILTER (has) - avg(rmse) FILTER (NOT has), 4) AS mean_diff,
+  approx(avg(rmse) FILTER (has) - avg(rmse) FILTER (NOT has), 4) AS mean_diff,
   CASE WHEN any_value(p_with) > 0.05 AND any_value(p_without) > 0.05 THEN 't-test' ELSE 'Mann-Whitney U' END AS test
 FROM marked JOIN p USING (step) GROUP BY step""")
 def chosen_tests_steps(spark, d):
@@ -311,14 +311,14 @@ wz AS (SELECT *, (statistic - (n * (n + 1) / 4 - z0 * (z0 + 1) / 4))
 
 @query("signed_rank_pairs", f"""WITH {PANEL}, {_WILCOXON}
 SELECT a, b, CAST(n AS BIGINT) AS n, CAST(z0 AS BIGINT) AS zeros, CAST(statistic AS DOUBLE) AS statistic,
-       round(z, 6) AS z FROM wz""")
+       approx(z, 6) AS z FROM wz""")
 def signed_rank_pairs(spark, d):
     return hy.wilcoxon_pairs(v.panel(spark, d)).select("a", "b", "n", "zeros", "statistic", rnd("z", 6).alias("z"))
 
 
 @query("holm_pairs", f"""WITH {PANEL}, {_WILCOXON}
 SELECT a, b, row_number() OVER (ORDER BY abs(z) DESC, a, b) AS place,
-  round(0.05 / (count(*) OVER () - row_number() OVER (ORDER BY abs(z) DESC, a, b) + 1), 8) AS threshold FROM wz""")
+  approx(0.05 / (count(*) OVER () - row_number() OVER (ORDER BY abs(z) DESC, a, b) + 1), 8) AS threshold FROM wz""")
 def holm_pairs(spark, d):
     """Largest |z| first is smallest p first; the decision itself is checked in unit tests."""
     tested = hy.holm(hy.wilcoxon_pairs(v.panel(spark, d)))
@@ -335,7 +335,7 @@ m AS (SELECT method, sum(r) AS rj, count(*)::DOUBLE AS n FROM ranked GROUP BY me
 s AS (SELECT count(*)::DOUBLE AS k, max(n) AS n, sum(rj * rj) AS r2 FROM m),
 ti AS (SELECT sum(t::DOUBLE * t - 1) AS ties FROM ranked)
 SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k,
-  round((12 / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS chi_square FROM s, ti""")
+  approx((12 / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS chi_square FROM s, ti""")
 def friedman_methods(spark, d):
     return hy.friedman(v.panel(spark, d)).select("n", "k", rnd("chi_square", 6).alias("chi_square"))
 

@@ -44,7 +44,7 @@ def flat_records(spark, d):
 
 @query("result_files_roundtrip", f"""WITH {RAW}
 SELECT array_to_string(preprocessers, ',') AS preprocessers, tokeniser, featuriser, model, finetune, seed,
-  round(rmse, 4) AS rmse_train, round(rmse / 3, 4) AS rmse_test, round(rmse * 2 / 2, 4) AS mae_val, total_time
+  approx(rmse, 4) AS rmse_train, approx(rmse / 3, 4) AS rmse_test, approx(rmse * 2 / 2, 4) AS mae_val, total_time
 FROM raw_results""")
 def result_files_roundtrip(spark, d):
     """Nested records in one folder per seed; the seed is only in the path, as in early records."""
@@ -75,7 +75,7 @@ def result_layout(spark, d):
 
 
 @query("performance_csv_roundtrip", f"""WITH {RESULTS}
-SELECT model AS method, count(*) AS n, round(avg(rmse), 4) AS mean FROM results GROUP BY model""")
+SELECT model AS method, count(*) AS n, approx(avg(rmse), 4) AS mean FROM results GROUP BY model""")
 def performance_csv_roundtrip(spark, d):
     path = scratch_path(spark, "performances")
     fl.write_performances(v.results(spark, d), path)
@@ -85,13 +85,13 @@ def performance_csv_roundtrip(spark, d):
 
 @query("all_performances", f"""WITH {RESULTS}
 SELECT array_to_string(preprocessers, ',') AS preprocessers, codes, tokeniser, featuriser, model, finetune, seed,
-  round(rmse, 4) AS rmse, md5(concat_ws('_', codes, tokeniser, featuriser, model, finetune::VARCHAR)) AS hash FROM results""")
+  approx(rmse, 4) AS rmse, md5(concat_ws('_', codes, tokeniser, featuriser, model, finetune::VARCHAR)) AS hash FROM results""")
 def all_performances(spark, d):
     return fl.performances(v.results(spark, d)).withColumn("rmse", rnd("rmse"))
 
 
 @query("predictions_roundtrip", f"""WITH {PREDS}
-SELECT split, count(*) AS n, round(sum(prediction), 2) AS prediction, round(sum(label), 2) AS label FROM preds GROUP BY split""")
+SELECT split, count(*) AS n, approx(sum(prediction), 2) AS prediction, approx(sum(label), 2) AS label FROM preds GROUP BY split""")
 def predictions_roundtrip(spark, d):
     path = scratch_path(spark, "preds")
     fl.write_predictions(v.predictions(spark, d), path)
@@ -102,7 +102,7 @@ def predictions_roundtrip(spark, d):
 
 
 @query("scaling_params_roundtrip", f"""WITH {PREDS}
-SELECT round(avg(label), 4) AS mean, round(stddev_pop(label), 4) AS std FROM preds WHERE split = 'train'""")
+SELECT approx(avg(label), 4) AS mean, approx(stddev_pop(label), 4) AS std FROM preds WHERE split = 'train'""")
 def scaling_params_roundtrip(spark, d):
     path = scratch_path(spark, "params")
     fl.write_params(ag.scaling_params(v.predictions(spark, d)), path)
