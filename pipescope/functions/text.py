@@ -153,10 +153,10 @@ def ptb_tokens(text: Column | str) -> Column:
 
 
 def bigrams(tokens: Column | str) -> Column:
-    """Neighbouring words joined by a space."""
+    """Neighbouring words joined by a space (the list zipped with itself, shifted by one)."""
     words = _col(tokens)
-    heads = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.transform(heads, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def unigrams_and_bigrams(tokens: Column | str) -> Column:

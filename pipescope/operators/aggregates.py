@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipescope.operators.ordering import exact_quantiles, value_runs
+from pipescope.operators.ordering import exact_quantiles, quantiles_of_runs, value_runs
 
 CONFIG = ["codes", "tokeniser", "featuriser", "model"]
 UPSTREAM = ["codes", "tokeniser", "featuriser"]
@@ -141,8 +141,9 @@ def histogram(
 
 def box_stats(df: DataFrame, metric: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (most extreme value inside 1.5 IQR) and the number of points beyond."""
-    runs = value_runs(df, keys, metric).select(*keys, metric, "n")
-    box = five_numbers(df, metric, keys).select(*keys, *QUARTILES)
+    ranked = value_runs(df, keys, metric)
+    runs = ranked.select(*keys, metric, "n")
+    box = quantiles_of_runs(ranked, keys, metric, QUARTILES).drop("n")
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = F.col(metric).between(low, high)

@@ -75,25 +75,22 @@ def mean_vectors(docs: DataFrame, vectors: DataFrame, width: int, normalise: boo
     without a known word get zeros.
     """
     words = docs.select("doc_id", "tokens").repartition("doc_id").select(
-        "doc_id", F.explode_outer("tokens").alias("token")
+        "doc_id", F.explode("tokens").alias("token")
     )
     counted = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     scaled = unit(F.col("vec")) if normalise else F.transform("vec", lambda x: x.cast("double"))
-    looked = look_up(counted, vectors.select("token", scaled.alias("vec")))
+    known = look_up(counted, vectors.select("token", array_to_vector(scaled).alias("vec")), how="inner")
+    pooled = known.groupBy("doc_id").agg(vector_to_array(Summarizer.mean(F.col("vec"), F.col("_n"))).alias("_mean"))
     zeros = F.array_repeat(F.lit(0.0), width)
-    vector = array_to_vector(F.coalesce("vec", zeros))
-    # unknown words are zero vectors of a weight that vanishes next to any known word, so that a
-    # document of unknown words only averages to zeros
-    weight = F.when(F.col("vec").isNotNull(), F.col("_n")).otherwise(1e-300)
-    return looked.select("doc_id", vector.alias("v"), weight.alias("w")).groupBy("doc_id").agg(
-        vector_to_array(Summarizer.mean(F.col("v"), F.col("w"))).alias("features")
+    return docs.select("doc_id").join(pooled, "doc_id", "left").select(
+        "doc_id", F.coalesce("_mean", zeros).alias("features")
     )
 
 
 def token_vector_rows(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(doc_id, pos, vec): one row per known word position, as an encoder would output."""
     rows = docs.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    return look_up(rows, vectors).where(F.col("vec").isNotNull()).select("doc_id", "pos", "vec")
+    return look_up(rows, vectors, how="inner").select("doc_id", "pos", "vec")
 
 
 def first_vector(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pipescope.session import cut_lineage
 
-VALUE_BUCKETS = 64
+BUCKET_LEVELS = 6  # value ranges per group: 2 to this power
 HASH_BUCKET_DIGITS = 3
 
 
@@ -29,28 +29,28 @@ def prior_totals(totals: DataFrame, keys: Sequence[str], bucket: str, specs: dic
     return totals.select(*keys, bucket, *[agg.over(before).alias(name) for name, agg in specs.items()])
 
 
-def with_value_bucket(
-    df: DataFrame, keys: Sequence[str], value: str, buckets: int = VALUE_BUCKETS, out: str = "bucket"
-) -> DataFrame:
+def with_value_bucket(df: DataFrame, keys: Sequence[str], value: str, levels: int = BUCKET_LEVELS,
+                      out: str = "bucket") -> DataFrame:
     """Number the value range each row falls in; ranges hold about equally many rows per group.
 
-    The cut points (at most `buckets` doubles per group) are fixed by a checkpoint, so every later use
-    of the bucket number agrees even if tasks are re-run.
+    The cut points (2^levels - 1 doubles per group) are fixed by a checkpoint, so every later use of
+    the bucket number agrees even if tasks are re-run. A row finds its range by binary search.
     """
+    buckets = 2**levels
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(F.col(value), shares, F.lit(buckets * 20))).alias("_cuts")
+    cuts = cut_lineage(
+        df.groupBy(*keys).agg(F.percentile_approx(F.col(value), shares, F.lit(buckets * 20)).alias("_cuts"))
     )
-    cuts = cut_lineage(cuts)
     if keys:
-        joined = df.join(cuts, list(keys), "left")
+        placed = df.join(cuts, list(keys), "left")
     else:
-        row = cuts.first()
-        points = row["_cuts"] if row is not None and row["_cuts"] is not None else []
-        literal = F.array(*[F.lit(float(p)) for p in points]) if points else F.lit(None).cast("array<double>")
-        joined = df.withColumn("_cuts", literal)
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    return joined.withColumn(out, F.greatest(below, F.lit(0))).drop("_cuts")
+        placed = df.withColumn("_cuts", cuts.scalar())
+    placed = placed.withColumn(out, F.lit(0))
+    for level in reversed(range(levels)):
+        step = 2**level
+        beyond = F.get("_cuts", F.col(out) + (step - 1)) < F.col(value)
+        placed = placed.withColumn(out, F.col(out) + F.when(beyond, step).otherwise(0))
+    return placed.drop("_cuts")
 
 
 def value_runs(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
@@ -58,9 +58,10 @@ def value_runs(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, C
     average ascending rank `avg_rank` that tied rows share. `sums` adds further aggregates.
 
     Ties are collapsed by a partial aggregation before anything is ordered, so a value repeated a
-    billion times is one row here. NULL values are left out, as ranking leaves them out.
+    billion times is one row here. The collapsed rows are written once, since the cut points, the
+    bucket totals and the ranks all read them. NULL values are left out, as ranking leaves them out.
     """
-    runs = (
+    runs = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"), *[agg.alias(name) for name, agg in (sums or {}).items()])
@@ -78,33 +79,25 @@ def value_runs(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, C
     return counted.drop("_vb", "_offset", "_upto")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], extra: Sequence[Column] = ()
-) -> DataFrame:
-    """Linearly interpolated quantiles per group, exact at any size.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group and its size `n`, exact at any size."""
+    return quantiles_of_runs(value_runs(df, keys, value), keys, value, probs)
 
-    The quantile at p lies at position p*(n-1); the two order statistics around it are the runs that
-    cover these positions. `extra` are further aggregate columns over the whole group, written on the
-    run columns (`value`, `n`).
-    """
-    runs = value_runs(df, keys, value)
-    sizes = runs.groupBy(*keys).agg(F.sum("n").alias("_n"), *extra)
+
+def quantiles_of_runs(runs: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The quantile at p lies at position p*(n-1); the two order statistics around it are the runs that
+    cover these positions."""
+    sizes = runs.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    joined = runs.join(sizes, list(keys)) if keys else runs.withColumn("_n", sizes.scalar())
     columns = []
-    if keys:
-        joined = runs.join(sizes, list(keys))
-    else:
-        joined = runs.withColumn("_whole", sizes.select(F.struct("*")).scalar()).select("*", "_whole.*")
     last = F.col("n_before") + F.col("n") - 1
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("_n") - 1)
         low, high = F.floor(position), F.ceil(position)
         at_low = F.max(F.when((F.col("n_before") <= low) & (last >= low), F.col(value)))
         at_high = F.max(F.when((F.col("n_before") <= high) & (last >= high), F.col(value)))
-        weight = F.max(position - low)
-        columns.append((at_low + (at_high - at_low) * weight).alias(name))
-    carried = [c for c in sizes.columns if c not in keys]
-    out = joined.groupBy(*keys).agg(*columns, *[F.first(c).alias(c) for c in carried])
-    return out.withColumnRenamed("_n", "n")
+        columns.append((at_low + (at_high - at_low) * F.max(position - low)).alias(name))
+    return joined.groupBy(*keys).agg(*columns, F.max("_n").alias("n"))
 
 
 def digest_cutoffs(df: DataFrame, keys: Sequence[str], digest: str, wanted: Column) -> DataFrame:
@@ -139,7 +132,7 @@ def value_positions(df: DataFrame, value: str, ties: Sequence[str], out: str = "
     which is also the order used among equal values.
     """
     digest = F.md5(F.concat_ws(":", *ties))
-    bucketed = with_value_bucket(df, [], value, out="_vb").withColumn("_digest", digest)
+    bucketed = with_value_bucket(cut_lineage(df), [], value, out="_vb").withColumn("_digest", digest)
     # a value that fills a whole bucket is the only one that can be hot: give it digest sub-buckets
     spread = bucketed.withColumn("_sub", F.substring("_digest", 1, HASH_BUCKET_DIGITS))
     runs = spread.groupBy("_vb", value, "_sub").agg(F.count(F.lit(1)).alias("_run_n"))

@@ -16,7 +16,7 @@ def complete_panel(df: DataFrame) -> DataFrame:
 
     Repeated (experiment, method) rows are averaged first, so an experiment holds one row per method.
     """
-    cells = df.groupBy("experiment", "method").agg(F.avg("value").alias("value"))
+    cells = cut_lineage(df.groupBy("experiment", "method").agg(F.avg("value").alias("value")))
     methods = df.agg(F.count_distinct("method").alias("m"))
     full = cells.groupBy("experiment").agg(F.count(F.lit(1)).alias("m"))
     full = full.where(F.col("m") == methods.scalar()).select("experiment")

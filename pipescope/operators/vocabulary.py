@@ -20,7 +20,7 @@ from pipescope.functions.stemming import stem_words
 from pipescope.functions.text import CLOSED_CLASSES, peel, pieces, piece_word, whitespace_tokens
 from pipescope.session import cut_lineage
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000  # words of a lookup table that may be sent to every task (about 100 MB)
 SALTS = 16
 MAX_PIECES = 200_000
 CHECKPOINT_EVERY = 10
@@ -38,24 +38,31 @@ def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return table.limit(rows + 1).count() <= rows
 
 
-def look_up(words: DataFrame, mapping: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Left join on `token`, without letting a frequent word fill one task."""
+def look_up(words: DataFrame, mapping: DataFrame, salts: int = SALTS, how: str = "left") -> DataFrame:
+    """Join on `token`, without letting a frequent word fill one task."""
+    mapping = cut_lineage(mapping)
     if fits_broadcast(mapping):
-        return words.join(F.broadcast(mapping), "token", "left")
+        return words.join(F.broadcast(mapping), "token", how)
     spread = [c for c in words.columns if c != "token"]
     salted = words.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["token", "_salt"], "left").drop("_salt")
+    return salted.join(copies, ["token", "_salt"], how).drop("_salt")
 
 
 def word_rows(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, pos, token); a document without words keeps one row with NULL pos."""
-    return docs.select(key, F.posexplode_outer(words).alias("pos", "token"))
+    """(key, pos, token); a document without words keeps one row with NULL pos.
+
+    Documents are placed by key while they are one row each, so that gathering their words again
+    after a broadcast lookup moves nothing.
+    """
+    return docs.repartition(key).select(key, F.posexplode_outer(words).alias("pos", "token"))
 
 
 def piece_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, token, space): words with the white space that follows them."""
-    rows = docs.select(key, F.posexplode_outer(pieces(text)).alias("pos", "_piece"))
+    rows = docs.select(key, text).repartition(key).select(
+        key, F.posexplode_outer(pieces(text)).alias("pos", "_piece")
+    )
     word = piece_word(F.col("_piece"))
     return rows.select(
         key, "pos", word.alias("token"), F.substring("_piece", F.length(word) + 1, F.length("_piece")).alias("space")
@@ -70,18 +77,21 @@ def gather(rows: DataFrame, key: str, value: Column, keep: Column | None = None)
 
 
 def stem_vocabulary(words: DataFrame) -> DataFrame:
-    """(token, value): each distinct word with punctuation peeled off, its core stemmed, and rejoined."""
+    """(token, value): each distinct word with punctuation peeled off, its core stemmed, and rejoined.
+
+    Words that stay as they are have no row: the lookup keeps them anyway.
+    """
     left, core, right = peel("token")
     cut = words.select("token", left.alias("_l"), core.alias("_c"), right.alias("_r"))
-    return cut.select("token", F.concat("_l", stem_words("_c"), "_r").alias("value"))
+    return cut.select("token", F.concat("_l", stem_words("_c"), "_r").alias("value")).where("value <> token")
 
 
 def stem_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) with every word stemmed and single spaces between words."""
     words = whitespace_tokens(text)
-    vocabulary = cut_lineage(stem_vocabulary(distinct_words(docs, words).select("token")))
-    rows = look_up(word_rows(docs, key, words), vocabulary)
-    return gather(rows, key, F.col("value")).select(key, F.array_join("values", " ").alias(text))
+    vocabulary = stem_vocabulary(distinct_words(docs, words).select("token"))
+    rows = look_up(word_rows(docs.select(key, text), key, words), vocabulary)
+    return gather(rows, key, F.coalesce("value", "token")).select(key, F.array_join("values", " ").alias(text))
 
 
 def lemmatise_text(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,15 +133,14 @@ def spelled(word: Column) -> Column:
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """(left, right, n) over neighbouring symbols of a (segmented, n) table."""
-    symbols = words.select(_symbols(F.col("segmented")).alias("s"), "n")
-    pairs = F.transform(
-        F.slice("s", F.lit(1), F.size("s") - 1),
-        lambda left, i: F.struct(left.alias("left"), F.get("s", i + 1).alias("right")),
-    )
-    return symbols.where(F.size("s") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(
-        F.sum("n").alias("n")
+    """(left, right, n) over neighbouring symbols of a (segmented, n) table; `n` may be negative."""
+    symbols = words.select(_symbols(F.col("segmented")).alias("s"), "n").where(F.size("s") > 1)
+    n = F.size("s") - 1
+    pairs = F.zip_with(
+        F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n),
+        lambda left, right: F.struct(left.alias("left"), right.alias("right")),
     )
+    return symbols.select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
 def merge_pair(segmented: Column, left: str, right: str) -> Column:
@@ -141,20 +150,31 @@ def merge_pair(segmented: Column, left: str, right: str) -> Column:
 def learn_merges(words: DataFrame, rounds: int) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """Byte-pair merges of a (token, n) table and the segmented words.
 
-    Each round counts neighbouring symbol pairs over the distinct words and merges the most frequent
-    one (ties by symbol). Only that one pair comes back to the driver per round.
+    Each round merges the most frequent pair of neighbouring symbols (ties by symbol); only that one
+    pair comes back to the driver. Pair counts are kept as a table: a round subtracts the pairs of the
+    words the merge changes and adds their new ones, so all words are counted only once.
     """
     cores = words.sparkSession.sparkContext.defaultParallelism
     spelled_out = words.select("token", "n", spelled(F.concat(F.lit(WORD_START), "token")).alias("segmented"))
     current = cut_lineage(spelled_out.repartition(cores))
+    counts = cut_lineage(pair_counts(current))
     merges: list[tuple[str, str, int]] = []
     for number in range(1, rounds + 1):
-        top = pair_counts(current).orderBy(F.desc("n"), "left", "right").limit(1).collect()
+        top = counts.orderBy(F.desc("n"), "left", "right").limit(1).collect()
         if not top:
             break
         left, right, n = top[0]["left"], top[0]["right"], top[0]["n"]
         merges.append((left, right, n))
-        current = current.withColumn("segmented", merge_pair(F.col("segmented"), left, right))
+        merged = merge_pair(F.col("segmented"), left, right)
+        changed = current.where(F.contains("segmented", F.concat(_edged(left), _edged(right))))
+        both = F.explode(F.array(
+            F.struct(F.col("segmented"), (-F.col("n")).alias("n")), F.struct(merged.alias("segmented"), F.col("n"))
+        ))
+        delta = pair_counts(changed.select(both.alias("w")).select("w.*"))
+        counts = cut_lineage(
+            counts.union(delta).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0")
+        )
+        current = current.withColumn("segmented", merged)
         if number % CHECKPOINT_EVERY == 0:
             current = cut_lineage(current)
     return merges, current.select("token", _symbols(F.col("segmented")).alias("pieces"))
@@ -162,8 +182,7 @@ def learn_merges(words: DataFrame, rounds: int) -> tuple[list[tuple[str, str, in
 
 def split_words(docs: DataFrame, pieces_of: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tokens): every word replaced by the pieces a (token, pieces) table gives it."""
-    mapping = cut_lineage(pieces_of)
-    rows = look_up(word_rows(docs, key, whitespace_tokens(text)), mapping)
+    rows = look_up(word_rows(docs.select(key, text), key, whitespace_tokens(text)), pieces_of)
     return gather(rows, key, F.col("pieces")).select(key, F.flatten("values").alias("tokens"))
 
 
