@@ -28,6 +28,31 @@ def paired_t(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFra
     )
 
 
+def keyed_paired_t(df: DataFrame, value: str, flag: str, on: Sequence[str]) -> DataFrame:
+    """Paired t over all pairs (flagged row, other row) that share the key, without forming the pairs.
+
+    With G and B rows of a key, the sums of the G*B differences and of their squares follow from the
+    sums on either side, so a key with very many rows costs one partial aggregate and not G*B rows.
+    Values are taken relative to the overall mean, which leaves differences as they are.
+    """
+    centred = df.withColumn("_c", F.col(value) - df.agg(F.avg(value)).scalar())
+    x, y = F.when(F.col(flag), F.col("_c")), F.when(~F.col(flag), F.col("_c"))
+    sides = centred.groupBy(*on).agg(
+        F.count(x).alias("_g"), F.count(y).alias("_b"), F.sum(x).alias("_sx"), F.sum(y).alias("_sy"),
+        F.sum(x * x).alias("_qx"), F.sum(y * y).alias("_qy"),
+    ).where("_g > 0 AND _b > 0")
+    g, b, sx, sy = (F.col(c) for c in ("_g", "_b", "_sx", "_sy"))
+    sums = sides.agg(
+        F.sum(g * b).alias("n"), F.sum(b * sx - g * sy).alias("_d"),
+        F.sum(b * F.col("_qx") + g * F.col("_qy") - 2 * sx * sy).alias("_q"),
+    )
+    n, mean = F.col("n"), F.col("_d") / F.col("n")
+    spread = F.sqrt((F.col("_q") - n * mean * mean) / (n - 1))
+    return sums.select("n", mean.alias("mean_diff"), F.try_divide(mean, spread / F.sqrt(n)).alias("t")).withColumn(
+        "p_value", student_p(F.col("t"), n - 1)
+    )
+
+
 def _two_sample_moments(value: str, flag: str) -> list[Column]:
     x, y = F.when(F.col(flag), F.col(value)), F.when(~F.col(flag), F.col(value))
     return [

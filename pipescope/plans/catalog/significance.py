@@ -209,7 +209,9 @@ def monte_carlo_training_times(spark, d):
 SELECT count(*) AS n, approx(avg(a - b), 4) AS mean_diff, approx(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t
 FROM pairs""")
 def paired_t_features(spark, d):
-    out = hy.paired_t(keyed_pairs(spark, d), "rmse_bert", "rmse_glove")
+    compared = v.results(spark, d).where(F.col("featuriser").isin("glove_mean", *rs.BERT_FEATURISERS))
+    marked = compared.withColumn("bert", F.col("featuriser") != "glove_mean")
+    out = hy.keyed_paired_t(marked, "rmse", "bert", ["codes", "model", "seed"])
     return out.select("n", rnd("mean_diff").alias("mean_diff"), rnd("t", 6).alias("t"))
 
 

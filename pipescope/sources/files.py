@@ -203,7 +203,7 @@ def write_lines(values: DataFrame, path: str) -> None:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Log files, each one JSON object from hash to record, as one row per hash."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = F.explode(F.from_json("value", f"map<string,{LOG_ENTRY}>")).alias("hash", "entry")
     return whole.select(entries).select("hash", "entry.*").withColumnRenamed("preprocesser_order", "preprocessers")
 

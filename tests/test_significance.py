@@ -20,18 +20,18 @@ def test_tails_at_published_points():
     assert tails.chi_square_upper(3.0, 2) == pytest.approx(math.exp(-1.5), abs=1e-12)
 
 
-def tests_table(spark, ps):
+def p_table(spark, ps):
     return spark.createDataFrame([(f"t{i}", p) for i, p in enumerate(ps)], "a string, p_value double")
 
 
 def test_corrections(spark):
-    table = tests_table(spark, [0.01, 0.02, 0.03, 0.04])
+    table = p_table(spark, [0.01, 0.02, 0.03, 0.04])
     assert hy.holm(table, ties=["a"]).where("reject").count() == 1
     corrected = hy.benjamini_hochberg(table).collect()
     assert sum(r["reject"] for r in corrected) == 4 and corrected[0]["adjusted_alpha"] == pytest.approx(0.05)
-    assert hy.benjamini_hochberg(tests_table(spark, [0.9, 0.8])).where("reject").count() == 0
+    assert hy.benjamini_hochberg(p_table(spark, [0.9, 0.8])).where("reject").count() == 0
     # Holm stops at the first failure even when a later one would pass its own threshold
-    assert hy.holm(tests_table(spark, [0.03, 0.04]), ties=["a"]).where("reject").count() == 0
+    assert hy.holm(p_table(spark, [0.03, 0.04]), ties=["a"]).where("reject").count() == 0
 
 
 def test_exhaustive_pairs(spark):
@@ -101,10 +101,17 @@ def test_t_tests_by_hand(spark):
     d = np.array([-1.0, -2.0, -0.5])
     row = hy.paired_t(df, "a", "b").first()
     assert row["t"] == pytest.approx(d.mean() / (d.std(ddof=1) / math.sqrt(3)))
+    keyed = spark.createDataFrame([("p", True, 1.0), ("p", False, 2.0), ("p", False, 4.0), ("q", True, 3.0),
+                                   ("q", False, 3.5), ("r", True, 9.0)], "k string, x boolean, v double")
+    pairs = np.array([1 - 2, 1 - 4, 3 - 3.5])
+    row = hy.keyed_paired_t(keyed, "v", "x", ["k"]).first()
+    assert row["n"] == 3 and row["t"] == pytest.approx(pairs.mean() / (pairs.std(ddof=1) / math.sqrt(3)))
     marked = spark.createDataFrame([(True, v) for v in (1.0, 2.0, 4.0)] + [(False, v) for v in (3.0, 5.0)],
                                    "x boolean, v double")
     row = hy.pooled_t(marked, "v", "x").first()
-    assert row["t"] == pytest.approx(-1.1078, abs=1e-3) and row["n"] == 3 and row["m"] == 2
+    pooled = (2 * np.var([1, 2, 4], ddof=1) + np.var([3, 5], ddof=1)) / 3
+    assert row["t"] == pytest.approx((7 / 3 - 4) / math.sqrt(pooled * (1 / 3 + 1 / 2)))
+    assert (row["n"], row["m"]) == (3, 2)
 
 
 def panel_of(spark, scores):
