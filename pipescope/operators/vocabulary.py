@@ -83,7 +83,9 @@ def stem_vocabulary(words: DataFrame) -> DataFrame:
     """
     left, core, right = peel("token")
     cut = words.select("token", left.alias("_l"), core.alias("_c"), right.alias("_r"))
-    return cut.select("token", F.concat("_l", stem_words("_c"), "_r").alias("value")).where("value <> token")
+    stemmed = cut_lineage(cut.select("token", F.concat("_l", stem_words("_c"), "_r").alias("value")))
+    # filtered after it is written: below the UDF the condition would stem every word a second time
+    return stemmed.where("value <> token")
 
 
 def stem_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
