@@ -1,4 +1,4 @@
-"""Tail probabilities of the reference distributions, as vectorised functions on aggregated rows.
+"""Tail probabilities of the usual test distributions, as vectorised functions on aggregated rows.
 
 Spark SQL has no error function or incomplete beta/gamma. Tests produce one row per comparison, so
 these run on a handful of rows after all data has been reduced inside Spark.

@@ -47,7 +47,7 @@ def unnest_one_level(df: DataFrame, keys: Sequence[str] = SPLITS) -> DataFrame:
 def null_if_empty(df: DataFrame, drop_zero: bool = False) -> DataFrame:
     """Empty strings, lists and maps become NULL; with `drop_zero` also 0 and false.
 
-    The reference rule also prunes zeros, which loses a metric or seed that is really 0: opt in.
+    Pruning zeros too would lose a metric or seed that is really 0, so it must be asked for.
     """
     def cleaned(field: T.StructField) -> Column:
         column = F.col(f"`{field.name}`")
