@@ -67,44 +67,83 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
                            F.least("cap", F.col("weight") * F.lit(per_weight)).alias("target"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, prior, taken), one row per row of `docs`.
-
-    `prior` is the number of words of the source before the document in key order, `taken` the words the
-    mix takes of it, repeats counted.
-    """
+def _ordered(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], share: float, most: float,
+             seed: int) -> DataFrame:
+    """Every row with its source's size, target, whole epochs and rest, and the words before it in key order."""
     sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                                 F.size(word_array(F.col(text))).cast("long").alias("size")), "sizes")
     per_source = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")),
         weights, share, most)
-    per_source = cut_lineage(per_source.withColumn(
-        "digits", F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n_docs") / ROWS_PER_RANGE))).cast("int")))
+    budget = F.floor("target")
+    per_source = cut_lineage(
+        per_source.withColumn("digits", F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n_docs") / ROWS_PER_RANGE))).cast("int"))
+        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0))
+        .withColumn("rest", budget - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_of"))
     placed = (
-        sized.alias("d").join(per_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "digits",
-                order_key(F.col("doc_id"), seed).alias("_key"))
-        .withColumn("_range", F.expr("substring(_key, 1, digits)"))
+        sized.join(per_source, F.col("source").eqNullSafe(F.col("_of"))).drop("_of", "n_docs")
+        .withColumn("_key", order_key(F.col("doc_id"), seed)).withColumn("_range", F.expr("substring(_key, 1, digits)"))
     )
     totals = placed.groupBy("source", "_range").agg(F.sum("size").alias("_size"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("source").alias("_source"), F.col("_range").alias("_at"),
+    offsets = totals.select(F.col("source").alias("_of"), F.col("_range").alias("_at"),
                             F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
-    ordered = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_at")))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("prior")))
-    return ordered.withColumn("prior", F.col("_offset") + F.col("_inside")).select(
-        "doc_id", "source", "size", "source_size", "target", "prior",
-        (epochs * F.col("size") + part).cast("long").alias("taken"))
-
-
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its `n`-th word, as it is written."""
-    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), n.cast("string"), F.lit("}"))
-    return F.regexp_extract(text, pattern, 0)
+    return (
+        placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(offsets, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
+        .withColumn("prior", F.col("_offset") + F.col("_inside")).drop("_of", "_at", "_offset", "_inside", "_range", "digits")
+    )
+
+
+def _part(size: Column, rest: Column, prior: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(size, rest - prior))
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, prior, taken), one row per row of `docs`.
+
+    `prior` is the number of words of the source before the document in key order, `taken` the words the
+    mix takes of it, repeats counted.
+    """
+    ordered = _ordered(docs, doc_id, text, source, weights, share, most, seed)
+    taken = F.col("epochs") * F.col("size") + _part(F.col("size"), F.col("rest"), F.col("prior"))
+    return ordered.select("doc_id", "source", "size", "source_size", "target", "prior", taken.cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+               weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
+    """The rows of the mix with all columns of `docs`: a row per epoch, and what the last epoch takes.
+
+    Texts are not moved: a row is in the last epoch if it comes before its source's cut in key order, which is
+    one row per source. The document at the cut goes up to its word (words then parted by one space); rows that
+    agree with it in id and size share its words evenly. Rows without words are not in the mix.
+    """
+    names = docs.columns
+    numbered = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    at = {role: f"_c{names.index(name)}" for role, name in (("doc", doc_id), ("text", text), ("source", source))}
+    ordered = written(_ordered(numbered, at["doc"], at["text"], at["source"], weights, share, most, seed), "mix")
+    inside = (F.col("prior") < F.col("rest")) & (F.col("rest") <= F.col("prior") + F.col("size"))
+    cuts = ordered.where(inside).select(F.col("source").alias("_of"), F.col("_key").alias("_cut_key"),
+                                        F.col("doc_id").alias("_cut_doc"), F.col("size").alias("_cut_size"))
+    at_cut = (F.col("source").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_cut_key"))
+              & F.col("doc_id").eqNullSafe(F.col("_cut_doc")) & (F.col("size") == F.col("_cut_size")))
+    cuts = ordered.join(cuts, at_cut).groupBy("_of", "_cut_key", "_cut_doc", "_cut_size").agg(
+        F.floor(F.sum(_part(F.col("size"), F.col("rest"), F.col("prior"))) / F.count(F.lit(1))).alias("_cut_part"))
+    epochs = ordered.select("source", "epochs").distinct()
+    per_source = cut_lineage(epochs.join(cuts, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of"))
+
+    words = word_array(F.col(at["text"]))
+    rows = numbered.withColumns({"_size": F.size(words).cast("long"), "_key": order_key(F.col(at["doc"]), seed)}).where("_size > 0")
+    rows = rows.join(per_source, F.col(at["source"]).eqNullSafe(F.col("source")))
+    # the order of the cut: key, id (null first), size
+    before = F.struct("_key", F.col(at["doc"]).alias("d"), "_size") < F.struct("_cut_key", F.col("_cut_doc").alias("d"), F.col("_cut_size").alias("_size"))
+    same = (F.col("_key") == F.col("_cut_key")) & F.col(at["doc"]).eqNullSafe(F.col("_cut_doc")) & (F.col("_size") == F.col("_cut_size"))
+    part = F.when(F.col("_cut_key").isNull(), 0).when(same, F.col("_cut_part")).when(before, F.col("_size")).otherwise(0).cast("long")
+    whole = F.when(F.col("epochs") > 0, F.array_repeat(F.col("_size"), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<long>"))
+    copies = rows.withColumn("_take", F.explode(F.filter(F.concat(whole, F.array(part)), lambda n: n > 0)))
+    body = F.when(F.col("_take") == F.col("_size"), F.col(at["text"])).otherwise(
+        F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), " "))
+    return copies.select(*[(body if f"_c{i}" == at["text"] else F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)])

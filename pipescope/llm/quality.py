@@ -227,6 +227,15 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: s
         (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= F.lit(chi_square_quantile(tail, D)))).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", **parameters) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns whatever their names."""
+    names = docs.columns
+    numbered = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    at = {role: f"_c{names.index(name)}" for role, name in (("text", text), ("lang", lang), ("source", source))}
+    kept = judged(numbered, keep=tuple(numbered.columns), **at, **parameters).where("kept")
+    return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def _left_group(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
     """As `_with_group`, but rows of groups without an estimate (all base-rejected) stay."""
     renamed = estimates.withColumnsRenamed({k: f"_g_{k}" for k in keys})

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipescope.llm import mixing, quality, url_filters
+from pipescope.llm import edits, huffman, hyperminhash, mixing, quality, sampling, topk, url_filters, warc, windows
 from pipescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,85 @@ SELECT doc_id, source, size, source_size, target, prior,
 @query("op9_mixing", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS last FROM d
+      WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN last IS NULL OR last IS NOT DISTINCT FROM d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS DISTINCT FROM d.page_id THEN last END AS refers_to
+FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND d.payload_bytes = g.payload_bytes"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+
+@query("op6_exact_top_k", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query("op2_edited_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("edits", edits.derived_edits(F.col("doc_id"), F.col("text")))
+    return edits.edited_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_huffman_ids")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return huffman.digests(manifest)
+
+
+@query("op1_sampled_segmentations")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids as a hash; the operator itself gives them as arrays."""
+    samples = sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=3)
+    return samples.select(F.col("key").alias("doc_id"), "sample", "n_pieces", "log_prob", "perturbed", "inclusion",
+                          F.xxhash64("ids").alias("ids_hash"), "decoded")
+
+
+# distinct shingles per document; pairs are found through shared shingles and counted exactly
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]]
+             ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles FROM w),
+u AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN c ON s.doc_id = c.doc_id"""
+
+
+@query("op3_near_duplicates", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("group", "text_hash")
+
+
+@query("op8_repeated_passages")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has too; documents without any have no row."""
+    return windows.repeated_passages(table(spark, sf_dir, "documents")).drop("digest")
