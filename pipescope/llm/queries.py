@@ -170,7 +170,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_sampled_segmentations")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids as a hash; the operator itself gives them as arrays."""
-    samples = sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=3)
+    samples = sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
     return samples.select(F.col("key").alias("doc_id"), "sample", "n_pieces", "log_prob", "perturbed", "inclusion",
                           F.xxhash64("ids").alias("ids_hash"), "decoded")
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,11 @@ from pipescope.llm.pieces import chunks
 
 MARK = "▁"
 RANK_OFFSET = 3.0
+CHUNK_CHARS = 4_000_000
 SCHEMA = ("key long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>, "
           "decoded boolean")
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,18 +64,42 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
-class _HashTable:
-    """Which of many 64-bit hashes are known, and their values."""
+class _Numbers(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
-    def __init__(self, hashes: list[int], values: list[int]):
-        order = np.argsort(np.asarray(hashes, np.uint64))
-        self.hashes, self.values = np.asarray(hashes, np.uint64)[order], np.asarray(values, np.int64)[order]
 
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return self.hashes[at] == wanted, self.values[at]
+class _HashTable:
+    """Values of 64-bit hashes, -1 for unknown ones. Open addressing, sparse, so that most look-ups are one step."""
+
+    def __init__(self, values: dict[int, int]):
+        self.shift = np.uint64(64 - max(4, (8 * len(values)).bit_length()))
+        self.hashes = np.zeros((1 << (64 - int(self.shift))) + len(values) + 1, np.uint64)
+        self.values = np.full(len(self.hashes), -1, np.int64)
+        self.longest = 0
+        for h, value in values.items():
+            slot, steps = (h * int(_SPREAD) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift), 0
+            while self.values[slot] >= 0:
+                slot, steps = slot + 1, steps + 1
+            self.hashes[slot], self.values[slot] = h, value
+            self.longest = max(self.longest, steps)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        slot = ((wanted * _SPREAD) >> self.shift).astype(np.int64)
+        out = np.where(self.hashes[slot] == wanted, self.values[slot], -1)
+        rest = np.flatnonzero(out < 0)
+        for _ in range(self.longest):
+            rest = rest[self.values[slot[rest]] >= 0]  # an empty slot ends the search
+            if not len(rest):
+                break
+            slot[rest] += 1
+            hit = self.hashes[slot[rest]] == wanted[rest]
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[~hit]
+        return out
 
 
 class PieceModel:
@@ -97,17 +124,16 @@ class PieceModel:
             self.weights[i] = w - norm
         self.unknown = sp.unk_id()
         self.longest = max((len(pieces[i]) for i in usual), default=1)
-        by_size: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
-        prefixes: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
+        # of every piece and every front part of one: twice the id (or of no piece), plus one if a piece goes on
+        self.no_piece = len(sp)
+        entries: dict[int, int] = {}
         for i in usual:
             h = 0
             for size, char in enumerate(pieces[i], 1):
                 h = (h * int(_MUL) + ord(char) + int(_ADD)) & 0xFFFFFFFFFFFFFFFF
-                if size < len(pieces[i]):
-                    prefixes[size][h] = 1
-            by_size[len(pieces[i])][h] = i
-        self.tables = [_HashTable(list(t), list(t.values())) for t in by_size]
-        self.longer = [_HashTable(list(t), list(t.values())) for t in prefixes]
+                known = entries.get(h, 2 * self.no_piece)
+                entries[h] = 2 * i + known % 2 if size == len(pieces[i]) else known | 1
+        self.table = _HashTable(entries)
         raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode()
                for i, p in enumerate(pieces)]
         self.raw_sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -126,8 +152,8 @@ class PieceModel:
 class Lattice:
     """The lattices of many distinct words; a node is a character's place in the words laid end to end.
 
-    Edges are sorted by node. `low` are whole numbers of 2^-32: with the node in the upper half and a 32-bit
-    random number in the lower, one binary search over `low` draws an edge of that node.
+    Edges are sorted by node, longest first. `upper` are the ends of the edges' shares of 2^32, in order within the
+    node, so a 32-bit random number draws the first edge whose end is above it.
     """
 
     def __init__(self, model: PieceModel, words: Sequence[str]):
@@ -138,48 +164,62 @@ class Lattice:
         self.first = np.cumsum(sizes) - sizes
         self.end = n
         ends = np.repeat(self.first + sizes, sizes)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         at, h = np.arange(n), np.zeros(n, np.uint64)
         lone = np.ones(n, bool)
         for size in range(1, model.longest + 1):
-            inside = at + size <= ends[at]
-            at, h = at[inside], h[inside]
-            h = h * _MUL + chars[at + size - 1] + _ADD
-            hit, ids = model.tables[size].find(h)
-            found.append((at[hit], np.full(int(hit.sum()), size), ids[hit]))
+            if size > 1:
+                inside = at + size <= ends[at]
+                at, h = at[inside], h[inside]
+            h = h * _MUL + chars[at + (size - 1)] + _ADD
+            entry = model.table.find(h)
+            hit = (entry >= 0) & (entry < 2 * model.no_piece)
+            found.append((size, at[hit], entry[hit] >> 1))
             if size == 1:
                 lone[at[hit]] = False
-            goes_on, _ = model.longer[size].find(h)
+            goes_on = (entry >= 0) & (entry & 1 == 1)
             at, h = at[goes_on], h[goes_on]
         unknown = np.flatnonzero(lone)
         byte_ids = [[model.byte_id.get(b, model.unknown) for b in chr(c).encode("utf-8", "surrogatepass")]
                     for c in chars[unknown].tolist()]
-        found.append((unknown, np.ones(len(unknown), np.int64), -1 - np.arange(len(unknown))))
-        start, size, ids = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(start * 64 + np.minimum(size, 63), kind="stable")
-        start, size, ids = start[order], size[order], ids[order]
+        found.insert(0, (1, unknown, -1 - np.arange(len(unknown))))
+        count = np.zeros(n, np.int64)
+        for _, nodes, _ in found:
+            count[nodes] += 1
+        self.edge_first = np.concatenate([[0], np.cumsum(count)])
+        free = self.edge_first[:-1].copy()
+        start, size, ids = (np.empty(int(count.sum()), np.int64) for _ in range(3))
+        for length, nodes, of in reversed(found):
+            place = free[nodes]
+            start[place], size[place], ids[place] = nodes, length, of
+            free[nodes] += 1
         self.start = start
         self.target = np.where(start + size == ends[start], n, start + size)
-        n_bytes = np.fromiter(map(len, byte_ids), np.int64, len(byte_ids))
-        byte_of = np.where(ids < 0, -1 - ids, 0)
-        weight = np.where(ids < 0, model.byte_weight * (n_bytes[byte_of] if len(n_bytes) else 1), model.weights[np.maximum(ids, 0)])
+        weight = model.weights[np.maximum(ids, 0)]
         # the ids an edge stands for: one, or the bytes of its character
-        self.out_sizes = np.where(ids < 0, n_bytes[byte_of] if len(n_bytes) else 1, 1)
-        self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
-        self.out = np.repeat(ids, self.out_sizes)
+        self.out_sizes, self.out_starts, self.out = np.ones(len(ids), np.int64), np.arange(len(ids)), ids
+        self.plain = not len(unknown)
         if len(unknown):
-            self.out[self.out < 0] = np.concatenate([byte_ids[b] for b in byte_of[ids < 0].tolist()])
+            special = np.flatnonzero(ids < 0)
+            n_bytes = np.fromiter(map(len, byte_ids), np.int64, len(byte_ids))[-1 - ids[special]]
+            weight[special] = model.byte_weight * n_bytes
+            self.out_sizes[special] = n_bytes
+            self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
+            self.out = np.repeat(ids, self.out_sizes)
+            self.out[self.out < 0] = np.concatenate([byte_ids[b] for b in (-1 - ids[special]).tolist()])
         beta = self._backward(weight, ends)
         self.log_prob = weight + beta[self.target] - beta[start]
-        count = np.bincount(start, minlength=n)
-        self.edge_first = np.concatenate([[0], np.cumsum(count)])
-        place = np.arange(len(start)) - self.edge_first[start]
         probability = np.exp(self.log_prob)
-        below = np.zeros(len(start))
-        for i in range(1, int(count.max(initial=0))):  # in order within each node, whatever the batch
-            e = np.flatnonzero(place == i)
-            below[e] = below[e - 1] + probability[e - 1]
-        self.low = (start.astype(np.uint64) << np.uint64(32)) + np.minimum(below * 2.0**32, 2.0**32 - 1).astype(np.uint64)
+        above = probability.copy()
+        edges = np.flatnonzero(np.diff(start, prepend=-1) == 0)
+        place = edges - self.edge_first[start[edges]]
+        i = 1
+        while len(edges):  # in order within each node, whatever the batch
+            now = place == i
+            above[edges[now]] += above[edges[now] - 1]
+            edges, place, i = edges[~now], place[~now], i + 1
+        self.upper = np.minimum(above * 2.0**32, 2.0**32).astype(np.uint64)
+        self.upper[self.edge_first[1:] - 1] = np.uint64(1 << 32)
         with np.errstate(divide="ignore"):
             rest = np.log1p(-np.minimum(probability, 1 - 1e-16))
         self.log_rest = np.where(count[start] == 1, -np.inf, rest)
@@ -188,8 +228,11 @@ class Lattice:
         """Log of the total weight from each node to the end of its word, from the ends backwards."""
         beta = np.zeros(self.end + 1)
         distance = (ends - np.arange(self.end))[self.start]
-        order = np.argsort(distance, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(distance))]) if len(distance) else np.zeros(1, np.int64)
+        if not len(distance):
+            return beta
+        small = int(distance.max()) < 1 << 16  # numbers of 16 bits are sorted in linear time
+        order = np.argsort(distance.astype(np.uint16) if small else distance, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(distance))])
         for d in range(1, len(cuts) - 1):
             e = order[cuts[d]:cuts[d + 1]]
             if len(e):
@@ -202,12 +245,16 @@ class Lattice:
         """Draw the rest of a word from each node: all edges in a row, and how many each walk has."""
         at, active, steps = nodes, np.arange(len(nodes)), []
         while len(active):
-            bits = _seeds(seeds[active], len(steps) + 1) >> np.uint64(32)
-            edges = np.searchsorted(self.low, (at.astype(np.uint64) << np.uint64(32)) | bits, side="right") - 1
+            bits = _seeds(seeds, len(steps) + 1) >> np.uint64(32)
+            edges = self.edge_first[at]
+            beyond = np.flatnonzero(bits >= self.upper[edges])
+            while len(beyond):
+                edges[beyond] += 1
+                beyond = beyond[bits[beyond] >= self.upper[edges[beyond]]]
             steps.append((active, edges))
             at = self.target[edges]
-            goes_on = at != self.end
-            active, at = active[goes_on], at[goes_on]
+            goes_on = np.flatnonzero(at != self.end)
+            active, at, seeds = active[goes_on], at[goes_on], seeds[goes_on]
         counts = np.zeros(len(nodes), np.int64)
         for i, (walks, _) in enumerate(steps):
             counts[walks] = i + 1
@@ -220,6 +267,8 @@ class Lattice:
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of edges in a row, and how many each edge has."""
         sizes = self.out_sizes[edges]
+        if self.plain:
+            return self.out[edges], sizes
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         return self.out[np.repeat(self.out_starts[edges] - (ends - sizes), sizes) + np.arange(total)], sizes
@@ -231,97 +280,106 @@ class _Search:
     def __init__(self, words: np.ndarray, seed: np.uint64):
         self.words, self.seed = words, seed
         self.agenda: list[tuple[float, int, int, int, tuple[int, ...]]] = []  # (-maximum, tie, sample, place, excluded)
-        self.samples: list[tuple[np.ndarray, np.ndarray, float, float]] = []  # (edges, first edge of each word, log_prob, maximum)
-        self.pushed = 0
+        # edges, first edge of each word, log probability up to and with each edge, maximum
+        self.samples: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]] = []
+
+    def add(self, lattice: Lattice, edges: np.ndarray, word_first: np.ndarray, maximum: float, most: int, drawn: tuple,
+            parent: int = 0, split_at: int = 0, excluded: tuple[int, ...] = ()) -> None:
+        """Take in a sample and the regions that differ from it first at its nodes from `split_at` on, where it leaves
+        its parent.
 
-    def add(self, lattice: Lattice, edges: np.ndarray, word_first: np.ndarray, maximum: float, most: int,
-            split_at: int = 0, excluded: tuple[int, ...] = ()) -> None:
-        """Take in a sample and the regions that differ from it first at its nodes from `split_at` on."""
+        `drawn` has the log probabilities, the log rest masses and the Gumbel noise of the edges from there on.
+        """
+        log_prob, log_rest, noise = drawn
         number = len(self.samples)
-        log_prob = lattice.log_prob[edges]
-        upto = np.cumsum(log_prob)
-        self.samples.append((edges, word_first, float(upto[-1]) if len(edges) else 0.0, maximum))
-        if not len(edges):
+        known = self.samples[parent][2][:split_at] if split_at else log_prob[:0]
+        before = float(known[-1]) if split_at else 0.0
+        upto = before + np.cumsum(log_prob)
+        self.samples.append((edges, word_first, np.concatenate([known, upto]), maximum))
+        if not len(log_prob):
             return
-        mass = upto[split_at:] - log_prob[split_at:] + lattice.log_rest[edges[split_at:]]
+        mass = upto - log_prob + log_rest
         if excluded:
             taken = np.exp(lattice.log_prob[list(excluded) + [int(edges[split_at])]]).sum()
-            before = float(upto[split_at] - log_prob[split_at])
             node = lattice.start[edges[split_at]]
             left = lattice.edge_first[node + 1] - lattice.edge_first[node] - len(excluded) - 1
             mass[0] = before + math.log(max(1 - taken, 1e-300)) if left else -math.inf
-        noise = _seeds(_seeds(self.seed, 2 * number + 1), np.arange(split_at, len(edges)))
-        gumbel = mass - np.log(-np.log(_uniform(noise)))
-        best = -np.logaddexp(-maximum, -gumbel)
-        open_at = np.flatnonzero(mass > -np.inf)
-        if len(open_at) > most:
-            open_at = open_at[np.argpartition(-best[open_at], most - 1)[:most]]
-        for i in open_at.tolist():
+        gumbel = mass + noise
+        top = np.argpartition(gumbel, len(gumbel) - most)[-most:] if len(gumbel) > most else np.arange(len(gumbel))
+        # truncation at the maximum keeps the order, so only the largest need it
+        for i in top[gumbel[top] > -np.inf].tolist():
+            value = -float(np.logaddexp(-maximum, -gumbel[i]))
             rule = excluded + (int(edges[split_at]),) if i == 0 else (int(edges[split_at + i]),)
-            heapq.heappush(self.agenda, (-float(best[i]), self.pushed, number, split_at + i, rule))
-            self.pushed += 1
+            heapq.heappush(self.agenda, (-value, -number, number, split_at + i, rule))
 
 
 def sample_batch(model: PieceModel, texts: Sequence[str], seeds: np.ndarray, k: int) -> tuple[Lattice, list[_Search]]:
     """Run the search for all texts of a batch side by side, so that every draw is one vector operation."""
-    numbers: dict[str, int] = {}
-    listed = [[numbers.setdefault(w, len(numbers)) for w in t.split(" ")] if t else [] for t in texts]
+    numbers = _Numbers()
+    listed = [list(map(numbers.__getitem__, t.split(" "))) if t else [] for t in texts]
     lattice = Lattice(model, list(numbers))
     counts = np.fromiter(map(len, listed), np.int64, len(listed))
-    words = np.fromiter((w for x in listed for w in x), np.int64, int(counts.sum()))
+    words = np.fromiter(chain.from_iterable(listed), np.int64, int(counts.sum()))
     begins = np.cumsum(counts) - counts
     searches = [_Search(words[b:b + c], s) for b, c, s in zip(begins.tolist(), counts.tolist(), seeds)]
 
-    def draws(of: Sequence[int], heads: list[int], skip: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each search: a walk from node `heads` (unless it ends a word) and over its words from `skip` on."""
-        nodes, keys = [], []
-        for i, head, first in zip(of, heads, skip):
-            s = searches[i]
-            word_nodes = lattice.first[s.words[first:]]
-            own = _seeds(s.seed, 2 * len(s.samples))
-            if head != lattice.end:
-                word_nodes = np.concatenate([[head], word_nodes])
-                first -= 1
-            nodes.append(word_nodes)
-            keys.append(_seeds(own, np.arange(first, first + len(word_nodes))))
-        edges, sizes = lattice.walk(np.concatenate(nodes), np.concatenate(keys)) if nodes else (np.zeros(0, np.int64),) * 2
+    def draws(number: int, of: list[int], first_edges: list[int], skip: list[int]):
+        """Sample `number` of some searches from a given edge (-1: none) on: the rest of its word, then the words
+        from `skip` on. Gives each search its edges, walk sizes and what `add` needs."""
+        own = _seeds(seeds[of], 2 * number)
+        heads = [lattice.end if e < 0 else int(lattice.target[e]) for e in first_edges]
+        nodes = [lattice.first[searches[i].words[at:]] if head == lattice.end else
+                 np.concatenate([[head], lattice.first[searches[i].words[at:]]]) for i, at, head in zip(of, skip, heads)]
         per = np.fromiter(map(len, nodes), np.int64, len(nodes))
         walk_ends = np.cumsum(per)
-        edge_ends = np.concatenate([[0], np.cumsum(sizes)])[walk_ends] if len(per) else per
-        return [(edges[e - n:e], sizes[w - p:w]) for w, p, e, n in zip(
-            walk_ends.tolist(), per.tolist(), edge_ends.tolist(), np.diff(edge_ends, prepend=0).tolist())]
+        # the number of each walk's word in its text
+        begin = np.asarray(skip, np.int64) - (np.asarray(heads) != lattice.end)
+        word = np.arange(int(per.sum())) - np.repeat(walk_ends - per, per) + np.repeat(begin, per)
+        edges, sizes = lattice.walk(np.concatenate(nodes), _seeds(np.repeat(own, per), word))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[walk_ends]
+        # put the given edges in front
+        given = np.asarray(first_edges, np.int64)
+        has = (given >= 0).astype(np.int64)
+        edges = np.insert(edges, (ends - np.diff(ends, prepend=0))[given >= 0], given[given >= 0])
+        ends = ends + np.cumsum(has)
+        n = np.diff(ends, prepend=0)
+        place = np.arange(len(edges)) - np.repeat(ends - n, n)
+        noise = -np.log(-np.log(_uniform(_seeds(np.repeat(_seeds(seeds[of], 2 * number + 1), n), place))))
+        log_prob, log_rest = lattice.log_prob[edges], lattice.log_rest[edges]
+        for e, size, w, p in zip(ends.tolist(), n.tolist(), walk_ends.tolist(), per.tolist()):
+            part = slice(e - size, e)
+            yield edges[part], sizes[w - p:w], (log_prob[part], log_rest[part], noise[part])
 
     everyone = list(range(len(searches)))
-    roots = -np.log(-np.log(_uniform(_seeds(seeds, 0))))
-    for i, (edges, sizes) in zip(everyone, draws(everyone, [lattice.end] * len(searches), [0] * len(searches))):
-        searches[i].add(lattice, edges, np.cumsum(sizes) - sizes, float(roots[i]), k)
-    for _ in range(k - 1):
-        of, heads, skip, chosen = [], [], [], []
-        for i in everyone:
+    if not everyone:
+        return lattice, searches
+    roots = -np.log(-np.log(_uniform(_seeds(_seeds(seeds, 2 * k + 1), 0))))
+    for i, (edges, sizes, drawn) in zip(everyone, draws(0, everyone, [-1] * len(everyone), [0] * len(everyone))):
+        searches[i].add(lattice, edges, np.cumsum(sizes) - sizes, float(roots[i]), k, drawn)
+    for number in range(1, k):
+        of = [i for i in everyone if searches[i].agenda]
+        if not of:
+            break
+        choice = _uniform(_seeds(_seeds(seeds[of], 2 * k + 2), number)).tolist()
+        chosen = []
+        for i, u in zip(of, choice):
             s = searches[i]
-            if not s.agenda:
-                continue
             top, _, parent, place, excluded = heapq.heappop(s.agenda)
-            edges, word_first, _, _ = s.samples[parent]
-            node = int(lattice.start[edges[place]])
+            node = int(lattice.start[s.samples[parent][0][place]])
             others = [e for e in range(int(lattice.edge_first[node]), int(lattice.edge_first[node + 1])) if e not in excluded]
             upto = np.cumsum(np.exp(lattice.log_prob[others]))
-            u = float(_uniform(_seeds(_seeds(s.seed, 2 * len(s.samples)), np.array([-1])))[0])
             edge = others[min(int(np.searchsorted(upto, u * upto[-1], side="right")), len(others) - 1)]
-            word = int(np.searchsorted(word_first, place, side="right")) - 1
-            of.append(i)
-            heads.append(int(lattice.target[edge]))
-            skip.append(word + 1)
+            word = int(np.searchsorted(s.samples[parent][1], place, side="right")) - 1
             chosen.append((-top, parent, place, excluded, edge, word))
-        for i, (maximum, parent, place, excluded, edge, word), (edges, sizes), head in zip(of, chosen, draws(of, heads, skip), heads):
+        drawn_rows = draws(number, of, [c[4] for c in chosen], [c[5] + 1 for c in chosen])
+        for i, (maximum, parent, place, excluded, edge, word), (edges, sizes, drawn) in zip(of, chosen, drawn_rows):
             s = searches[i]
             old_edges, old_first, _, _ = s.samples[parent]
-            new = np.concatenate([old_edges[:place], [edge], edges])
-            if head != lattice.end:  # the first walk finishes the word that was left
-                rest = place + 1 + np.cumsum(sizes)[:-1]
-            else:
-                rest = place + 1 + np.cumsum(sizes) - sizes
-            s.add(lattice, new, np.concatenate([old_first[:word + 1], rest]), maximum, k, place, excluded)
+            rest = place + 1 + np.cumsum(sizes) - sizes
+            if lattice.target[edge] != lattice.end:  # the first walk finishes the word of the given edge
+                rest = rest[1:]
+            s.add(lattice, np.concatenate([old_edges[:place], edges]), np.concatenate([old_first[:word + 1], rest]), maximum, k, drawn,
+                  parent, place, excluded)
     return lattice, searches
 
 
@@ -352,13 +410,14 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
             seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for part in chunks(texts, 2_000_000):
+            for part in chunks(texts, CHUNK_CHARS):
                 lattice, searches = sample_batch(model, texts[part], seeds[part], k)
                 rows: dict[str, list] = {name: [] for name in schema.names}
                 paths = []
                 for own_key, s in zip(keys[part], searches):
                     kappa = -s.agenda[0][0] if s.agenda else -math.inf
-                    for number, (edges, _, log_prob, maximum) in enumerate(s.samples):
+                    for number, (edges, _, upto, maximum) in enumerate(s.samples):
+                        log_prob = float(upto[-1]) if len(upto) else 0.0
                         paths.append(edges)
                         rows["key"].append(own_key)
                         rows["sample"].append(number)

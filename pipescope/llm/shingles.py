@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -38,7 +39,7 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         hashes = cache["hashes"] = _WordHashes()
     listed = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     counts = np.fromiter(map(len, listed), np.int64, len(listed))
-    return np.fromiter((hashes[w] for x in listed for w in x), np.uint64, int(counts.sum())), counts
+    return np.fromiter(map(hashes.__getitem__, chain.from_iterable(listed)), np.uint64, int(counts.sum())), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
