@@ -15,6 +15,7 @@ rows. Only the named columns are read.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,18 +83,19 @@ class SegmentTree:
 class EditedDocument:
     """The token count of a text under edits."""
 
-    def __init__(self, encoder: PieceEncoder, text: str):
+    def __init__(self, encoder: PieceEncoder, text: str, counts: np.ndarray | None = None):
+        """`counts` are the tokens of the text's pieces, if they are known."""
         self.encoder = encoder
         pieces = cut(text)
-        counts = self._count(pieces)
+        if counts is None:
+            counts = np.asarray(self._count(pieces), np.int64)
         groups = range(0, len(pieces), LEAF_PIECES)
         self.tree = SegmentTree(["".join(pieces[i:i + LEAF_PIECES]) for i in groups] or [""],
-                                [sum(counts[i:i + LEAF_PIECES]) for i in groups] or [0])
+                                np.add.reduceat(counts, groups).tolist() if pieces else [0])
         self.encoded = 0
 
     def _count(self, pieces: list[str]) -> list[int]:
-        bare = self.encoder.bare
-        numbers = [bare[p] for p in pieces]
+        numbers = list(map(self.encoder.bare.__getitem__, pieces))
         self.encoder.settle()
         return self.encoder.sizes[numbers].tolist() if numbers else []
 
@@ -187,14 +189,9 @@ def edited_counts(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id
             ids, texts, lists = (batch.column(i).to_pylist() for i in range(3))
             texts = [t or "" for t in texts]
             for part in chunks(texts):
-                encoder.trim()
-                for t in texts[part]:  # all pieces of the part are encoded together
-                    for p in cut(t):
-                        encoder.bare[p]
-                encoder.settle()
                 rows = []
-                for key, t, changes in zip(ids[part], texts[part], lists[part]):
-                    document = EditedDocument(encoder, t)
+                for key, t, changes, counts in zip(ids[part], texts[part], lists[part], encoder.token_counts(texts[part])):
+                    document = EditedDocument(encoder, t, counts)
                     before = document.tokens
                     for change in changes or []:
                         document.edit(change["start"] or 0, change["length"] or 0, change["replacement"] or "")

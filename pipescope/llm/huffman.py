@@ -1,8 +1,8 @@
 """Token ids as canonical, length-limited Huffman codes in files of independent blocks.
 
-One pass counts ids; the counts of the vocabulary (a bounded table) give the code lengths by the package-merge
-method, and the lengths alone give the canonical codes. A second pass deals the documents out by ranges of
-doc_id, encodes each range in order and writes it as one file, block after block, so a task holds a few blocks at
+Documents are dealt out by ranges of doc_id and their ids written to an intermediate table, in order. The counts of
+the vocabulary (a bounded table) give the code lengths by the package-merge method, and the lengths alone give the
+canonical codes. A second pass over the table writes the files block after block, so a task holds a few blocks at
 most. A block restarts at a whole byte and lists the bit offset of every 256th id (a lane), so all lanes of
 many blocks are decoded at once, each step being one look-up in a table of 2^max_bits entries.
 
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pipescope.llm import files
 from pipescope.llm.common import shared_path, written
@@ -37,7 +38,7 @@ MAX_BITS = 18
 LANE = 256
 BLOCK = 64 * LANE
 BLOCKS_AT_ONCE = 64
-MANIFEST = "part long, path string, n_ids long, n_docs long"
+MANIFEST = "part long, seq long, path string, n_ids long, n_docs long"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -227,23 +228,52 @@ class IdReader:
             held = held[size:]
 
 
-def count_ids(docs: DataFrame, tokenizer_json: str, text: str, end_id: int) -> DataFrame:
-    """(id, n) over all documents, the end id included; ids are added up per task before the shuffle."""
+def _values(column: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of an array of packed sequences in a row, and how many each has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def encode_ordered(docs: DataFrame, tokenizer_json: str, kind: str, doc_id: str, text: str, end_id: int) -> DataFrame:
+    """(part, seq, doc_id, ids): the packed ids of every document with its end id; (part, seq) is its place."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
-    def counts(batches):
-        encoder = worker_encoder(shared.value)
-        size = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
-        total = np.zeros(size, np.int64)
+    def encode(batches):
+        encoder, seq, number = worker_encoder(shared.value), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            total[end_id] += len(texts)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in chunks(texts):
-                total += encoder.id_counts(texts[part], size)
+                flat, sizes = encoder.ids(texts[part])
+                data = np.insert(flat.astype(kind), np.cumsum(sizes), end_id)
+                n, width = len(sizes), np.dtype(kind).itemsize
+                offsets = np.concatenate([[0], np.cumsum((sizes + 1) * width)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, number), pa.int64()), pa.array(np.arange(seq, seq + n), pa.int64()),
+                    batch.column(0).slice(part.start, n),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                ], ["part", "seq", "doc_id", "ids"])
+                seq += n
+
+    order = [F.col("_doc").asc_nulls_first(), F.xxhash64("_text").asc(), F.col("_text").asc_nulls_first()]
+    ordered = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")).repartitionByRange(
+        *order[:2]).sortWithinPartitions(*order)
+    return ordered.mapInArrow(encode, "part long, seq long, doc_id long, ids binary")
+
+
+def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
+    """(id, n) over all documents; ids are added up per task before the shuffle."""
+    def counts(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.bincount(_values(batch.column(0), kind)[0], minlength=len(total))
+            found[:len(total)] += total
+            total = found
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    return docs.select(text).mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, doc_id: str = "doc_id", text: str = "text",
@@ -251,39 +281,49 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *
     """Write the coded ids of all documents in ascending doc_id order; returns the manifest of the files.
 
     The manifest is written with the rows of successful attempts, so files of lost or repeated tasks are not
-    part of the result. The number of files is that of the shuffle's ranges.
+    part of the result. A file holds documents that follow each other.
     """
     spark = docs.sparkSession
     tokenizer_json = tokenizer_text(tokenizer_path)
-    counts = count_ids(docs, tokenizer_json, text, end_id).orderBy("id").toPandas()  # as long as the vocabulary at most
+    most = max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1)
+    kind = "<u2" if most <= 1 << 16 else "<u4"
+    encoded = written(encode_ordered(docs, tokenizer_json, kind, doc_id, text, end_id), "encoded", compression="zstd")
+    counts = count_ids(encoded, kind).orderBy("id").toPandas()  # as long as the vocabulary at most
     ids, lengths = counts["id"].to_numpy(), code_lengths(counts["n"].to_numpy(), max_bits)
     folder = folder or shared_path(spark, "ids")
     files.create_folder(folder)
-    shared = spark.sparkContext.broadcast((tokenizer_json, ids, lengths))
+    shared = spark.sparkContext.broadcast((ids, lengths))
 
     def write(batches):
-        tokenizer, code_ids, code_sizes = shared.value
-        encoder, writer, path = worker_encoder(tokenizer), None, ""
+        codes, writer, row, after = Codes(*shared.value), None, {}, None
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            doc_ids = batch.column(0).to_pylist()
-            for part in chunks(texts):
-                if writer is None:
-                    path = f"{folder}/{uuid.uuid4().hex}.huf"
-                    writer = IdWriter(path, Codes(code_ids, code_sizes))
-                flat, sizes = encoder.ids(texts[part])
-                ends = np.cumsum(sizes)
-                writer.add(doc_ids[part], np.insert(flat, ends, end_id), sizes + 1)
+            parts, seqs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc_ids, (flat, sizes) = batch.column(2).to_pylist(), _values(batch.column(3), kind)
+            ends = np.cumsum(sizes)
+            breaks = np.flatnonzero((np.diff(parts) != 0) | (np.diff(seqs) != 1)) + 1
+            for begin, end in zip([0, *breaks.tolist()], [*breaks.tolist(), len(parts)]):
+                if begin == end:
+                    continue
+                place = int(parts[begin]), int(seqs[begin])
+                if writer is None or place != after:
+                    if writer is not None:
+                        yield _closed(writer, row)
+                    row = {"part": place[0], "seq": place[1], "path": f"{folder}/{uuid.uuid4().hex}.huf"}
+                    writer = IdWriter(row["path"], codes)
+                after = int(parts[end - 1]), int(seqs[end - 1]) + 1
+                for at in range(begin, end, 1000):
+                    to = min(at + 1000, end)
+                    writer.add(doc_ids[at:to], flat[ends[at] - sizes[at]:ends[to - 1]], sizes[at:to])
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({
-                "part": [TaskContext.get().partitionId()], "path": [path], "n_ids": [writer.n_ids], "n_docs": [len(writer.doc_ids)]},
-                schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
+            yield _closed(writer, row)
 
-    order = [F.col("_doc").asc_nulls_first(), F.xxhash64("_text").asc(), F.col("_text").asc_nulls_first()]
-    ordered = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")).repartitionByRange(
-        *order[:2]).sortWithinPartitions(*order)
-    return written(ordered.mapInArrow(write, MANIFEST), "manifest")
+    return written(encoded.mapInArrow(write, MANIFEST), "manifest")
+
+
+def _closed(writer: IdWriter, row: dict) -> pa.RecordBatch:
+    writer.close()
+    return pa.RecordBatch.from_pylist([row | {"n_ids": writer.n_ids, "n_docs": len(writer.doc_ids)}], pa.schema([
+        ("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
 
 def read_ids(manifest: DataFrame, each, schema: str) -> DataFrame:
@@ -292,7 +332,7 @@ def read_ids(manifest: DataFrame, each, schema: str) -> DataFrame:
     `start` counts the ids of all documents before it: those of earlier files (a sum over the manifest, one
     row per file) and those before it in its own file.
     """
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = written(manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")), "places")
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -18,8 +19,8 @@ from pipescope.llm.common import worker_cache
 
 RUN = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
-MAX_PIECES = 1_000_000
-MAX_CHARS = 24_000_000
+MAX_PIECES = 2_000_000
+MAX_CHARS = 48_000_000
 
 
 class _Numbers(dict):
@@ -56,11 +57,13 @@ class PieceEncoder:
     def numbers(self, text: str) -> list[int]:
         """The numbers of the text's pieces in order. `settle` before using them."""
         if RUN.search(text) is None:
-            head, *rest = text.split(" ")
-            spaced = self.spaced
-            found = [spaced[p] for p in rest]
-            return [self.bare[head], *found] if head else found
-        return [self.bare[p] for p in CUT.split(text)]
+            rest = text.split(" ")
+            head = rest.pop(0)
+            found = list(map(self.spaced.__getitem__, rest))
+            if head:
+                found.insert(0, self.bare[head])
+            return found
+        return list(map(self.bare.__getitem__, CUT.split(text)))
 
     def settle(self) -> None:
         """Encode the pieces met since the last call."""
@@ -68,7 +71,7 @@ class PieceEncoder:
             part = self.new[at:at + 20_000]
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
             self.pool = _room(self.pool, self.used + len(flat))
             self.pool[self.used:self.used + len(flat)] = flat
             last = self.known + len(part)
@@ -89,7 +92,7 @@ class PieceEncoder:
         listed = [self.numbers(t) for t in texts]
         self.settle()
         counts = np.fromiter(map(len, listed), np.int64, len(listed))
-        numbers = np.fromiter((n for x in listed for n in x), np.int64, int(counts.sum()))
+        numbers = np.fromiter(chain.from_iterable(listed), np.int64, int(counts.sum()))
         sizes = self.sizes[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -97,16 +100,12 @@ class PieceEncoder:
         upto = np.concatenate([[0], ends])[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
         return self.pool[places], np.diff(upto, prepend=0)
 
-    def id_counts(self, texts: Sequence[str], size: int) -> np.ndarray:
-        """How often each id below `size` occurs in the texts."""
+    def token_counts(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """How many ids each piece of each text has."""
         self.trim()
-        listed = [n for t in texts for n in self.numbers(t)]
+        listed = [self.numbers(t) for t in texts]
         self.settle()
-        times = np.bincount(np.asarray(listed, np.int64), minlength=1)
-        pieces = np.flatnonzero(times)
-        sizes = self.sizes[pieces]
-        places = np.repeat(self.starts[pieces] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return np.bincount(self.pool[places], np.repeat(times[pieces], sizes), minlength=size).astype(np.int64)
+        return [self.sizes[x] if x else self.sizes[:0] for x in listed]
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
