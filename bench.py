@@ -30,7 +30,7 @@ def training_times(spark, sf_dir):
 
 
 def permutations(n):
-    return lambda spark, d: permutation.monte_carlo_test(spark, training_times(spark, d), "total_time", "x", "run_key", n)
+    return lambda spark, d: permutation.monte_carlo_test(training_times(spark, d), "total_time", "x", "run_key", n)
 
 
 def digest_permutations(n):

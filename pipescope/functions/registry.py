@@ -18,26 +18,22 @@ def text_step(fn: Callable[[str], Column]) -> Step:
     return lambda df: df.withColumn("text", fn("text"))
 
 
-def _replaced(df: DataFrame, texts: DataFrame) -> DataFrame:
-    return df.drop("text").join(texts, "doc_id")
-
-
 def _stem(df: DataFrame) -> DataFrame:
     from pipescope.operators.vocabulary import stem_text
 
-    return _replaced(df, stem_text(df))
+    return stem_text(df)
 
 
 def lemmatise_with(lexicon: DataFrame) -> Step:
     from pipescope.operators.vocabulary import lemmatise_text
 
-    return lambda df: _replaced(df, lemmatise_text(df, lexicon))
+    return lambda df: lemmatise_text(df, lexicon)
 
 
 def closed_class_with(lexicon: DataFrame) -> Step:
     from pipescope.operators.vocabulary import drop_closed_class
 
-    return lambda df: _replaced(df, drop_closed_class(df, lexicon))
+    return lambda df: drop_closed_class(df, lexicon)
 
 
 PREPROCESSERS: dict[str, Step] = {
@@ -64,17 +60,22 @@ def _token_step(fn: Callable[[str], Column]) -> Step:
     return lambda df: df.withColumn("tokens", fn("text"))
 
 
+def _train_rows(df: DataFrame) -> Column:
+    """What is learnt comes from the train split, or from all rows of a corpus without splits."""
+    return F.col("split") == "train" if "split" in df.columns else F.lit(True)
+
+
 def _bpe(df: DataFrame) -> DataFrame:
     from pipescope.operators.vocabulary import bpe_tokens
 
-    return df.join(bpe_tokens(df, rounds=200), "doc_id")
+    return bpe_tokens(df, rounds=200, train=_train_rows(df))
 
 
 def _wordpiece(df: DataFrame) -> DataFrame:
     from pipescope.operators.vocabulary import distinct_words, wordpiece_tokens, wordpiece_vocabulary
 
-    vocabulary = wordpiece_vocabulary(distinct_words(df, tx.whitespace_tokens(F.lower("text"))), 20_000)
-    return df.join(wordpiece_tokens(df, vocabulary), "doc_id")
+    words = distinct_words(df.where(_train_rows(df)), tx.whitespace_tokens(F.lower("text")))
+    return wordpiece_tokens(df, wordpiece_vocabulary(words, 20_000))
 
 
 TOKENISERS: dict[str, Step] = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -135,7 +136,23 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
+_EDGES = re.compile(r"([!-/:-@\[-`{-~]*)(.*?)([!-/:-@\[-`{-~]*)", re.DOTALL)
+
+
+class _Stems(dict):
+    """Stems of the words met so far, punctuation around a word left as it is."""
+
+    def __missing__(self, word: str) -> str:
+        left, core, right = _EDGES.fullmatch(word).groups()
+        value = self[word] = left + stem(core) + right
+        return value
+
+
 @F.pandas_udf(T.StringType())
-def stem_words(words: pd.Series) -> pd.Series:
-    """Stems of a column of words (meant for distinct words, one row each)."""
-    return words.map(stem, na_action="ignore")
+def stem_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts with every word stemmed; each distinct word of a task is stemmed once."""
+    stems = _Stems()
+    for batch in batches:
+        if len(stems) > 1_000_000:
+            stems.clear()
+        yield batch.map(lambda text: " ".join([stems[w] for w in text.split()]), na_action="ignore")

@@ -82,14 +82,24 @@ def pick_by_mask(names: Column | str, mask: Column | str) -> Column:
     return F.array_compact(chosen)
 
 
+def _named_lists(lists: DataFrame, columns: list[str]) -> list[list[str]]:
+    """The lists of component names: one short row, which every form of the grid starts from."""
+    row = lists.select(*columns).first()
+    return [list(row[c]) for c in columns]
+
+
+def _names(names: list[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names]).cast("array<string>")
+
+
 def power_set(lists: DataFrame, column: str = "preprocessers", limit: int = MAX_POWER_SET) -> DataFrame:
     """Every subset of the list in `column`: (mask, subset_size, subset), smaller subsets first."""
-    n = F.size(column)
-    guarded = F.when(n <= limit, n).otherwise(F.raise_error(F.lit("too many names for all subsets")).cast("int"))
-    masks = F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), guarded).cast("int") - 1))
+    (names,) = _named_lists(lists, [column])
+    if len(names) > limit:
+        raise ValueError(f"too many names for all subsets: {len(names)}, at most {limit}")
+    masks = lists.sparkSession.range(1 << len(names)).select(F.col("id").alias("mask"))
     return (
-        lists.select("*", masks.alias("mask"))
-        .withColumn("subset", pick_by_mask(column, "mask"))
+        masks.withColumn("subset", pick_by_mask(_names(names), "mask"))
         .withColumn("subset_size", F.bit_count("mask"))
         .orderBy("subset_size", "subset")
     )
@@ -98,22 +108,28 @@ def power_set(lists: DataFrame, column: str = "preprocessers", limit: int = MAX_
 def grid(lists: DataFrame, seed: int, include_preprocessers: bool = True, valid_only: bool = True) -> DataFrame:
     """All configurations of the listed components with their reason, hash and place `ord`.
 
-    Options are exploded from the one row of lists, so there is no join; validity is a plain filter.
+    A configuration is a number of a range, which Spark deals over tasks; its digits choose the components.
     `ord` sorts like nested loops over finetune, model, featuriser, tokeniser, subset.
     """
-    n = F.size("preprocessers") if include_preprocessers else F.lit(0)
-    masks = F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1))
-    out = lists.select("*", F.posexplode(F.array(F.lit(False), F.lit(True))).alias("_f", "finetune"))
-    for kind, name, place in (("models", "model", "_m"), ("featurisers", "featuriser", "_x"),
-                              ("tokenisers", "tokeniser", "_t")):
-        out = out.select("*", F.posexplode(kind).alias(place, name))
-    out = out.select("*", masks.alias("_mask"))
-    positions = F.transform(F.sequence(F.lit(0), F.size("preprocessers") - 1), lambda i: i)
+    steps, models, featurisers, tokenisers = _named_lists(lists, ["preprocessers", "models", "featurisers", "tokenisers"])
+    chosen = len(steps) if include_preprocessers else 0
+    total = 2 * len(models) * len(featurisers) * len(tokenisers) << chosen
+    if total >= 1 << 62:
+        raise ValueError(f"a grid over {chosen} steps is too large to be numbered")
+    sizes = [("_mask", 1 << chosen), ("_t", len(tokenisers)), ("_x", len(featurisers)), ("_m", len(models)), ("_f", 2)]
+    digits, below = [], 1
+    for name, size in sizes:
+        kind = "bigint" if name == "_mask" else "int"
+        digits.append(f"cast((id div {below}) % {max(size, 1)} as {kind}) as {name}")
+        below *= max(size, 1)
+    out = lists.sparkSession.range(total).selectExpr(*digits)
+    places = F.array(*[F.lit(i) for i in range(len(steps))]).cast("array<int>")
     out = out.select(
         F.struct("_f", "_m", "_x", "_t", F.bit_count("_mask").alias("_size"),
-                 pick_by_mask(positions, F.col("_mask")).alias("_subset")).alias("ord"),
-        pick_by_mask("preprocessers", "_mask").alias("preprocessers"),
-        "tokeniser", "featuriser", "model", "finetune", F.lit(seed).alias("seed"),
+                 pick_by_mask(places, F.col("_mask")).alias("_subset")).alias("ord"),
+        pick_by_mask(_names(steps), "_mask").alias("preprocessers"),
+        F.get(_names(tokenisers), F.col("_t")).alias("tokeniser"), F.get(_names(featurisers), F.col("_x")).alias("featuriser"),
+        F.get(_names(models), F.col("_m")).alias("model"), (F.col("_f") == 1).alias("finetune"), F.lit(seed).alias("seed"),
     )
     out = out.withColumn("reason", invalid_reason())
     if valid_only:
@@ -148,7 +164,7 @@ def random_configs(
     tagged = F.transform("preprocessers", lambda name: F.concat(
         F.md5(F.concat_ws(":", F.lit(str(rng_seed)), F.col(attempt).cast("string"), F.lit("shuffle"), name)), name))
     length = draw(rng_seed, attempt, "length", F.size("preprocessers") + 1)
-    chosen = F.transform(F.slice(F.array_sort(tagged), F.lit(1), length), lambda t: F.substring(t, 33, 1000))
+    chosen = F.transform(F.slice(F.array_sort(tagged), F.lit(1), length), lambda t: F.substring(t, F.lit(33), F.length(t)))
     steps = chosen if include_preprocessers else F.array().cast("array<string>")
     for i, (first, second) in enumerate(CONFLICTS):
         both = F.array_contains(steps, first) & F.array_contains(steps, second)

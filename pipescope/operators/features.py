@@ -1,14 +1,17 @@
 """Features of tokenised documents, as long tables and as Spark ML stages.
 
-Documents enter as (doc_id, split, tokens). They are partitioned by `doc_id` once, while still compact;
-exploding, counting, the broadcast vocabulary join and per-document norms then all stay in place.
+Documents enter as (doc_id, split, tokens). Terms are counted, weighed and scaled inside the row of their
+document, so the corpus itself is never shuffled; only (term, count) partials are.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, SQLTransformer,
@@ -19,24 +22,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipescope.functions.text import unigrams_and_bigrams
+from pipescope.operators.ordering import digest_cutoffs
 from pipescope.operators.vocabulary import look_up
+from pipescope.session import cut_lineage
 
 MAX_FEATURES = 100_000
 
 
+def _terms_with(name: str, kind: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField(name, kind)]))
+
+
+@F.arrow_udf(_terms_with("tf", T.LongType()))
+def counted_terms(tokens: pa.Array) -> pa.Array:
+    """The words and word pairs of each list with their counts, in order of first occurrence."""
+    terms, counts, ends = [], [], [0]
+    for listed in tokens.to_pylist():
+        listed = listed or []
+        found = Counter(listed)
+        found.update([f"{a} {b}" for a, b in zip(listed, listed[1:])])
+        terms += found.keys()
+        counts += found.values()
+        ends.append(len(terms))
+    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, split, term, tf) over words and word pairs."""
-    placed = docs.select("doc_id", "split", "tokens").repartition("doc_id")
-    terms = placed.select("doc_id", "split", F.explode(unigrams_and_bigrams("tokens")).alias("term"))
-    return terms.groupBy("doc_id", "split", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, split, term, tf) over words and word pairs, counted inside each row: no row is moved."""
+    return docs.select("doc_id", "split", F.explode(counted_terms("tokens")).alias("_t")).select("doc_id", "split", "_t.term", "_t.tf")
 
 
 def fit_terms(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, total, df): the most frequent terms of the train split (ties by term)."""
+    """(term, total, df): the most frequent terms of the train split (ties by digest of the term).
+
+    The number of terms per total (a short table) tells the total at which `max_features` is reached; terms above
+    it are a filter, and of those at it the first by digest are found from the leading digits of the digests.
+    """
     train = term_counts(docs.where(F.col("split") == "train"))
-    totals = train.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return totals.orderBy(F.desc("total"), "term").limit(max_features)
+    totals = cut_lineage(train.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
+    sizes = totals.groupBy("total").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    edge = placed.where((F.col("_above") < max_features) & (F.col("_above") + F.col("_n") > max_features)).first()
+    if edge is None:
+        return totals
+    tied = totals.where(F.col("total") == edge["total"]).withColumn("_d", F.md5("term"))
+    cut = digest_cutoffs(tied.select("_d"), [], "_d", F.lit(max_features - edge["_above"]))
+    first = tied.where(F.col("_d") <= cut.select(F.max("cutoff")).scalar()).drop("_d")
+    return totals.where(F.col("total") > edge["total"]).unionByName(first)
 
 
 def bag_of_words(docs: DataFrame, terms: DataFrame, binary: bool = False) -> DataFrame:
@@ -46,17 +80,33 @@ def bag_of_words(docs: DataFrame, terms: DataFrame, binary: bool = False) -> Dat
 
 
 def tf_idf(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, split, term, weight): tf * (ln((1+n)/(1+df)) + 1), each document scaled to unit length."""
-    n = docs.where(F.col("split") == "train").agg(F.count(F.lit(1)))
-    fitted = terms.select("term", "df")
-    weight = F.col("tf") * (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1)
-    weighted = (
-        term_counts(docs).join(F.broadcast(fitted), "term").withColumn("_n", n.scalar())
-        .withColumn("_w", weight)
-    )
-    document = Window.partitionBy("doc_id")
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(document))
-    return weighted.select("doc_id", "split", "term", (F.col("_w") / norm).alias("weight"))
+    """(doc_id, split, term, weight): tf * (ln((1+n)/(1+df)) + 1), each document scaled to unit length.
+
+    A document's terms are weighed and scaled inside its row, with the fitted terms (at most `max_features`)
+    sent to every task.
+    """
+    n = docs.where(F.col("split") == "train").count()
+    fitted = {r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in terms.select("term", "df").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    @F.arrow_udf(_terms_with("weight", T.DoubleType()))
+    def weighed(counts: pa.Array) -> pa.Array:
+        idf, ends = shared.value, [0]
+        words, weights = [], []
+        lists, tfs = counts.values.field("term"), counts.values.field("tf")
+        bounds = counts.offsets.to_pylist()
+        names, numbers = lists.to_pylist(), tfs.to_pylist()
+        for begin, end in zip(bounds, bounds[1:]):
+            known = [(t, k * idf[t]) for t, k in zip(names[begin:end], numbers[begin:end]) if t in idf]
+            norm = math.sqrt(math.fsum(w * w for _, w in known))
+            words += [t for t, _ in known]
+            weights += [w / norm for _, w in known]
+            ends.append(len(words))
+        rows = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(weights, pa.float64())], ["term", "weight"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    listed = docs.select("doc_id", "split", F.explode(weighed(counted_terms("tokens"))).alias("_t"))
+    return listed.select("doc_id", "split", "_t.term", "_t.weight")
 
 
 # --- pooled vectors --------------------------------------------------------------------------------
@@ -93,17 +143,25 @@ def token_vector_rows(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     return look_up(rows, vectors, how="inner").select("doc_id", "pos", "vec")
 
 
-def first_vector(rows: DataFrame) -> DataFrame:
-    """(doc_id, features): the vector at the first position."""
-    return rows.groupBy("doc_id").agg(F.min_by("vec", "pos").alias("features"))
+def _every_document(docs: DataFrame, pooled: DataFrame, width: int) -> DataFrame:
+    """(doc_id, features) of all documents: zeros for those without a known token."""
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return docs.select("doc_id").join(pooled, "doc_id", "left").select("doc_id", F.coalesce("features", zeros).alias("features"))
+
+
+def first_vector(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, features) of every document: the vector at the first position of `rows`."""
+    pooled = rows.groupBy("doc_id").agg(F.transform(F.min_by("vec", "pos"), lambda x: x.cast("double")).alias("features"))
+    return _every_document(docs, pooled, width)
 
 
-def mean_position_vector(rows: DataFrame) -> DataFrame:
-    """(doc_id, features): mean over the real positions (padding never enters)."""
+def mean_position_vector(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, features) of every document: mean over its positions in `rows` (padding never enters)."""
     wide = array_to_vector(F.transform("vec", lambda x: x.cast("double")))
-    return rows.select("doc_id", wide.alias("v")).groupBy("doc_id").agg(
+    pooled = rows.select("doc_id", wide.alias("v")).groupBy("doc_id").agg(
         vector_to_array(Summarizer.mean(F.col("v"))).alias("features")
     )
+    return _every_document(docs, pooled, width)
 
 
 def batched_features(

@@ -9,6 +9,7 @@ bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,19 @@ from pyspark.sql import functions as F
 
 from pipescope.session import cut_lineage
 
-BUCKET_LEVELS = 6  # value ranges per group: 2 to this power
-HASH_BUCKET_DIGITS = 3
+BUCKET_LEVELS = 6  # value ranges per group: 2 to this power at least
+HASH_BUCKET_DIGITS = 3  # digest buckets: 16 to this power at least
+ROWS_PER_BUCKET = 100_000  # ordered in one task; more rows get more buckets
+
+
+def bucket_levels(df: DataFrame, keys: Sequence[str]) -> int:
+    """The levels at which a bucket of the largest group holds about ROWS_PER_BUCKET rows."""
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return max(BUCKET_LEVELS, math.ceil(math.log2(max(1, most / ROWS_PER_BUCKET))))
+
+
+def hash_digits(rows: int) -> int:
+    return max(HASH_BUCKET_DIGITS, math.ceil(math.log(max(1, rows / ROWS_PER_BUCKET), 16)))
 
 
 def prior_totals(totals: DataFrame, keys: Sequence[str], bucket: str, specs: dict[str, Column]) -> DataFrame:
@@ -66,7 +78,7 @@ def value_runs(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, C
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"), *[agg.alias(name) for name, agg in (sums or {}).items()])
     )
-    runs = with_value_bucket(runs, keys, value, out="_vb")
+    runs = with_value_bucket(runs, keys, value, bucket_levels(runs, keys), out="_vb")
     totals = runs.groupBy(*keys, "_vb").agg(F.sum("n").alias("_bucket_n"))
     offsets = prior_totals(totals, keys, "_vb", {"_offset": F.sum("_bucket_n")})
     inside = Window.partitionBy(*keys, "_vb").orderBy(value)
@@ -105,10 +117,10 @@ def digest_cutoffs(df: DataFrame, keys: Sequence[str], digest: str, wanted: Colu
 
     Keeping `digest <= cutoff` then picks exactly that many rows of the group by a plain filter: no row
     is moved or numbered. `wanted` may use `n`, the group size. Hex digests are uniform, so their first
-    digits are ready-made buckets; only the digests of the one bucket that holds the cutoff (about
-    1/4096 of the group) are ever ordered. Groups for which nothing is wanted have no row.
+    digits (as many as the counted rows ask for) are ready-made buckets; only the digests of the one bucket
+    that holds the cutoff are ever ordered. Groups for which nothing is wanted have no row.
     """
-    bucketed = df.select(*keys, digest, F.substring(digest, 1, HASH_BUCKET_DIGITS).alias("_hb"))
+    bucketed = df.select(*keys, digest, F.substring(digest, 1, hash_digits(df.count())).alias("_hb"))
     counts = bucketed.groupBy(*keys, "_hb").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,7 +130,7 @@ def digest_cutoffs(df: DataFrame, keys: Sequence[str], digest: str, wanted: Colu
     holding = placed.where((F.col("_need") > 0) & (F.col("_need") <= F.col("_n"))).select(*keys, "_hb", "_need")
     inside = Window.partitionBy(*keys, "_hb").orderBy(digest)
     return (
-        bucketed.join(F.broadcast(holding), [*keys, "_hb"])
+        bucketed.join(holding, [*keys, "_hb"])
         .withColumn("_place", F.row_number().over(inside))
         .where(F.col("_place") == F.col("_need"))
         .select(*keys, F.col(digest).alias("cutoff"))
@@ -132,9 +144,10 @@ def value_positions(df: DataFrame, value: str, ties: Sequence[str], out: str = "
     which is also the order used among equal values.
     """
     digest = F.md5(F.concat_ws(":", *ties))
-    bucketed = with_value_bucket(cut_lineage(df), [], value, out="_vb").withColumn("_digest", digest)
+    rows = cut_lineage(df)
+    bucketed = with_value_bucket(rows, [], value, bucket_levels(rows, []), out="_vb").withColumn("_digest", digest)
     # a value that fills a whole bucket is the only one that can be hot: give it digest sub-buckets
-    spread = bucketed.withColumn("_sub", F.substring("_digest", 1, HASH_BUCKET_DIGITS))
+    spread = bucketed.withColumn("_sub", F.substring("_digest", 1, hash_digits(rows.count())))
     runs = spread.groupBy("_vb", value, "_sub").agg(F.count(F.lit(1)).alias("_run_n"))
     per_value = runs.groupBy("_vb", value).agg(F.sum("_run_n").alias("_value_n"))
     totals = per_value.groupBy("_vb").agg(F.sum("_value_n").alias("_bucket_n"))
@@ -145,7 +158,7 @@ def value_positions(df: DataFrame, value: str, ties: Sequence[str], out: str = "
     run_offsets = (
         runs.withColumn("_sub_offset", F.sum("_run_n").over(inside_value))
         .join(value_offsets, ["_vb", value])
-        .join(F.broadcast(bucket_offsets), "_vb")
+        .join(bucket_offsets, "_vb")
         .select(
             "_vb", value, "_sub",
             (F.coalesce("_bucket_offset", F.lit(0)) + F.coalesce("_value_offset", F.lit(0))

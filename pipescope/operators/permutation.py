@@ -13,23 +13,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipescope.session import cut_lineage
 
 BUCKET_DIGITS = 2
 EXACT_LIMIT = 20
-# a sample up to this many rows (8 bytes each) may be sent to every task
-BROADCAST_ROWS = 4_000_000
-# as may up to this many bucket cuts
-BROADCAST_CUTS = 2_000_000
-# differences are compared at this many decimals: sums of the same numbers in another order are equal
-DECIMALS = 6
+# sums of the same numbers in another order differ in the last digits: differences that are this share of the
+# largest value apart count as equal, so a test does not change with the unit of its values
+TOLERANCE = 1e-9
+ROWS_PER_BLOCK = 50_000
+PERMUTATIONS_PER_TASK = 2_000
 
 
-def _at_least(a: Column, b: Column) -> Column:
-    return F.round(a, DECIMALS) >= F.round(b, DECIMALS)
+def _at_least(a: Column, b: Column, scale: Column) -> Column:
+    return a >= b - F.lit(TOLERANCE) * scale
 
 
 def sample_of(df: DataFrame, keys: Sequence[str], value: str, flag: str, row: str) -> DataFrame:
@@ -68,10 +68,6 @@ def permuted_sums(sample: DataFrame, keys: Sequence[str], n_permutations: int, s
         *group, "_b", "n_x", (F.col("n_x") - F.col("_upto") + F.col("_n")).alias("_need"),
         (F.col("_sum_upto") - F.col("_s")).alias("_below"),
     )
-    # one row per permutation and group: sent to every task only when that product is small
-    groups = sizes.count() if keys else 1
-    if n_permutations * groups <= BROADCAST_CUTS:
-        holding = F.broadcast(holding)
     inside = Window.partitionBy(*group, "_b").orderBy("_h", "_row")
     cut_rows = (
         exploded.join(holding, [*group, "_b"])
@@ -91,11 +87,12 @@ def _finish(perms: DataFrame, observed: DataFrame, keys: Sequence[str], one_side
         joined = perms.withColumn("_o", observed.select(F.struct("*")).scalar()).select("*", "_o.*")
     rest = F.col("_total") - F.col("sum_x")
     diff = F.col("sum_x") / F.col("n") - rest / F.col("m")
-    extreme = _at_least(diff, F.col("mean_diff")) if one_sided else _at_least(F.abs(diff), F.abs("mean_diff"))
+    scale = F.col("_scale")
+    extreme = _at_least(diff, F.col("mean_diff"), scale) if one_sided else _at_least(F.abs(diff), F.abs("mean_diff"), scale)
     counted = joined.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("m").alias("m"), F.max("mean_diff").alias("mean_diff"),
         F.count_if(extreme).alias("extreme"), F.count(F.lit(1)).alias("permutations"),
-    )
+    ).where("n IS NOT NULL")
     return counted.withColumn("p_value", (F.col("extreme") + 1) / (F.col("permutations") + 1))
 
 
@@ -105,7 +102,7 @@ def _sample_sums(sample: DataFrame, keys: Sequence[str]) -> DataFrame:
         sample.groupBy(*keys)
         .agg(F.count_if("_x").alias("n"), F.count_if(~F.col("_x")).alias("m"),
              F.coalesce(F.sum(F.when(F.col("_x"), F.col("_v"))), F.lit(0.0)).alias("_sx"),
-             F.sum("_v").alias("_total"))
+             F.sum("_v").alias("_total"), F.max(F.abs("_v")).alias("_scale"))
         .where("n > 0 AND m > 0")
     )
 
@@ -139,7 +136,7 @@ def blocked_permutation_test(
     sample = sample_of(df, inside, value, flag, row)
     blocks = _sample_sums(sample, inside)
     observed = _observed(
-        blocks.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "m", "_sx", "_total")])
+        blocks.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "m", "_sx", "_total")], F.max("_scale").alias("_scale"))
     )
     per_block = permuted_sums(sample, inside, n_permutations, seed).join(
         blocks.select(*inside), inside, "left_semi"
@@ -161,7 +158,7 @@ def paired_permutation_test(
         df.select(*keys, (F.col(a) - F.col(b)).alias("_d"), F.col(pair).cast("string").alias("_row"))
         .repartition(cores)
     )
-    observed = pairs.groupBy(*keys).agg(F.count("_d").alias("n"), F.avg("_d").alias("mean_diff"))
+    observed = pairs.groupBy(*keys).agg(F.count("_d").alias("n"), F.avg("_d").alias("mean_diff"), F.max(F.abs("_d")).alias("_scale"))
     swap = F.substring(_row_digest(seed), 32, 1).isin(list("13579bdf"))
     signed = F.when(swap, -F.col("_d")).otherwise(F.col("_d"))
     perms = permutations_of(pairs, n_permutations).groupBy(*keys, "perm").agg(F.avg(signed).alias("diff"))
@@ -175,7 +172,7 @@ def _finish_paired(perms: DataFrame, observed: DataFrame, keys: Sequence[str]) -
         joined = perms.withColumn("_o", observed.select(F.struct("*")).scalar()).select("*", "_o.*")
     counted = joined.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("mean_diff").alias("mean_diff"),
-        F.count_if(_at_least(F.abs("diff"), F.abs("mean_diff"))).alias("extreme"),
+        F.count_if(_at_least(F.abs("diff"), F.abs("mean_diff"), F.col("_scale"))).alias("extreme"),
         F.count(F.lit(1)).alias("permutations"),
     )
     return counted.withColumn("p_value", (F.col("extreme") + 1) / (F.col("permutations") + 1))
@@ -202,12 +199,13 @@ def paired_exhaustive_test(df: DataFrame, a: str, b: str, pair: str, exact: bool
     )
     plain = F.expr("aggregate(_pairs, 0D, (s, p) -> s + p.d)")
     n = F.size("_pairs")
+    largest = F.array_max(F.transform("_pairs", lambda p: F.abs(p["d"])))
     each = gathered.withColumn("mask", masks).select(
-        *keys, n.alias("n"), (plain / n).alias("mean_diff"), (swapped / n).alias("diff")
+        *keys, n.alias("n"), (plain / n).alias("mean_diff"), (swapped / n).alias("diff"), largest.alias("_scale")
     )
     counted = each.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("mean_diff").alias("mean_diff"),
-        F.count_if(_at_least(F.abs("diff"), F.abs("mean_diff"))).alias("extreme"),
+        F.count_if(_at_least(F.abs("diff"), F.abs("mean_diff"), F.col("_scale"))).alias("extreme"),
         F.count(F.lit(1)).alias("permutations"),
     )
     p = F.col("extreme") / F.col("permutations") if exact else (F.col("extreme") + 1) / (F.col("permutations") + 1)
@@ -215,45 +213,40 @@ def paired_exhaustive_test(df: DataFrame, a: str, b: str, pair: str, exact: bool
 
 
 def monte_carlo_test(
-    spark: SparkSession, df: DataFrame, value: str, flag: str, row: str, n_permutations: int = 100_000,
-    one_sided: bool = False, seed: int = 97, batch: int = 250,
+    df: DataFrame, value: str, flag: str, row: str, n_permutations: int = 100_000, one_sided: bool = False, seed: int = 97,
 ) -> DataFrame:
-    """The two-sample test for many permutations of a sample that fits in every task.
+    """The two-sample test by random draws instead of digests, in one form for samples of any size.
 
-    The size is counted first: samples beyond BROADCAST_ROWS take the digest form instead. Every
-    permutation has its own generator seeded by (seed, number), so re-run tasks repeat their draws.
+    Rows are dealt into blocks by a hash of `row`. A permutation first draws how many rows of the smaller sample
+    each block gives (multivariate hypergeometric, the same in every task, as its generator is seeded by the
+    permutation), then each block draws that many of its rows and reports their sum. No task holds more than a
+    block, and only (permutations x blocks) sums are shuffled.
     """
-    sample = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(flag).alias("x"),
-                                                       F.col(row).alias("r"))
-    if sample.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return permutation_test(df, value, flag, row, n_permutations, (), one_sided, seed)
-    gathered = sample.orderBy("r").select("v", "x").toPandas()
-    values, marks = gathered["v"].to_numpy(), gathered["x"].to_numpy(dtype=bool)
-    n, m = int(marks.sum()), int((~marks).sum())
-    observed = float(values[marks].mean() - values[~marks].mean())
-    total = float(values.sum())
-    shared = spark.sparkContext.broadcast(values)
+    slim = df.where(F.col(value).isNotNull()).select(
+        F.col(value).cast("double").alias("_v"), F.col(flag).alias("_x"), F.col(row).cast("string").alias("_row"))
+    sample = cut_lineage(slim)
+    observed = _observed(_sample_sums(sample, [])).first()
+    if observed is None:
+        return _finish(df.sparkSession.createDataFrame([], "perm long, sum_x double"), _observed(_sample_sums(sample, [])), [], one_sided)
+    n, m, total = observed["n"], observed["m"], observed["_total"]
+    blocks = -(-(n + m) // ROWS_PER_BLOCK)
+    placed = sample.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
+    counted = {r["_block"]: r["count"] for r in placed.groupBy("_block").count().collect()}  # one number per block
+    sizes = [counted.get(b, 0) for b in range(blocks)]
     smaller, first_is_smaller = min(n, m), n <= m
-
-    def count_extreme(batches):
-        import pandas as pd
-
-        pool = shared.value
-        for ids in batches:
-            hits = 0
-            for number in ids["id"]:
-                rng = np.random.default_rng([seed, int(number)])
-                part = float(rng.choice(pool, smaller, replace=False, shuffle=False).sum())
-                sum_x = part if first_is_smaller else total - part
-                diff = sum_x / n - (total - sum_x) / m
-                a, b = (diff, observed) if one_sided else (abs(diff), abs(observed))
-                hits += round(a, DECIMALS) >= round(b, DECIMALS)
-            yield pd.DataFrame({"hits": [hits]})
-
-    tasks = max(1, min(n_permutations // batch, spark.sparkContext.defaultParallelism * 4))
-    hits = spark.range(1, n_permutations + 1, 1, tasks).mapInPandas(count_extreme, "hits long")
-    return hits.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("extreme")).select(
-        F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"), F.lit(observed).alias("mean_diff"),
-        "extreme", F.lit(n_permutations).cast("long").alias("permutations"),
-        ((F.col("extreme") + 1) / (n_permutations + 1)).alias("p_value"),
-    )
+    tasks = -(-n_permutations // PERMUTATIONS_PER_TASK)
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block, task = int(key[0]), int(key[1])
+        values = rows.sort_values(["_row", "_v"])["_v"].to_numpy()
+        numbers = np.arange(task * PERMUTATIONS_PER_TASK + 1, min((task + 1) * PERMUTATIONS_PER_TASK, n_permutations) + 1)
+        sums = np.empty(len(numbers))
+        for i, number in enumerate(numbers.tolist()):
+            share = np.random.default_rng([seed, number]).multivariate_hypergeometric(sizes, smaller, method="marginals")
+            sums[i] = np.random.default_rng([seed, number, block]).choice(values, int(share[block]), replace=False, shuffle=False).sum()
+        return pd.DataFrame({"perm": numbers, "part": sums})
+
+    spread = placed.select("_block", "_row", "_v", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_task"))
+    parts = spread.groupBy("_block", "_task").applyInPandas(draw, "perm long, part double")
+    sum_x = F.sum("part") if first_is_smaller else F.lit(total) - F.sum("part")
+    return _finish(parts.groupBy("perm").agg(sum_x.alias("sum_x")), _observed(_sample_sums(sample, [])), [], one_sided)

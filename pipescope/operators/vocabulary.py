@@ -1,9 +1,9 @@
 """Token-to-value work done once per distinct word and joined back to the corpus.
 
 The corpus is reduced to its distinct words (partial aggregation keeps one row per word and task), the
-value is computed on that small table, and the words of the documents look it up. Frequent words are
-hot join keys: a vocabulary below a checked size is broadcast, a larger one is joined with salted keys
-so that one word is spread over many tasks.
+value is computed on that small table, and the words of the documents look it up. Adaptive execution
+broadcasts a small vocabulary and splits the rows of a frequent word in a join with a large one. Documents
+are told apart by a row number of their own, so rows that repeat a key keep their own texts.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipescope.functions.stemming import stem_words
-from pipescope.functions.text import CLOSED_CLASSES, peel, pieces, piece_word, whitespace_tokens
+from pipescope.functions.stemming import stem_texts
+from pipescope.functions.text import CLOSED_CLASSES, piece_word, pieces, whitespace_tokens
 from pipescope.session import cut_lineage
 
-BROADCAST_ROWS = 1_000_000  # words of a lookup table that may be sent to every task (about 100 MB)
-SALTS = 16
-MAX_PIECES = 200_000
 CHECKPOINT_EVERY = 10
 SYMBOL_EDGE = "\ue000"  # private-use mark around each symbol of a segmented word
 WORD_START = "Ġ"
+LONGEST_WORD = 100  # characters; longer words are unknown to a word-piece vocabulary
+# Code points of Chinese characters, which are words of their own.
+CJK_RANGES = [
+    (0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F),
+    (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F),
+]
 
 
 def distinct_words(docs: DataFrame, words: Column) -> DataFrame:
@@ -33,86 +36,61 @@ def distinct_words(docs: DataFrame, words: Column) -> DataFrame:
     return docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a (materialised) lookup table may be sent to every task."""
-    return table.limit(rows + 1).count() <= rows
+def look_up(words: DataFrame, mapping: DataFrame, how: str = "left") -> DataFrame:
+    """Join on `token`."""
+    return words.join(mapping, "token", how)
 
 
-def look_up(words: DataFrame, mapping: DataFrame, salts: int = SALTS, how: str = "left") -> DataFrame:
-    """Join on `token`, without letting a frequent word fill one task."""
-    mapping = cut_lineage(mapping)
-    if fits_broadcast(mapping):
-        return words.join(F.broadcast(mapping), "token", how)
-    spread = [c for c in words.columns if c != "token"]
-    salted = words.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["token", "_salt"], how).drop("_salt")
+def _placed(docs: DataFrame, rest: Sequence[str], listed: Column, name: str) -> DataFrame:
+    """(_row, _rest, pos, name): the elements of a list per row of `docs`, at least one row each.
 
-
-def word_rows(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, pos, token); a document without words keeps one row with NULL pos.
-
-    Documents are placed by key while they are one row each, so that gathering their words again
-    after a broadcast lookup moves nothing.
+    The columns `rest` ride along once per document, with its first element.
     """
-    return docs.repartition(key).select(key, F.posexplode_outer(words).alias("pos", "token"))
+    columns = F.struct(*rest) if rest else F.struct(F.lit(None).cast("string").alias("_none"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered.select("_row", columns.alias("_rest"), F.posexplode_outer(listed).alias("pos", name))
+    return rows.withColumn("_rest", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("_rest")))
 
 
-def piece_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, token, space): words with the white space that follows them."""
-    rows = docs.select(key, text).repartition(key).select(
-        key, F.posexplode_outer(pieces(text)).alias("pos", "_piece")
-    )
+def piece_rows(docs: DataFrame, text: str) -> DataFrame:
+    """(_row, _rest, pos, token, space): words with the white space that follows them."""
+    rows = _placed(docs, [c for c in docs.columns if c != text], pieces(text), "_piece")
     word = piece_word(F.col("_piece"))
     return rows.select(
-        key, "pos", word.alias("token"), F.substring("_piece", F.length(word) + 1, F.length("_piece")).alias("space")
+        "_row", "_rest", "pos", word.alias("token"), F.substring("_piece", F.length(word) + 1, F.length("_piece")).alias("space")
     )
 
 
-def gather(rows: DataFrame, key: str, value: Column, keep: Column | None = None) -> DataFrame:
-    """(key, values): the values of a document in order; rows that are not kept are left out."""
+def gather(rows: DataFrame, value: Column, keep: Column | None = None) -> DataFrame:
+    """The columns that rode along and `values`, those of a document in order; rows not kept are left out."""
     present = F.col("pos").isNotNull() if keep is None else F.col("pos").isNotNull() & keep
     listed = F.collect_list(F.when(present, F.struct("pos", value.alias("value"))))
-    return rows.groupBy(key).agg(F.transform(F.array_sort(listed), lambda r: r["value"]).alias("values"))
+    gathered = rows.groupBy("_row").agg(
+        F.first("_rest", ignorenulls=True).alias("_rest"),
+        F.transform(F.array_sort(listed), lambda r: r["value"]).alias("values"))
+    return gathered.select("_rest.*", "values").drop("_none")
 
 
-def stem_vocabulary(words: DataFrame) -> DataFrame:
-    """(token, value): each distinct word with punctuation peeled off, its core stemmed, and rejoined.
-
-    Words that stay as they are have no row: the lookup keeps them anyway.
-    """
-    left, core, right = peel("token")
-    cut = words.select("token", left.alias("_l"), core.alias("_c"), right.alias("_r"))
-    stemmed = cut_lineage(cut.select("token", F.concat("_l", stem_words("_c"), "_r").alias("value")))
-    # filtered after it is written: below the UDF the condition would stem every word a second time
-    return stemmed.where("value <> token")
-
+def stem_text(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with every word stemmed and single spaces between words; no row is moved."""
+    return docs.withColumn(text, stem_texts(F.coalesce(F.col(text), F.lit(""))))
 
-def stem_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) with every word stemmed and single spaces between words."""
-    words = whitespace_tokens(text)
-    vocabulary = stem_vocabulary(distinct_words(docs, words).select("token"))
-    rows = look_up(word_rows(docs.select(key, text), key, words), vocabulary)
-    return gather(rows, key, F.coalesce("value", "token")).select(key, F.array_join("values", " ").alias(text))
 
-
-def lemmatise_text(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) with words replaced by the `lemma` of a (token, lemma) table; spacing stays."""
-    rows = look_up(piece_rows(docs, key, text), lexicon.select("token", "lemma"))
-    value = F.concat(F.coalesce("lemma", "token"), "space")
-    return gather(rows, key, value).select(key, F.array_join("values", "").alias(text))
+def lemmatise_text(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with words replaced by the `lemma` of a (token, lemma) table; spacing stays."""
+    rows = look_up(piece_rows(docs, text), lexicon.select("token", "lemma"))
+    out = gather(rows, F.concat(F.coalesce("lemma", "token"), "space"))
+    return out.withColumn(text, F.array_join("values", "")).select(*docs.columns)
 
 
 def drop_closed_class(
-    docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text",
-    classes: Sequence[str] = tuple(CLOSED_CLASSES),
+    docs: DataFrame, lexicon: DataFrame, text: str = "text", classes: Sequence[str] = tuple(CLOSED_CLASSES),
 ) -> DataFrame:
-    """(key, text) without the words a (token, pos_tag) table puts in a closed class."""
-    rows = look_up(piece_rows(docs, key, text), lexicon.select("token", "pos_tag"))
+    """`docs` without the words a (token, pos_tag) table puts in a closed class."""
+    rows = look_up(piece_rows(docs, text), lexicon.select("token", "pos_tag"))
     keep = F.coalesce(~F.col("pos_tag").isin(list(classes)), F.lit(True))
-    return gather(rows, key, F.concat("token", "space"), keep).select(
-        key, F.array_join("values", "").alias(text)
-    )
+    out = gather(rows, F.concat("token", "space"), keep)
+    return out.withColumn(text, F.array_join("values", "")).select(*docs.columns)
 
 
 # --- byte-pair merges ------------------------------------------------------------------------------
@@ -182,16 +160,41 @@ def learn_merges(words: DataFrame, rounds: int) -> tuple[list[tuple[str, str, in
     return merges, current.select("token", _symbols(F.col("segmented")).alias("pieces"))
 
 
-def split_words(docs: DataFrame, pieces_of: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tokens): every word replaced by the pieces a (token, pieces) table gives it."""
-    rows = look_up(word_rows(docs.select(key, text), key, whitespace_tokens(text)), pieces_of)
-    return gather(rows, key, F.col("pieces")).select(key, F.flatten("values").alias("tokens"))
+def split_words(docs: DataFrame, pieces_of: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with `tokens`: every word replaced by the pieces a (token, pieces) table gives it."""
+    rest = [c for c in docs.columns if c != "tokens"]
+    rows = look_up(_placed(docs, rest, whitespace_tokens(text), "token"), pieces_of)
+    return gather(rows, F.col("pieces")).select(*rest, F.flatten("values").alias("tokens"))
+
 
+def bpe_tokens(docs: DataFrame, rounds: int, text: str = "text", train: Column | None = None) -> DataFrame:
+    """Learn merges on the corpus, or on its rows where `train` holds, and apply them to all of it."""
+    fitted = docs if train is None else docs.where(train)
+    merges, learnt = learn_merges(distinct_words(fitted, whitespace_tokens(text)), rounds)
+    if train is not None:
+        words = distinct_words(docs, whitespace_tokens(text)).select("token")
+        learnt = apply_merges(words, [(left, right) for left, right, _ in merges])
+    return split_words(docs, learnt, text)
 
-def bpe_tokens(docs: DataFrame, rounds: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Learn merges on the corpus and apply them to it."""
-    _, pieces_of = learn_merges(distinct_words(docs, whitespace_tokens(text)), rounds)
-    return split_words(docs, pieces_of, key, text)
+
+def apply_merges(words: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
+    """(token, pieces) of any words under merges learnt elsewhere, in their order."""
+    edge = SYMBOL_EDGE
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(tokens: pd.Series) -> pd.Series:
+        pairs = [(f"{edge}{a}{edge}{edge}{b}{edge}", f"{edge}{a}{b}{edge}") for a, b in merges]
+
+        def one(token: str) -> list[str]:
+            chain = "".join(f"{edge}{c}{edge}" for c in WORD_START + token)
+            for pair, merged in pairs:
+                if pair in chain:
+                    chain = chain.replace(pair, merged)
+            return chain[1:-1].split(edge * 2)
+
+        return tokens.map(one)
+
+    return words.select("token", cut("token").alias("pieces"))
 
 
 # --- word pieces -----------------------------------------------------------------------------------
@@ -206,11 +209,15 @@ def wordpiece_vocabulary(words: DataFrame, frequent: int) -> DataFrame:
 
 
 def _basic_words(word: str) -> list[str]:
-    """Lowercased, accents stripped, punctuation as words of their own."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn")
+    """Lowercased, accents and control characters stripped; punctuation and Chinese characters are words of
+    their own."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", word.lower())
+                    if unicodedata.category(c) not in ("Mn", "Cc", "Cf", "Co", "Cs") and c != "\ufffd")
     out, run = [], ""
     for c in plain:
-        if unicodedata.category(c).startswith("P") or (ord(c) < 128 and not c.isalnum()):
+        alone = (unicodedata.category(c).startswith("P") or (ord(c) < 128 and not c.isalnum())
+                 or any(low <= ord(c) <= high for low, high in CJK_RANGES))
+        if alone:
             out += [run, c]
             run = ""
         else:
@@ -218,42 +225,51 @@ def _basic_words(word: str) -> list[str]:
     return [w for w in [*out, run] if w]
 
 
-def _longest_pieces(word: str, known: frozenset[str], unknown: str) -> list[str]:
-    found, start = [], 0
-    while start < len(word):
-        prefix = "##" if start else ""
-        for end in range(len(word), start, -1):
-            if prefix + word[start:end] in known:
-                found.append(prefix + word[start:end])
-                start = end
-                break
-        else:
-            return [unknown]
-    return found
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def basic_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(_basic_words)
 
 
-def wordpiece_of(words: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]") -> DataFrame:
-    """(token, pieces) for a table of distinct words: greedy longest match in the vocabulary.
+def longest_pieces(words: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]", longest: int = LONGEST_WORD) -> DataFrame:
+    """(word, pieces) of distinct words: greedy longest match in a (piece) table.
 
-    The vocabulary must be of a size that can be sent to every task, which is checked.
+    All parts of a word that might be pieces meet the vocabulary in a join, so its size does not matter. The
+    longest piece from each place on is kept, and the word is walked from piece to piece. Words beyond
+    `longest` characters, and words with a place no piece fits, are unknown.
     """
-    rows = vocabulary.select("piece").limit(MAX_PIECES + 1).collect()
-    if len(rows) > MAX_PIECES:
-        raise ValueError(f"a word-piece vocabulary may hold at most {MAX_PIECES} pieces")
-    known = words.sparkSession.sparkContext.broadcast(frozenset(r["piece"] for r in rows))
+    short = words.where(F.length("word") <= longest)
+    starts = short.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("_s"))
+    parts = starts.select("word", "_s", F.explode(F.sequence(F.col("_s"), F.length("word"))).alias("_e"))
+    spelled_out = F.concat(F.when(F.col("_s") > 1, "##").otherwise(""), F.expr("substring(word, _s, _e - _s + 1)"))
+    known = parts.withColumn("piece", spelled_out).join(vocabulary.select("piece").distinct(), "piece", "left_semi")
+    ends = known.groupBy("word", "_s").agg(F.max("_e").alias("_e")).groupBy("word").agg(
+        F.map_from_entries(F.collect_list(F.struct("_s", "_e"))).alias("_ends"))
+    walked = F.expr("""aggregate(sequence(1, length(word)), named_struct('at', 1, 'out', array()),
+      (acc, i) -> if(i <> acc.at, acc, named_struct(
+        'at', coalesce(_ends[i] + 1, -1),
+        'out', if(_ends[i] is null, acc.out, concat(acc.out, array(
+          concat(if(i > 1, '##', ''), substring(word, i, _ends[i] - i + 1))))))))""".replace(
+            "'out', array())", "'out', cast(array() as array<string>))"))
+    cut = ends.withColumn("_walk", walked)
+    pieces = F.when(F.col("_walk.at") == F.length("word") + 1, F.col("_walk.out"))
+    return words.join(cut.select("word", pieces.alias("_pieces")), "word", "left").select(
+        "word", F.coalesce("_pieces", F.array(F.lit(unknown))).alias("pieces"))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = known.value
-        for batch in batches:
-            yield batch.map(lambda w: [p for b in _basic_words(w) for p in _longest_pieces(b, table, unknown)])
 
-    return words.select("token", cut("token").alias("pieces"))
+def wordpiece_of(words: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]") -> DataFrame:
+    """(token, pieces) for a table of distinct words."""
+    rows = words.select("token", F.posexplode_outer(basic_words("token")).alias("_i", "word"))
+    cut = longest_pieces(rows.where("word is not null").select("word").distinct(), vocabulary, unknown)
+    listed = F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "pieces"))))
+    return rows.join(cut, "word", "left").groupBy("token").agg(
+        F.flatten(F.transform(listed, lambda r: r["pieces"])).alias("pieces"))
 
 
-def wordpiece_tokens(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def wordpiece_tokens(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with `tokens`."""
     words = distinct_words(docs, whitespace_tokens(text)).select("token")
-    return split_words(docs, wordpiece_of(words, vocabulary), key, text)
+    return split_words(docs, wordpiece_of(words, vocabulary), text)
 
 
 def characters(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -16,8 +16,8 @@ SQL: dict[str, str] = {}
 
 
 # Sums in another order differ in the last digits, so compared numbers are rounded; short fractions
-# often lie exactly on a rounding edge, so both sides are first moved off it by the same small shift.
-EDGE_SHIFT = 0.137137
+# often lie exactly on a rounding edge, so both sides count a ten-thousandth of the last digit below it as on it.
+EDGE_SHIFT = 0.0001
 
 
 def rnd(c: Column | str, digits: int = 4) -> Column:
@@ -66,11 +66,11 @@ RAW = f"""raw_results AS (
   FROM (SELECT p_size % 32 AS mask, {_case("substr(o_orderpriority, 1, 1)", TOKENISER_OF_PRIORITY)} AS tokeniser,
                {_case("split_part(p_type, ' ', 1)", FEATURISER_OF_TYPE)} AS featuriser,
                {_case("l_returnflag || l_linestatus", MODEL_OF_FLAGS)} AS model,
-               CASE WHEN l_linenumber = 4 THEN 97 ELSE l_linenumber END AS seed,
+               CASE (l_linenumber - 1) % 4 WHEN 3 THEN 97 ELSE (l_linenumber - 1) % 4 + 1 END AS seed,
                CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS rmse,
                sum(l_quantity) AS total_time
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-        WHERE l_linenumber <= 4 GROUP BY 1, 2, 3, 4, 5))"""
+        GROUP BY 1, 2, 3, 4, 5))"""
 
 RECORDS = RAW + f""",
 records AS (
@@ -134,6 +134,6 @@ split_of AS (
   FROM placed)"""
 
 VECTORS = f"""ranked_words AS (
-  SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS vec_id
+  SELECT token, row_number() OVER (ORDER BY count(*) DESC, md5(token), token) - 1 AS vec_id
   FROM (SELECT unnest({words_sql("lower(text)")}) AS token FROM documents) GROUP BY token),
-vectors AS (SELECT token, embedding AS vec FROM ranked_words JOIN embeddings USING (vec_id) WHERE vec_id < 500)"""
+vectors AS (SELECT token, embedding AS vec FROM ranked_words JOIN embeddings USING (vec_id))"""

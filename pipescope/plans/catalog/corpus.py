@@ -281,7 +281,7 @@ exploded AS (SELECT doc_id, split, unnest(list_concat(t, list_transform(range(1,
   FROM toks),
 counts AS (SELECT doc_id, split, term, count(*) AS tf FROM exploded GROUP BY 1, 2, 3),
 fitted AS (SELECT term, sum(tf) AS total, count(*) AS df FROM counts WHERE split = 'train' GROUP BY term
-  ORDER BY 2 DESC, 1 LIMIT {ft.MAX_FEATURES})"""
+  ORDER BY 2 DESC, md5(term) LIMIT {ft.MAX_FEATURES})"""
 
 
 @query("fitted_terms", f"WITH {_TERMS} SELECT term, CAST(total AS BIGINT) AS total, df FROM fitted")
@@ -342,17 +342,23 @@ def mean_word_vectors(spark, d):
     return _long(ft.mean_vectors(plain_tokens(spark, d), v.token_vectors(spark, d), WIDTH))
 
 
-@query("first_position_vectors", f"""WITH {_WORD_VECS}, first AS (SELECT doc_id, arg_min(vec, pos) AS vec FROM found GROUP BY doc_id)
-SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, approx(unnest(vec)::DOUBLE, 6) + 0.0 AS value FROM first""")
+@query("first_position_vectors", f"""WITH {_WORD_VECS}, first AS (SELECT doc_id, arg_min(vec, pos) AS vec FROM found GROUP BY doc_id),
+dims AS (SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, unnest(vec)::DOUBLE AS x FROM first)
+SELECT d.doc_id, g.dim, approx(coalesce(x, 0), 6) + 0.0 AS value
+FROM documents d CROSS JOIN (SELECT unnest(range(0, {WIDTH})) AS dim) g LEFT JOIN dims m ON m.doc_id = d.doc_id AND m.dim = g.dim""")
 def first_position_vectors(spark, d):
-    return _long(ft.first_vector(ft.token_vector_rows(plain_tokens(spark, d), v.token_vectors(spark, d))))
+    docs = plain_tokens(spark, d)
+    return _long(ft.first_vector(docs, ft.token_vector_rows(docs, v.token_vectors(spark, d)), WIDTH))
 
 
 @query("mean_position_vectors", f"""WITH {_WORD_VECS},
-dims AS (SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, unnest(vec)::DOUBLE AS x FROM found)
-SELECT doc_id, dim, approx(avg(x), 6) + 0.0 AS value FROM dims GROUP BY 1, 2""")
+dims AS (SELECT doc_id, unnest(range(0, {WIDTH})) AS dim, unnest(vec)::DOUBLE AS x FROM found),
+means AS (SELECT doc_id, dim, avg(x) AS x FROM dims GROUP BY 1, 2)
+SELECT d.doc_id, g.dim, approx(coalesce(x, 0), 6) + 0.0 AS value
+FROM documents d CROSS JOIN (SELECT unnest(range(0, {WIDTH})) AS dim) g LEFT JOIN means m ON m.doc_id = d.doc_id AND m.dim = g.dim""")
 def mean_position_vectors(spark, d):
-    return _long(ft.mean_position_vector(ft.token_vector_rows(plain_tokens(spark, d), v.token_vectors(spark, d))))
+    docs = plain_tokens(spark, d)
+    return _long(ft.mean_position_vector(docs, ft.token_vector_rows(docs, v.token_vectors(spark, d)), WIDTH))
 
 
 def vector_norm_model():

@@ -1,5 +1,5 @@
-"""Tests of significance. SQL checks the statistics; p-values that need special functions are covered
-by unit tests, and permutation p-values by the same digest order in SQL."""
+"""Tests of significance. SQL checks statistics, p-values (tail areas by numeric integration) and decisions;
+permutation p-values by the same digest order."""
 
 from __future__ import annotations
 
@@ -14,6 +14,31 @@ from pipescope.plans.catalog.base import PANEL, RESULTS, query, rnd
 from pipescope.sources import views as v
 
 N = 200
+
+
+def _integral(density: str, upper: str, steps: int = 4000) -> str:
+    """SQL of Simpson's rule for `density` (an expression in x) from 0 to `upper`."""
+    x = f"({upper}) * i / {steps}.0"
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    term = f"{weight} * ({density.replace('[x]', f'({x})')})"
+    return f"(({upper}) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda i: {term})))"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided p of a standard normal statistic, by integration."""
+    return f"greatest(0, 1 - 2 * {_integral('exp(-[x] * [x] / 2) / sqrt(2 * pi())', f'abs({z})')})"
+
+
+def student_p_sql(t: str, dof: str) -> str:
+    density = (f"exp(lgamma((({dof}) + 1) / 2.0) - lgamma(({dof}) / 2.0)) / sqrt(({dof}) * pi()) "
+               f"* pow(1 + [x] * [x] / ({dof}), -(({dof}) + 1) / 2.0)")
+    return f"greatest(0, 1 - 2 * {_integral(density, f'abs({t})')})"
+
+
+def chi_square_p_sql(x: str, dof: str) -> str:
+    """Upper tail; integrated over the root of the statistic, where the density has no pole."""
+    density = f"2 * pow([x], ({dof}) - 1) * exp(-[x] * [x] / 2 - ({dof}) / 2.0 * ln(2) - lgamma(({dof}) / 2.0))"
+    return f"greatest(0, 1 - {_integral(density, f'sqrt({x})')})"
 SAFE = ["empty", "no_stopwords_spacy", "lowercase", "no_stopwords_nltk", "no_punctuation", "lemmatize"]
 TESTED_STEPS = ["lemmatize", "lowercase", "no_punctuation", "no_stopwords_nltk", "stem"]
 
@@ -39,7 +64,8 @@ def permutation_sql(sample: str, keys: str = "", one_sided: bool = False, n: int
     return f"""{sample.replace('sample AS', 'sample0 AS')},
 sample AS (SELECT * FROM sample0 a {usable}),
 obs AS (SELECT {pre}count(*) FILTER (x) AS n, count(*) FILTER (NOT x) AS m,
-          sum(v) FILTER (x) / count(*) FILTER (x) - sum(v) FILTER (NOT x) / count(*) FILTER (NOT x) AS mean_diff
+          sum(v) FILTER (x) / count(*) FILTER (x) - sum(v) FILTER (NOT x) / count(*) FILTER (NOT x) AS mean_diff,
+          max(abs(v)) * 1e-9 AS tol
         FROM sample {outer} HAVING count(*) FILTER (x) > 0 AND count(*) FILTER (NOT x) > 0),
 sized AS (SELECT *, count(*) FILTER (x) {size} AS nx FROM sample),
 placed AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY md5(concat_ws(':', perm, row_id, '97')), row_id)
@@ -48,8 +74,8 @@ perms AS (SELECT {pre}perm, sum(v) FILTER (taken) / count(*) FILTER (taken)
             - sum(v) FILTER (NOT taken) / count(*) FILTER (NOT taken) AS diff
           FROM placed GROUP BY {pre}perm)
 SELECT {pre}any_value(n) AS n, any_value(m) AS m, approx(any_value(mean_diff), 4) AS mean_diff,
-  count(*) FILTER (round({diff}, 6) >= round({obs}, 6)) AS extreme, count(*) AS permutations,
-  approx((count(*) FILTER (round({diff}, 6) >= round({obs}, 6)) + 1) / (count(*) + 1), 8) AS p_value
+  count(*) FILTER ({diff} >= {obs} - tol) AS extreme, count(*) AS permutations,
+  approx((count(*) FILTER ({diff} >= {obs} - tol) + 1) / (count(*) + 1), 8) AS p_value
 FROM perms {join} {outer}"""
 
 
@@ -131,6 +157,15 @@ def permutation_segments(spark, d):
 _BLOCKED = permutation_sql(_COMPARED_SQL, "comparison", n=100, block="seed")
 
 
+@query("permutation_scaled_times", permutation_sql(_TIMES.replace("total_time AS v", "total_time * 1e-8 AS v")).replace(
+    "approx(any_value(mean_diff), 4)", "approx(any_value(mean_diff) * 1e8, 4)"))
+def permutation_scaled_times(spark, d):
+    """The p-value does not depend on the unit of the values."""
+    sample = timed_groups(spark, d).withColumn("x", F.col("grp") == "BOW").withColumn("total_time", F.col("total_time") * F.lit(1e-8))
+    out = pm.permutation_test(sample, "total_time", "x", "run_key", N)
+    return _tested(out.withColumn("mean_diff", F.col("mean_diff") * F.lit(1e8)))
+
+
 @query("blocked_permutation_segments", _BLOCKED)
 def blocked_permutation_segments(spark, d):
     return _tested(blocked_segments(spark, d), "comparison")
@@ -161,13 +196,13 @@ def keyed_pairs(spark, d):
 
 
 @query("paired_permutation_features", f"""WITH {RESULTS}, {_PAIRS},
-obs AS (SELECT count(*) AS n, avg(a - b) AS mean_diff FROM pairs),
+obs AS (SELECT count(*) AS n, avg(a - b) AS mean_diff, max(abs(a - b)) * 1e-9 AS tol FROM pairs),
 perms AS (SELECT perm, avg(CASE WHEN substr(md5(concat_ws(':', perm, pair, '97')), 32, 1)
             IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN b - a ELSE a - b END) AS diff
           FROM pairs, (SELECT unnest(range(1, {N + 1})) AS perm) GROUP BY perm)
 SELECT any_value(n) AS n, approx(any_value(mean_diff), 4) AS mean_diff,
-  count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) AS extreme, count(*) AS permutations,
-  approx((count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) + 1) / (count(*) + 1), 8) AS p_value
+  count(*) FILTER (abs(diff) >= abs(mean_diff) - tol) AS extreme, count(*) AS permutations,
+  approx((count(*) FILTER (abs(diff) >= abs(mean_diff) - tol) + 1) / (count(*) + 1), 8) AS p_value
 FROM perms, obs""")
 def paired_permutation_features(spark, d):
     out = pm.paired_permutation_test(keyed_pairs(spark, d), "rmse_bert", "rmse_glove", "pair", N)
@@ -180,12 +215,12 @@ means AS (SELECT codes, model, avg(a) AS a, avg(b) AS b FROM (
     FROM results GROUP BY codes, model) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
 d AS (SELECT codes, a - b AS diff, row_number() OVER (PARTITION BY codes ORDER BY model) - 1 AS i FROM means),
 signs AS (SELECT codes, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN -diff ELSE diff END) / count(*) AS diff,
-            sum(diff) / count(*) AS mean_diff, count(*) AS n
+            sum(diff) / count(*) AS mean_diff, count(*) AS n, max(abs(diff)) * 1e-9 AS tol
           FROM d JOIN (SELECT codes AS c, count(*) AS k FROM d GROUP BY 1) s ON s.c = codes,
                (SELECT unnest(range(0, 4096)) AS mask) WHERE mask < 2 ** k GROUP BY codes, mask)
 SELECT codes, any_value(n) AS n, approx(any_value(mean_diff), 4) AS mean_diff,
-  count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) AS extreme, count(*) AS permutations,
-  approx((count(*) FILTER (round(abs(diff), 6) >= round(abs(mean_diff), 6)) + 1) / (count(*) + 1), 8) AS p_value
+  count(*) FILTER (abs(diff) >= abs(mean_diff) - tol) AS extreme, count(*) AS permutations,
+  approx((count(*) FILTER (abs(diff) >= abs(mean_diff) - tol) + 1) / (count(*) + 1), 8) AS p_value
 FROM signs GROUP BY codes""")
 def paired_exhaustive_models(spark, d):
     """Per step combination: CLS against mean features over the models, with every swap pattern."""
@@ -200,19 +235,19 @@ def paired_exhaustive_models(spark, d):
 
 @query("monte_carlo_training_times")
 def monte_carlo_training_times(spark, d):
-    """Many permutations of a sample small enough for every task."""
+    """As many permutations as the study draws, by random numbers."""
     sample = timed_groups(spark, d).withColumn("x", F.col("grp") == "BOW")
-    return pm.monte_carlo_test(spark, sample, "total_time", "x", "run_key", 5000)
+    return pm.monte_carlo_test(sample, "total_time", "x", "run_key", 100_000)
 
 
 @query("paired_t_features", f"""WITH {RESULTS}, {_PAIRS}
-SELECT count(*) AS n, approx(avg(a - b), 4) AS mean_diff, approx(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t
-FROM pairs""")
+SELECT n, approx(d, 4) AS mean_diff, approx(t, 6) AS t, approx({student_p_sql("t", "n - 1")}, 6) AS p_value
+FROM (SELECT count(*) AS n, avg(a - b) AS d, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM pairs)""")
 def paired_t_features(spark, d):
     compared = v.results(spark, d).where(F.col("featuriser").isin("glove_mean", *rs.BERT_FEATURISERS))
     marked = compared.withColumn("bert", F.col("featuriser") != "glove_mean")
     out = hy.keyed_paired_t(marked, "rmse", "bert", ["codes", "model", "seed"])
-    return out.select("n", rnd("mean_diff").alias("mean_diff"), rnd("t", 6).alias("t"))
+    return out.select("n", rnd("mean_diff").alias("mean_diff"), rnd("t", 6).alias("t"), rnd("p_value", 6).alias("p_value"))
 
 
 _MARKED = f"""marked AS (SELECT step, rmse, list_contains(preprocessers, step) AS has
@@ -230,12 +265,15 @@ _POOLED = """s AS (SELECT step, count(*) FILTER (has) AS n, count(*) FILTER (NOT
     var_samp(rmse) FILTER (NOT has) AS vy FROM marked GROUP BY step)"""
 
 
+_T = "(mx - my) / sqrt(((n - 1) * vx + (m - 1) * vy) / (n + m - 2) * (1 / n + 1 / m))"
+
+
 @query("pooled_t_steps", f"""WITH {RESULTS}, {_MARKED}, {_POOLED}
-SELECT step, n, m, approx(mx - my, 4) AS mean_diff,
-  approx((mx - my) / sqrt(((n - 1) * vx + (m - 1) * vy) / (n + m - 2) * (1 / n + 1 / m)), 6) AS t FROM s""")
+SELECT step, n, m, approx(mx - my, 4) AS mean_diff, approx(t, 6) AS t, approx({student_p_sql("t", "n + m - 2")}, 6) AS p_value
+FROM (SELECT *, {_T} AS t FROM s)""")
 def pooled_t_steps(spark, d):
     out = hy.pooled_t(marked_steps(spark, d), "rmse", "has", ["step"])
-    return out.select("step", "n", "m", rnd("mean_diff").alias("mean_diff"), rnd("t", 6).alias("t"))
+    return out.select("step", "n", "m", rnd("mean_diff").alias("mean_diff"), rnd("t", 6).alias("t"), rnd("p_value", 6).alias("p_value"))
 
 
 _RANK_SUM = """ranked AS (SELECT step, has, rank() OVER (PARTITION BY step ORDER BY rmse)
@@ -246,13 +284,15 @@ u AS (SELECT step, count(*) FILTER (has) AS n1, count(*) FILTER (NOT has) AS n2,
         sum(t::DOUBLE * t - 1) AS ties, count(*)::DOUBLE AS n FROM ranked GROUP BY step)"""
 
 
+_Z = "(greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1))))"
+
+
 @query("rank_sum_steps", f"""WITH {RESULTS}, {_MARKED}, {_RANK_SUM}
-SELECT step, n1, n2, CAST(u AS DOUBLE) AS u,
-  approx((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5)
-        / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM u""")
+SELECT step, n1, n2, CAST(u AS DOUBLE) AS u, approx(z, 6) AS z, approx({normal_p_sql("greatest(z, 0)")}, 6) AS p_value
+FROM (SELECT *, {_Z} AS z FROM u)""")
 def rank_sum_steps(spark, d):
     out = hy.mann_whitney(marked_steps(spark, d), "rmse", "has", ["step"])
-    return out.select("step", "n1", "n2", "u", rnd("z", 6).alias("z"))
+    return out.select("step", "n1", "n2", "u", rnd("z", 6).alias("z"), rnd("p_value", 6).alias("p_value"))
 
 
 @query("rank_sum_cls_mean", f"""WITH {RESULTS}, marked AS (
@@ -295,9 +335,20 @@ def chosen_tests_steps(spark, d):
     return out.select("step", "n1", "n2", rnd("mean_diff").alias("mean_diff"), "test")
 
 
-@query("chosen_tests_with_p")
+@query("chosen_tests_with_p", f"""WITH {RESULTS}, {_MARKED}, {_K2}, {_POOLED}, {_RANK_SUM},
+p AS (SELECT step, max(exp(-k2 / 2)) FILTER (has) AS p_with, max(exp(-k2 / 2)) FILTER (NOT has) AS p_without FROM k GROUP BY step),
+tt AS (SELECT step, n + m - 2 AS dof, mx - my AS mean_diff, {_T} AS t FROM s),
+uu AS (SELECT step, n1, n2, u, {_Z} AS z FROM u)
+SELECT step, n1, n2, approx(mean_diff, 4) AS mean_diff, approx(t, 6) AS t, CAST(u AS DOUBLE) AS u, approx(p_with, 6) AS p_with,
+  approx(p_without, 6) AS p_without,
+  CASE WHEN p_with > 0.05 AND p_without > 0.05 THEN 't-test' ELSE 'Mann-Whitney U' END AS test,
+  approx(CASE WHEN p_with > 0.05 AND p_without > 0.05 THEN {student_p_sql("t", "dof")}
+              ELSE {normal_p_sql("greatest(z, 0)")} END, 6) AS p_value
+FROM p JOIN tt USING (step) JOIN uu USING (step)""")
 def chosen_tests_with_p(spark, d):
-    return hy.compare_by_normality(marked_steps(spark, d), "rmse", "has", ["step"])
+    out = hy.compare_by_normality(marked_steps(spark, d), "rmse", "has", ["step"])
+    digits = {"mean_diff": 4, "t": 6, "p_with": 6, "p_without": 6, "p_value": 6}
+    return out.select("step", "n1", "n2", "u", "test", *[rnd(c, n).alias(c) for c, n in digits.items()])
 
 
 _WILCOXON = """diffs AS (SELECT x.method AS a, y.method AS b, x.value - y.value AS d
@@ -311,44 +362,70 @@ wz AS (SELECT *, (statistic - (n * (n + 1) / 4 - z0 * (z0 + 1) / 4))
          / sqrt((n * (n + 1) * (2 * n + 1) - z0 * (z0 + 1) * (2 * z0 + 1) - ties / 2) / 24) AS z FROM w)"""
 
 
+_PAIR_P = f"coalesce({normal_p_sql('z')}, 1)"
+# step-down decisions: the largest |z| has the smallest p
+_HOLM = f"""stepped AS (SELECT *, {_PAIR_P} AS p, row_number() OVER (ORDER BY abs(z) DESC, a, b) AS place, count(*) OVER () AS m FROM wz),
+decided AS (SELECT *, 0.05 / (m - place + 1) AS threshold,
+  bool_and(p <= 0.05 / (m - place + 1)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reject FROM stepped)"""
+
+
 @query("signed_rank_pairs", f"""WITH {PANEL}, {_WILCOXON}
 SELECT a, b, CAST(n AS BIGINT) AS n, CAST(z0 AS BIGINT) AS zeros, CAST(statistic AS DOUBLE) AS statistic,
-       approx(z, 6) AS z FROM wz""")
+       approx(z, 6) AS z, approx({_PAIR_P}, 6) AS p_value FROM wz""")
 def signed_rank_pairs(spark, d):
-    return hy.wilcoxon_pairs(v.panel(spark, d)).select("a", "b", "n", "zeros", "statistic", rnd("z", 6).alias("z"))
+    return hy.wilcoxon_pairs(v.panel(spark, d)).select(
+        "a", "b", "n", "zeros", "statistic", rnd("z", 6).alias("z"), rnd("p_value", 6).alias("p_value"))
 
 
-@query("holm_pairs", f"""WITH {PANEL}, {_WILCOXON}
-SELECT a, b, row_number() OVER (ORDER BY abs(z) DESC, a, b) AS place,
-  approx(0.05 / (count(*) OVER () - row_number() OVER (ORDER BY abs(z) DESC, a, b) + 1), 8) AS threshold FROM wz""")
+@query("holm_pairs", f"""WITH {PANEL}, {_WILCOXON}, {_HOLM}
+SELECT a, b, approx(p, 6) AS p_value, approx(threshold, 8) AS threshold, reject FROM decided""")
 def holm_pairs(spark, d):
-    """Largest |z| first is smallest p first; the decision itself is checked in unit tests."""
     tested = hy.holm(hy.wilcoxon_pairs(v.panel(spark, d)))
-    m = F.lit(15)
-    return tested.select("a", "b", (m + 1 - F.round(F.lit(hy.ALPHA) / F.col("threshold"))).cast("long").alias("place"),
-                         rnd("threshold", 8).alias("threshold"))
+    return tested.select("a", "b", rnd("p_value", 6).alias("p_value"), rnd("threshold", 8).alias("threshold"), "reject")
 
 
-@query("friedman_methods", f"""WITH {PANEL},
-ranked AS (SELECT *, rank() OVER (PARTITION BY experiment ORDER BY value)
+_FRIEDMAN = """ranked AS (SELECT *, rank() OVER (PARTITION BY experiment ORDER BY value)
     + (count(*) OVER (PARTITION BY experiment, value) - 1) / 2.0 AS r,
     count(*) OVER (PARTITION BY experiment, value) AS t FROM panel),
 m AS (SELECT method, sum(r) AS rj, count(*)::DOUBLE AS n FROM ranked GROUP BY method),
 s AS (SELECT count(*)::DOUBLE AS k, max(n) AS n, sum(rj * rj) AS r2 FROM m),
-ti AS (SELECT sum(t::DOUBLE * t - 1) AS ties FROM ranked)
-SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k,
-  approx((12 / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS chi_square FROM s, ti""")
+ti AS (SELECT sum(t::DOUBLE * t - 1) AS ties FROM ranked),
+chi AS (SELECT n, k, (12 / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS x FROM s, ti),
+friedman AS (SELECT n, k, x, """ + chi_square_p_sql("x", "k - 1") + """ AS p FROM chi)"""
+
+
+@query("friedman_methods", f"""WITH {PANEL}, {_FRIEDMAN}
+SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, approx(x, 6) AS chi_square, approx(p, 6) AS p_value FROM friedman""")
 def friedman_methods(spark, d):
-    return hy.friedman(v.panel(spark, d)).select("n", "k", rnd("chi_square", 6).alias("chi_square"))
+    return hy.friedman(v.panel(spark, d)).select("n", "k", rnd("chi_square", 6).alias("chi_square"), rnd("p_value", 6).alias("p_value"))
+
+
+def _decisions(tested):
+    return tested.select("a", "b", "n", rnd("z", 6).alias("z"), rnd("p_value", 6).alias("p_value"), "reject")
 
 
-@query("gated_method_pairs")
+_GATED = f"""{_FRIEDMAN}, {_WILCOXON}, {_HOLM}
+SELECT a, b, CAST(n AS BIGINT) AS n, approx(z, 6) AS z, approx(p, 6) AS p_value, reject
+FROM decided WHERE (SELECT p FROM friedman) < 0.05"""
+
+
+@query("gated_method_pairs", f"WITH {PANEL}, {_GATED}")
 def gated_method_pairs(spark, d):
-    return hy.gated_pairs(v.panel(spark, d))
+    """Pairwise decisions, none when the Friedman test does not reject."""
+    return _decisions(hy.gated_pairs(v.panel(spark, d)))
+
+
+SHIFTED = "value + 0.01 * abs(value) * length(method)"
+
+
+@query("gated_shifted_pairs", f"WITH {PANEL.replace('panel AS (SELECT *', f'panel AS (SELECT * REPLACE ({SHIFTED} AS value)')}, {_GATED}")
+def gated_shifted_pairs(spark, d):
+    """The same where methods differ by construction, so that the gate opens."""
+    return _decisions(hy.gated_pairs(v.panel(spark, d).withColumn("value", F.expr(SHIFTED))))
 
 
-@query("method_cliques", f"""WITH {PANEL}, {_WILCOXON},
-edges AS (SELECT a, b FROM wz WHERE abs(z) < 1),
+@query("method_cliques", f"""WITH {PANEL}, {_WILCOXON}, {_HOLM},
+edges AS (SELECT a, b FROM decided WHERE NOT reject),
 names AS (SELECT method, row_number() OVER (ORDER BY method) - 1 AS i FROM (SELECT DISTINCT method FROM panel)),
 masks AS (SELECT m, list(method ORDER BY method) AS members FROM names, (SELECT unnest(range(0, 64)) AS m)
           WHERE (m >> i) & 1 = 1 GROUP BY m HAVING count(*) >= 2),
@@ -358,7 +435,7 @@ cliques AS (SELECT members FROM masks WHERE NOT EXISTS (
 SELECT array_to_string(members, ',') AS clique, len(members) AS size FROM cliques c
 WHERE NOT EXISTS (SELECT 1 FROM cliques o WHERE len(o.members) > len(c.members) AND list_has_all(o.members, c.members))""")
 def method_cliques(spark, d):
-    """Maximal groups of methods whose signed-rank |z| stays below one."""
-    edges = hy.wilcoxon_pairs(v.panel(spark, d)).where(F.abs("z") < 1).select("a", "b")
+    """Maximal groups of methods that the step-down decisions do not tell apart."""
+    edges = hy.holm(hy.wilcoxon_pairs(v.panel(spark, d))).where(~F.col("reject")).select("a", "b")
     found = rk.maximal_cliques(edges)
     return found.select(F.array_join("clique", ",").alias("clique"), F.col("size").cast("long").alias("size"))

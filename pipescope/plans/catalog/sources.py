@@ -25,6 +25,25 @@ def corpus_csv_roundtrip(spark, d):
     return fl.read_corpus_csv(spark, path).select(F.md5("text").alias("text_md5"), "label")
 
 
+def _rows_sql(part: str, text: str, label: str, table: str) -> str:
+    """Rows with the id `with_row_id` gives them."""
+    return (f"SELECT text, label, md5(concat_ws(chr(0), '{part}', text, CAST(label AS VARCHAR), CAST(i AS VARCHAR))) AS doc_id FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY text, label) AS i FROM (SELECT {text} AS text, {label} AS label FROM {table}))")
+
+
+@query("loaded_corpus", f"""WITH rest AS ({_rows_sql('train', 'text', 'CAST(n_chars AS DOUBLE)', 'documents')}),
+placed AS (SELECT *, row_number() OVER (ORDER BY md5('4:' || doc_id)) <= ceil(0.25 * count(*) OVER ()) AS is_val FROM rest),
+test AS ({_rows_sql('test', 'text', 'CAST(length(text) AS DOUBLE)', 'benchmark')})
+SELECT doc_id, md5(text) AS text_md5, label, CASE WHEN is_val THEN 'val' ELSE 'train' END AS split FROM placed
+UNION ALL SELECT doc_id, md5(text), label, 'test' FROM test""")
+def loaded_corpus(spark, d):
+    """A named corpus from its files, with repeated rows told apart and splits of exact sizes."""
+    root, name = scratch_path(spark, "datasets"), sorted(fl.FILE_CORPORA)[0]
+    fl.write_csv(v.table(spark, d, "documents").select("text", F.col("n_chars").cast("double").alias("label")), f"{root}/{name}/train.csv")
+    fl.write_csv(v.table(spark, d, "benchmark").select("text", F.length("text").cast("double").alias("label")), f"{root}/{name}/test.csv")
+    return fl.load_corpus(spark, name, 4, root).select("doc_id", F.md5("text").alias("text_md5"), "label", "split")
+
+
 @query("preprocessed_csv", "SELECT md5(lower(text)) AS text_md5 FROM documents")
 def preprocessed_csv(spark, d):
     path = scratch_path(spark, "corpus.csv")

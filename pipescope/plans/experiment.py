@@ -40,7 +40,7 @@ def featurise(tokenised: DataFrame, config: Config, vectors: DataFrame | None =
     elif config.featuriser == "bert_mean":
         pooled = ft.mean_vectors(tokenised, vectors, width, normalise=False)
     elif config.featuriser == "bert_cls":
-        pooled = ft.first_vector(ft.token_vector_rows(tokenised, vectors))
+        pooled = ft.first_vector(tokenised, ft.token_vector_rows(tokenised, vectors), width)
     else:
         raise ValueError(f"unknown featuriser {config.featuriser!r}")
     return tokenised.join(pooled.select("doc_id", array_to_vector("features").alias("features")), "doc_id")

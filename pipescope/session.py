@@ -48,8 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, used once."""
-    return f"{shared_dir(spark).rstrip('/')}/pipescope/{uuid.uuid4().hex}/{name}"
+    """A new path below the shared folder, used once; it is removed when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/pipescope/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{name}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -69,12 +69,21 @@ def load_corpus(spark: SparkSession, name: str, seed: int, root: str = "datasets
         return split_corpus(synthetic_corpus(source), seed)
     if name not in FILE_CORPORA:
         raise NotImplementedError(f"no loader is registered for corpus {name!r}")
-    columns = ["text", "label"]
-    rest = read_corpus_csv(spark, f"{root}/{name}/train.csv").select(*columns)
-    keyed = rest.withColumn("doc_id", F.md5(F.concat_ws("\u0000", "text", F.col("label").cast("string"))))
-    test = read_corpus_csv(spark, f"{root}/{name}/test.csv").select(*columns)
-    test = test.withColumn("doc_id", F.md5(F.concat_ws("\u0000", "text", F.col("label").cast("string"))))
-    return split_train_val(keyed, seed).unionByName(test.withColumn("split", F.lit("test")))
+    rest = with_row_id(read_corpus_csv(spark, f"{root}/{name}/train.csv").select("text", "label"), "train")
+    test = with_row_id(read_corpus_csv(spark, f"{root}/{name}/test.csv").select("text", "label"), "test")
+    return split_train_val(rest, seed).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def with_row_id(corpus: DataFrame, part: str) -> DataFrame:
+    """(text, label, doc_id) with an id for every row, repeated rows included.
+
+    Equal rows are counted and numbered, and the id is a digest of part, text, label and number: it does not
+    depend on files or partitions, and a row that occurs in a third of the corpus is one row while it is counted.
+    """
+    counted = corpus.groupBy("text", "label").agg(F.count(F.lit(1)).alias("_n"))
+    rows = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    digest = F.md5(F.concat_ws("\u0000", F.lit(part), "text", F.col("label").cast("string"), F.col("_i").cast("string")))
+    return rows.select("text", "label", digest.alias("doc_id"))
 
 
 def uniform(seed: int, key: Column, draw: str) -> Column:

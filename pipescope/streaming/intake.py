@@ -43,10 +43,15 @@ def as_run_events(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append",
-               each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
-    """Process everything available; returns the batches written, tagged with `batch_id`."""
+               each: Callable[[DataFrame], DataFrame] = lambda batch: batch, folder: str | None = None) -> DataFrame:
+    """Process everything available; returns the batches written, tagged with `batch_id`.
+
+    `folder` keeps the batches and the state of the stream between runs: a later call with the same folder goes
+    on where the last one ended, also after a driver was lost. Without it a new folder is used once.
+    """
     spark = stream.sparkSession
-    target, state = scratch_path(spark, name), scratch_path(spark, f"{name}_state")
+    base = folder.rstrip("/") if folder else scratch_path(spark, name)
+    target, state = f"{base}/{name}", f"{base}/{name}_state"
     schema = stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -60,20 +65,20 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append",
     return spark.read.schema(schema.add("batch_id", T.LongType())).parquet(target)
 
 
-def upsert_log(stream: DataFrame) -> DataFrame:
+def upsert_log(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Append run events batch by batch (one row per hash and batch), read as the state per hash."""
-    written = run_to_end(stream, "run_log", each=latest_state)
+    written = run_to_end(stream, "run_log", each=latest_state, folder=folder)
     return latest_state(written).drop("batch_id")
 
 
-def first_per_hash(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+def first_per_hash(stream: DataFrame, delay: str = "1 hour", folder: str | None = None) -> DataFrame:
     """At most one result per configuration hash within the watermark delay."""
     unique = stream.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["hash"])
-    return run_to_end(unique, "unique_results")
+    return run_to_end(unique, "unique_results", folder=folder)
 
 
-def status_counts(stream: DataFrame) -> DataFrame:
+def status_counts(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Running counts per (seed, status): updates are written per batch, the newest one counts."""
     counts = stream.groupBy("seed", "status").agg(F.count(F.lit(1)).alias("n"))
-    written = run_to_end(counts, "status_counts", mode="update")
+    written = run_to_end(counts, "status_counts", mode="update", folder=folder)
     return written.groupBy("seed", "status").agg(F.max_by("n", "batch_id").alias("n"))

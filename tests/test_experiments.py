@@ -17,6 +17,7 @@ def lists(spark):
 
 def test_grid_sizes(lists):
     assert ex.grid(lists, 97, valid_only=False).count() == 23040
+    assert ex.grid(lists, 97, valid_only=False).rdd.getNumPartitions() > 1
     grid = ex.grid(lists, 97)
     counts = grid.agg(F.count("*").alias("n"), F.count_if("finetune").alias("ft"), F.count_distinct("hash").alias("h"))
     assert tuple(counts.first()) == (5760, 288, 5760)

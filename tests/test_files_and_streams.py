@@ -120,3 +120,29 @@ def test_streams_over_several_batches(spark, tmp_path):
     assert counts == {(r["seed"], r["status"]): r["count"] for r in batch.groupBy("seed", "status").count().collect()}
     unique = intake.first_per_hash(stream()).collect()
     assert len(unique) == len({r["hash"] for r in unique}) == batch.select("hash").distinct().count()
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    folder, kept = tmp_path / "in", str(tmp_path / "kept")
+    start = datetime.datetime(2024, 1, 1)
+
+    def add(ids):
+        rows = [(i, start + datetime.timedelta(minutes=i), i % 2, "view", 1.0, "{}") for i in ids]
+        spark.createDataFrame(rows, intake.EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+
+    add(range(10))
+    assert {r["n"] for r in intake.status_counts(intake.event_stream(spark, str(folder), "*.parquet"), kept).collect()} == {5}
+    add(range(10, 14))
+    again = intake.status_counts(intake.event_stream(spark, str(folder), "*.parquet"), kept)
+    assert {r["n"] for r in again.collect()} == {7}
+    assert spark.read.parquet(f"{kept}/status_counts").select("batch_id").distinct().count() == 2
+
+
+def test_repeated_rows_of_a_corpus_have_ids_of_their_own(spark, tmp_path):
+    name = sorted(fl.FILE_CORPORA)[0]
+    train = [("same text", 1.0)] * 6 + [(f"text {i}", float(i)) for i in range(14)]
+    for part, rows in (("train", train), ("test", [("same text", 1.0)] * 2)):
+        fl.write_csv(spark.createDataFrame(rows, "text string, label double"), str(tmp_path / name / f"{part}.csv"))
+    corpus = fl.load_corpus(spark, name, 3, str(tmp_path))
+    assert corpus.select("doc_id").distinct().count() == 22
+    assert {r["split"]: r["count"] for r in corpus.groupBy("split").count().collect()} == {"train": 15, "val": 5, "test": 2}

@@ -78,11 +78,28 @@ def test_permutation_of_equal_samples(spark):
 
 def test_monte_carlo_agrees_with_digest_form(spark, two_samples):
     a = pm.permutation_test(two_samples, "v", "x", "row", 2000).first()["p_value"]
-    b = pm.monte_carlo_test(spark, two_samples, "v", "x", "row", 2000).first()["p_value"]
-    c = pm.monte_carlo_test(spark, two_samples, "v", "x", "row", 2000).first()["p_value"]
+    b = pm.monte_carlo_test(two_samples, "v", "x", "row", 2000).first()["p_value"]
+    c = pm.monte_carlo_test(two_samples, "v", "x", "row", 2000).first()["p_value"]
     assert b == c and abs(a - b) < 0.04
 
 
+@pytest.mark.parametrize("unit", [1e-8, 1.0, 1e8])
+def test_p_does_not_depend_on_the_unit(spark, two_samples, unit):
+    scaled = two_samples.withColumn("v", F.col("v") * F.lit(unit))
+    assert pm.permutation_test(scaled, "v", "x", "row", 300).first()["extreme"] == pm.permutation_test(
+        two_samples, "v", "x", "row", 300).first()["extreme"]
+    pairs = spark.range(30).select("id", (F.col("id") * F.lit(unit)).alias("a"), ((F.col("id") + 1) * F.lit(unit)).alias("b"))
+    assert pm.paired_permutation_test(pairs, "a", "b", "id", 100).first()["p_value"] < 0.05
+
+
+def test_monte_carlo_over_several_blocks(spark, two_samples, monkeypatch):
+    whole = pm.monte_carlo_test(two_samples, "v", "x", "row", 3000, one_sided=True).first()
+    monkeypatch.setattr(pm, "ROWS_PER_BLOCK", 7)
+    parts = pm.monte_carlo_test(two_samples, "v", "x", "row", 3000, one_sided=True).first()
+    assert parts["permutations"] == 3000 and abs(whole["p_value"] - parts["p_value"]) < 0.04
+    assert pm.monte_carlo_test(two_samples.where("x"), "v", "x", "row", 10).count() == 0
+
+
 def test_paired_permutation_of_identical_pairs(spark):
     df = spark.range(50).select("id", F.col("id").cast("double").alias("a"), F.col("id").cast("double").alias("b"))
     assert pm.paired_permutation_test(df, "a", "b", "id", 40).first()["p_value"] == 1.0
