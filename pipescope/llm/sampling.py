@@ -39,7 +39,7 @@ from pipescope.llm.pieces import chunks
 
 MARK = "▁"
 RANK_OFFSET = 3.0
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 SCHEMA = ("key long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>, "
           "decoded boolean")
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -442,6 +442,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
                 rows["n_pieces"], rows["ids"] = n_ids, lists
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(rows.values(), schema)], schema=schema)
+                del lattice, searches, s, paths, rows, ids, sizes, data, ends, lists, offsets  # before the next part needs room
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key).cast("long"), F.lit(seed)).alias("seed"),
                          F.col(text).alias("text"))
