@@ -21,6 +21,7 @@ RUN = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 MAX_PIECES = 2_000_000
 MAX_CHARS = 48_000_000
+JOINED = 256  # pieces encoded as one text
 
 
 class _Numbers(dict):
@@ -40,6 +41,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # in a byte-level vocabulary every character stands for a byte; special tokens are written as they are
+        names = self.tokenizer.get_vocab()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.id_bytes = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        for name, number in names.items():
+            self.id_bytes[number] = len(name.encode()) if name in special else len(name)
         self.clear()
 
     def clear(self) -> None:
@@ -69,9 +76,7 @@ class PieceEncoder:
         """Encode the pieces met since the last call."""
         for at in range(0, len(self.new), 20_000):
             part = self.new[at:at + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            flat, sizes = self._encoded(part)
             self.pool = _room(self.pool, self.used + len(flat))
             self.pool[self.used:self.used + len(flat)] = flat
             last = self.known + len(part)
@@ -81,6 +86,38 @@ class PieceEncoder:
             self.known, self.used = last, self.used + len(flat)
         self.new = []
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has.
+
+        Pieces that begin with a space and a word may be cut wherever they meet, so they are encoded as longer
+        texts, which saves the library's work per text; the bytes of the ids tell where a piece ends. Where they
+        do not add up to the pieces (a tokenizer that changes its text), each piece is encoded on its own.
+        """
+        joined = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        sizes = np.zeros(len(pieces), np.int64)
+        ids = self._ids(["".join([pieces[i] for i in joined[at:at + JOINED]]) for at in range(0, len(joined), JOINED)])
+        lengths = np.fromiter((len(pieces[i].encode("utf-8", "surrogatepass")) for i in joined), np.int64, len(joined))
+        ends, upto = np.cumsum(lengths), np.cumsum(self.id_bytes[ids])
+        last = np.searchsorted(upto, ends) + 1
+        if len(joined) and (last[-1] > len(upto) or (upto[last - 1] != ends).any()):
+            joined, ids = [], ids[:0]
+        else:
+            sizes[joined] = np.diff(last, prepend=0)
+        alone = np.ones(len(pieces), bool)
+        alone[joined] = False
+        others = np.flatnonzero(alone)
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i] for i in others.tolist()], add_special_tokens=False)]
+        sizes[others] = list(map(len, lists))
+        flat = np.empty(int(sizes.sum()), np.uint32)
+        of_joined = np.repeat(~alone, sizes)
+        flat[of_joined] = ids
+        flat[~of_joined] = list(chain.from_iterable(lists))
+        return flat, sizes
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+
     def trim(self) -> None:
         """Forget everything once the cache is full; numbers given out before are then void."""
         if self.known > MAX_PIECES or self.chars > MAX_CHARS:
