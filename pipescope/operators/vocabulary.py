@@ -21,6 +21,7 @@ from pipescope.functions.text import CLOSED_CLASSES, piece_word, pieces, whitesp
 from pipescope.session import cut_lineage
 
 CHECKPOINT_EVERY = 10
+RANKED_PAIRS = 64
 SYMBOL_EDGE = "\ue000"  # private-use mark around each symbol of a segmented word
 WORD_START = "Ġ"
 LONGEST_WORD = 100  # characters; longer words are unknown to a word-piece vocabulary
@@ -127,35 +128,55 @@ def merge_pair(segmented: Column, left: str, right: str) -> Column:
     return F.replace(segmented, F.concat(_edged(left), _edged(right)), _edged(left + right))
 
 
+def merge_batch(top: Sequence[tuple[str, str, int]], complete: bool) -> list[tuple[str, str, int]]:
+    """The first pairs of a ranking that merging one after the other would choose next, in this order.
+
+    Pairs that share no symbol leave each other's counts alone. A pair that a merge creates is at most as frequent
+    as the pair it replaces, which shares a symbol with the merged one: so everything that is more frequent than
+    the first pair with a shared symbol (or than what the ranking leaves out, if it is not `complete`) comes first.
+    """
+    batch, used, limit = [], set(), 0 if complete else top[-1][2]
+    for left, right, n in top:
+        if used & {left, right}:
+            limit = n
+            break
+        used |= {left, right}
+        batch.append((left, right, n))
+    return batch[:1] + [p for p in batch[1:] if p[2] > limit]
+
+
 def learn_merges(words: DataFrame, rounds: int) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """Byte-pair merges of a (token, n) table and the segmented words.
 
-    Each round merges the most frequent pair of neighbouring symbols (ties by symbol); only that one
-    pair comes back to the driver. Pair counts are kept as a table: a round subtracts the pairs of the
-    words the merge changes and adds their new ones, so all words are counted only once.
+    A merge takes the most frequent pair of neighbouring symbols (ties by symbol); merges that cannot affect each
+    other are done in one job, and only the head of the ranking comes back to the driver. Pair counts are kept as
+    a table: a job subtracts the pairs of the words it changes and adds their new ones, so all words are counted
+    only once.
     """
-    cores = words.sparkSession.sparkContext.defaultParallelism
     spelled_out = words.select("token", "n", spelled(F.concat(F.lit(WORD_START), "token")).alias("segmented"))
-    current = cut_lineage(spelled_out.repartition(cores))
+    current = cut_lineage(spelled_out.repartition("token"))
     counts = cut_lineage(pair_counts(current))
     merges: list[tuple[str, str, int]] = []
-    for number in range(1, rounds + 1):
-        top = counts.orderBy(F.desc("n"), "left", "right").limit(1).collect()
+    jobs = 0
+    while len(merges) < rounds:
+        top = [tuple(r) for r in counts.orderBy(F.desc("n"), "left", "right").limit(RANKED_PAIRS).select("left", "right", "n").collect()]
         if not top:
             break
-        left, right, n = top[0]["left"], top[0]["right"], top[0]["n"]
-        merges.append((left, right, n))
-        merged = merge_pair(F.col("segmented"), left, right)
-        changed = current.where(F.contains("segmented", F.concat(_edged(left), _edged(right))))
+        batch = merge_batch(top, len(top) < RANKED_PAIRS)[:rounds - len(merges)]
+        merges += batch
+        merged, hit = F.col("segmented"), F.lit(False)
+        for left, right, _ in batch:
+            merged = merge_pair(merged, left, right)
+            hit = hit | F.contains("segmented", F.concat(_edged(left), _edged(right)))
         both = F.explode(F.array(
             F.struct(F.col("segmented"), (-F.col("n")).alias("n")), F.struct(merged.alias("segmented"), F.col("n"))
         ))
-        delta = pair_counts(changed.select(both.alias("w")).select("w.*"))
+        delta = pair_counts(current.where(hit).select(both.alias("w")).select("w.*"))
         counts = cut_lineage(
             counts.union(delta).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0")
         )
-        current = current.withColumn("segmented", merged)
-        if number % CHECKPOINT_EVERY == 0:
+        current, jobs = current.withColumn("segmented", merged), jobs + 1
+        if jobs % CHECKPOINT_EVERY == 0:
             current = cut_lineage(current)
     return merges, current.select("token", _symbols(F.col("segmented")).alias("pieces"))
 

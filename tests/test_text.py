@@ -133,6 +133,23 @@ def test_merges_equal_full_recounting(spark):
     assert {r["token"]: r["pieces"] for r in pieces.collect()} == segs
 
 
+def test_merge_batches_are_what_single_merges_choose():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        words = {"".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))): int(rng.integers(1, 40)) for _ in range(40)}
+        want, segs = plain_merges(words, 25)
+        done = []
+        while len(done) < len(want):
+            _, now = plain_merges(words, len(done))
+            pairs = collections.Counter()
+            for w, n in words.items():
+                for p in zip(now[w], now[w][1:]):
+                    pairs[p] += n
+            ranked = sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda p: (-p[2], p[0], p[1]))
+            done += vo.merge_batch(ranked[:6], len(ranked) <= 6)
+        assert done[:len(want)] == want
+
+
 def test_word_pieces(spark):
     vocabulary = spark.createDataFrame([(p,) for p in ("un", "##aff", "##able", "##a", ",", "cafe")], "piece string")
     docs = spark.createDataFrame([(1, "Unaffable, Café xyz"), (2, "")], "doc_id long, text string")
