@@ -34,7 +34,7 @@ def _rule_case(pick) -> str:
 
 
 def _strength_sql(level: str) -> str:
-    return f"""(SELECT CASE WHEN coalesce(n, 0) = 0 OR noise <= 0 OR room <= 0 OR rho <= 0 THEN 1000.0
+    return f"""(SELECT CASE WHEN coalesce(n, 0) = 0 THEN 1.0 WHEN noise <= 0 OR room <= 0 OR rho <= 0 THEN 1000.0
       ELSE round(least(1000.0, greatest(1.0, 1 / rho - 1)), 6) END FROM (
         SELECT *, ((squares - CAST(bad * bad AS DOUBLE) / n) / noise - (k - 1)) / room AS rho FROM (
           SELECT *, (CAST(bad AS DOUBLE) / n) * (1 - CAST(bad AS DOUBLE) / n) AS noise,

@@ -10,7 +10,7 @@ when even the lower posterior bound (mean - z standard deviations) of its bad ra
 Defined cases: a null url or one without `://` has an empty host and path and is judged by the overall
 rate's prior like any other host (the empty one); a host with no labels has its domain's estimate; null
 outcomes are ignored; repeated pages and labels count as often as they occur; without any label the rate
-is 1/2 on two pseudo observations and the strength is the largest allowed. Only the named columns are read.
+is 1/2 with the smallest strength, so no bound is high and nothing is blocked. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def _strength(counts: DataFrame) -> float:
         F.sum(F.col("n") * F.col("n")).alias("nn"),
     ).first()
     if not row["n"]:
-        return MAX_STRENGTH
+        return MIN_STRENGTH
     p = row["bad"] / row["n"]
     noise = p * (1 - p)
     room = row["n"] - row["nn"] / row["n"] - (row["k"] - 1)
