@@ -152,7 +152,9 @@ def report_label(c: Column | str) -> Column:
 
 
 def axis_title(c: Column | str) -> Column:
-    return F.initcap(F.replace(_col(c), F.lit("_"), F.lit(" ")))
+    """Blanks for underscores, and every run of letters with a capital first, also after digits and marks."""
+    runs = F.regexp_extract_all(F.replace(_col(c), F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def output_name(c: Column | str) -> Column:

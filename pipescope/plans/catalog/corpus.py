@@ -233,7 +233,7 @@ def ptb_tokens(spark, d):
 
 
 _EDGE = f"chr({ord(vo.SYMBOL_EDGE)})"
-BPE_ROUNDS = 4
+BPE_ROUNDS = 20
 
 
 def bpe_sql(rounds: int) -> str:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipescope.functions.text import whitespace_tokens
 from pipescope.operators import aggregates as ag
 from pipescope.operators import experiments as ex
+from pipescope.operators import hypothesis as hy
+from pipescope.operators import ranking as rk
 from pipescope.operators import results as rs
 from pipescope.operators import vocabulary as vo
-from pipescope.plans.catalog.base import CORPUS, PREDS, RAW, RESULTS, query, rnd, words_sql
+from pipescope.plans.catalog.base import CORPUS, PANEL, PREDS, RAW, RESULTS, query, rnd, words_sql
 from pipescope.plans.catalog.bookkeeping import HASHED, HASHED_LOG, hashed_log, hashed_results
 from pipescope.session import scratch_path
 from pipescope.sources import files as fl
@@ -82,13 +86,12 @@ def result_files_roundtrip(spark, d):
 @query("result_layout", f"""WITH {RAW}
 SELECT model, seed, tokeniser, featuriser, finetune, count(*) AS n FROM raw_results GROUP BY ALL""")
 def result_layout(spark, d):
-    """A folder level per chosen configuration value: a filter on one of them reads only its folders."""
+    """A folder level per configuration value: a filter on one of them reads only its folders."""
     path = scratch_path(spark, "layout")
-    levels = ["model", "seed"]
+    levels = ["tokeniser", "featuriser", "model", "seed", "finetune"]
     # rows of a folder are brought together before writing, so a folder gets few files
     fl.write_results(v.raw_results(spark, d).repartition(*levels), path, levels)
-    schema = "preprocessers array<string>, rmse double, tokeniser string, featuriser string, finetune boolean, " \
-             "model string, seed int"
+    schema = "preprocessers array<string>, rmse double, tokeniser string, featuriser string, model string, seed int, finetune boolean"
     read = spark.read.schema(schema).json(path)
     return read.groupBy("model", "seed", "tokeniser", "featuriser", "finetune").agg(F.count(F.lit(1)).alias("n"))
 
@@ -144,24 +147,72 @@ def reconciliation_roundtrip(spark, d):
 SELECT hash, array_to_string(list_sort(preprocessers), ',') AS preprocessers, tokeniser, featuriser, model, finetune, seed,
        status, error FROM hashed_log""")
 def log_objects_roundtrip(spark, d):
-    """Log objects (hash -> record), many small ones by hash prefix, read back entry by entry."""
+    """Log files of one object (hash -> record) each, cut by hash prefix, read back entry by entry."""
     path = scratch_path(spark, "log")
     log = hashed_log(spark, d)
+    # as many leading digits as keep an object at some hundred entries
+    digits = max(1, math.ceil(math.log(max(1, log.count() / 400), 16)))
     entry = F.struct(F.col("preprocessers").alias("preprocesser_order"), "tokeniser", "featuriser", "model", "finetune",
                      "seed", "status", "error")
-    # the objects of a log are kept small by their hash prefix: about n/4096 entries each
-    objects = log.groupBy(F.substring("hash", 1, 3).alias("shard")).agg(
+    objects = log.groupBy(F.substring("hash", 1, digits).alias("shard")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("hash", entry.alias("entry"))))).alias("value")
     )
-    objects.select("value").write.text(path)
-    whole = spark.read.text(path)
-    entries = F.explode(F.from_json("value", f"map<string,{fl.LOG_ENTRY}>")).alias("hash", "entry")
-    return whole.select(entries).select("hash", "entry.*").select(
-        "hash", F.array_join(F.array_sort("preprocesser_order"), ",").alias("preprocessers"), "tokeniser", "featuriser",
+    objects.repartition("shard").write.partitionBy("shard").text(path)
+    return fl.read_log(spark, path).select(
+        "hash", F.array_join(F.array_sort("preprocessers"), ",").alias("preprocessers"), "tokeniser", "featuriser",
         "model", "finetune", "seed", "status", "error",
     )
 
 
+@query("failed_records_file", f"""WITH {HASHED_LOG}
+SELECT hash, seed, status, error FROM hashed_log WHERE status = 'failed'""")
+def failed_records_file(spark, d):
+    """The failed entries of a log as a file of their own."""
+    path = scratch_path(spark, "failed")
+    failed = hashed_log(spark, d).where("status = 'failed'")
+    failed.select("hash", "preprocessers", "tokeniser", "featuriser", "model", "finetune", "seed", "status", "error").write.json(path)
+    return spark.read.schema("hash string, seed int, status string, error string").json(path)
+
+
+@query("ranking_tables_roundtrip", f"""WITH {PANEL}, r AS (SELECT *, rank() OVER (PARTITION BY experiment ORDER BY value DESC)
+    + (count(*) OVER (PARTITION BY experiment, value) - 1) / 2.0 AS rank FROM panel)
+SELECT 'rank' AS kind, method AS name, approx(avg(rank), 6) AS value FROM r GROUP BY method
+UNION ALL SELECT 'wins', method, approx(count(*) FILTER (rank = 1), 6) FROM r GROUP BY method
+UNION ALL SELECT 'zeros', x.method || '|' || y.method, approx(count(*) FILTER (x.value = y.value), 6)
+FROM panel x JOIN panel y ON x.experiment = y.experiment AND x.method < y.method GROUP BY ALL""")
+def ranking_tables_roundtrip(spark, d):
+    """Average ranks, wins and the tests of all pairs, each written as a CSV table and read back."""
+    root, panel = scratch_path(spark, "ranking"), v.panel(spark, d)
+    fl.write_csv(rk.average_ranks(panel), f"{root}/ranks")
+    fl.write_csv(rk.wins(panel), f"{root}/wins")
+    fl.write_csv(hy.holm(hy.wilcoxon_pairs(panel)), f"{root}/pairs")
+
+    def read(name):
+        return spark.read.option("header", True).option("escape", '"').csv(f"{root}/{name}")
+
+    def rows(df, kind, name, value):
+        return df.select(F.lit(kind).alias("kind"), name.alias("name"), rnd(F.col(value).cast("double"), 6).alias("value"))
+
+    return (rows(read("ranks"), "rank", F.col("method"), "average_rank").union(rows(read("wins"), "wins", F.col("method"), "wins"))
+            .union(rows(read("pairs"), "zeros", F.concat_ws("|", "a", "b"), "zeros")))
+
+
+@query("side_params_joined", f"""WITH {RAW}, s AS (SELECT model, avg(total_time) AS mean, stddev_pop(total_time) AS std
+  FROM raw_results WHERE model <> 'resnet' GROUP BY model)
+SELECT r.model, count(*) AS n, approx(any_value(mean), 4) AS mean, approx(any_value(std), 4) AS std
+FROM raw_results r LEFT JOIN s USING (model) GROUP BY r.model""")
+def side_params_joined(spark, d):
+    """Scaling parameters from the file beside each result file; one folder has none."""
+    root, raw = scratch_path(spark, "beside"), v.raw_results(spark, d)
+    runs = raw.withColumn("run", F.col("model"))
+    fl.write_results(runs.repartition("run"), root, ["run"])
+    params = runs.where("model <> 'resnet'").groupBy("run").agg(F.avg("total_time").alias("mean"), F.stddev_pop("total_time").alias("std"))
+    params.select("run", F.to_json(F.struct("mean", "std")).alias("value")).write.mode("append").partitionBy("run").text(root)
+    results = fl.read_results(spark, root, raw.select("model", "total_time", "seed").schema, "*.json")
+    joined = fl.with_side_params(results, root, "*.txt")
+    return joined.groupBy("model").agg(F.count(F.lit(1)).alias("n"), rnd(F.max("mean")).alias("mean"), rnd(F.max("std")).alias("std"))
+
+
 @query("word_lines_roundtrip", f"SELECT DISTINCT unnest({words_sql('text')}) AS value FROM documents")
 def word_lines_roundtrip(spark, d):
     path = scratch_path(spark, "words")
