@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipescope.operators.curves import early_stop, with_slots
 
-NORMAL_SOLVER_LIMIT = 4096
 SEED = 97
 
 
@@ -32,16 +32,17 @@ def fit_mean(df: DataFrame, label: str = "label") -> MeanModel:
     return MeanModel(df.where(F.col("split").isin("train", "val")).agg(F.avg(label)).first()[0])
 
 
-def fit_linear(train: DataFrame, label: str = "label", features: str = "features") -> LinearRegressionModel:
-    """Least squares with intercept: normal equations for narrow, L-BFGS for wide features.
+def fit_linear(train: DataFrame, label: str = "label", features: str = "features", solver: str = "auto",
+               max_iter: int = 1000) -> LinearRegressionModel:
+    """Least squares with intercept; `solver` and `max_iter` are Spark's. A fit that ends without converging
+    is an error.
 
     The purely linear network is the same function class and uses this fit as well.
     """
-    first = train.select(features).first()
-    narrow = first is not None and first[0].size <= NORMAL_SOLVER_LIMIT
-    return LinearRegression(
-        featuresCol=features, labelCol=label, regParam=0.0, solver="auto" if narrow else "l-bfgs", maxIter=100,
-    ).fit(train)
+    model = LinearRegression(featuresCol=features, labelCol=label, regParam=0.0, solver=solver, maxIter=max_iter).fit(train)
+    if model.hasSummary and model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the linear fit did not converge in {max_iter} iterations")
+    return model
 
 
 def coefficients(model: LinearRegressionModel, spark, names: list[str] | None = None) -> DataFrame:
@@ -60,24 +61,30 @@ def best_round(losses: list[float], patience: int, spark) -> int:
     return row["best_epoch"] + 2  # the first loss, epoch -1, belongs to one tree
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first `n` rounds: boosting adds trees one after the other, so it is a prefix."""
+    java, context = model._java_obj, SparkContext._active_spark_context
+    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(context._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    short = context._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights)
+    short.setFeaturesCol(model.getFeaturesCol())
+    short.setPredictionCol(model.getPredictionCol())
+    return GBTRegressionModel(short)
+
+
 def fit_boosted(
     df: DataFrame, label: str = "label", features: str = "features", depth: int = 6, rate: float = 0.03,
     rounds: int = 1000, patience: int = 10,
 ) -> GBTRegressionModel:
-    """Boosted trees on train, cut back to the round chosen by early stopping on val.
-
-    Fitting is deterministic, so the shorter model is a prefix of the longer one.
-    """
+    """Boosted trees on train, cut back to the round chosen by early stopping on val."""
     train = df.where(F.col("split") == "train")
     val = df.where(F.col("split") == "val")
-
-    def fit(n: int) -> GBTRegressionModel:
-        return GBTRegressor(featuresCol=features, labelCol=label, maxDepth=depth, stepSize=rate, maxIter=n,
-                            seed=SEED, lossType="squared").fit(train)
-
-    model = fit(rounds)
+    model = GBTRegressor(featuresCol=features, labelCol=label, maxDepth=depth, stepSize=rate, maxIter=rounds,
+                         seed=SEED, lossType="squared").fit(train)
     keep = best_round(model.evaluateEachIteration(val, "squared"), patience, df.sparkSession)
-    return model if keep >= rounds else fit(keep)
+    return model if keep >= rounds else first_trees(model, keep)
 
 
 def boosted_a(df: DataFrame, **kw) -> GBTRegressionModel:

@@ -434,17 +434,17 @@ def linear_model_metrics(spark, d):
 
 @query("tf_idf_linear_metrics")
 def tf_idf_linear_metrics(spark, d):
-    config = xp.Config(["lowercase", "no_punctuation"], "whitespace", "tf_idf", "linear_regression", 200)
+    config = xp.Config(["lowercase", "no_punctuation"], "whitespace", "tf_idf", "linear_regression", 2000)
     return xp.metrics(split_documents(spark, d), config)
 
 
 @query("boosted_trees_a_metrics")
 def boosted_trees_a_metrics(spark, d):
     shaped = cut_lineage(text_shape(spark, d))
-    return evaluate(md.boosted_a(shaped, rounds=4, depth=3, patience=2).transform(shaped))
+    return evaluate(md.boosted_a(shaped, rounds=20, patience=10).transform(shaped))
 
 
 @query("boosted_trees_b_metrics")
 def boosted_trees_b_metrics(spark, d):
-    config = xp.Config([], "whitespace", "glove_mean", "xgboost", model_options={"rounds": 4, "depth": 3, "patience": 2})
+    config = xp.Config([], "whitespace", "glove_mean", "xgboost", model_options={"rounds": 20, "patience": 10})
     return xp.metrics(split_documents(spark, d), config, vectors=v.token_vectors(spark, d), width=WIDTH)

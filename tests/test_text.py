@@ -224,6 +224,17 @@ def test_boosted_trees_and_model_sink(spark, tmp_path):
     assert (tmp_path / "trees").exists()
 
 
+def test_first_trees_are_the_shorter_fit(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    df = linear_rows(spark)
+    long, short = (GBTRegressor(maxDepth=2, maxIter=n, seed=md.SEED).fit(df) for n in (6, 2))
+    cut = md.first_trees(long, 2)
+    assert cut.getNumTrees == 2
+    got = [r["prediction"] for r in cut.transform(df).collect()]
+    assert got == pytest.approx([r["prediction"] for r in short.transform(df).collect()])
+
+
 def test_best_round_obeys_patience(spark):
     assert md.best_round([5, 4, 4, 3, 3, 3, 3, 1], 3, spark) == 4
     assert md.best_round([3, 2, 1], 5, spark) == 3
