@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipescope.session import scratch_path
 
 SPACE = r"[\x20\x09-\x0D]"
+BATCH_ROWS = 2000
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,20 +43,37 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, and the rows survive the loss
     of any executor. The files go when the application ends."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that is removed when the application ends."""
-    path = scratch_path(spark, name)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches bounded to rows that fit a task beside its peers when rows are texts.
+
+    A batch is held on both sides of the pipe between Spark and Python; the session's bound is only ever lowered.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def giving_back(rows: Iterator) -> Iterator:
+    """What a task yields; memory that is free inside the worker goes back to the system when it ends, since the
+    worker stays beside the executor while other stages run."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, so that later tasks find what earlier ones put in."""
+    """A dict that lives as long as the Python worker, so that later tasks find what earlier ones put in.
+
+    A worker keeps one such dict: asking for another name drops the last one.
+    """
     holder = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.cache = name, {}
+    return holder.cache

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipescope.llm.pieces import CUT, RUN, PieceEncoder, chunks, tokenizer_text, worker_encoder
+from pipescope.llm.common import giving_back, in_small_batches
+from pipescope.llm.pieces import CUT, RUN, PieceEncoder, text_parts, tokenizer_text, worker_encoder
 
 LEAF_PIECES = 32
 RESULT = "doc_id long, n_edits long, tokens_before long, tokens_after long, chars_after long, chars_encoded long"
@@ -186,11 +187,10 @@ def edited_counts(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id
     def count(batches):
         encoder = worker_encoder(shared.value)
         for batch in batches:
-            ids, texts, lists = (batch.column(i).to_pylist() for i in range(3))
-            texts = [t or "" for t in texts]
-            for part in chunks(texts):
+            ids, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for part, texts in text_parts(batch.column(1)):
                 rows = []
-                for key, t, changes, counts in zip(ids[part], texts[part], lists[part], encoder.token_counts(texts[part])):
+                for key, t, changes, counts in zip(ids[part], texts, lists[part], encoder.token_counts(texts)):
                     document = EditedDocument(encoder, t, counts)
                     before = document.tokens
                     for change in changes or []:
@@ -199,5 +199,5 @@ def edited_counts(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
     kind = "array<struct<start:long,length:long,replacement:string>>"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
-                       F.col(edits).cast(kind).alias("edits")).mapInArrow(count, RESULT)
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(edits).cast(kind).alias("edits"))
+    return in_small_batches(chosen).mapInArrow(lambda batches: giving_back(count(batches)), RESULT)

@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pipescope.llm import files
-from pipescope.llm.common import shared_path, written
-from pipescope.llm.pieces import chunks, tokenizer_text, worker_encoder
+from pipescope.llm.common import giving_back, in_small_batches, written
+from pipescope.llm.pieces import text_parts, tokenizer_text, worker_encoder
+from pipescope.session import scratch_path
 
 MAGIC = b"HUFIDS1\n"
 MAX_BITS = 18
@@ -243,9 +244,8 @@ def encode_ordered(docs: DataFrame, tokenizer_json: str, kind: str, doc_id: str,
     def encode(batches):
         encoder, seq, number = worker_encoder(shared.value), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks(texts):
-                flat, sizes = encoder.ids(texts[part])
+            for part, texts in text_parts(batch.column(1)):
+                flat, sizes = encoder.ids(texts)
                 data = np.insert(flat.astype(kind), np.cumsum(sizes), end_id)
                 n, width = len(sizes), np.dtype(kind).itemsize
                 offsets = np.concatenate([[0], np.cumsum((sizes + 1) * width)]).astype(np.int32)
@@ -259,7 +259,7 @@ def encode_ordered(docs: DataFrame, tokenizer_json: str, kind: str, doc_id: str,
     order = [F.col("_doc").asc_nulls_first(), F.xxhash64("_text").asc(), F.col("_text").asc_nulls_first()]
     ordered = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")).repartitionByRange(
         *order[:2]).sortWithinPartitions(*order)
-    return ordered.mapInArrow(encode, "part long, seq long, doc_id long, ids binary")
+    return in_small_batches(ordered).mapInArrow(lambda batches: giving_back(encode(batches)), "part long, seq long, doc_id long, ids binary")
 
 
 def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
@@ -290,7 +290,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *
     encoded = written(encode_ordered(docs, tokenizer_json, kind, doc_id, text, end_id), "encoded", compression="zstd")
     counts = count_ids(encoded, kind).orderBy("id").toPandas()  # as long as the vocabulary at most
     ids, lengths = counts["id"].to_numpy(), code_lengths(counts["n"].to_numpy(), max_bits)
-    folder = folder or shared_path(spark, "ids")
+    folder = folder or scratch_path(spark, "ids")
     files.create_folder(folder)
     shared = spark.sparkContext.broadcast((ids, lengths))
 

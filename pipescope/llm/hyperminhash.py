@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipescope.llm.common import written
+from pipescope.llm.common import giving_back, in_small_batches, written
 from pipescope.llm.components import components
-from pipescope.llm.pieces import chunks
+from pipescope.llm.pieces import text_parts
 from pipescope.llm.shingles import shingle_hashes, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -107,26 +107,25 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n_shingles, digest, registers, text_hash) of every row."""
     def sketch(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks(texts):
-                sets = list(_shingle_sets(texts[part], size))
+            ids = batch.column(0)
+            for part, texts in text_parts(batch.column(1)):
+                sets = list(_shingle_sets(texts, size))
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(part.start, part.stop - part.start).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) for s in sets], pa.binary()), pa.array([registers(s).tobytes() for s in sets], pa.binary()),
                     batch.column(2).slice(part.start, part.stop - part.start),
                 ], ["doc_id", "n_shingles", "digest", "registers", "text_hash"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(
-        sketch, "doc_id long, n_shingles long, digest binary, registers binary, text_hash long")
+    return in_small_batches(docs.select(F.col(doc_id).cast("long"), F.col(text), F.xxhash64(text))).mapInArrow(
+        lambda batches: giving_back(sketch(batches)), "doc_id long, n_shingles long, digest binary, registers binary, text_hash long")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     """(node, shingles) of the wanted classes (node, rep, digest), from the texts of their representatives."""
     def sets(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for part in chunks(texts):
-                found = list(_shingle_sets(texts[part], size))
+            for _, texts in text_parts(batch.column(0)):
+                found = list(_shingle_sets(texts, size))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([digest(s) for s in found], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32()),
@@ -138,7 +137,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, doc_id: str, text:
         reps = F.broadcast(reps)
     texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
     chosen = texts.join(reps, F.col("_doc").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
-    found = chosen.mapInArrow(sets, "digest binary, shingles array<long>")
+    found = in_small_batches(chosen).mapInArrow(lambda batches: giving_back(sets(batches)), "digest binary, shingles array<long>")
     # several rows may hold the text of one class; their sets are equal
     return wanted.select("node", "digest").join(found, "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pipescope.llm.common import worker_cache
 
@@ -169,13 +171,12 @@ def tokenizer_text(path: str) -> str:
         return stream.read()
 
 
-def chunks(texts: Sequence[str], most: int = 4_000_000):
-    """Slices of a batch of at most about `most` characters, at least one text each."""
+def text_parts(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[slice, list[str]]]:
+    """A column of texts in parts of at most about `most` bytes, at least one text each; null texts are empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > most:
-            yield slice(start, i)
+    for i, size in enumerate([*sizes, most + 1]):
+        if i > start and (held + size > most or i == len(sizes)):
+            yield slice(start, i), [t or "" for t in column.slice(start, i - start).to_pylist()]
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+        held += size

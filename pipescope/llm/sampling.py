@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipescope.llm.common import worker_cache
-from pipescope.llm.pieces import chunks
+from pipescope.llm.common import giving_back, in_small_batches, worker_cache
+from pipescope.llm.pieces import text_parts
 
 MARK = "▁"
 RANK_OFFSET = 3.0
-CHUNK_CHARS = 2_000_000
+PART_BYTES = 1_000_000
 SCHEMA = ("key long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>, "
           "decoded boolean")
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -408,10 +408,10 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
     def sample(batches):
         model = worker_model(shared.value, power)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
+            keys = batch.column(0).to_pylist()
             seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for part in chunks(texts, CHUNK_CHARS):
-                lattice, searches = sample_batch(model, texts[part], seeds[part], k)
+            for part, texts in text_parts(batch.column(2), PART_BYTES):
+                lattice, searches = sample_batch(model, texts, seeds[part], k)
                 rows: dict[str, list] = {name: [] for name in schema.names}
                 paths = []
                 for own_key, s in zip(keys[part], searches):
@@ -430,7 +430,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
                 n_ids = np.diff(id_ends, prepend=0)
                 data, ends = model.decode(ids, n_ids)
                 begin = at = 0
-                for t, s in zip(texts[part], searches):
+                for t, s in zip(texts, searches):
                     want = t.encode("utf-8", "surrogatepass")
                     for _ in s.samples:
                         end = int(ends[at])
@@ -446,7 +446,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key).cast("long"), F.lit(seed)).alias("seed"),
                          F.col(text).alias("text"))
-    return chosen.mapInArrow(sample, SCHEMA)
+    return in_small_batches(chosen).mapInArrow(lambda batches: giving_back(sample(batches)), SCHEMA)
 
 
 def decode_ids(ids: Column, model_path: str, spark) -> Column:

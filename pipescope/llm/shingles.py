@@ -10,7 +10,7 @@ import xxhash
 
 from pipescope.llm.common import worker_cache
 
-MAX_WORDS = 500_000
+MAX_WORDS = 100_000
 MUL, ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from pipescope.llm import files
-from pipescope.llm.common import shared_path
+from pipescope.session import scratch_path
 
 HEADERS_SCHEMA = ("record_type string, record_id string, page_id long, target_uri string, payload_digest string, "
                   "payload_bytes long, refers_to long")
@@ -313,7 +313,7 @@ def read_archives(spark: SparkSession, folder: str, schema: str = SCHEMA) -> Dat
 def archive_round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Write `pages` as archives, read them back: HEADERS_SCHEMA rows, digests of responses from their payloads."""
     spark = pages.sparkSession
-    folder = folder or shared_path(spark, "warc")
+    folder = folder or scratch_path(spark, "warc")
     write_archives(records_of(pages, **columns), folder)
     headers = [c.split()[0] for c in HEADERS_SCHEMA.split(", ")]
     revisits = read_archives(spark, folder, HEADERS_SCHEMA).where(F.col("record_type") == "revisit")
