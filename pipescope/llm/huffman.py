@@ -17,6 +17,7 @@ encoded, and none occurs, since the counts cover all rows.
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pipescope.llm import files
-from pipescope.llm.common import giving_back, in_small_batches, written
+from pipescope.llm.common import in_small_batches, written
 from pipescope.llm.pieces import text_parts, tokenizer_text, worker_encoder
 from pipescope.session import scratch_path
 
@@ -39,6 +40,7 @@ MAX_BITS = 18
 LANE = 256
 BLOCK = 64 * LANE
 BLOCKS_AT_ONCE = 64
+PART_BYTES = 8_000_000  # of text encoded at a time
 MANIFEST = "part long, seq long, path string, n_ids long, n_docs long"
 
 
@@ -243,8 +245,9 @@ def encode_ordered(docs: DataFrame, tokenizer_json: str, kind: str, doc_id: str,
 
     def encode(batches):
         encoder, seq, number = worker_encoder(shared.value), 0, TaskContext.get().partitionId()
+        gc.disable()  # many short lists and no cycles
         for batch in batches:
-            for part, texts in text_parts(batch.column(1)):
+            for part, texts in text_parts(batch.column(1), PART_BYTES):
                 flat, sizes = encoder.ids(texts)
                 data = np.insert(flat.astype(kind), np.cumsum(sizes), end_id)
                 n, width = len(sizes), np.dtype(kind).itemsize
@@ -255,11 +258,12 @@ def encode_ordered(docs: DataFrame, tokenizer_json: str, kind: str, doc_id: str,
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
                 ], ["part", "seq", "doc_id", "ids"])
                 seq += n
+        gc.enable()
 
     order = [F.col("_doc").asc_nulls_first(), F.xxhash64("_text").asc(), F.col("_text").asc_nulls_first()]
     ordered = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")).repartitionByRange(
         *order[:2]).sortWithinPartitions(*order)
-    return in_small_batches(ordered).mapInArrow(lambda batches: giving_back(encode(batches)), "part long, seq long, doc_id long, ids binary")
+    return in_small_batches(ordered).mapInArrow(encode, "part long, seq long, doc_id long, ids binary")
 
 
 def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
