@@ -10,8 +10,8 @@ File: magic; u32 n, n u32 ids and n u8 code lengths; blocks; index; u64 place of
 u64 counts of blocks, lanes and documents; per block its u64 place and u64 number of ids; per lane its u32 bit
 offset in the block; per document its i64 id, u64 number of ids and u8 null mark. Numbers are little-endian.
 
-Defined cases: a null text is empty and has the end id only; null ids come first; rows with one id are ordered by
-their text; an empty table gives no rows; only the named columns are read. An id without a count cannot be
+Defined cases: a null text is empty and has the end id only; null ids come first; rows with one id follow each
+other as the table has them; an empty table gives no rows; only the named columns are read. An id without a count cannot be
 encoded, and none occurs, since the counts cover all rows.
 """
 
@@ -40,7 +40,7 @@ MAX_BITS = 18
 LANE = 256
 BLOCK = 64 * LANE
 BLOCKS_AT_ONCE = 64
-PART_BYTES = 8_000_000  # of text encoded at a time
+PART_BYTES = 4_000_000  # of text encoded at a time
 MANIFEST = "part long, seq long, path string, n_ids long, n_docs long"
 
 
@@ -260,9 +260,11 @@ def encode_ordered(docs: DataFrame, tokenizer_json: str, kind: str, doc_id: str,
                 seq += n
         gc.enable()
 
-    order = [F.col("_doc").asc_nulls_first(), F.xxhash64("_text").asc(), F.col("_text").asc_nulls_first()]
-    ordered = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")).repartitionByRange(
-        *order[:2]).sortWithinPartitions(*order)
+    # ranges are found from ids and places alone, without reading a text; an id of many rows spreads by their places
+    by_id, by_place = F.col("_doc").asc_nulls_first(), F.col("_place").asc()
+    placed = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")).withColumn(
+        "_place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(by_id, by_place).sortWithinPartitions(by_id, by_place).select("_doc", "_text")
     return in_small_batches(ordered).mapInArrow(encode, "part long, seq long, doc_id long, ids binary")
 
 
