@@ -48,9 +48,16 @@ def counted_terms(tokens: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt over the cores; a corpus of many files stays where it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, split, term, tf) over words and word pairs, counted inside each row: no row is moved."""
-    return docs.select("doc_id", "split", F.explode(counted_terms("tokens")).alias("_t")).select("doc_id", "split", "_t.term", "_t.tf")
+    """(doc_id, split, term, tf) over words and word pairs, counted inside each row."""
+    listed = spread(docs.select("doc_id", "split", "tokens")).select("doc_id", "split", F.explode(counted_terms("tokens")).alias("_t"))
+    return listed.select("doc_id", "split", "_t.term", "_t.tf")
 
 
 def fit_terms(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -105,7 +112,8 @@ def tf_idf(docs: DataFrame, terms: DataFrame) -> DataFrame:
         rows = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(weights, pa.float64())], ["term", "weight"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
-    listed = docs.select("doc_id", "split", F.explode(weighed(counted_terms("tokens"))).alias("_t"))
+    placed = spread(docs.select("doc_id", "split", "tokens"))
+    listed = placed.select("doc_id", "split", F.explode(weighed(counted_terms("tokens"))).alias("_t"))
     return listed.select("doc_id", "split", "_t.term", "_t.weight")
 
 
