@@ -2,10 +2,15 @@
 
 A document's statistics are turned into a vector: log of the number of words, log of the mean word length,
 log of one plus the percentage of symbols per word, and the share of words in repeated windows. Per language
-and source, the minimum-covariance-determinant estimate finds the h rows (h = `support` of the group) whose
+and source, the minimum-covariance-determinant estimate finds the h rows whose
 covariance has the smallest determinant, by concentration steps from two deterministic starts; documents
 whose Mahalanobis distance to it is beyond the far tail of the chi-square law are rejected.
 
+A first estimate has the highest breakdown point, h = (n + p + 1) / 2, so junk may be almost half of a group. Where
+it finds that at most 1 - `support` of the group is beyond the tail, the estimate from h = `support` of the group
+takes its place, which uses more of the ordinary rows; elsewhere that subset would have to take junk in, and the first
+estimate stays.
+
 Every concentration step is one aggregation: rows are binned by distance, each (group, start, bin) gets its
 count and its sums of coordinates and products, and the bins up to the one that holds the h-th row form
 the next subset (so a subset may exceed h by the rest of that bin). A group therefore never meets in one
@@ -158,7 +163,12 @@ def _estimate_columns() -> list[str]:
     return [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in PAIRS] + ["log_det"]
 
 
-def _step(rows: DataFrame, estimates: DataFrame, keys: list[str], support: float) -> DataFrame:
+def _half(total: Column) -> Column:
+    """The rows of the subset with the highest breakdown point."""
+    return F.least(total, F.floor((total + D + 1) / 2))
+
+
+def _step(rows: DataFrame, estimates: DataFrame, keys: list[str], support: float | None) -> DataFrame:
     """One concentration step for every group and start."""
     near = with_distance(_with_group(rows, estimates, keys), "_d2")
     binned = near.withColumn("_bin", F.floor(16 * F.log2(1 + 64 * F.col("_d2"))))
@@ -168,7 +178,7 @@ def _step(rows: DataFrame, estimates: DataFrame, keys: list[str], support: float
     group = Window.partitionBy(*keys, "start")
     earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     kept = bins.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(group)}).where(
-        F.col("before") < F.ceil(F.lit(support) * F.col("total")))
+        F.col("before") < (_half(F.col("total")) if support is None else F.ceil(F.lit(support) * F.col("total"))))
     totals = kept.groupBy(*keys, "start").agg(
         F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(D)],
         *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS])
@@ -187,44 +197,67 @@ def _with_group(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataF
     return rows.join(renamed, same).drop(*[f"_g_{k}" for k in keys])
 
 
-def mcd(rows: DataFrame, keys: list[str], support: float = 0.75, max_steps: int = 12) -> DataFrame:
-    """(keys, m_i, l_ij, log_det): the minimum-covariance-determinant estimate of each group.
+def mcd(rows: DataFrame, keys: list[str], support: float | None = 0.75) -> DataFrame:
+    """(keys, m_i, l_ij, log_det): the minimum-covariance-determinant estimate of each group; None is (n + p + 1) / 2 rows.
 
-    Steps go on until no determinant falls any more; `log_det` never rises, so this ends.
+    A step that does not make a determinant smaller (bins are taken in whole, so it may grow) leaves its estimate as it
+    was; steps go on until no determinant falls any more.
     """
-    estimates = cut_lineage(_starts(rows, keys))
-    last = None
-    for _ in range(max_steps):
-        estimates = cut_lineage(_step(rows, estimates, keys, support))
-        total = estimates.agg(F.sum(F.round("log_det", 6).cast("decimal(38,6)"))).first()[0]
-        if total == last:
+    estimates = cut_lineage(_step(rows, cut_lineage(_starts(rows, keys)), keys, support))
+    while True:
+        both = estimates.withColumn("_new", F.lit(0)).unionByName(
+            _step(rows, estimates, keys, support).withColumn("_new", F.lit(1)))
+        chosen = both.groupBy(*keys, "start").agg(F.min(F.struct(
+            F.round("log_det", 6).alias("_rounded"), "_new", *_estimate_columns())).alias("_least"))
+        stepped = cut_lineage(chosen.select(*keys, "start", "_least.*"))
+        estimates = stepped.drop("_rounded", "_new")
+        if stepped.where("_new = 1").isEmpty():
             break
-        last = total
     best = Window.partitionBy(*keys).orderBy(F.round("log_det", 9), "start")
     return estimates.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best", "start")
 
 
+def _consistency(support: float) -> float:
+    """The usual factor between the spread of the nearest share of normal rows and the spread of all."""
+    return support / (1 - chi_square_tail(chi_square_quantile(1 - support, D), D + 2))
+
+
+def _of_groups(estimates: DataFrame, groups: DataFrame, keys: list[str], how: str) -> DataFrame:
+    renamed = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    same = None
+    for k in keys:
+        equal = estimates[k].eqNullSafe(renamed[f"_g_{k}"])
+        same = equal if same is None else same & equal
+    return estimates.join(renamed, same, how)
+
+
 def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = (),
            support: float = 0.75, tail: float = 1e-9) -> DataFrame:
     """The `keep` columns of every row with its statistics, `base_failed`, `distance` and `kept`.
 
     `distance` is the squared robust distance with the usual consistency factor; rows beyond the
     chi-square quantile of `tail` are rejected. Documents the base rules reject have no part in the estimate.
+    `support` is the share of a group's rows in the estimate where no more than the rest of them are outliers.
     """
     keys = ["_lang", "_source"]
     chosen = docs.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
                          F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     stats = with_coordinates(with_statistics(chosen, "_text"))
     small = written(stats.drop("_text", *[f"_keep_{i}" for i, c in enumerate(keep) if c == text]), "statistics")
-    estimates = cut_lineage(mcd(small.where("not base_failed").select(*keys, *COORDINATES), keys, support))
-    quantile = chi_square_quantile(1 - support, D)
-    factor = support / (1 - chi_square_tail(quantile, D + 2))
+    judging = small.where("not base_failed").select(*keys, *COORDINATES)
+    cutoff = chi_square_quantile(tail, D)
+    wary = cut_lineage(mcd(judging, keys, None).withColumn("factor", F.lit(_consistency(0.5))))
+    shares = with_distance(_with_group(judging, wary, keys), "_d2").groupBy(*keys).agg(
+        F.avg((F.col("_d2") > F.lit(cutoff) * F.col("factor")).cast("int")).alias("_beyond"))
+    crowded = cut_lineage(shares.where(F.col("_beyond") > F.lit(1 - support)).select(*keys))
+    usual = mcd(judging, keys, support).withColumn("factor", F.lit(_consistency(support)))
+    estimates = cut_lineage(_of_groups(usual, crowded, keys, "left_anti").unionByName(_of_groups(wary, crowded, keys, "left_semi")))
     rows = small if text not in keep else stats
     measured = with_distance(_left_group(rows, estimates, keys), "_d2")
-    distance = F.round(F.col("_d2") / F.lit(factor), 6)
+    distance = F.round(F.col("_d2") / F.col("factor"), 6)
     return measured.select(
         *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], *STATISTICS, "base_failed", distance.alias("distance"),
-        (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= F.lit(chi_square_quantile(tail, D)))).alias("kept"))
+        (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= F.lit(cutoff))).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", **parameters) -> DataFrame:

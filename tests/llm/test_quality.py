@@ -95,3 +95,18 @@ def test_edge_tables(frame):
 
 def test_chi_square():
     assert quality.chi_square_quantile(0.05, 4) == pytest.approx(9.487729, abs=1e-5)
+
+
+def test_groups_with_a_third_of_junk(frame):
+    """Junk that is more than a quarter of a group goes, and the ordinary rows stay."""
+    rng = np.random.default_rng(9)
+    rows, junk = [], set()
+    for source, share, mark in (("few", 0.1, "###"), ("third", 0.34, "###"), ("one", 0.34, "#"), ("most", 0.45, "###")):
+        for i in range(300):
+            words = ["w" * int(rng.integers(2, 9)) + str(rng.integers(1000)) for _ in range(int(rng.integers(25, 90)))]
+            if i < share * 300:
+                words = [w + mark for w in words]
+                junk.add(len(rows))
+            rows.append((len(rows), " ".join(words), "en", source, 1))
+    rejected = {r.doc_id for r in quality.judged(frame(rows), keep=("doc_id",)).where("not kept").collect()}
+    assert rejected == junk
