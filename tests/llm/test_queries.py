@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, small, name):
 
 def test_one_query_for_each_operator():
     numbers = [n[2:].split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(numbers, key=int) == [str(n) for n in range(1, 11)] and "pipeline" in entry.queries()
+    assert sorted(numbers, key=int) == [str(n) for n in range(1, 14)] and "pipeline" in entry.queries()
 
 
 URLS = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.Example.ORG/es/x?y#z"), (5, "ftp://example.org/en/12"), (6, "x://org"), (7, "x://borg/"),
