@@ -1,8 +1,8 @@
 """Quality rules as robust multivariate outlier detection, in DataFrame functions only.
 
 A document's statistics are turned into a vector: log of the number of words, log of the mean word length,
-log of one plus the percentage of symbols per word, and the share of words in repeated windows. Per language
-and source, the minimum-covariance-determinant estimate finds the h rows whose
+log of one plus the percentage of symbols per word, the share of words in repeated windows, and the share of lines
+that repeat an earlier one. Per language and source, the minimum-covariance-determinant estimate finds the h rows whose
 covariance has the smallest determinant, by concentration steps from two deterministic starts; documents
 whose Mahalanobis distance to it is beyond the far tail of the chi-square law are rejected.
 
@@ -37,7 +37,7 @@ WINDOW = 8
 SCALE = 1024
 # standard deviations added to each coordinate's spread, so that a coordinate that hardly varies in a
 # source does not reject ordinary documents
-FLOORS = (0.5, 0.1, 0.35, 0.1)
+FLOORS = (0.5, 0.1, 0.35, 0.1, 0.1)
 D = len(FLOORS)
 COORDINATES = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
@@ -75,10 +75,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "_lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again"))),
             "n_repeat_words": let(F.transform("_words", lambda w: F.xxhash64(w)), _repeat_words),
         })
-        .drop("_words")
+        .withColumns({"n_lines": F.col("_lines.n"), "n_dup_lines": F.col("_lines.again")})
+        .drop("_words", "_lines")
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     )
 
@@ -89,17 +90,17 @@ def with_coordinates(df: DataFrame) -> DataFrame:
     values = (
         F.log1p(F.col("n_words").cast("double")), F.log(F.greatest("word_chars", F.lit(1)) / words),
         F.log1p(100 * F.col("n_symbols") / words), F.col("n_repeat_words") / words,
+        F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
     )
     return df.withColumns({x: F.round(v * SCALE).cast("long") for x, v in zip(COORDINATES, values)})
 
 
 def chi_square_tail(x: float, dof: int) -> float:
-    """P(X > x) for an even number of degrees of freedom."""
-    term = total = 1.0
-    for i in range(1, dof // 2):
-        term *= x / 2 / i
-        total += term
-    return math.exp(-x / 2) * total
+    """P(X > x)."""
+    half = x / 2
+    if dof % 2:
+        return math.erfc(math.sqrt(half)) + math.exp(-half) * sum(half ** (i + 0.5) / math.gamma(i + 1.5) for i in range(dof // 2))
+    return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(dof // 2))
 
 
 def chi_square_quantile(tail: float, dof: int) -> float:
@@ -243,7 +244,8 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: s
     chosen = docs.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
                          F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     stats = with_coordinates(with_statistics(chosen, "_text"))
-    small = written(stats.drop("_text", *[f"_keep_{i}" for i, c in enumerate(keep) if c == text]), "statistics")
+    # written once, with the columns to keep; the steps of the estimates read the coordinates alone
+    small = written(stats.drop("_text", "n_lines"), "statistics")
     judging = small.where("not base_failed").select(*keys, *COORDINATES)
     cutoff = chi_square_quantile(tail, D)
     wary = cut_lineage(mcd(judging, keys, None).withColumn("factor", F.lit(_consistency(0.5))))
@@ -252,8 +254,7 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: s
     crowded = cut_lineage(shares.where(F.col("_beyond") > F.lit(1 - support)).select(*keys))
     usual = mcd(judging, keys, support).withColumn("factor", F.lit(_consistency(support)))
     estimates = cut_lineage(_of_groups(usual, crowded, keys, "left_anti").unionByName(_of_groups(wary, crowded, keys, "left_semi")))
-    rows = small if text not in keep else stats
-    measured = with_distance(_left_group(rows, estimates, keys), "_d2")
+    measured = with_distance(_left_group(small, estimates, keys), "_d2")
     distance = F.round(F.col("_d2") / F.col("factor"), 6)
     return measured.select(
         *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], *STATISTICS, "base_failed", distance.alias("distance"),

@@ -70,11 +70,12 @@ def test_estimates_and_verdicts_equal_numpy(frame, spark):
         rows.append((i, " ".join(words), ["en", "de", None][i % 3], "hot" if i % 2 else None, 1))
     docs = frame(rows)
     got = quality.judged(docs, keep=("doc_id", "lang", "source", "text")).toPandas()
-    quantile = quality.chi_square_quantile(0.25, 4)
-    factor = 0.75 / (1 - quality.chi_square_tail(quantile, 6))
+    quantile = quality.chi_square_quantile(0.25, 5)
+    factor = 0.75 / (1 - quality.chi_square_tail(quantile, 7))
     for _, group in got.groupby(["lang", "source"], dropna=False):
         n = group.n_words.to_numpy(float)
-        x = np.column_stack([np.log1p(n), np.log(group.word_chars / n), np.log1p(100 * group.n_symbols / n), group.n_repeat_words / n])
+        x = np.column_stack([np.log1p(n), np.log(group.word_chars / n), np.log1p(100 * group.n_symbols / n), group.n_repeat_words / n,
+                             group.n_dup_lines / 1.0])
         _, mean, cov = brute_mcd(x)
         v = np.round(x * quality.SCALE) / quality.SCALE
         z = np.linalg.solve(np.linalg.cholesky(cov), (v - mean).T)
@@ -95,6 +96,8 @@ def test_edge_tables(frame):
 
 def test_chi_square():
     assert quality.chi_square_quantile(0.05, 4) == pytest.approx(9.487729, abs=1e-5)
+    assert quality.chi_square_quantile(0.05, 5) == pytest.approx(11.070498, abs=1e-5)
+    assert quality.chi_square_quantile(1e-9, 7) == pytest.approx(54.5, abs=2)
 
 
 def test_groups_with_a_third_of_junk(frame):
@@ -110,3 +113,21 @@ def test_groups_with_a_third_of_junk(frame):
             rows.append((len(rows), " ".join(words), "en", source, 1))
     rejected = {r.doc_id for r in quality.judged(frame(rows), keep=("doc_id",)).where("not kept").collect()}
     assert rejected == junk
+
+
+def test_repeated_short_lines(frame):
+    """Lines of under 8 words that recur are outliers; a few repeated lines are not."""
+    rng = np.random.default_rng(13)
+    rows, junk = [], set()
+    for i in range(300):
+        lines = [" ".join(str(rng.integers(10**6)) for _ in range(6)) for _ in range(12)]
+        if i % 12 == 0:
+            junk.add(i)
+            # ten short lines in changing order: hardly a window of 8 words recurs
+            lines = [f"{i}a{k} {i}b{k}" for k in rng.integers(0, 10, 60)]
+        elif i % 3 == 0:
+            lines[5] = lines[2]
+        rows.append((i, "\n".join(lines), "en", "s", 1))
+    got = quality.judged(frame(rows), keep=("doc_id",)).collect()
+    assert {r.doc_id for r in got if not r.kept} == junk
+    assert any(not r.base_failed for r in got if not r.kept)
