@@ -37,7 +37,7 @@ WINDOW = 8
 SCALE = 1024
 # standard deviations added to each coordinate's spread, so that a coordinate that hardly varies in a
 # source does not reject ordinary documents
-FLOORS = (0.5, 0.1, 0.35, 0.1, 0.1)
+FLOORS = (0.5, 0.1, 0.35, 0.1, 0.08)
 D = len(FLOORS)
 COORDINATES = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
