@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,6 +88,24 @@ def chi_square_upper(x: float, df: float) -> float:
     return front * out
 
 
+def rank_sum_two_sided(u: float, n1: float, n2: float) -> float:
+    """Exact two-sided p of the Mann-Whitney U of untied samples.
+
+    The number of orders with each value of U are the coefficients of a Gaussian binomial: a product of n1 factors
+    (1 - q^(n2 + i)) / (1 - q^i), kept as whole numbers up to the smaller of U and n1 * n2 - U.
+    """
+    n1, n2 = sorted((int(n1), int(n2)))
+    low = int(min(u, n1 * n2 - u))
+    orders = np.zeros(low + 1, object)
+    orders[0] = 1
+    for i in range(1, n1 + 1):
+        if n2 + i <= low:
+            orders[n2 + i:] = orders[n2 + i:] - orders[:low + 1 - n2 - i]
+        for first in range(min(i, low + 1)):
+            orders[first::i] = np.add.accumulate(orders[first::i])
+    return min(1.0, 2 * int(orders.sum()) / math.comb(n1 + n2, n1))
+
+
 def _rowwise(fn, *columns: pd.Series) -> pd.Series:
     def one(row):
         return None if any(v is None or math.isnan(v) for v in row) else fn(*row)
@@ -109,6 +128,29 @@ def _chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(chi_square_upper, x, df)
 
 
+@F.pandas_udf(T.DoubleType())
+def _rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return _rowwise(rank_sum_two_sided, u, n1, n2)
+
+
+def rank_sum_p(u: Column, n1: Column, n2: Column) -> Column:
+    """Exact two-sided p-value of an untied rank-sum statistic; NULL for a NULL one."""
+    return _rank_sum_p(u.cast("double"), n1.cast("double"), n2.cast("double"))
+
+
+def signed_rank_p(twice_ranks: Column, statistic: Column) -> Column:
+    """Exact two-sided p-value of a signed-rank statistic (the smaller rank sum), from twice the ranks as whole numbers.
+
+    Under random signs each rank is added or not, so the law of the sum is folded rank by rank, up to the statistic; ties
+    (half ranks) and ranks that zeros have raised are taken as they are.
+    """
+    upto = F.sequence(F.lit(0), F.round(2 * statistic).cast("int"))
+    start = F.transform(upto, lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    law = F.aggregate(twice_ranks, start, lambda law, rank: F.transform(
+        law, lambda p, i: (p + F.when(i >= rank, F.get(law, i - rank)).otherwise(0.0)) / 2))
+    return F.least(F.lit(1.0), 2 * F.aggregate(law, F.lit(0.0), lambda total, p: total + p))
+
+
 def normal_p(z: Column) -> Column:
     """Two-sided p-value of a standard normal statistic."""
     return _normal_p(z.cast("double"))

@@ -38,29 +38,77 @@ def running_best(curves: DataFrame) -> DataFrame:
     ).drop("_prior")
 
 
+def stopping_states(curves: DataFrame, patience: int) -> DataFrame:
+    """One row per (run, slot): what early stopping needs to know of a slot, whatever came before it.
+
+    A record is a loss strictly below all earlier ones of the slot. What came before decides only which of the records
+    of the first `patience` epochs is the first improvement (if none of them is, patience ends first); from there on
+    improvements are the slot's own records. So a state holds `opening` (the epochs of that stretch) and `heads` (its
+    records), at most `patience` of each; `beyond`, the first epoch after it; `stop`, the first epoch at which the slot's
+    own records run out of patience, with the record before it; and the last record. The rows of a slot are read in
+    order, never collected.
+    """
+    place = Window.partitionBy("run_id", "slot").orderBy("epoch")
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
+    best = F.min("val_loss").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min("epoch").over(upto)
+    marked = curves.select("run_id", "slot", "epoch", "val_loss", first.alias("_first"), (best.isNull() | (F.col("val_loss") < best)).alias("_record"))
+    record = F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("val_loss").cast("double").alias("loss"))
+    placed = marked.withColumn("_record_here", F.when(F.col("_record"), record)).withColumn(
+        "_last", F.last("_record_here", ignorenulls=True).over(upto))
+    early = F.col("epoch") < F.col("_first") + patience
+    out = F.col("epoch") - F.col("_last.epoch") >= patience
+    return placed.groupBy("run_id", "slot").agg(
+        F.min("epoch").cast("long").alias("first"), F.max("epoch").cast("long").alias("last"),
+        F.sort_array(F.collect_list(F.when(early, F.col("epoch").cast("long")))).alias("opening"),
+        F.sort_array(F.collect_list(F.when(early, F.col("_record_here")))).alias("heads"),
+        F.min(F.when(~early, F.col("epoch").cast("long"))).alias("beyond"),
+        F.min(F.when(out, F.struct(F.col("epoch").cast("long").alias("at"), F.col("_last").alias("record")))).alias("stop"),
+        F.max("_record_here").alias("record"),
+    )
+
+
+def _merge(patience: int):
+    """The state of a run after one more slot: (best, at, stop)."""
+    def merged(run, slot):
+        limit = run["at"] + patience
+        due = F.when(limit <= slot["first"], slot["first"]).otherwise(
+            F.coalesce(F.get(F.filter(slot["opening"], lambda e: e >= limit), 0), slot["beyond"]))
+        better = F.get(F.filter(slot["heads"], lambda h: run["best"].isNull() | (h["loss"] < run["best"])), 0)
+
+        def state(best, at, stop):
+            return F.struct(best.alias("best"), at.alias("at"), stop.alias("stop"))
+
+        none = F.lit(None).cast("long")
+        return (
+            F.when(run["stop"].isNotNull(), run)
+            .when(due.isNotNull() & (better.isNull() | (due < better["epoch"])), state(run["best"], run["at"], due))
+            .when(better.isNull(), run)
+            .when(slot["stop"].isNotNull(), state(slot["stop"]["record"]["loss"], slot["stop"]["record"]["epoch"], slot["stop"]["at"]))
+            .otherwise(state(slot["record"]["loss"], slot["record"]["epoch"], none))
+        )
+
+    return merged
+
+
 def early_stop(curves: DataFrame, patience: int) -> DataFrame:
     """Per run: where training stops and the best loss so far.
 
     Stops at the first epoch that is `patience` epochs past the last improvement; the initial loss
-    (epoch -1) is the first best. `reason` is `patience` or `end`.
+    (epoch -1) is the first best. `reason` is `patience` or `end`. The curves are shuffled once, by run and slot; the
+    states of the slots, of bounded size, then meet by run and are merged in their order.
     """
-    marked = running_best(curves)
-    out_of_patience = F.col("epoch") - F.col("last_improved") >= patience
-    stops = marked.groupBy("run_id").agg(
-        F.min(F.when(out_of_patience, F.col("epoch"))).alias("_stop"), F.max("epoch").alias("_end")
-    )
-    stops = stops.select(
-        "run_id", F.coalesce("_stop", "_end").alias("stop_epoch"),
-        F.when(F.col("_stop").isNotNull(), "patience").otherwise("end").alias("reason"),
-    )
-    # the best epoch before the stop is the last improvement seen there
-    considered = F.col("improved") & (F.col("epoch") <= F.col("stop_epoch"))
-    return (
-        marked.join(stops, "run_id")
-        .groupBy("run_id", "stop_epoch", "reason")
-        .agg(F.min(F.when(considered, F.col("val_loss"))).alias("best_loss"),
-             F.max(F.when(considered, F.col("epoch"))).alias("best_epoch"))
-    )
+    kind = curves.schema["epoch"].dataType
+    slots = stopping_states(curves, patience)
+    runs = slots.groupBy("run_id").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "first", "opening", "heads", "beyond", "stop", "record"))).alias("_slots"),
+        F.max("last").alias("_end"))
+    begin = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("stop"))
+    folded = runs.withColumn("_run", F.aggregate("_slots", begin, _merge(patience)))
+    return folded.select(
+        "run_id", F.coalesce("_run.stop", "_end").cast(kind).alias("stop_epoch"),
+        F.when(F.col("_run.stop").isNotNull(), "patience").otherwise("end").alias("reason"),
+        F.col("_run.best").alias("best_loss"), F.col("_run.at").cast(kind).alias("best_epoch"))
 
 
 def time_limit_stop(curves: DataFrame, limit: float, time: str = "epoch_time") -> DataFrame:

@@ -10,11 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipescope.functions.tails import chi_square_p, normal_p, student_p
+from pipescope.functions.tails import chi_square_p, normal_p, rank_sum_p, signed_rank_p, student_p
 from pipescope.operators.ordering import value_runs
 from pipescope.operators.ranking import method_pairs, ranked
 
 ALPHA = 0.05
+EXACT_SAMPLE = 8  # the exact rank-sum law holds for an untied sample of at most so many rows
+EXACT_PANEL = 50  # the exact signed-rank law holds for at most so many differences
 
 
 def paired_t(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -76,10 +78,11 @@ def pooled_t(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ()) ->
     return tested.withColumn("p_value", student_p(F.col("t"), F.col("n") + F.col("m") - 2))
 
 
-def mann_whitney(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Two-sided Mann-Whitney U with tie and continuity correction (normal form).
+def mann_whitney(df: DataFrame, value: str, flag: str, keys: Sequence[str] = (), exact_up_to: int = EXACT_SAMPLE) -> DataFrame:
+    """Two-sided Mann-Whitney U.
 
-    `u` is the statistic of the flagged sample.
+    Where the smaller sample has at most `exact_up_to` rows and no values tie, p is exact; else it is the normal form
+    with tie and continuity correction (`z` is always that of the normal form). `u` is the statistic of the flagged sample.
     """
     first = F.sum(F.when(F.col(flag), 1).otherwise(0))
     runs = value_runs(df, keys, value, {"_x": first})
@@ -93,11 +96,13 @@ def mann_whitney(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ())
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
     variance = n1 * n2 / 12 * ((total + 1) - F.col("_ties") / (total * (total - 1)))
     z = (F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / F.sqrt(variance)
+    exact = (F.least(n1, n2) <= exact_up_to) & (F.col("_ties") == 0)
     tested = sums.where((F.col("n1") > 0) & (F.col("n1") < F.col("_all"))).select(
-        *keys, "n1", n2.cast("long").alias("n2"), u1.alias("u"), z.alias("z")
+        *keys, "n1", n2.cast("long").alias("n2"), u1.alias("u"), z.alias("z"), F.when(exact, u1).alias("_exact_u")
     )
     # below the centre the corrected z is negative: the two-sided p is then 1
-    return tested.withColumn("p_value", normal_p(F.greatest("z", F.lit(0.0))))
+    by_law = rank_sum_p(F.col("_exact_u"), F.col("n1"), F.col("n2"))
+    return tested.withColumn("p_value", F.coalesce(by_law, normal_p(F.greatest("z", F.lit(0.0))))).drop("_exact_u")
 
 
 def _k_squared(moments: DataFrame) -> DataFrame:
@@ -162,15 +167,20 @@ def compare_by_normality(
     )
 
 
-def wilcoxon_pairs(panel: DataFrame) -> DataFrame:
-    """Signed-rank test (zeros ranked, then dropped) for every pair of methods, aligned on experiments."""
-    d = F.col("diff")
+def wilcoxon_pairs(panel: DataFrame, keys: Sequence[str] = (), exact_up_to: int = EXACT_PANEL, exact_zeros: bool = False) -> DataFrame:
+    """Signed-rank test (zeros ranked, then dropped) for every pair of methods, aligned on experiments, per `keys`.
+
+    With at most `exact_up_to` differences and no zero among them p comes from the law of the rank sum under random signs
+    of the (possibly tied) ranks; else from the normal form with tie correction. `exact_zeros` extends the exact law to
+    panels with zeros, whose ranks then start above those of the zeros. `z` is always that of the normal form.
+    """
+    d, of = F.col("diff"), [*keys, "a", "b"]
     runs = value_runs(
-        method_pairs(panel).withColumn("size", F.abs(d)), ["a", "b"], "size",
+        method_pairs(panel, keys).withColumn("size", F.abs(d)), of, "size",
         {"_pos": F.count_if(d > 0), "_neg": F.count_if(d < 0), "_zero": F.count_if(d == 0)},
     )
     t = F.when(F.col("size") > 0, F.col("n").cast("double"))
-    sums = runs.groupBy("a", "b").agg(
+    sums = runs.groupBy(*of).agg(
         F.sum("n").alias("n"), F.sum("_zero").alias("zeros"),
         F.sum(F.col("_pos") * F.col("avg_rank")).alias("_plus"),
         F.sum(F.col("_neg") * F.col("avg_rank")).alias("_minus"),
@@ -181,9 +191,13 @@ def wilcoxon_pairs(panel: DataFrame) -> DataFrame:
     mean = n * (n + 1) / 4 - z * (z + 1) / 4
     var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - F.col("_ties") / 2) / 24
     score = F.try_divide(statistic - mean, F.sqrt(var))
-    return sums.select("a", "b", "n", "zeros", statistic.alias("statistic"), score.alias("z")).withColumn(
-        "p_value", F.coalesce(normal_p(F.col("z")), F.lit(1.0))
-    )
+    tested = sums.select(*of, "n", "zeros", statistic.alias("statistic"), score.alias("z"))
+    small = tested.where((F.col("n") <= exact_up_to) & (F.lit(exact_zeros) | (F.col("zeros") == 0))).select(*of)
+    ranks = runs.where(F.col("size") > 0).join(small, of, "left_semi").groupBy(*of).agg(F.flatten(F.collect_list(
+        F.array_repeat(F.round(2 * F.col("avg_rank")).cast("int"), F.col("n").cast("int")))).alias("_ranks"))
+    by_law = F.when(F.col("_ranks").isNotNull(), signed_rank_p(F.col("_ranks"), F.col("statistic")))
+    return tested.join(ranks, of, "left").withColumn(
+        "p_value", F.coalesce(by_law, normal_p(F.col("z")), F.lit(1.0))).drop("_ranks")
 
 
 def friedman(panel: DataFrame) -> DataFrame:

@@ -78,20 +78,20 @@ def wins(panel: DataFrame) -> DataFrame:
     )
 
 
-def method_pairs(panel: DataFrame) -> DataFrame:
-    """(a, b, experiment, diff) with a < b, values aligned on the experiment.
+def method_pairs(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, experiment, a, b, diff) with a < b, values aligned on the experiment.
 
     The rows of an experiment (one per method) travel in one aggregation buffer, so pairing needs a
     single shuffle; the output is inherently methods*(methods-1)/2 rows per experiment.
     """
-    by_experiment = panel.groupBy("experiment").agg(
+    by_experiment = panel.groupBy(*keys, "experiment").agg(
         F.array_sort(F.collect_list(F.struct("method", "value"))).alias("row")
     )
     pairs = F.expr(
         "flatten(transform(row, (x, i) -> transform(slice(row, i + 2, size(row)), "
         "y -> struct(x.method AS a, y.method AS b, x.value - y.value AS diff))))"
     )
-    return by_experiment.select("experiment", F.explode(pairs).alias("p")).select("experiment", "p.*")
+    return by_experiment.select(*keys, "experiment", F.explode(pairs).alias("p")).select(*keys, "experiment", "p.*")
 
 
 def maximal_cliques(edges: DataFrame, min_size: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pipescope.functions import scalar as sc
 from pipescope.operators import hypothesis as hy
 from pipescope.operators import permutation as pm
 from pipescope.operators import ranking as rk
@@ -317,6 +318,34 @@ k AS (SELECT step, has, n, (asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)))
         + ((1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))) ** 2 AS k2 FROM i)"""
 
 
+# all subsets of 24 places, cut in halves of 12: how many subsets of the first `places` have `size` members and sum `total`
+_SUBSETS = """half AS (SELECT m, bit_count(m)::INTEGER AS size,
+    list_sum(list_transform(range(12), lambda i: ((m >> i) & 1) * (i + 1)))::INTEGER AS total FROM (SELECT unnest(range(4096)) AS m)),
+subsets AS (SELECT CASE WHEN hi.m > 0 THEN 13 + floor(log2(hi.m))::INTEGER WHEN lo.m > 0 THEN 1 + floor(log2(lo.m))::INTEGER ELSE 0 END AS places,
+    lo.size + hi.size AS size, lo.total + hi.total + 12 * hi.size AS total, count(*) AS orders FROM half lo, half hi GROUP BY ALL)"""
+_CELL = ["featuriser", "model", "tokeniser", "seed", "step"]
+_CELLS = ", ".join(_CELL)
+
+
+# untied samples, the smaller of at most eight rows, by enumeration of all orders; the others by the normal form
+@query("rank_sum_small_samples", f"""WITH {RESULTS}, marked AS (
+  SELECT {_CELLS}, rmse, list_contains(preprocessers, step) AS has FROM results, (SELECT unnest({TESTED_STEPS!r}) AS step)),
+{_RANK_SUM.replace("step, has", f"{_CELLS}, has").replace("PARTITION BY step", f"PARTITION BY {_CELLS}").replace("SELECT step, count", f"SELECT {_CELLS}, count").replace("GROUP BY step", f"GROUP BY {_CELLS}")},
+{_SUBSETS}, sized AS (SELECT *, {_Z} AS z, ties = 0 AND least(n1, n2) <= 8 AS exact FROM u WHERE n1 > 0 AND n2 > 0),
+wanted AS (SELECT DISTINCT least(n1, n2) AS size, n1 + n2 AS places, least(u, n1 * n2 - u) AS low FROM sized WHERE exact),
+law AS (SELECT w.size, w.places, w.low, sum(orders) FILTER (total - w.size * (w.size + 1) / 2 <= w.low) / sum(orders) AS share
+  FROM wanted w JOIN subsets s ON s.size = w.size AND s.places <= w.places GROUP BY ALL)
+SELECT {_CELLS}, n1, n2, CAST(u AS DOUBLE) AS u, exact,
+       approx(CASE WHEN exact THEN least(1, 2 * share) ELSE {normal_p_sql("greatest(z, 0)")} END, 6) AS p_value
+FROM sized LEFT JOIN law ON law.size = least(n1, n2) AND law.places = n1 + n2 AND law.low = least(u, n1 * n2 - u)""")
+def rank_sum_small_samples(spark, d):
+    marked = rs.by_step(v.results(spark, d), TESTED_STEPS)
+    ties = marked.groupBy(*_CELL).agg((F.count_distinct("rmse") == F.count("rmse")).alias("_untied"))
+    tested = hy.mann_whitney(marked, "rmse", "has", _CELL).join(ties, _CELL)
+    return tested.select(*_CELL, "n1", "n2", "u", (F.col("_untied") & (F.least("n1", "n2") <= hy.EXACT_SAMPLE)).alias("exact"),
+                         rnd("p_value", 6).alias("p_value"))
+
+
 @query("normality_steps", f"""WITH {RESULTS}, {_MARKED}, {_K2}
 SELECT step, has, CAST(n AS BIGINT) AS n, approx(k2, 4) AS k2, approx(exp(-k2 / 2), 6) AS normality_p FROM k""")
 def normality_steps(spark, d):
@@ -377,6 +406,31 @@ def signed_rank_pairs(spark, d):
         "a", "b", "n", "zeros", "statistic", rnd("z", 6).alias("z"), rnd("p_value", 6).alias("p_value"))
 
 
+# every assignment of signs to the ranks: the sums over the first ten of them, joined with the sums over the others
+_SIGNS = """ranks AS (SELECT codes, featuriser, a, b, list(r ORDER BY r) AS rs FROM absr GROUP BY ALL),
+first_sums AS (SELECT codes, featuriser, a, b, unnest(list_reduce(list_transform(rs[1:10], lambda x: [x]),
+    lambda sums, x: list_concat(sums, list_transform(sums, lambda s: s + x[1])), [0.0])) AS s FROM ranks),
+other_sums AS (SELECT codes, featuriser, a, b, unnest(list_reduce(list_transform(rs[11:], lambda x: [x]),
+    lambda sums, x: list_concat(sums, list_transform(sums, lambda s: s + x[1])), [0.0])) AS s FROM ranks),
+signed AS (SELECT w.codes, w.featuriser, w.a, w.b, avg(CASE WHEN f.s + o.s <= w.statistic THEN 1.0 ELSE 0.0 END) AS share
+  FROM wz w JOIN first_sums f USING (codes, featuriser, a, b) JOIN other_sums o USING (codes, featuriser, a, b) GROUP BY ALL)"""
+_SMALL_PANEL = """small AS (SELECT DISTINCT codes, featuriser, concat_ws('_', codes, tokeniser, featuriser, seed) AS experiment FROM records),
+panels AS (SELECT codes, featuriser, panel.* FROM panel JOIN small USING (experiment))"""
+
+
+@query("signed_rank_small_panels", f"""WITH {PANEL}, {_SMALL_PANEL}, {_WILCOXON.replace("SELECT x.method", "SELECT x.codes, x.featuriser, x.method").replace("FROM panel x JOIN panel y", "FROM panels x JOIN panels y").replace("PARTITION BY a, b", "PARTITION BY codes, featuriser, a, b").replace("SELECT a, b, count", "SELECT codes, featuriser, a, b, count").replace("GROUP BY a, b", "GROUP BY codes, featuriser, a, b")},
+{_SIGNS}
+SELECT codes, featuriser, a, b, CAST(n AS BIGINT) AS n, CAST(statistic AS DOUBLE) AS statistic, approx(least(1, 2 * share), 6) AS p_value
+FROM wz JOIN signed USING (codes, featuriser, a, b)""")
+def signed_rank_small_panels(spark, d):
+    """The methods of each step combination and featuriser compared over its few tokenisers and seeds."""
+    names = rs.clean_records(v.raw_results(spark, d)).select(
+        "codes", "featuriser", sc.joined_key("codes", "tokeniser", "featuriser", "seed").alias("experiment")).distinct()
+    panels = v.panel(spark, d).join(names, "experiment")
+    return hy.wilcoxon_pairs(panels, ["codes", "featuriser"]).select(
+        "codes", "featuriser", "a", "b", "n", "statistic", rnd("p_value", 6).alias("p_value"))
+
+
 @query("holm_pairs", f"""WITH {PANEL}, {_WILCOXON}, {_HOLM}
 SELECT a, b, approx(p, 6) AS p_value, approx(threshold, 8) AS threshold, reject FROM decided""")
 def holm_pairs(spark, d):

@@ -101,3 +101,32 @@ def test_box_counts_outliers(spark):
     df = spark.createDataFrame([("a", float(x)) for x in [1, 2, 3, 4, 5, 100]], "g string, x double")
     row = ag.box_stats(df, "x", ["g"]).first()
     assert (row["whisker_low"], row["whisker_high"], row["outliers"], row["n"]) == (1.0, 5.0, 1, 6)
+
+
+def test_early_stops_equal_a_loop_over_epochs(spark):
+    """States of slots merge to what a loop over each whole curve gives, wherever slots are cut."""
+    import random
+
+    from pipescope.operators.curves import early_stop
+
+    rng = random.Random(17)
+    rows, want = [], {}
+    for run in range(60):
+        patience, per_slot, level, epoch, curve = 4, rng.choice([1, 2, 5, 9, 100]), 50.0, -1, []
+        for _ in range(rng.randrange(1, 60)):
+            level += rng.choice([-1.5, -0.5, 0.5, 1.0, 0.0])
+            curve.append((epoch, level))
+            epoch += rng.choice([1, 1, 1, 2, 7])
+        rows += [(run, (e + 1) // per_slot, e, x) for e, x in curve]
+        best, at, stop = None, None, None
+        for e, x in curve:
+            if best is None or x < best:
+                best, at = x, e
+            elif e - at >= patience:
+                stop = e
+                break
+        want[run] = (curve[-1][0] if stop is None else stop, "end" if stop is None else "patience", best, at)
+    df = spark.createDataFrame(rows, "run_id int, slot int, epoch int, val_loss double").repartition(7)
+    got = {r.run_id: (r.stop_epoch, r.reason, r.best_loss, r.best_epoch) for r in early_stop(df, 4).collect()}
+    assert got == want
+    assert early_stop(df.where("false"), 4).count() == 0

@@ -176,3 +176,31 @@ def test_cliques(spark):
 def test_normality_needs_eight_rows(spark):
     df = spark.range(7).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     assert hy.normality(df, "v", ["g"]).first()["k2"] is None
+
+
+def test_exact_laws_equal_enumeration(spark):
+    """Signed ranks with ties and zeros against all signs; rank sums against all orders."""
+    import itertools
+    import random
+
+    from pipescope.functions.tails import rank_sum_two_sided
+
+    rng = random.Random(31)
+    rows, want = [], {}
+    for group in range(12):
+        diffs = [rng.choice([-3, -2, -1, 0, 1, 1, 2, 4, 5]) if group % 2 else rng.uniform(-1, 2) for _ in range(group + 1)]
+        rows += [(group, f"e{i}", m, d if m == "a" else 0.0) for i, d in enumerate(map(float, diffs)) for m in "ab"]
+        ranks = [1 + sum(abs(x) < abs(d) for x in diffs) + (sum(abs(x) == abs(d) for x in diffs) - 1) / 2 for d in diffs]
+        kept = [(r, d) for r, d in zip(ranks, diffs) if d]
+        low = min(sum(r for r, d in kept if d > 0), sum(r for r, d in kept if d < 0))
+        sums = [sum(r for (r, _), s in zip(kept, signs) if s) for signs in itertools.product([0, 1], repeat=len(kept))]
+        want[group] = min(1.0, 2 * sum(s <= low for s in sums) / len(sums))
+    panel = spark.createDataFrame(rows, "g int, experiment string, method string, value double")
+    got = {r.g: r.p_value for r in hy.wilcoxon_pairs(panel, ["g"], exact_zeros=True).collect()}
+    assert got == pytest.approx(want)
+    for n1, n2 in [(1, 1), (1, 6), (3, 4), (5, 3), (4, 8)]:
+        orders = [sum(c) - n1 * (n1 + 1) / 2 for c in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+        for u in {*orders}:
+            low = min(u, n1 * n2 - u)
+            assert rank_sum_two_sided(u, n1, n2) == pytest.approx(min(1.0, 2 * sum(o <= low for o in orders) / len(orders)))
+    assert 0 < rank_sum_two_sided(100_000, 8, 60_000) < 1
