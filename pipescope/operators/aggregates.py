@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipescope.operators.ordering import exact_quantiles, quantiles_of_runs, value_runs
+from pipescope.operators.ordering import exact_quantiles
 
 CONFIG = ["codes", "tokeniser", "featuriser", "model"]
 UPSTREAM = ["codes", "tokeniser", "featuriser"]
@@ -141,21 +141,21 @@ def histogram(
 
 def box_stats(df: DataFrame, metric: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (most extreme value inside 1.5 IQR) and the number of points beyond."""
-    ranked = value_runs(df, keys, metric)
-    runs = ranked.select(*keys, metric, "n")
-    box = quantiles_of_runs(ranked, keys, metric, QUARTILES).drop("n")
+    box = exact_quantiles(df, keys, metric, QUARTILES).drop("n")
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = F.col(metric).between(low, high)
     return (
-        runs.join(box, list(keys))
+        df.where(F.col(metric).isNotNull())
+        .select(*keys, metric)
+        .join(box, list(keys))
         .groupBy(*keys)
         .agg(
             *[F.first(q).alias(q) for q in QUARTILES],
             F.min(F.when(inside, F.col(metric))).alias("whisker_low"),
             F.max(F.when(inside, F.col(metric))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
-            F.sum("n").alias("n"),
+            F.count_if(~inside).alias("outliers"),
+            F.count(F.lit(1)).alias("n"),
         )
     )
 

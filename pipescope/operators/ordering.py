@@ -19,6 +19,8 @@ from pipescope.session import cut_lineage
 
 BUCKET_LEVELS = 6  # value ranges per group: 2 to this power at least
 HASH_BUCKET_DIGITS = 3  # digest buckets: 16 to this power at least
+SKETCH = 10_000  # accuracy of the sketches that bracket quantiles: ranks are right within 1 / SKETCH of the rows
+MARGIN = 4 / SKETCH  # half the width of a bracket
 ROWS_PER_BUCKET = 100_000  # ordered in one task; more rows get more buckets
 
 
@@ -92,24 +94,55 @@ def value_runs(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, C
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group and its size `n`, exact at any size."""
-    return quantiles_of_runs(value_runs(df, keys, value), keys, value, probs)
+    """Linearly interpolated quantiles per group and its size `n`, exact at any size. NULL values are left out.
 
-
-def quantiles_of_runs(runs: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """The quantile at p lies at position p*(n-1); the two order statistics around it are the runs that
-    cover these positions."""
-    sizes = runs.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    joined = runs.join(sizes, list(keys)) if keys else runs.withColumn("_n", sizes.scalar())
+    The quantile at p lies at position p*(n-1). One pass sketches for each p a pair of values that has this position
+    between them; a second pass keeps what lies between, collapsed by value (about 2 * MARGIN of a group), and of the rest
+    only its number and the nearest values on both sides. Positions are counted in that; nothing else is ordered, and
+    nothing is written. A position outside its pair would be an error, not a wrong value.
+    """
+    inner = {name: float(p) for name, p in probs.items() if 0 < p < 1}
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+
+    def marks(shift: float) -> Column:
+        shares = [min(1.0, max(0.0, p + shift)) for p in inner.values()]
+        return F.percentile_approx("_v", F.array(*map(F.lit, shares)), F.lit(SKETCH))
+
+    ends = [F.count(F.lit(1)).alias("n"), F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max")]
+    if not inner:
+        sides = rows.groupBy(*keys).agg(*ends)
+        return sides.select(*keys, *[F.col("_max" if p > 0 else "_min").alias(name) for name, p in probs.items()], "n")
+    around = rows.groupBy(*keys).agg(F.struct(*ends, marks(-MARGIN).alias("low"), marks(MARGIN).alias("high")).alias("_around"))
+    placed = rows.join(around, list(keys)) if keys else rows.withColumn("_around", around.scalar())
+
+    def side(q: Column) -> Column:
+        below = F.col("_v") < F.get("_around.low", q)
+        return F.when(below, -1).when(F.col("_v") > F.get("_around.high", q), 1).otherwise(0)
+
+    numbers = F.array(*map(F.lit, range(len(inner))))
+    each = placed.withColumn("_q", F.explode(F.transform(numbers, lambda q: F.struct(q.alias("of"), side(q).alias("side")))))
+    counts = each.groupBy(*keys, "_q", F.when(F.col("_q.side") == 0, F.col("_v")).alias("_at")).agg(
+        F.count(F.lit(1)).alias("_count"), F.max("_v").alias("_high"), F.min("_v").alias("_low"),
+        F.max(F.struct("_around.n", "_around._min", "_around._max")).alias("_all"))
+    order = Window.partitionBy(*keys, "_q.of").orderBy("_q.side", "_at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counts.withColumn("_upto", F.sum("_count").over(order)).withColumn("_first", F.col("_upto") - F.col("_count"))
     columns = []
-    last = F.col("n_before") + F.col("n") - 1
     for name, p in probs.items():
-        position = F.lit(float(p)) * (F.col("_n") - 1)
-        low, high = F.floor(position), F.ceil(position)
-        at_low = F.max(F.when((F.col("n_before") <= low) & (last >= low), F.col(value)))
-        at_high = F.max(F.when((F.col("n_before") <= high) & (last >= high), F.col(value)))
-        columns.append((at_low + (at_high - at_low) * F.max(position - low)).alias(name))
-    return joined.groupBy(*keys).agg(*columns, F.max("_n").alias("n"))
+        if name not in inner:
+            columns.append(F.max("_all._max" if p > 0 else "_all._min").alias(name))
+            continue
+        position = F.lit(float(p)) * (F.col("_all.n") - 1)
+
+        def at(place: Column) -> Column:
+            inside = (F.col("_q.side") == 0) & (F.col("_first") <= place) & (place < F.col("_upto"))
+            value_there = (F.when(inside, F.col("_at")).when((F.col("_q.side") < 0) & (place == F.col("_upto") - 1), F.col("_high"))
+                           .when((F.col("_q.side") > 0) & (place == F.col("_first")), F.col("_low")))
+            found = F.max(F.when(F.col("_q.of") == list(inner).index(name), value_there))
+            return F.coalesce(found.cast("double"), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        columns.append((low + (high - low) * F.max(position - F.floor(position))).alias(name))
+    return counted.groupBy(*keys).agg(*columns, F.max("_all.n").alias("n"))
 
 
 def digest_cutoffs(df: DataFrame, keys: Sequence[str], digest: str, wanted: Column) -> DataFrame:

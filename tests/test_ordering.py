@@ -130,3 +130,24 @@ def test_early_stops_equal_a_loop_over_epochs(spark):
     got = {r.run_id: (r.stop_epoch, r.reason, r.best_loss, r.best_epoch) for r in early_stop(df, 4).collect()}
     assert got == want
     assert early_stop(df.where("false"), 4).count() == 0
+
+
+def test_quantiles_of_small_hot_and_odd_groups(spark):
+    """Groups of one to nine rows, one hot group with a value in most of its rows, nulls, ungrouped and empty tables."""
+    rng = np.random.default_rng(23)
+    groups = {f"g{n}": rng.normal(size=n).round(1).tolist() for n in range(1, 10)}
+    groups["hot"] = [1.5] * 30_000 + rng.normal(size=20_000).tolist()
+    groups["even"] = np.arange(25_001, dtype=float).tolist()
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("g3", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(9)
+    probs = {"min": 0.0, "a": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "z": 0.999, "max": 1.0}
+    got = {r["g"]: r for r in od.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert [got[g][p] for p in probs] == pytest.approx(list(np.quantile(vs, list(probs.values())))), g
+        assert got[g]["n"] == len(vs)
+    everything = [v for vs in groups.values() for v in vs]
+    (whole,) = od.exact_quantiles(df, [], "v", probs).collect()
+    assert [whole[p] for p in probs] == pytest.approx(list(np.quantile(everything, list(probs.values()))))
+    assert od.exact_quantiles(df.where("false"), ["g"], "v", probs).count() == 0
+    assert od.exact_quantiles(df, ["g"], "v", {"max": 1.0}).where("g = 'even'").first()["max"] == 25_000
