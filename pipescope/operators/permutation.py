@@ -10,7 +10,7 @@ over any number of rows therefore shuffles (permutations x buckets) sums and not
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ EXACT_LIMIT = 20
 TOLERANCE = 1e-9
 ROWS_PER_BLOCK = 50_000
 PERMUTATIONS_PER_TASK = 2_000
+LANES = 64  # tasks that a sample of few blocks is copied for
+HYPERGEOMETRIC_LIMIT = 10**9
 
 
 def _at_least(a: Column, b: Column, scale: Column) -> Column:
@@ -212,15 +214,47 @@ def paired_exhaustive_test(df: DataFrame, a: str, b: str, pair: str, exact: bool
     return counted.withColumn("p_value", p)
 
 
+def _split(rng: np.random.Generator, left: int, right: int, drawn: np.ndarray) -> np.ndarray:
+    """How many of `drawn` rows, drawn without replacement, come from the left part: hypergeometric.
+
+    Beyond the generator's range of 10^9 rows a part, the normal law with the same mean and variance stands in.
+    """
+    if max(left, right) < HYPERGEOMETRIC_LIMIT:
+        return rng.hypergeometric(left, right, drawn)
+    total, share = left + right, left / (left + right)
+    spread = np.sqrt(drawn * share * (1 - share) * (total - drawn) / max(total - 1, 1))
+    guess = np.rint(drawn * share + spread * rng.standard_normal(len(drawn))).astype(np.int64)
+    return np.clip(guess, np.maximum(0, drawn - right), np.minimum(left, drawn))
+
+
+def block_shares(ends: np.ndarray, block: int, drawn: int, seed: int, task: int, n: int) -> np.ndarray:
+    """How many of `drawn` rows a block gives in each of the `n` permutations of a task.
+
+    `ends` are the running numbers of rows, from 0. The blocks are the leaves of a binary tree; each node splits its share
+    between its halves by a draw seeded by task and node, so a block follows its own path from the root, and the shares of
+    all blocks fit together although every block derives its own alone.
+    """
+    low, high, share = 0, len(ends) - 1, np.full(n, drawn, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, task, low, high])
+        left = _split(rng, int(ends[middle] - ends[low]), int(ends[high] - ends[middle]), share)
+        if block < middle:
+            share, high = left, middle
+        else:
+            share, low = share - left, middle
+    return share
+
+
 def monte_carlo_test(
     df: DataFrame, value: str, flag: str, row: str, n_permutations: int = 100_000, one_sided: bool = False, seed: int = 97,
 ) -> DataFrame:
     """The two-sample test by random draws instead of digests, in one form for samples of any size.
 
-    Rows are dealt into blocks by a hash of `row`. A permutation first draws how many rows of the smaller sample
-    each block gives (multivariate hypergeometric, the same in every task, as its generator is seeded by the
-    permutation), then each block draws that many of its rows and reports their sum. No task holds more than a
-    block, and only (permutations x blocks) sums are shuffled.
+    Rows are dealt into blocks by a hash of `row`. For a permutation each block derives how many rows of the smaller
+    sample it gives (`block_shares`, in steps of the logarithm of the number of blocks), draws that many of its rows and
+    reports their sum. No task holds more than a block, rows are copied only as often as a few blocks need to keep LANES
+    tasks busy, and only (permutations x blocks) sums are shuffled.
     """
     slim = df.where(F.col(value).isNotNull()).select(
         F.col(value).cast("double").alias("_v"), F.col(flag).alias("_x"), F.col(row).cast("string").alias("_row"))
@@ -232,21 +266,25 @@ def monte_carlo_test(
     blocks = -(-(n + m) // ROWS_PER_BLOCK)
     placed = sample.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
     counted = {r["_block"]: r["count"] for r in placed.groupBy("_block").count().collect()}  # one number per block
-    sizes = [counted.get(b, 0) for b in range(blocks)]
+    ends = np.concatenate([[0], np.cumsum([counted.get(b, 0) for b in range(blocks)])]).astype(np.int64)
     smaller, first_is_smaller = min(n, m), n <= m
     tasks = -(-n_permutations // PERMUTATIONS_PER_TASK)
+    lanes = min(tasks, max(1, LANES // blocks))
 
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        block, task = int(key[0]), int(key[1])
+    def draw(key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        block, lane = int(key[0]), int(key[1])
         values = rows.sort_values(["_row", "_v"])["_v"].to_numpy()
-        numbers = np.arange(task * PERMUTATIONS_PER_TASK + 1, min((task + 1) * PERMUTATIONS_PER_TASK, n_permutations) + 1)
-        sums = np.empty(len(numbers))
-        for i, number in enumerate(numbers.tolist()):
-            share = np.random.default_rng([seed, number]).multivariate_hypergeometric(sizes, smaller, method="marginals")
-            sums[i] = np.random.default_rng([seed, number, block]).choice(values, int(share[block]), replace=False, shuffle=False).sum()
-        return pd.DataFrame({"perm": numbers, "part": sums})
-
-    spread = placed.select("_block", "_row", "_v", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_task"))
-    parts = spread.groupBy("_block", "_task").applyInPandas(draw, "perm long, part double")
+        for task in range(lane, tasks, lanes):
+            numbers = np.arange(task * PERMUTATIONS_PER_TASK + 1, min((task + 1) * PERMUTATIONS_PER_TASK, n_permutations) + 1)
+            shares = block_shares(ends, block, smaller, seed, task, len(numbers))
+            rng = np.random.default_rng([seed, task, block, block])
+            sums = [rng.choice(values, int(share), replace=False, shuffle=False).sum() for share in shares]
+            yield pd.DataFrame({"perm": numbers, "part": sums})
+
+    def drawn(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from draw(key, pd.concat(list(batches)))
+
+    spread = placed.select("_block", "_row", "_v", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
+    parts = spread.groupBy("_block", "_lane").applyInPandas(drawn, "perm long, part double")
     sum_x = F.sum("part") if first_is_smaller else F.lit(total) - F.sum("part")
     return _finish(parts.groupBy("perm").agg(sum_x.alias("sum_x")), _observed(_sample_sums(sample, [])), [], one_sided)

@@ -204,3 +204,17 @@ def test_exact_laws_equal_enumeration(spark):
             low = min(u, n1 * n2 - u)
             assert rank_sum_two_sided(u, n1, n2) == pytest.approx(min(1.0, 2 * sum(o <= low for o in orders) / len(orders)))
     assert 0 < rank_sum_two_sided(100_000, 8, 60_000) < 1
+
+
+def test_shares_of_blocks_fit_together():
+    """Blocks derive their shares alone; together they are what was drawn, with the hypergeometric moments."""
+    sizes = np.array([40, 0, 7, 90, 33, 1, 60])
+    ends, n, drawn = np.concatenate([[0], np.cumsum(sizes)]), 4000, 80
+    shares = np.array([pm.block_shares(ends, b, drawn, 97, 3, n) for b in range(len(sizes))])
+    assert (shares.sum(0) == drawn).all() and (shares >= 0).all() and (shares <= sizes[:, None]).all()
+    total = sizes.sum()
+    assert np.allclose(shares.mean(1), drawn * sizes / total, atol=0.35)
+    spread = drawn * sizes / total * (1 - sizes / total) * (total - drawn) / (total - 1)
+    assert np.allclose(shares.var(1), spread, rtol=0.15, atol=0.1)
+    large = pm._split(np.random.default_rng(1), 3 * 10**9, 10**9, np.full(4000, 10**6))
+    assert abs(large.mean() - 750_000) < 40 and abs(large.std() / math.sqrt(10**6 * 0.75 * 0.25) - 1) < 0.06
