@@ -12,6 +12,7 @@ from pipescope.functions.scalar import result_path, seed_from_path
 from pipescope.functions.text import whitespace_tokens
 from pipescope.operators.results import SPLITS
 from pipescope.operators.sampling import split_corpus, split_train_val
+from pipescope.sources.split_csv import read_csv
 
 METRICS = ("rmse", "mae", "r2", "medae")
 # Corpora with their own train and test files.
@@ -20,6 +21,7 @@ FILE_CORPORA = [
 ]
 SYNTHETIC_CORPUS = "test"
 SYNTHETIC_DOCS, SYNTHETIC_TOKENS = 100, 500
+COPIES_PER_RANGE = 10_000
 
 RECORD_SCHEMA = T.StructType(
     [
@@ -45,11 +47,9 @@ LOG_ENTRY = "struct<preprocesser_order:array<string>,tokeniser:string,featuriser
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema: str = "text STRING, label DOUBLE") -> DataFrame:
-    """Quoted CSV with a header; `NA` and empty fields are text, never NULL."""
-    df = (
-        spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
-    )
+    """Quoted CSV with a header; `NA` and empty fields are text, never NULL. Files are read by many tasks each, line
+    breaks inside fields included."""
+    df = read_csv(spark, path, schema)
     texts = {f.name: F.coalesce(f.name, F.lit("")) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     return df.withColumns(texts)
 
@@ -81,7 +81,10 @@ def with_row_id(corpus: DataFrame, part: str) -> DataFrame:
     depend on files or partitions, and a row that occurs in a third of the corpus is one row while it is counted.
     """
     counted = corpus.groupBy("text", "label").agg(F.count(F.lit(1)).alias("_n"))
-    rows = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    # the copies of a row are numbered by ranges, which are dealt out before they are written out
+    ranges = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES_PER_RANGE).cast("long"))))
+    dealt = ranges.repartition("text", "label", "_from")
+    rows = dealt.withColumn("_i", F.explode(F.sequence(F.col("_from") + 1, F.least("_n", F.col("_from") + COPIES_PER_RANGE))))
     digest = F.md5(F.concat_ws("\u0000", F.lit(part), "text", F.col("label").cast("string"), F.col("_i").cast("string")))
     return rows.select("text", "label", digest.alias("doc_id"))
 

@@ -146,3 +146,46 @@ def test_repeated_rows_of_a_corpus_have_ids_of_their_own(spark, tmp_path):
     corpus = fl.load_corpus(spark, name, 3, str(tmp_path))
     assert corpus.select("doc_id").distinct().count() == 22
     assert {r["split"]: r["count"] for r in corpus.groupBy("split").count().collect()} == {"train": 15, "val": 5, "test": 2}
+
+
+def test_csv_cut_anywhere_equals_one_task_per_file(spark, tmp_path):
+    """Blocks of a few bytes, so that cuts fall into quoted fields, doubled quotes and line ends of both kinds."""
+    import csv
+    import random
+
+    from pipescope.sources import split_csv
+
+    rng = random.Random(41)
+    bits = ['"', '""', ",", "\n", "\n\n", "\r\n", "é", "word", " ", "x,y", '"\n"', ",\n,"]
+    want = []
+    for f in range(3):
+        rows = [("".join(rng.choices(bits, k=rng.randrange(9))), float(i)) for i in range(60)]
+        rows += [("NA", -1.0), ("long " * 100 + "\nend", -2.0), ("", -3.0)]
+        want += [(t.replace("\r\n", "\n"), v) for t, v in rows]
+        with open(tmp_path / f"{f}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if f == 1 else "\n")
+            writer.writerow(["text", "label"])
+            writer.writerows(rows)
+            if f == 2:
+                out.write("\nan unquoted 5\" field,7.0\n")
+                want.append(('an unquoted 5" field', 7.0))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "101")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = split_csv.placed_lines(spark, str(tmp_path))
+        assert lines.select("file", "block").distinct().count() > 20 and lines.rdd.getNumPartitions() > 20
+        got = [(r.text.replace("\r\n", "\n"), r.label) for r in fl.read_corpus_csv(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(got) == sorted(want)
+
+
+def test_many_copies_of_a_row_get_ids_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(fl, "COPIES_PER_RANGE", 7)
+    rows = spark.createDataFrame([("a", 1.0)] * 50 + [("b", 1.0), ("b", None), ("b", None)], "text string, label double")
+    ids = fl.with_row_id(rows, "train")
+    assert ids.count() == 53 and ids.select("doc_id").distinct().count() == 53
+    monkeypatch.setattr(fl, "COPIES_PER_RANGE", 10_000)
+    assert {r.doc_id for r in ids.collect()} == {r.doc_id for r in fl.with_row_id(rows, "train").collect()}
