@@ -40,3 +40,8 @@ def listing(uri: str) -> list[str]:
 def remove(uri: str) -> None:
     system, path = file_system(uri)
     system.delete_file(path)
+
+
+def size(uri: str) -> int:
+    system, path = file_system(uri)
+    return system.get_file_info(path).size

@@ -2,23 +2,30 @@
 
 Archives hold one gzip member per record. A member names its compressed and inflated lengths in the gzip
 extra field `sl` (skip lengths), so a reader inflates the record's headers, decides, and seeks to the next
-member without touching the payload. Members without that field (from other writers) are read through.
+member without touching the payload. Members without that field (from other writers) are read through, whether they hold
+one record or many.
 
 Reading: files are planned as ranges that begin at records (the writer lists such places in a manifest, which
-also names the files of the successful task attempts only). Equality and IN filters on the header columns are
+also names the files of the successful task attempts only). Archives of other writers (`*.warc.gz` in the folder, or the
+path of one) are in no manifest and are planned whole; files of this writer that no manifest names are left out, as their
+attempts failed. Equality and IN filters on the header columns are
 pushed into the reader; a record that fails them costs its headers. The payload is inflated only if the
 schema asks for it. Give a schema without `payload` to leave payloads alone.
 
 Defined cases: a null html is an empty payload; a null url has no target header; rows that repeat a page
 are records of their own; of records with equal payloads those with the largest page_id are responses, and a
 null page_id is never the largest unless all are null; an empty table is an archive without records. Only the
-named columns of a table are read.
+named columns of a table are read. Digests are read in base 32 or hexadecimal, of any case; digests of another kind, and
+numbers that are none, are null. Payloads of responses and requests are what follows their HTTP headers, those of other
+records the whole block, those of revisits null. What is no gzip member with WARC records, an archive that is not
+compressed, or one that ends inside a record, raises an error.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import struct
 import urllib.parse
 import uuid
@@ -48,7 +55,9 @@ RANGE_BYTES = 16 << 20
 GZIP_HEAD = "<4BI2B"  # magic 1f 8b, method, flags, time, extra flags, system
 EXTRA = "<H2sHII"  # length of the field, 'sl', length of its data, compressed, inflated
 HEAD_SIZE, EXTRA_SIZE = struct.calcsize(GZIP_HEAD), struct.calcsize(EXTRA)
-EXTRA_FLAG, NAME_FLAGS = 4, 8 | 16
+EXTRA_FLAG = 4
+CHUNK_BYTES = 1 << 16
+OWN_FILE = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 
 
 def record_id(page_id, record_type: str) -> str:
@@ -92,10 +101,15 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 def header_columns(headers: dict[str, str]) -> dict:
     def number(name):
-        return int(headers[name]) if name in headers else None
-
-    digest = headers.get("warc-payload-digest", "")
-    hexed = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
+        value = headers.get(name, "")
+        return int(value) if re.fullmatch(r"-?[0-9]{1,18}", value) else None
+
+    kind, _, digest = headers.get("warc-payload-digest", "").partition(":")
+    hexed = None
+    if kind.lower() == "sha1" and re.fullmatch(r"[0-9a-fA-F]{40}", digest):
+        hexed = digest.lower()
+    elif kind.lower() == "sha1" and re.fullmatch(r"[a-zA-Z2-7]{32}", digest):
+        hexed = base64.b32decode(digest.upper()).hex()
     return {
         "record_type": headers.get("warc-type"), "record_id": headers.get("warc-record-id"), "page_id": number("x-page-id"),
         "target_uri": headers.get("warc-target-uri"), "payload_digest": hexed, "payload_bytes": number("x-payload-length"),
@@ -120,22 +134,102 @@ def _inflated(stream, start: int, wanted: int | None) -> tuple[bytes, zlib._Deco
     return out, inflater, at
 
 
+class _Member:
+    """The contents of a gzip member, inflated as far as they are asked for."""
+
+    def __init__(self, stream, start: int):
+        self.stream, self.at, self.inflater, self.held = stream, start, zlib.decompressobj(-15), bytearray()
+
+    def fill(self, size: int) -> bool:
+        while len(self.held) < size and not self.inflater.eof:
+            self.stream.seek(self.at)
+            chunk = self.stream.read(CHUNK_BYTES)
+            if not chunk:
+                raise ValueError("the archive ends inside a record")
+            self.held += self.inflater.decompress(chunk)
+            self.at += len(chunk)
+        return len(self.held) >= size
+
+    def head(self) -> bytes | None:
+        """Up to the next blank line, without line ends before; None if nothing is left."""
+        while self.fill(1) and self.held[:1] in (b"\r", b"\n"):
+            del self.held[:1]
+        at = -1
+        while at < 0 and self.fill(len(self.held) + 1):
+            at = self.held.find(b"\r\n\r\n")
+        if at < 0:
+            at = self.held.find(b"\r\n\r\n")
+        if at < 0 and self.held:
+            raise ValueError("the archive ends inside a record")
+        if at < 0:
+            return None
+        text = bytes(self.held[:at])
+        del self.held[:at + 4]
+        return text
+
+    def block(self, size: int, keep: bool) -> bytes:
+        """The next `size` bytes, or none of them if they are not kept."""
+        out = []
+        while size:
+            if not self.fill(1):
+                raise ValueError("the archive ends inside a record")
+            part = self.held[:size]
+            if keep:
+                out.append(bytes(part))
+            del self.held[:len(part)]
+            size -= len(part)
+        return b"".join(out)
+
+
+def _member_records(member: _Member, wanted, with_payload: bool) -> Iterator[dict]:
+    """The records of a member, one after the other."""
+    while (text := member.head()) is not None:
+        headers = parse_headers(text)
+        if not text.startswith(b"WARC/") or not re.fullmatch(r"[0-9]+", headers.get("content-length", "")):
+            raise ValueError("no WARC record where one should begin")
+        row = header_columns(headers)
+        take = wanted(row)
+        block = member.block(int(headers["content-length"]), take and with_payload)
+        if take:
+            if with_payload:
+                row["payload"] = _payload(row["record_type"], block)
+            yield row
+
+
+def _payload(record_type: str | None, block: bytes) -> bytes | None:
+    if record_type == "revisit":
+        return None
+    return block.partition(b"\r\n\r\n")[2] if record_type in ("response", "request") else block
+
+
+def _data_start(stream, at: int, flags: int) -> int:
+    """Where the deflate data of a gzip member begin, behind the optional fields of its head."""
+    stream.seek(at)
+    head, start = stream.read(1 << 17), HEAD_SIZE
+    if flags & EXTRA_FLAG:
+        start += 2 + int.from_bytes(head[start:start + 2], "little")
+    for flag in (8, 16):  # name, comment
+        if flags & flag:
+            start = head.index(b"\0", start) + 1
+    return at + start + (2 if flags & 2 else 0)
+
+
 def read_records(stream, start: int, end: int, wanted, with_payload: bool) -> Iterator[dict]:
     """The records that begin in [start, end) and whose header columns satisfy `wanted`."""
     at = start
     while at < end:
         stream.seek(at)
-        head = stream.read(HEAD_SIZE + EXTRA_SIZE)
+        head = stream.read(HEAD_SIZE + EXTRA_SIZE).ljust(HEAD_SIZE + EXTRA_SIZE, b"\0")
         magic0, magic1, _, flags, *_ = struct.unpack_from(GZIP_HEAD, head)
-        if (magic0, magic1) != (0x1F, 0x8B) or flags & NAME_FLAGS:
-            raise ValueError(f"no gzip member without a name at byte {at}")
-        total = inflated = None
-        body = at + HEAD_SIZE
-        if flags & EXTRA_FLAG:
-            size, kind, _, total, inflated = struct.unpack_from(EXTRA, head, HEAD_SIZE)
-            body += 2 + size
-            if kind != b"sl":
-                total = inflated = None
+        if (magic0, magic1) != (0x1F, 0x8B):
+            raise ValueError(f"no gzip member at byte {at}")
+        size, kind, _, total, _ = struct.unpack_from(EXTRA, head, HEAD_SIZE) if flags == EXTRA_FLAG else (0, b"", 0, 0, 0)
+        if kind != b"sl":
+            content = _Member(stream, _data_start(stream, at, flags))
+            yield from _member_records(content, wanted, with_payload)
+            at = content.at - len(content.inflater.unused_data) + 8
+            continue
+        body = at + HEAD_SIZE + 2 + size
         out, inflater, read = _inflated(stream, body, None)
         text, _, rest = out.partition(b"\r\n\r\n")
         headers = parse_headers(text)
@@ -149,18 +243,10 @@ def read_records(stream, start: int, end: int, wanted, with_payload: bool) -> It
                 out += inflater.decompress(chunk)
                 read += len(chunk)
             block = out[len(text) + 4:need]
-            row["payload"] = None if row["record_type"] == "revisit" else block.partition(b"\r\n\r\n")[2]
+            row["payload"] = _payload(row["record_type"], block)
         if take:
             yield row
-        if total is not None:
-            at += total
-        else:
-            while not inflater.eof:
-                stream.seek(read)
-                chunk = stream.read(1 << 18)
-                inflater.decompress(chunk)
-                read += len(chunk)
-            at = read - len(inflater.unused_data) + 8
+        at += total
 
 
 @dataclass
@@ -229,6 +315,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[ArchiveRange]:
+        if self.folder.endswith((".warc.gz", ".warc")):
+            return [ArchiveRange(self.folder, 0, files.size(self.folder))]
         found = files.listing(self.folder)
         named = []
         for x in found:
@@ -237,6 +325,8 @@ class WarcReader(DataSourceReader):
                     named += json.loads(stream.read())
         ranges = [ArchiveRange(f"{self.folder}/{name}", start, end) for name, size, places in named
                   for start, end in zip(places, [*places[1:], size])]
+        ranges += [ArchiveRange(f"{self.folder}/{x}", 0, files.size(f"{self.folder}/{x}")) for x in found
+                   if x.endswith((".warc.gz", ".warc")) and not OWN_FILE.fullmatch(x)]
         return ranges or [ArchiveRange("", 0, 0)]
 
     def read(self, partition: ArchiveRange) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,9 @@
+import base64
 import gzip
 import hashlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from pipescope.llm import warc
@@ -61,3 +63,37 @@ def test_payloads_that_are_not_wanted_are_not_inflated():
 
 def test_empty_table(spark, tmp_path):
     assert warc.archive_round_trip(spark.createDataFrame([], PAGES), str(tmp_path / "w")).count() == 0
+
+
+def foreign(kind, block, *headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """One record a member, many records a member, members with names, and this writer's files in one folder."""
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    sha = hashlib.sha1(b"body").digest()
+    records = [
+        foreign("warcinfo", b"software: x\r\n"), foreign("response", http + b"body" * 100_000, "WARC-Payload-Digest: sha1:" + sha.hex().upper()),
+        foreign("response", http + b"WARC/1.0\r\n\r\n", "WARC-Payload-Digest: sha1:" + base64.b32encode(sha).decode().lower(), "X-Page-ID: seven"),
+        foreign("metadata", b"", "WARC-Payload-Digest: md5:00"), foreign("revisit", http, "WARC-Payload-Digest: sha1:short", "X-Page-ID: 7")]
+    folder = tmp_path / "w"
+    warc.write_archives(warc.records_of(spark.createDataFrame([(1, "u", "own", "c", 1)], PAGES)), str(folder))
+    (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (folder / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    with gzip.GzipFile(folder / "c.warc.gz", "wb") as named:  # the member has the file's name
+        named.write(b"".join(records[:2]))
+    (folder / ("part-" + "0" * 32 + ".warc.gz")).write_bytes(b"left by a failed attempt")
+    rows = warc.read_archives(spark, str(folder)).collect()
+    assert len(rows) == 1 + 5 + 5 + 2
+    large = [r for r in rows if r.payload and len(r.payload) == 400_000]
+    assert len(large) == 3 and {r.payload_digest for r in large} == {sha.hex()}
+    assert sum(bytes(r.payload or b"") == b"WARC/1.0\r\n\r\n" and r.payload_digest == sha.hex() and r.page_id is None for r in rows) == 2
+    assert sum(r.record_type == "revisit" and r.payload is None and r.payload_digest is None and r.page_id == 7 for r in rows) == 2
+    assert sum(bytes(r.payload or b"") == b"software: x\r\n" for r in rows) == 3
+    assert warc.read_archives(spark, str(folder / "b.warc.gz"), warc.HEADERS_SCHEMA).where("record_type = 'response'").count() == 2
+    for name, data in (("d.warc.gz", gzip.compress(records[1])[:-400]), ("e.warc", records[0]), ("f.warc.gz", gzip.compress(b"no archive\r\n\r\n"))):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="archive|gzip|record"):
+            warc.read_archives(spark, str(tmp_path / name)).collect()
