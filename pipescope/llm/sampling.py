@@ -1,9 +1,11 @@
 """Sampled segmentations with a SentencePiece model: Gumbel top-k without replacement, and decoding.
 
-A text's lattice has all pieces that match at each character; it falls apart at spaces, since a piece holds a
-space mark only at its front. The model orders its pieces by merge rank and gives no probabilities, so a piece
-weighs as Zipf's law has it, 1 / (rank + 3), to the power `power`. Sums of weights to the end of the word
-(backward pass) give each edge its exact probability given the node, and a segmentation the product of them.
+A text's lattice has all pieces that match at each character, the space put in front included. It falls apart
+into words, each a run of spaces with what follows up to the next space: a piece holds space marks only at its
+front, or is a run of them (a model with other pieces is refused). The model orders its pieces by score and gives
+no probabilities, so a piece weighs as Zipf's law has it, 1 / (rank + 3), to the power `power`, with its place in
+falling order of score as rank. Sums of weights to the end of the word (backward pass) give each edge its exact
+probability given the node, and a segmentation the product of them.
 
 The k segmentations of a text are the k largest of all segmentations' Gumbel-perturbed log probabilities,
 which is sampling without replacement. They are found by perturbed A-star search: the agenda holds regions of
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Sequence
 from itertools import chain
 
@@ -38,6 +41,7 @@ from pipescope.llm.common import giving_back, in_small_batches, worker_cache
 from pipescope.llm.pieces import text_parts
 
 MARK = "▁"
+MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 RANK_OFFSET = 3.0
 PART_BYTES = 1_000_000
 SCHEMA = ("key long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>, "
@@ -64,6 +68,15 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text, each without its first space mark; further marks of a run of spaces stay in front."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")
+    return [word[1:] for word in MARKED_WORD.findall(MARK + text.replace(" ", MARK))]
+
+
 class _Numbers(dict):
     """Numbers words in the order in which they are met."""
 
@@ -110,13 +123,15 @@ class PieceModel:
 
         sp = SentencePieceProcessor(model_proto=model)
         pieces = [sp.id_to_piece(i) for i in range(len(sp))]
-        usual = [i for i, p in enumerate(pieces) if p and MARK not in p[1:] and not (
+        usual = [i for i, p in enumerate(pieces) if p and not (
             sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        rank = {i: -sp.get_score(i) for i in usual}
-        worst = max(rank.values(), default=0.0) + 1
-        weight = {i: -power * math.log(rank[i] + RANK_OFFSET) for i in usual}
+        across = [pieces[i] for i in usual if MARK in pieces[i].lstrip(MARK)]
+        if across:
+            raise ValueError(f"pieces that go on beyond a word: {across[:5]}")
+        usual.sort(key=lambda i: (-sp.get_score(i), i))
+        weight = {i: -power * math.log(rank + RANK_OFFSET) for rank, i in enumerate(usual)}
         self.byte_id = {int(pieces[i][1:-1], 16): i for i in range(len(sp)) if sp.is_byte(i)}
-        byte_weight = -power * math.log(worst + RANK_OFFSET)
+        byte_weight = -power * math.log(len(usual) + RANK_OFFSET)
         norm = math.log(sum(map(math.exp, weight.values())) + len(self.byte_id) * math.exp(byte_weight))
         self.byte_weight = byte_weight - norm
         self.weights = np.full(len(sp), -np.inf)
@@ -316,7 +331,7 @@ class _Search:
 def sample_batch(model: PieceModel, texts: Sequence[str], seeds: np.ndarray, k: int) -> tuple[Lattice, list[_Search]]:
     """Run the search for all texts of a batch side by side, so that every draw is one vector operation."""
     numbers = _Numbers()
-    listed = [list(map(numbers.__getitem__, t.split(" "))) if t else [] for t in texts]
+    listed = [list(map(numbers.__getitem__, split_words(t))) for t in texts]
     lattice = Lattice(model, list(numbers))
     counts = np.fromiter(map(len, listed), np.int64, len(listed))
     words = np.fromiter(chain.from_iterable(listed), np.int64, int(counts.sum()))

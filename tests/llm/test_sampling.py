@@ -11,7 +11,7 @@ from pipescope.llm import sampling
 from pipescope.llm.shingles import mix
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = [None, "", " ", "a", "hello  world ", "é漢𠀀\n\tx", "the cat", "x" * 300, "▁"]
+TEXTS = [None, "", " ", "a", "hello  world ", "é漢𠀀\n\tx", "the cat", "x" * 300, "▁", "  if x:\n" + " " * 16 + "y" + " " * 40 + "z  "]
 
 
 @pytest.fixture(scope="module")
@@ -27,25 +27,30 @@ def processor():
     return SentencePieceProcessor(model_file=PATH)
 
 
-def segmentations(model, processor, text):
-    """All segmentations of a text with their exact probabilities, found by recursion."""
-    vocabulary = {processor.id_to_piece(i): i for i in range(len(processor)) if model.weights[i] > -math.inf}
+def segmentations(processor, text):
+    """All segmentations of a text with their exact probabilities, by recursion over the whole text with all pieces of the model."""
+    n = len(processor)
+    normal = [i for i in range(n) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i))]
+    normal.sort(key=lambda i: (-processor.get_score(i), i))
+    vocabulary = {processor.id_to_piece(i): (i, -math.log(rank + 3)) for rank, i in enumerate(normal)}
+    bytes_of = {int(processor.id_to_piece(i)[1:-1], 16): i for i in range(n) if processor.is_byte(i)}
 
-    def of(word):
-        if not word:
+    def of(rest):
+        if not rest:
             return [((), 0.0)]
         out = []
-        for n in range(1, len(word) + 1):
-            if word[:n] in vocabulary:
-                i = vocabulary[word[:n]]
-                out += [((i, *rest), w + model.weights[i]) for rest, w in of(word[n:])]
-            elif n == 1:
-                ids = tuple(model.byte_id[b] for b in word[0].encode())
-                out += [((*ids, *rest), w + model.byte_weight * len(ids)) for rest, w in of(word[1:])]
+        for size in range(1, len(rest) + 1):
+            if rest[:size] in vocabulary:
+                i, weight = vocabulary[rest[:size]]
+                out += [((i, *ids), w + weight) for ids, w in of(rest[size:])]
+            elif size == 1:
+                own = tuple(bytes_of[b] for b in rest[0].encode())
+                out += [((*own, *ids), w - math.log(len(normal) + 3) * len(own)) for ids, w in of(rest[1:])]
         return out
 
-    words = [of("▁" + w) for w in text.split(" ")]
-    found = {tuple(itertools.chain(*(p[0] for p in path))): sum(p[1] for p in path) for path in itertools.product(*words)}
+    # every piece and byte weighs the same constant more after scaling to probabilities
+    scale = math.log(sum(math.exp(w) for _, w in vocabulary.values()) + len(bytes_of) / (len(normal) + 3))
+    found = {ids: w - scale * len(ids) for ids, w in of("▁" + text.replace(" ", "▁"))}
     total = math.log(sum(map(math.exp, found.values())))
     return {ids: w - total for ids, w in found.items()}
 
@@ -55,9 +60,10 @@ def drawn(model, text, n, k):
     return [[(tuple(lattice.ids(edges)[0].tolist()), float(upto[-1]), top) for edges, _, upto, top in s.samples] for s in searches], searches
 
 
-def test_samples_follow_the_law_of_sampling_without_replacement(model, processor):
-    text, n = "at on é", 6000
-    law = segmentations(model, processor, text)
+@pytest.mark.parametrize("text", ["at on é", "a   é", " at on ", "    "])
+def test_samples_follow_the_law_of_sampling_without_replacement(model, processor, text):
+    n = 6000
+    law = segmentations(processor, text)
     assert len(law) > 6
     rows, _ = drawn(model, text, n, 3)
     first, second = Counter(r[0][0] for r in rows), Counter((r[0][0], r[1][0]) for r in rows)
@@ -73,16 +79,17 @@ def test_samples_follow_the_law_of_sampling_without_replacement(model, processor
         assert all(x[1] == pytest.approx(law[x[0]]) for x in r)
 
 
-def test_all_segmentations_come_out_when_k_is_large(model, processor):
-    law = segmentations(model, processor, "the at")
-    rows, searches = drawn(model, "the at", 3, len(law) + 5)
+@pytest.mark.parametrize("text", ["the at", "  a  b", "x" + " " * 9, "a ▁b"])
+def test_all_segmentations_come_out_when_k_is_large(model, processor, text):
+    law = segmentations(processor, text)
+    rows, searches = drawn(model, text, 3, len(law) + 5)
     assert all({x[0] for x in r} == set(law) and len(r) == len(law) for r in rows) and not any(s.agenda for s in searches)
 
 
 def test_inclusion_scores_estimate_totals(model, processor):
     """A sum over all segmentations, estimated from samples weighted by p over inclusion, is right on average."""
     text, n = "on the", 3000
-    law = segmentations(model, processor, text)
+    law = segmentations(processor, text)
     want = sum(math.exp(w) * len(ids) for ids, w in law.items())
     rows, searches = drawn(model, text, n, 2)
     estimates = [sum(math.exp(w) * len(ids) / -math.expm1(-math.exp(w + s.agenda[0][0])) for ids, w, _ in r) for r, s in zip(rows, searches)]
@@ -101,7 +108,9 @@ def test_table_of_odd_texts(frame, processor, spark):
             assert r.n_pieces == len(r.ids) and 0 < r.inclusion <= 1 and r.decoded == (t != "▁")
             if t not in (None, "", "▁"):
                 assert processor.decode(list(r.ids)) == t
-    assert len(by[0]) == len(by[1]) == len(by[2]) == 1 and list(by[1][0].ids) == [] and by[1][0].inclusion == 1
+    assert len(by[0]) == len(by[1]) == 1 and list(by[1][0].ids) == [] and by[1][0].inclusion == 1
+    # a space behind the one put in front: together, or each by itself
+    assert sorted([processor.id_to_piece(i) for i in r.ids] for r in by[2]) == [["▁", "▁"], ["▁▁"]]
     assert sorted(map(str, by[6][:3])) == sorted(map(str, by[6][3:])) or len(by[6]) == 6
     assert len(by[99]) == 3 and all(r.decoded for r in by[99]) and len(by[None]) == 3
     again = sampling.sample_segmentations(docs.repartition(7), PATH, k=3).collect()
