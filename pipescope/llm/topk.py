@@ -9,7 +9,8 @@ what reaches the k-th score, and equal scores are ordered by the smaller id.
 What a group reports is bounded: scores below its own k-th best cannot be the k-th best overall, so they are
 not counted, and the last pass returns at most k rows per query and group, which a per-task limit on the
 ranking cuts again before anything is shuffled. A vector that a third of the rows share makes many ties, but
-no more rows than any other.
+no more rows than any other; candidates are dealt by their id and a number written with them, so rows that repeat
+one id are spread as well.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no
 part; components are floor(scale * x); a shorter vector counts as padded with zeros; a query's candidates are
@@ -126,7 +127,8 @@ def _reaching(k: int):
 def exact_top_k(df: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
                 scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every row for which `is_query` holds."""
-    rows = written(whole_vectors(df.select(vec_id, vector), vec_id, vector, scale), "vectors")
+    rows = written(whole_vectors(df.select(vec_id, vector), vec_id, vector, scale).withColumn("number", F.monotonically_increasing_id()),
+                   "vectors")
     queries = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(length).alias("longest")).first()
@@ -134,17 +136,17 @@ def exact_top_k(df: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "
     candidate_blocks = max(1, math.ceil(size["n"] / CANDIDATE_BLOCK))
     reach = min(LARGEST, int((size["longest"] or 0.0) ** 2 * (1 + 1e-9)) + 1)
 
-    def block(column: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+    def block(blocks: int, *columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
 
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    placed = rows.select(F.col("id").alias("id"), F.col("v").alias("v"), block("id", candidate_blocks).alias("c")).withColumn(
+    placed = rows.select(F.col("id").alias("id"), F.col("v").alias("v"), block(candidate_blocks, "id", "number").alias("c")).withColumn(
         "q", every(query_blocks))
 
     def pairs(state: DataFrame):
-        asked = queries.join(state, "id").withColumn("q", block("id", query_blocks)).withColumn("c", every(candidate_blocks))
+        asked = queries.join(state, "id").withColumn("q", block(query_blocks, "id")).withColumn("c", every(candidate_blocks))
         return placed.groupBy("q", "c").cogroup(asked.groupBy("q", "c"))
 
     state = queries.select("id", F.lit(-reach).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))

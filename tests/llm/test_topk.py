@@ -39,6 +39,15 @@ def test_equals_brute_force_with_ties_and_odd_rows(spark, monkeypatch):
     assert run(spark, rows, 7) == brute(rows, 7)
 
 
+def test_an_id_that_many_rows_repeat_is_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 20)
+    rng = np.random.default_rng(3)
+    rows = [(77 if i % 3 else i, rng.normal(size=4).tolist(), "x") for i in range(120)]
+    got = topk.exact_top_k(spark.createDataFrame(rows, SCHEMA), F.col("id") % 5 == 0, k=9)
+    want = sorted((q, rank, i, s) for q, rank, i, s in brute(rows, 9))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_few_candidates_large_numbers_and_empty_tables(spark):
     rows = [(0, [1e6, -1e6], ""), (1, [3e7, 1.0], ""), (5, [-2.0, 1e-9], "")]
     assert run(spark, rows, 20) == brute(rows, 20)
