@@ -2,8 +2,10 @@
 
 Every document gets a hash-random key. Within a source the key order is cut into ranges (leading digits of
 the key), documents are ordered inside their range, and prefix sums of sizes are put together from the
-totals of the ranges before it: no task ever holds a source. A source's budget takes whole epochs while it
-lasts and then the documents at the front of the key order, the last one up to the exact word.
+totals of the ranges before it: no task ever holds a source. Rows that agree in id and size are one row with a
+count meanwhile, so an id that a third of the rows carry (or none) is as many rows of its range as it has sizes.
+A source's budget takes whole epochs while it lasts and then the documents at the front of the key order, the
+last one up to the exact word.
 
 Defined cases: a null text has size 0; null is a source of its own and comes last; rows with the same id
 are ordered by size, and rows that agree in both are interchangeable; an empty table gives no rows; only the
@@ -21,6 +23,7 @@ from pipescope.llm.common import word_array, written
 from pipescope.session import cut_lineage
 
 ROWS_PER_RANGE = 4096
+COPIES = 4096
 SEED = 17
 
 
@@ -69,11 +72,13 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
 
 def _ordered(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], share: float, most: float,
              seed: int) -> DataFrame:
-    """Every row with its source's size, target, whole epochs and rest, and the words before it in key order."""
+    """Rows that agree in source, id and size as one with their number `n`, with their source's size, target, whole
+    epochs and rest, and `prior`, the words before the first of them in key order."""
     sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                                F.size(word_array(F.col(text))).cast("long").alias("size")), "sizes")
+                                F.size(word_array(F.col(text))).cast("long").alias("size"))
+                    .groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     per_source = targets(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")),
+        sized.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs")),
         weights, share, most)
     budget = F.floor("target")
     per_source = cut_lineage(
@@ -84,17 +89,30 @@ def _ordered(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequ
         sized.join(per_source, F.col("source").eqNullSafe(F.col("_of"))).drop("_of", "n_docs")
         .withColumn("_key", order_key(F.col("doc_id"), seed)).withColumn("_range", F.expr("substring(_key, 1, digits)"))
     )
-    totals = placed.groupBy("source", "_range").agg(F.sum("size").alias("_size"))
+    words = F.sum(F.col("n") * F.col("size"))
+    totals = placed.groupBy("source", "_range").agg(words.alias("_size"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("_of"), F.col("_range").alias("_at"),
                             F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return written(
+        placed.withColumn("_inside", F.coalesce(words.over(inside), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
-        .withColumn("prior", F.col("_offset") + F.col("_inside")).drop("_of", "_at", "_offset", "_inside", "_range", "digits")
-    )
+        .withColumn("prior", F.col("_offset") + F.col("_inside")).drop("_of", "_at", "_offset", "_inside", "_range", "digits"), "mix")
+
+
+def _single(groups: DataFrame) -> DataFrame:
+    """Each of the `n` copies of a row, with its own `prior`; many copies are made by many tasks."""
+    def copies(df: DataFrame, first: Column, last: Column) -> DataFrame:
+        return df.withColumn("_copy", F.explode(F.sequence(first, last))).withColumn("prior", F.col("prior") + F.col("_copy") * F.col("size"))
+
+    few = copies(groups.where(F.col("n") <= COPIES), F.lit(0).cast("long"), F.col("n") - 1)
+    pieces = groups.where(F.col("n") > COPIES).withColumn(
+        "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    spread = pieces.repartition("source", "doc_id", "size", "_first")
+    many = copies(spread, F.col("_first"), F.least(F.col("n"), F.col("_first") + COPIES) - 1)
+    return few.unionByName(many.drop("_first"))
 
 
 def _part(size: Column, rest: Column, prior: Column) -> Column:
@@ -108,7 +126,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     `prior` is the number of words of the source before the document in key order, `taken` the words the
     mix takes of it, repeats counted.
     """
-    ordered = _ordered(docs, doc_id, text, source, weights, share, most, seed)
+    ordered = _single(_ordered(docs, doc_id, text, source, weights, share, most, seed))
     taken = F.col("epochs") * F.col("size") + _part(F.col("size"), F.col("rest"), F.col("prior"))
     return ordered.select("doc_id", "source", "size", "source_size", "target", "prior", taken.cast("long").alias("taken"))
 
@@ -124,14 +142,11 @@ def mixed_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     names = docs.columns
     numbered = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at = {role: f"_c{names.index(name)}" for role, name in (("doc", doc_id), ("text", text), ("source", source))}
-    ordered = written(_ordered(numbered, at["doc"], at["text"], at["source"], weights, share, most, seed), "mix")
-    inside = (F.col("prior") < F.col("rest")) & (F.col("rest") <= F.col("prior") + F.col("size"))
-    cuts = ordered.where(inside).select(F.col("source").alias("_of"), F.col("_key").alias("_cut_key"),
-                                        F.col("doc_id").alias("_cut_doc"), F.col("size").alias("_cut_size"))
-    at_cut = (F.col("source").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_cut_key"))
-              & F.col("doc_id").eqNullSafe(F.col("_cut_doc")) & (F.col("size") == F.col("_cut_size")))
-    cuts = ordered.join(cuts, at_cut).groupBy("_of", "_cut_key", "_cut_doc", "_cut_size").agg(
-        F.floor(F.sum(_part(F.col("size"), F.col("rest"), F.col("prior"))) / F.count(F.lit(1))).alias("_cut_part"))
+    ordered = _ordered(numbered, at["doc"], at["text"], at["source"], weights, share, most, seed)
+    inside = (F.col("prior") < F.col("rest")) & (F.col("rest") <= F.col("prior") + F.col("n") * F.col("size"))
+    cuts = ordered.where(inside).select(
+        F.col("source").alias("_of"), F.col("_key").alias("_cut_key"), F.col("doc_id").alias("_cut_doc"),
+        F.col("size").alias("_cut_size"), F.floor((F.col("rest") - F.col("prior")) / F.col("n")).alias("_cut_part"))
     epochs = ordered.select("source", "epochs").distinct()
     per_source = cut_lineage(epochs.join(cuts, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of"))
 

@@ -56,3 +56,23 @@ def test_edges(frame):
     assert got[key].sort_values(key).to_numpy(float).tolist().__repr__() == again[key].sort_values(key).to_numpy(float).tolist().__repr__()
     out = mixing.mixed_rows(frame(same)).toPandas()
     assert abs(sum(len(t.split()) for t in out.text) - got.taken.sum()) < 60
+
+
+def test_ids_that_many_rows_share(frame, monkeypatch):
+    """Rows of one id and size take what single rows in their place would."""
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 32)
+    rows = [(None, "w " * (i % 3), "en", "a", 0) for i in range(200)] + [(7, "w w", "en", "a", 0)] * 150
+    rows += [(100 + i, "w " * (i % 9), "en", "ab"[i % 2], 0) for i in range(300)]
+    got = mixing.mix(frame(rows)).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        part = sorted((r for r in got if r.source == source), key=lambda r: (r.prior, r.size))
+        at = 0
+        for r in part:  # the priors follow one another without a gap, whoever stands where
+            assert r.prior == at
+            at += r.size
+        assert at == part[0].source_size and sum(r.taken for r in part) == int(part[0].target)
+    assert sum(r.doc_id is None for r in got) == 200 and sum(r.doc_id == 7 for r in got) == 150
+    out = mixing.mixed_rows(frame(rows)).collect()
+    assert abs(sum(len(r.text.split()) for r in out) - sum(r.taken for r in got)) < 200
