@@ -44,11 +44,11 @@ def balanced_panel(
     sizes = method_sizes(df, minimum).where("kept")
     if strict:
         sizes = sizes.where(F.col("n") > F.col("smallest"))
-    digested = df.join(F.broadcast(sizes.select("method", "smallest")), "method").withColumn(
+    digested = df.join(sizes.select("method", "smallest"), "method").withColumn(
         "_d", F.md5(F.col("experiment").cast("string"))
     )
     cutoffs = digest_cutoffs(digested, ["method", "smallest"], "_d", F.col("smallest")).drop("smallest")
-    placed = digested.join(F.broadcast(cutoffs), "method")
+    placed = digested.join(cutoffs, "method")
     out = placed.where(F.col("_d") <= F.col("cutoff")).select("experiment", "method", "value")
     if jitter_seed is not None:
         noise = F.conv(F.substring(F.md5(F.concat_ws(":", "experiment", "method", F.lit(str(jitter_seed)))), 1, 8),

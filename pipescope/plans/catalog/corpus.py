@@ -426,10 +426,42 @@ def linear_length_coefficients(spark, d):
     return out.select("term", digits.alias("coef"))
 
 
-@query("linear_model_metrics")
+# least squares by making the features orthogonal on train one after the other
+@query("linear_model_metrics", f"""WITH {SPLIT}, shape AS (
+  SELECT split, CAST(n_chars AS DOUBLE) AS y, len({WORDS})::DOUBLE AS a, len(list_distinct({WORDS}))::DOUBLE AS b,
+    len(string_split(text, chr(10)))::DOUBLE AS c FROM documents JOIN split_of USING (doc_id)),
+f1 AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, coalesce(regr_slope(y, a), 0) AS ya,
+         coalesce(regr_slope(b, a), 0) AS ba, coalesce(regr_slope(c, a), 0) AS ca FROM shape WHERE split = 'train'),
+o1 AS (SELECT split, y, my + ya * (a - ma) AS p, b - mb - ba * (a - ma) AS b, c - mc - ca * (a - ma) AS c FROM shape, f1),
+f2 AS (SELECT coalesce(regr_slope(y, b), 0) AS yb, coalesce(regr_slope(c, b), 0) AS cb FROM o1 WHERE split = 'train'),
+o2 AS (SELECT split, y, p + yb * b AS p, c - cb * b AS c FROM o1, f2),
+f3 AS (SELECT coalesce(regr_slope(y, c), 0) AS yc FROM o2 WHERE split = 'train'),
+y AS (SELECT split, y AS label, p + yc * c AS p FROM o2, f3)
+SELECT split, approx(sqrt(avg((label - p) ** 2)), 4) AS rmse, approx(avg(abs(label - p)), 4) AS mae,
+  approx(1 - sum((label - p) ** 2) / (var_pop(label) * count(*)), 6) + 0.0 AS r2, approx(median(abs(label - p)), 4) AS medae,
+  count(*) AS n FROM y GROUP BY split""")
 def linear_model_metrics(spark, d):
     shaped = cut_lineage(text_shape(spark, d))
-    return evaluate(md.fit_linear(shaped.where("split = 'train'")).transform(shaped))
+    return evaluate(md.fit_linear(shaped.where("split = 'train'")).transform(shaped)).select(
+        "split", rnd("rmse").alias("rmse"), rnd("mae").alias("mae"), (rnd("r2", 6) + 0.0).alias("r2"),
+        rnd("medae").alias("medae"), "n",
+    )
+
+
+KNOWN = {"quantity": 3.0, "discount": -2.0, "tax": 0.5, "(intercept)": 7.0}
+
+
+@query("recovered_coefficients", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {c}::DOUBLE)" for t, c in KNOWN.items()) + ") AS known(term, coef)")
+def recovered_coefficients(spark, d):
+    """A fit to labels that are a known linear function of three features of every line item gives that function back."""
+    from pyspark.ml.functions import array_to_vector
+
+    lines = v.table(spark, d, "lineitem")
+    features = {"quantity": F.col("l_quantity").cast("double"), "discount": F.col("l_discount").cast("double") * 100,
+                "tax": F.col("l_tax").cast("double") * 100}
+    label = sum((c * F.lit(KNOWN[t]) for t, c in features.items()), F.lit(KNOWN["(intercept)"]))
+    model = md.fit_linear(lines.select(label.alias("label"), array_to_vector(F.array(*features.values())).alias("features")))
+    return md.coefficients(model, spark, list(features)).withColumn("coef", rnd("coef"))
 
 
 @query("tf_idf_linear_metrics")

@@ -186,6 +186,25 @@ def blocked_segments_corrected(spark, d):
                             "place", rnd("threshold", 8).alias("threshold"), "reject")
 
 
+# two blocks of customers whose values lie 50 apart, with an effect of 5 in each
+_TWO_BLOCKS = """WITH sample AS (SELECT c_custkey AS row_id, c_nationkey % 2 AS block, c_custkey % 3 = 0 AS x,
+  CAST(100 + 50 * (c_nationkey % 2) + CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 0 END + c_custkey * 7919 % 41 - 20 AS DOUBLE) AS v
+  FROM customer)"""
+
+
+@query("blocked_against_plain", f"""SELECT 'plain' AS test, * FROM ({permutation_sql(_TWO_BLOCKS)})
+UNION ALL SELECT 'blocked', * FROM ({permutation_sql(_TWO_BLOCKS, block='block')})""")
+def blocked_against_plain(spark, d):
+    """What blocks are for: the difference between them hides an effect from the plain test, not from the blocked one."""
+    key, block = F.col("c_custkey"), F.col("c_nationkey") % 2
+    sample = v.table(spark, d, "customer").select(
+        key.alias("row_id"), block.alias("block"), (key % 3 == 0).alias("x"),
+        (100 + 50 * block + F.when(key % 3 == 0, 5).otherwise(0) + key * 7919 % 41 - 20).cast("double").alias("v"))
+    plain = _tested(pm.permutation_test(sample, "v", "x", "row_id", N))
+    blocked = _tested(pm.blocked_permutation_test(sample, "v", "x", "row_id", "block", N))
+    return plain.withColumn("test", F.lit("plain")).unionByName(blocked.withColumn("test", F.lit("blocked")))
+
+
 _PAIRS = f"""pairs AS (
   SELECT b.rmse AS a, g.rmse AS b, g.run_key || '|' || b.run_key AS pair
   FROM (SELECT * FROM results WHERE featuriser = 'glove_mean') g
