@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pipescope.functions import registry
 from pipescope.functions import text as tx
 from pipescope.functions.scalar import PUNCTUATION
+from pipescope.operators import boosting
 from pipescope.operators import features as ft
 from pipescope.operators import models as md
 from pipescope.operators import sampling as sp
@@ -478,5 +479,40 @@ def boosted_trees_a_metrics(spark, d):
 
 @query("boosted_trees_b_metrics")
 def boosted_trees_b_metrics(spark, d):
-    config = xp.Config([], "whitespace", "glove_mean", "xgboost", model_options={"rounds": 20, "patience": 10})
+    config = xp.Config([], "whitespace", "glove_mean", "xgboost")
     return xp.metrics(split_documents(spark, d), config, vectors=v.token_vectors(spark, d), width=WIDTH)
+
+
+def _best_split_sql(rows):
+    """The best split per node of `rows` (node, g, x), every value of every feature being tried."""
+    return f"""SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain / unit, 10) DESC, f, cut) AS place FROM (
+    SELECT *, gl * gl / (nl + 1) + (gs - gl) * (gs - gl) / (ns - nl + 1) - gs * gs / (ns + 1) AS gain FROM (
+      SELECT node, f, cut, sum(g) OVER upto AS gl, sum(n) OVER upto AS nl, sum(g) OVER whole AS gs, sum(n) OVER whole AS ns
+      FROM (SELECT node, f, x[f + 1] AS cut, sum(g) AS g, count(*) AS n FROM {rows}, (SELECT unnest([0, 1, 2]) AS f) GROUP BY ALL)
+      WINDOW upto AS (PARTITION BY node, f ORDER BY cut), whole AS (PARTITION BY node, f))
+    WHERE nl < ns), (SELECT sum(g * g) AS unit FROM rows0)) WHERE place = 1"""
+
+
+def _moved_sql(rows, splits):
+    return (f"SELECT 2 * node + CASE WHEN x[f + 1] <= cut THEN 1 ELSE 2 END AS node, g, x FROM {rows} "
+            f"JOIN (SELECT node, f, cut FROM {splits}) USING (node)")
+
+
+@query("boosted_first_tree", f"""WITH rows0 AS (
+  SELECT 0 AS node, avg(l_extendedprice::DOUBLE) OVER () - l_extendedprice::DOUBLE AS g,
+    [l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE] AS x FROM lineitem),
+best0 AS ({_best_split_sql("rows0")}), rows1 AS ({_moved_sql("rows0", "best0")}),
+best1 AS ({_best_split_sql("rows1")}), rows2 AS ({_moved_sql("rows1", "best1")})
+SELECT node::INT AS node, f::INT AS feature, cut AS threshold, NULL::DOUBLE AS leaf FROM (FROM best0 UNION ALL FROM best1)
+UNION ALL SELECT node::INT, NULL, NULL, approx(-sum(g) / (count(*) + 1), 4) FROM rows2 GROUP BY node""")
+def boosted_first_tree(spark, d):
+    """The first tree, two levels deep, for the price of every line item by quantity, discount and tax."""
+    from pyspark.ml.functions import array_to_vector
+
+    lines = v.table(spark, d, "lineitem")
+    given = F.array("l_quantity", "l_discount", "l_tax").cast("array<double>")
+    rows = lines.select(F.lit("train").alias("split"), F.col("l_extendedprice").cast("double").alias("label"),
+                        array_to_vector(given).alias("features"))
+    tree = boosting.fit_penalised(rows, depth=2, rounds=1).frame(spark).where("tree = 0")
+    return tree.select("node", "feature", "threshold", rnd("value").alias("leaf"))

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 
 from pipescope.functions import registry
+from pipescope.operators import boosting
 from pipescope.operators import features as ft
 from pipescope.operators import models as md
 from pipescope.operators.aggregates import evaluate
@@ -55,7 +56,9 @@ def fit_model(featurised: DataFrame, config: Config):
     if config.model == "catboost":
         return md.boosted_a(featurised, **config.model_options)
     if config.model == "xgboost":
-        return md.boosted_b(featurised, **config.model_options)
+        first = featurised.select("features").first()
+        wide = first is not None and first[0].size > boosting.MAX_WIDTH
+        return (md.boosted_b if wide else boosting.fit_penalised)(featurised, **config.model_options)
     raise ValueError(f"unknown model {config.model!r}")
 
 
