@@ -13,6 +13,7 @@ from pipescope.functions.text import whitespace_tokens
 from pipescope.operators.results import SPLITS
 from pipescope.operators.sampling import split_corpus, split_train_val
 from pipescope.sources.split_csv import read_csv
+from pipescope.sources.split_json import read_objects
 
 METRICS = ("rmse", "mae", "r2", "medae")
 # Corpora with their own train and test files.
@@ -213,11 +214,17 @@ def write_lines(values: DataFrame, path: str) -> None:
 # --- logs ------------------------------------------------------------------------------------------
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log files, each one JSON object from hash to record, as one row per hash."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.from_json("value", f"map<string,{LOG_ENTRY}>")).alias("hash", "entry")
-    return whole.select(entries).select("hash", "entry.*").withColumnRenamed("preprocesser_order", "preprocessers")
+def read_log(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
+    """Log files, each one JSON object from hash to record, as one row per hash.
+
+    A file is one row of one task; with `large` it is read entry by entry by many tasks, at the price of several passes.
+    """
+    if large:
+        entries = read_objects(spark, path, LOG_ENTRY).withColumnRenamed("key", "hash")
+    else:
+        whole = spark.read.text(path, wholetext=True)
+        entries = whole.select(F.explode(F.from_json("value", f"map<string,{LOG_ENTRY}>")).alias("hash", "entry"))
+    return entries.select("hash", "entry.*").withColumnRenamed("preprocesser_order", "preprocessers")
 
 
 def write_reconciliation(sides: DataFrame, path: str) -> None:
