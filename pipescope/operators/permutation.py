@@ -28,6 +28,8 @@ ROWS_PER_BLOCK = 50_000
 PERMUTATIONS_PER_TASK = 2_000
 LANES = 64  # tasks that a sample of few blocks is copied for
 HYPERGEOMETRIC_LIMIT = 10**9
+BROADCAST_BYTES = 16 << 20
+HOLDING_BYTES = 100  # of one row that tells the bucket of a cut
 
 
 def _at_least(a: Column, b: Column, scale: Column) -> Column:
@@ -70,9 +72,13 @@ def permuted_sums(sample: DataFrame, keys: Sequence[str], n_permutations: int, s
         *group, "_b", "n_x", (F.col("n_x") - F.col("_upto") + F.col("_n")).alias("_need"),
         (F.col("_sum_upto") - F.col("_s")).alias("_below"),
     )
+    # one row per group and permutation, against one per row and permutation of `exploded`: that side is never sent, however
+    # small Spark's guess from the sample's size
+    cuts = (sizes.count() if keys else 1) * n_permutations
+    sent = F.broadcast(holding) if cuts * HOLDING_BYTES <= BROADCAST_BYTES else holding.hint("merge")
     inside = Window.partitionBy(*group, "_b").orderBy("_h", "_row")
     cut_rows = (
-        exploded.join(holding, [*group, "_b"])
+        exploded.join(sent, [*group, "_b"])
         .withColumn("_place", F.row_number().over(inside))
         .where(F.col("_place") <= F.col("_need"))
     )

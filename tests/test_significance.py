@@ -218,3 +218,16 @@ def test_shares_of_blocks_fit_together():
     assert np.allclose(shares.var(1), spread, rtol=0.15, atol=0.1)
     large = pm._split(np.random.default_rng(1), 3 * 10**9, 10**9, np.full(4000, 10**6))
     assert abs(large.mean() - 750_000) < 40 and abs(large.std() / math.sqrt(10**6 * 0.75 * 0.25) - 1) < 0.06
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_copied_rows_are_never_broadcast(spark, tmp_path, keys):
+    """The rows copied for every permutation are not the side that is sent, however small the table they come from."""
+    spark.range(8000).selectExpr("id", "id % 2 AS k", "id % 4 AS block").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows")).selectExpr(
+        "id AS row_id", "k", "block", "id % 3 = 0 AS x", "cast(id * 7919 % 41 AS double) AS v")
+    out = pm.blocked_permutation_test(rows, "v", "x", "row_id", "block", 100, keys)
+    assert len(out.collect()) == 1 + len(keys)
+    plan = out._jdf.queryExecution().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_b#" in line and "perm#" in line]
+    assert joins and not any("BuildLeft" in line for line in joins)
