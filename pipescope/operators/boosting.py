@@ -2,8 +2,8 @@
 
 For squared error a leaf that holds the rows S is worth -G / (n + penalty), G being the sum of (prediction - label) over
 S, and a split gains GL^2 / (nL + penalty) + GR^2 / (nR + penalty) - G^2 / (n + penalty). Features are cut into bins at
-quantiles of train once. A level of a tree is one job: tasks add up (G, n) per node, feature and bin of their rows, the
-sums meet under (node, feature), and the driver sees the best split of each node, never rows. The loss on val comes with
+quantiles of train once. A level of a tree is one job with one shuffle: tasks add up (G, n) per node, feature and bin of
+their rows, the sums meet under node and a few features, and the driver sees the best split of each of these, never rows. The loss on val comes with
 the first level of the next tree, so early stopping needs no job of its own.
 """
 
@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +28,9 @@ CUT_EVERY = 25  # trees after which predictions are written
 MAX_WIDTH = 1024  # features; a task holds sums of nodes x features x bins
 PART_BYTES = 1 << 21  # of binned rows a task reads
 PART_CELLS = 1 << 18  # of sums a task compares
+FEATURES_PER_SUM = 16  # whose sums of a node travel together
 LOSS = -1  # "node" of the loss on val
 
-CELLS = "node int, feature int, bin int, g double, n long"
-
 
 @dataclass
 class Tree:
@@ -130,50 +130,59 @@ def bin_edges(train: DataFrame, width: int, bins: int = BINS) -> list[np.ndarray
     return [found.get(i, np.empty(0)) for i in range(width)]
 
 
-def _binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """(train, label, bins, pred): one byte per feature, the number of edges below its value."""
+def _blocks(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """(train, label, bins, pred): the rows of each Arrow batch as four byte strings; of `bins` one byte per row and feature,
+    the number of edges below its value."""
 
-    @F.pandas_udf(T.BinaryType())
-    def packed(vectors):
-        x = np.stack(vectors.to_list())
-        out = np.empty(x.shape, np.uint8)
-        for f, e in enumerate(edges):
-            out[:, f] = np.searchsorted(e, x[:, f])
-        return vectors.__class__([row.tobytes() for row in out], dtype=object)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(edges))
+            out = np.empty(x.shape, np.uint8)
+            for f, e in enumerate(edges):
+                out[:, f] = np.searchsorted(e, x[:, f])
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            label, pred = (batch.column(c).to_numpy() for c in ("label", "pred"))
+            yield pa.RecordBatch.from_pylist([{"train": train.tobytes(), "label": label.tobytes(), "bins": out.tobytes(),
+                                               "pred": pred.tobytes()}])
 
-    return rows.select("train", "label", packed("x").alias("bins"), F.col("pred"))
+    return rows.select("train", "label", "x", "pred").mapInArrow(pack, "train binary, label binary, bins binary, pred binary")
 
 
-def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    column = batch.column("bins")
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+def _arrays(block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    train, label, bins, pred = block
+    return (np.frombuffer(train, bool), np.frombuffer(label, np.float64),
+            np.frombuffer(bins, np.uint8).reshape(-1, width), np.frombuffer(pred, np.float64))
 
 
-def _advanced(rows: DataFrame, trees: list[Tree], rate: float, width: int) -> DataFrame:
-    """The rows with `pred` moved on by `trees`."""
+def _advanced(blocks: DataFrame, trees: list[Tree], rate: float, width: int) -> DataFrame:
+    """The blocks with `pred` moved on by `trees`."""
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, pred = _matrix(batch, width), batch.column("pred").to_numpy().copy()
-            for tree in trees:
-                pred += rate * tree.value[tree.nodes(x, tree.bin)]
-            yield batch.set_column(batch.schema.get_field_index("pred"), "pred", pa.array(pred))
+            for block in batch.to_pylist():
+                _, _, x, pred = _arrays(block.values(), width)
+                for tree in trees:
+                    pred = pred + rate * tree.value[tree.nodes(x, tree.bin)]
+                yield pa.RecordBatch.from_pylist([{**block, "pred": pred.tobytes()}])
 
-    return rows.mapInArrow(move, rows.schema) if trees else rows
+    return blocks.mapInArrow(move, blocks.schema) if trees else blocks
 
 
-def _cells(rows: DataFrame, trees: list[Tree], growing: Tree, frontier: list[int], rate: float, width: int, bins: int) -> DataFrame:
-    """Sums per node of `frontier`, feature and bin over the train rows of each task; at the root also the loss on val."""
+def _sums(blocks: RDD, trees: list[Tree], growing: Tree, frontier: list[int], rate: float, width: int, bins: int, parts: int) -> RDD:
+    """((node, first feature), (2, features, bins) of the sums of g and n) over all train rows, per node of `frontier` and
+    FEATURES_PER_SUM features; at the root also the loss on val, as node LOSS."""
     place = np.full(len(growing.feature), -1)
     place[frontier] = np.arange(len(frontier))
     root = frontier == [0]
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(part: Iterator) -> Iterator[tuple]:
         size = len(frontier) * width * bins
-        g, n, loss, seen = np.zeros(size), np.zeros(size, np.int64), 0.0, 0
-        for batch in batches:
-            x, train = _matrix(batch, width), batch.column("train").to_numpy(zero_copy_only=False)
-            slope = batch.column("pred").to_numpy() - batch.column("label").to_numpy()
+        sums, loss, seen = np.zeros((2, size)), 0.0, 0
+        for block in part:
+            train, label, x, pred = _arrays(block, width)
+            slope = pred - label
             for tree in trees:
                 slope = slope + rate * tree.value[tree.nodes(x, tree.bin)]
             if root:
@@ -182,42 +191,39 @@ def _cells(rows: DataFrame, trees: list[Tree], growing: Tree, frontier: list[int
             used = train & (at >= 0)
             if used.any():
                 key = ((at[used, None] * width + np.arange(width)) * bins + x[used]).ravel()
-                g += np.bincount(key, np.repeat(slope[used], width), size)
-                n += np.bincount(key, minlength=size)
-        full = np.flatnonzero(n)
-        node, rest = np.divmod(full, width * bins)
-        feature, b = np.divmod(rest, bins)
-        columns = [np.append(np.asarray(frontier, np.int32)[node], LOSS), np.append(feature, 0), np.append(b, 0),
-                   np.append(g[full], loss), np.append(n[full], seen)]
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["node", "feature", "bin", "g", "n"])
-
-    return rows.select("train", "label", "bins", "pred").mapInArrow(add_up, CELLS)
-
-
-def best_splits(cells: DataFrame, penalty: float = 1.0, min_rows: int = 1, unit: float = 1.0, parts: int | None = None) -> DataFrame:
-    """(node, g, n, feature, bin, gl, nl, gain): the split with the largest gain for each node of `cells` (node, feature,
-    bin, g, n); rows may share a cell. Gains that agree to ten digits of `unit` count as equal, then the smaller feature and
-    the smaller bin win. Feature, bin, gl, nl and gain are null where no split leaves `min_rows` on both sides. `parts` is
-    the number of tasks the cells meet in, by default Spark's."""
-    met = cells.repartition(parts, "node", "feature") if parts else cells.repartition("node", "feature")
-    # the cells of one feature of one node, at most one per bin after the sums, meet in one place
-    sums = met.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-    feature = Window.partitionBy("node", "feature")
-    left = feature.orderBy("bin")
-    split = sums.select("node", "feature", "bin", F.sum("g").over(left).alias("gl"), F.sum("n").over(left).alias("nl"),
-                        F.sum("g").over(feature).alias("g"), F.sum("n").over(feature).alias("n"))
+                sums[0] += np.bincount(key, np.repeat(slope[used], width), size)
+                sums[1] += np.bincount(key, minlength=size)
+        if root:
+            yield (LOSS, 0), np.array([loss, seen])
+        shaped = sums.reshape(2, len(frontier), width, bins)
+        for i, node in enumerate(frontier):
+            for first in range(0, width, FEATURES_PER_SUM):
+                yield (node, first), shaped[:, i, first:first + FEATURES_PER_SUM]
+
+    return blocks.mapPartitions(add_up).reduceByKey(np.add, parts)
+
+
+def _best_of(sums: np.ndarray, first: int, penalty: float, min_rows: int, unit: float) -> dict:
+    """The split with the largest gain of one node among the features from `first` on, from their (2, features, bins) sums.
+
+    Gains that agree to ten digits of `unit` count as equal, then the smaller feature and the smaller bin win. `gain` is None
+    where no split leaves `min_rows` on both sides.
+    """
+    (g, n), (gl, nl) = sums.sum(2, keepdims=True), sums.cumsum(2)
 
     def score(g, n):
-        return g * g / (n + F.lit(float(penalty)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return g * g / (n + penalty)
 
-    gain = score(F.col("gl"), F.col("nl")) + score(F.col("g") - F.col("gl"), F.col("n") - F.col("nl")) - score(F.col("g"), F.col("n"))
-    valid = (F.col("nl") >= min_rows) & (F.col("n") - F.col("nl") >= min_rows) & (F.col("node") != LOSS)
-    order = F.struct(F.round(F.col("gain") / F.lit(float(unit)), 10), -F.col("feature"), -F.col("bin"))
-    best = F.max_by(F.struct("feature", "bin", "gl", "nl", "gain"), F.when(F.col("gain").isNotNull(), order))
-    # totals of a node are those of its first feature: each row counts once per feature
-    return split.withColumn("gain", F.when(valid, gain)).groupBy("node").agg(
-        F.min_by("g", F.struct("feature", "bin")).alias("g"), F.min("n").alias("n"), best.alias("best")).select("node", "g", "n", "best.*")
+    gain = score(gl, nl) + score(g - gl, n - nl) - score(g, n)
+    valid = (sums[1] > 0) & (nl >= min_rows) & (n - nl >= min_rows)
+    found = {"g": float(g[0, 0]), "n": int(n[0, 0]), "first": first, "gain": None, "rank": -math.inf}
+    if valid.any():
+        rank = np.where(valid, np.round(gain / unit, 10), -np.inf)
+        f, b = np.unravel_index(np.argmax(rank), rank.shape)  # of equal ones the smallest feature, then the smallest bin
+        found |= {"feature": first + int(f), "bin": int(b), "gl": float(gl[f, b]), "nl": int(nl[f, b]), "gain": float(gain[f, b]),
+                  "rank": float(rank[f, b])}
+    return found
 
 
 def fit_penalised(
@@ -249,14 +255,26 @@ def fit_penalised(
     model = PenalisedTrees(float(base), rate, width, features=features)
     count = rows.count()
     tasks = math.ceil(count * width / PART_BYTES)
-    state = cut_lineage(_binned(rows.withColumn("pred", F.lit(float(base))), edges).repartition(tasks))
+    state = cut_lineage(_blocks(rows.withColumn("pred", F.lit(float(base))).repartition(tasks), edges))
     pending: list[Tree] = []  # trees that `pred` does not hold yet
 
-    def level(tree: Tree, frontier: list[int]) -> dict[int, tuple]:
-        cells = _cells(state, pending, tree, frontier, rate, width, bins)
-        parts = math.ceil(min(len(frontier) * bins * tasks, count) * width / PART_CELLS)
-        splits = best_splits(cells, penalty, min_rows, spread or 1.0, min(parts, len(frontier) * width))
-        return {r["node"]: r for r in splits.collect()}
+    def level(tree: Tree, frontier: list[int]) -> dict[int, dict]:
+        parts = math.ceil(len(frontier) * width * bins / PART_CELLS)
+        sums = _sums(state.rdd, pending, tree, frontier, rate, width, bins, parts)
+        unit = spread or 1.0
+
+        def best(item: tuple) -> tuple[int, dict]:
+            (node, first), of = item
+            return node, {"g": float(of[0]), "n": int(of[1])} if node == LOSS else _best_of(of, first, penalty, min_rows, unit)
+
+        found: dict[int, dict] = {}
+        for node, r in sorted(sums.map(best).collect(), key=lambda item: (item[0], item[1].get("first", 0))):
+            # totals of a node are those of its first feature
+            if node not in found:
+                found[node] = r
+            elif r["rank"] > found[node]["rank"] or (math.isnan(r["rank"]) and not math.isnan(found[node]["rank"])):
+                found[node] = {**r, "g": found[node]["g"], "n": found[node]["n"]}
+        return found
 
     best = 0
     for number in range(rounds + 1):

@@ -122,3 +122,17 @@ def test_odd_rows(spark):
     assert flat.base == 1.0 and all((t.feature == -1).all() for t in flat.trees)
     with pytest.raises(ValueError):
         bo.fit_penalised(df.where("false"))
+
+
+def test_a_level_is_one_job(spark):
+    """Fits are hundreds of levels long, so that a level's jobs and shuffles decide how long they take."""
+    x, y = sample(200)
+    df = rows_of(spark, x, y, ["train"] * 200)
+    jobs = []
+    for rounds in (2, 6):
+        spark.sparkContext.setJobGroup(f"fit {rounds}", "")
+        trees = bo.fit_penalised(df, depth=3, rounds=rounds).trees
+        assert len(trees) == rounds and all(t.feature[0] >= 0 and t.feature[1:3].max() >= 0 for t in trees)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 4 * 3
