@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pipescope.operators.ordering import digest_cutoffs
 from pipescope.operators.vocabulary import look_up
-from pipescope.session import cut_lineage
+from pipescope.session import cut_lineage, in_small_batches
 
 MAX_FEATURES = 100_000
 
@@ -56,7 +56,7 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, split, term, tf) over words and word pairs, counted inside each row."""
-    listed = spread(docs.select("doc_id", "split", "tokens")).select("doc_id", "split", F.explode(counted_terms("tokens")).alias("_t"))
+    listed = in_small_batches(spread(docs.select("doc_id", "split", "tokens"))).select("doc_id", "split", F.explode(counted_terms("tokens")).alias("_t"))
     return listed.select("doc_id", "split", "_t.term", "_t.tf")
 
 
@@ -112,7 +112,7 @@ def tf_idf(docs: DataFrame, terms: DataFrame) -> DataFrame:
         rows = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(weights, pa.float64())], ["term", "weight"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
-    placed = spread(docs.select("doc_id", "split", "tokens"))
+    placed = in_small_batches(spread(docs.select("doc_id", "split", "tokens")))
     listed = placed.select("doc_id", "split", F.explode(weighed(counted_terms("tokens"))).alias("_t"))
     return listed.select("doc_id", "split", "_t.term", "_t.weight")
 

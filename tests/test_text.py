@@ -249,3 +249,22 @@ def test_experiment_runs(spark):
         xp.metrics(corpus, xp.Config(model="nonsense"))
     with pytest.raises(ValueError):
         xp.metrics(corpus, xp.Config(featuriser="glove_mean"))
+
+
+@pytest.mark.parametrize("work", ["count", "weigh", "stem"])
+def test_texts_go_through_python_in_small_batches(spark, work):
+    """A worker holds at most 2,000 documents of a batch, however many a task has."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(2).selectExpr("id AS doc_id", "'train' AS split", "'a b' AS text", "array('a', 'b') AS tokens")
+        if work == "stem":
+            vo.stem_text(docs)
+        elif work == "count":
+            ft.term_counts(docs)
+        else:
+            ft.tf_idf(docs, spark.createDataFrame([("a", 2)], "term string, df long"))
+        assert int(spark.conf.get(key)) <= 2000
+    finally:
+        spark.conf.set(key, before)
