@@ -8,25 +8,26 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, SQLTransformer,
 )
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipescope.operators.ordering import digest_cutoffs
-from pipescope.operators.vocabulary import look_up
 from pipescope.session import cut_lineage, in_small_batches
 
 MAX_FEATURES = 100_000
+BLOCK_BYTES = 64 * 2**20  # of word vectors that a task holds
+ROWS_AT_ONCE = 16_384  # word positions whose vectors are written out together
 
 
 def _terms_with(name: str, kind: T.DataType) -> T.ArrayType:
@@ -126,29 +127,126 @@ def unit(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
 
 
+class _Block:
+    """The vectors of a block of words, beside which batches of documents are read."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        words = rows.column("token").combine_chunks().dictionary_encode()
+        self.words, codes = words.dictionary, words.indices.to_numpy()
+        # a word may have several vectors: they lie side by side
+        order = np.argsort(codes, kind="stable")
+        self.vectors = rows.column("vec").combine_chunks().take(pa.array(order))
+        self.sizes = np.bincount(codes, minlength=len(self.words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def found(self, documents: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, position, vector) numbers of the known words of some documents, in order."""
+        tokens, positions = documents.column("tokens"), documents.column("places").flatten().to_numpy()
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = pc.fill_null(pc.index_in(tokens.flatten(), value_set=self.words, skip_nulls=True), -1).to_numpy()
+        places = np.flatnonzero(codes >= 0)
+        known = codes[places]
+        document = np.repeat(np.arange(len(lengths)), lengths)[places]
+        position = positions[places]
+        times = self.sizes[known]
+        ends = np.cumsum(times)
+        nth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times)
+        return np.repeat(document, times), np.repeat(position, times), np.repeat(self.starts[known], times) + nth
+
+
+def _beside_vectors(
+    docs: DataFrame, vectors: DataFrame, use: Callable[[_Block, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType,
+) -> DataFrame:
+    """`use(block, documents)` of every share of the documents with every block of the word vectors.
+
+    Words are dealt into blocks of at most BLOCK_BYTES of vectors and documents into shares, as many as fill the
+    shuffle partitions. A task reads the vectors of its block and then the batches of its share, one after the
+    other: a word moves once, a vector once per share, and no vector travels with a word. Documents have columns
+    doc_id, tokens and places: their words of the block and where they stood.
+    """
+    spark = docs.sparkSession
+    known = cut_lineage(vectors.where("token is not null").select("token", "vec"))
+    held = known.agg(F.sum(8 * F.coalesce(F.size("vec"), F.lit(0)) + F.octet_length("token")).alias("bytes")).first()["bytes"] or 0
+    blocks = max(1, math.ceil(held / BLOCK_BYTES))
+    shares = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / blocks)
+    block_of = lambda word: F.pmod(F.xxhash64(word), F.lit(blocks)) if blocks > 1 else F.lit(0).cast("long")
+    task = (F.col("_block") * shares + F.col("_share")).cast("int").alias("_task")
+    dealt = known.withColumn("_block", block_of("token")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    vector_rows = dealt.select(
+        task, F.lit(False).alias("_text"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        F.lit(None).cast("array<string>").alias("tokens"), F.lit(None).cast("array<int>").alias("places"), "token", "vec")
+    placed = docs.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shares)).alias("_share"))
+    numbered = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place")))
+    placed = placed.withColumn("_words", numbered).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if blocks > 1:
+        placed = placed.withColumn("_words", F.filter("_words", lambda w: block_of(w["token"]) == F.col("_block")))
+    text_rows = placed.select(
+        task, F.lit(True).alias("_text"), "doc_id", "_words.token", "_words.place").toDF("_task", "_text", "doc_id", "tokens", "places")
+    text_rows = text_rows.withColumns({"token": F.lit(None).cast("string"), "vec": F.lit(None).cast(known.schema["vec"].dataType)})
+    union = vector_rows.unionByName(text_rows).repartitionById(blocks * shares, "_task").sortWithinPartitions("_text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = [], None
+        for batch in batches:
+            first = batch.num_rows - (pc.sum(batch.column("_text")).as_py() or 0)
+            if first:
+                held.append(batch.slice(0, first).select(["token", "vec"]))
+            if first < batch.num_rows and (block or held):
+                block = block or _Block(held)
+                yield from use(block, batch.slice(first))
+
+    return in_small_batches(union).mapInArrow(read, schema)
+
+
+def _sums(vec: str, width: int) -> list[Column]:
+    """One sum per dimension: plain numbers, which are added up in a hash table without ordering the rows."""
+    return [F.sum(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(width)]
+
+
 def mean_vectors(docs: DataFrame, vectors: DataFrame, width: int, normalise: bool = True) -> DataFrame:
     """(doc_id, features): mean of the known words' vectors, unit-scaled first unless told otherwise.
 
-    Words are counted per document before the lookup and enter the mean with that weight. Documents
-    without a known word get zeros.
+    The vectors of a document's words are added up where its words meet them. Documents without a known word
+    get zeros.
     """
-    words = docs.select("doc_id", "tokens").repartition("doc_id").select(
-        "doc_id", F.explode("tokens").alias("token")
-    )
-    counted = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     scaled = unit(F.col("vec")) if normalise else F.transform("vec", lambda x: x.cast("double"))
-    known = look_up(counted, vectors.select("token", array_to_vector(scaled).alias("vec")), how="inner")
-    pooled = known.groupBy("doc_id").agg(vector_to_array(Summarizer.mean(F.col("vec"), F.col("_n"))).alias("_mean"))
-    zeros = F.array_repeat(F.lit(0.0), width)
-    return docs.select("doc_id").join(pooled, "doc_id", "left").select(
-        "doc_id", F.coalesce("_mean", zeros).alias("features")
-    )
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+
+    def pooled(block: _Block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        document, _, vector = block.found(batch)
+        matrix = block.vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(block.vectors), -1)
+        sums = np.zeros((batch.num_rows, matrix.shape[1]))
+        for begin in range(0, len(vector), ROWS_AT_ONCE):
+            of = document[begin:begin + ROWS_AT_ONCE]
+            edges = np.flatnonzero(np.diff(of, prepend=-1))
+            sums[of[edges]] += np.add.reduceat(matrix[vector[begin:begin + ROWS_AT_ONCE]], edges, axis=0)
+        n = np.bincount(document, minlength=batch.num_rows)
+        some = np.flatnonzero(n)
+        ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * matrix.shape[1])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(sums[some].ravel())), pa.array(n[some])],
+            ["doc_id", "vec", "n"])
+
+    added = _beside_vectors(docs, vectors.select("token", scaled.alias("vec")), pooled, schema)
+    total = added.groupBy("doc_id").agg(*_sums("vec", width), F.sum("n").alias("_n"))
+    means = total.select("doc_id", F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(width)]).alias("features"))
+    return _every_document(docs, means, width)
 
 
 def token_vector_rows(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(doc_id, pos, vec): one row per known word position, as an encoder would output."""
-    rows = docs.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    return look_up(rows, vectors, how="inner").select("doc_id", "pos", "vec")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("pos", T.IntegerType()), vectors.schema["vec"]])
+
+    def rows(block: _Block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        document, position, vector = block.found(batch)
+        for begin in range(0, len(vector), ROWS_AT_ONCE):
+            part = slice(begin, begin + ROWS_AT_ONCE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(document[part])), pa.array(position[part].astype(np.int32)),
+                 block.vectors.take(pa.array(vector[part]))], ["doc_id", "pos", "vec"])
+
+    return _beside_vectors(docs, vectors, rows, schema)
 
 
 def _every_document(docs: DataFrame, pooled: DataFrame, width: int) -> DataFrame:
@@ -157,19 +255,31 @@ def _every_document(docs: DataFrame, pooled: DataFrame, width: int) -> DataFrame
     return docs.select("doc_id").join(pooled, "doc_id", "left").select("doc_id", F.coalesce("features", zeros).alias("features"))
 
 
+def _first_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch the row of every document with the smallest position."""
+    for batch in batches:
+        codes = pc.fill_null(batch.column("doc_id").dictionary_encode().indices, -1).to_numpy()
+        positions = pc.fill_null(batch.column("pos").cast(pa.int64()), np.iinfo(np.int64).max).to_numpy()
+        order = np.lexsort((positions, codes))
+        yield batch.take(pa.array(order[np.flatnonzero(np.diff(codes[order], prepend=-2))]))
+
+
 def first_vector(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, features) of every document: the vector at the first position of `rows`."""
-    pooled = rows.groupBy("doc_id").agg(F.transform(F.min_by("vec", "pos"), lambda x: x.cast("double")).alias("features"))
+    """(doc_id, features) of every document: the vector at the first position of `rows`.
+
+    All but the first rows of a batch are left out before anything is ordered.
+    """
+    some = rows.select("doc_id", "pos", "vec")
+    firsts = some.mapInArrow(_first_of_batches, some.schema)
+    pooled = firsts.groupBy("doc_id").agg(F.transform(F.min_by("vec", "pos"), lambda x: x.cast("double")).alias("features"))
     return _every_document(docs, pooled, width)
 
 
 def mean_position_vector(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(doc_id, features) of every document: mean over its positions in `rows` (padding never enters)."""
-    wide = array_to_vector(F.transform("vec", lambda x: x.cast("double")))
-    pooled = rows.select("doc_id", wide.alias("v")).groupBy("doc_id").agg(
-        vector_to_array(Summarizer.mean(F.col("v"))).alias("features")
-    )
-    return _every_document(docs, pooled, width)
+    total = rows.groupBy("doc_id").agg(*_sums("vec", width), F.count("vec").alias("_n"))
+    means = total.where("_n > 0").select("doc_id", F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(width)]).alias("features"))
+    return _every_document(docs, means, width)
 
 
 def batched_features(

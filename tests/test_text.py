@@ -198,6 +198,54 @@ def test_mean_vectors(spark, token_docs):
     assert plain[1] == pytest.approx([2.0, 10 / 3])
 
 
+def vector_cases(spark):
+    docs = spark.createDataFrame(
+        [(1, ["x", "a", "b", "a"]), (2, ["b"]), (2, ["c", None]), (3, ["x"]), (4, []), (5, None), (None, ["a"])],
+        "doc_id long, tokens array<string>")
+    vectors = spark.createDataFrame(
+        [("a", [3.0, 4.0]), ("b", [0.0, 2.0]), ("c", [1.0, 0.0]), ("c", [0.0, 3.0]), (None, [9.0, 9.0])],
+        "token string, vec array<float>")
+    return docs, vectors
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block_bytes", [1, 64 * 2**20])
+def test_vectors_meet_words_in_blocks(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(ft, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(ft, "ROWS_AT_ONCE", 2)
+    docs, vectors = vector_cases(spark)
+    rows = ft.token_vector_rows(docs, vectors)
+    assert sorted((str(r["doc_id"]), r["pos"], r["vec"]) for r in rows.collect()) == [
+        ("1", 1, [3.0, 4.0]), ("1", 2, [0.0, 2.0]), ("1", 3, [3.0, 4.0]), ("2", 0, [0.0, 2.0]), ("2", 0, [0.0, 3.0]),
+        ("2", 0, [1.0, 0.0]), ("None", 0, [3.0, 4.0])]
+
+    def got(df):
+        return sorted((str(r["doc_id"]), [round(x, 9) for x in r["features"]]) for r in df.collect())
+
+    rest = [("3", [0.0, 0.0]), ("4", [0.0, 0.0]), ("5", [0.0, 0.0]), ("None", [0.0, 0.0])]
+    pooled = [("2", [round(1 / 3, 9), round(5 / 3, 9)])] * 2
+    assert got(ft.mean_vectors(docs, vectors, 2, normalise=False)) == [("1", [2.0, round(10 / 3, 9)]), *pooled, *rest]
+    assert got(ft.mean_position_vector(docs, rows, 2)) == [("1", [2.0, round(10 / 3, 9)]), *pooled, *rest]
+    firsts = got(ft.first_vector(docs, rows, 2))
+    assert firsts[0] == ("1", [3.0, 4.0]) and firsts[3:] == rest
+    assert firsts[1] == firsts[2] and firsts[1][1] in ([0.0, 2.0], [1.0, 0.0], [0.0, 3.0])
+
+
+def test_no_vector_travels_with_a_word_and_none_is_ordered(spark):
+    """Joining words with vectors moved a vector per word, and what pooled them ordered all of these rows."""
+    docs, vectors = vector_cases(spark)
+    rows = ft.token_vector_rows(docs, vectors)
+    for df in (ft.mean_vectors(docs, vectors, 2), ft.mean_position_vector(docs, rows, 2)):
+        plan = plan_of(df)
+        assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+        assert "MapInArrow" in plan and "Join" not in plan[plan.index("MapInArrow"):]
+    plan = plan_of(ft.first_vector(docs, rows, 2))
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan[plan.index("MapInArrow"):]
+
+
 def linear_rows(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(100, 5))
