@@ -21,6 +21,7 @@ BUCKET_LEVELS = 6  # value ranges per group: 2 to this power at least
 HASH_BUCKET_DIGITS = 3  # digest buckets: 16 to this power at least
 SKETCH = 10_000  # accuracy of the sketches that bracket quantiles: ranks are right within 1 / SKETCH of the rows
 MARGIN = 4 / SKETCH  # half the width of a bracket
+BROADCAST_GROUPS = 10_000  # whose brackets are sent to all tasks
 ROWS_PER_BUCKET = 100_000  # ordered in one task; more rows get more buckets
 
 
@@ -99,7 +100,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     The quantile at p lies at position p*(n-1). One pass sketches for each p a pair of values that has this position
     between them; a second pass keeps what lies between, collapsed by value (about 2 * MARGIN of a group), and of the rest
     only its number and the nearest values on both sides. Positions are counted in that; nothing else is ordered, and
-    nothing is written. A position outside its pair would be an error, not a wrong value.
+    of the data nothing is written. A position outside its pair would be an error, not a wrong value.
     """
     inner = {name: float(p) for name, p in probs.items() if 0 < p < 1}
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
@@ -113,7 +114,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         sides = rows.groupBy(*keys).agg(*ends)
         return sides.select(*keys, *[F.col("_max" if p > 0 else "_min").alias(name) for name, p in probs.items()], "n")
     around = rows.groupBy(*keys).agg(F.struct(*ends, marks(-MARGIN).alias("low"), marks(MARGIN).alias("high")).alias("_around"))
-    placed = rows.join(around, list(keys)) if keys else rows.withColumn("_around", around.scalar())
+    if keys:
+        # written once, so that few groups can be counted and sent to the rows: dealt by group, a group were one task
+        around = cut_lineage(around)
+        placed = rows.join(F.broadcast(around) if around.count() <= BROADCAST_GROUPS else around, list(keys))
+    else:
+        placed = rows.withColumn("_around", around.scalar())
 
     def side(q: Column) -> Column:
         below = F.col("_v") < F.get("_around.low", q)
@@ -123,15 +129,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     each = placed.withColumn("_q", F.explode(F.transform(numbers, lambda q: F.struct(q.alias("of"), side(q).alias("side")))))
     counts = each.groupBy(*keys, "_q", F.when(F.col("_q.side") == 0, F.col("_v")).alias("_at")).agg(
         F.count(F.lit(1)).alias("_count"), F.max("_v").alias("_high"), F.min("_v").alias("_low"),
-        F.max(F.struct("_around.n", "_around._min", "_around._max")).alias("_all"))
+        *[F.max(f"_around.{c}").alias(f"_all_{c}") for c in ("n", "_min", "_max")])
     order = Window.partitionBy(*keys, "_q.of").orderBy("_q.side", "_at").rowsBetween(Window.unboundedPreceding, 0)
     counted = counts.withColumn("_upto", F.sum("_count").over(order)).withColumn("_first", F.col("_upto") - F.col("_count"))
     columns = []
     for name, p in probs.items():
         if name not in inner:
-            columns.append(F.max("_all._max" if p > 0 else "_all._min").alias(name))
+            columns.append(F.max("_all__max" if p > 0 else "_all__min").alias(name))
             continue
-        position = F.lit(float(p)) * (F.col("_all.n") - 1)
+        position = F.lit(float(p)) * (F.col("_all_n") - 1)
 
         def at(place: Column) -> Column:
             inside = (F.col("_q.side") == 0) & (F.col("_first") <= place) & (place < F.col("_upto"))
@@ -142,7 +148,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
         low, high = at(F.floor(position)), at(F.ceil(position))
         columns.append((low + (high - low) * F.max(position - F.floor(position))).alias(name))
-    return counted.groupBy(*keys).agg(*columns, F.max("_all.n").alias("n"))
+    return counted.groupBy(*keys).agg(*columns, F.max("_all_n").alias("n"))
 
 
 def digest_cutoffs(df: DataFrame, keys: Sequence[str], digest: str, wanted: Column) -> DataFrame:

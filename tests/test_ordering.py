@@ -151,3 +151,20 @@ def test_quantiles_of_small_hot_and_odd_groups(spark):
     assert [whole[p] for p in probs] == pytest.approx(list(np.quantile(everything, list(probs.values()))))
     assert od.exact_quantiles(df.where("false"), ["g"], "v", probs).count() == 0
     assert od.exact_quantiles(df, ["g"], "v", {"max": 1.0}).where("g = 'even'").first()["max"] == 25_000
+
+
+def test_quantile_rows_are_neither_ordered_nor_dealt_by_group(spark):
+    """All rows of a group were ordered in one task: three splits of a large table were three tasks."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    got = od.exact_quantiles(df, ["g"], "x", {"low": 0.0, "q1": 0.25, "median": 0.5, "high": 1.0})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    assert sorted((r["g"], r["low"], r["q1"], r["median"], r["high"], r["n"]) for r in got.collect()) == [
+        (g, float(g), g + 749.25, g + 1498.5, g + 2997.0, 1000) for g in range(3)]
+
+
+def test_brackets_of_many_groups_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(od, "BROADCAST_GROUPS", 2)
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    got = od.exact_quantiles(df, ["g"], "x", {"median": 0.5})
+    assert sorted((r["g"], r["median"], r["n"]) for r in got.collect()) == [(g, g + 1498.5, 1000) for g in range(3)]
