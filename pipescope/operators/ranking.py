@@ -40,7 +40,9 @@ def balanced_panel(
 
     Methods below `minimum` rows are dropped. `strict` drops methods of exactly the smallest size too
     (an old rule that empties a balanced panel). Optional jitter in [0, 0.1) breaks ties reproducibly.
+    `df` is evaluated once: sizes, cutoffs and the rows are taken from what is written of it.
     """
+    df = cut_lineage(df.select("experiment", "method", "value"))
     sizes = method_sizes(df, minimum).where("kept")
     if strict:
         sizes = sizes.where(F.col("n") > F.col("smallest"))

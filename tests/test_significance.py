@@ -167,6 +167,22 @@ def test_unordered_panel_is_balanced(spark):
     assert rk.balanced_panel(df, jitter_seed=1).where("value <> round(value)").count() > 0
 
 
+def test_panel_is_evaluated_once(spark):
+    """Sizes, cutoffs and rows each evaluated the panel: all joins and sums behind it ran four times."""
+    rows = [(f"e{i}", "big", float(i)) for i in range(50)] + [(f"e{i}", "mid", float(i)) for i in range(10)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "experiment string, method string, value double"
+    df = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    assert rk.balanced_panel(df).count() == 20
+    assert seen.value == 60
+
+
 def test_cliques(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "c"), ("c", "d"), ("e", "f")], "a string, b string")
     found = sorted(tuple(r["clique"]) for r in rk.maximal_cliques(edges).collect())
