@@ -12,6 +12,7 @@ from pipescope.functions.scalar import result_path, seed_from_path
 from pipescope.functions.text import whitespace_tokens
 from pipescope.operators.results import SPLITS
 from pipescope.operators.sampling import split_corpus, split_train_val
+from pipescope.session import cut_lineage
 from pipescope.sources.split_csv import read_csv
 from pipescope.sources.split_json import read_objects
 
@@ -70,7 +71,8 @@ def load_corpus(spark: SparkSession, name: str, seed: int, root: str = "datasets
         return split_corpus(synthetic_corpus(source), seed)
     if name not in FILE_CORPORA:
         raise NotImplementedError(f"no loader is registered for corpus {name!r}")
-    rest = with_row_id(read_corpus_csv(spark, f"{root}/{name}/train.csv").select("text", "label"), "train")
+    # written once: the split counts, orders and filters the ids, which each would read and shuffle the texts again
+    rest = cut_lineage(with_row_id(read_corpus_csv(spark, f"{root}/{name}/train.csv").select("text", "label"), "train"))
     test = with_row_id(read_corpus_csv(spark, f"{root}/{name}/test.csv").select("text", "label"), "test")
     return split_train_val(rest, seed).unionByName(test.withColumn("split", F.lit("test")))
 

@@ -189,3 +189,14 @@ def test_many_copies_of_a_row_get_ids_of_their_own(spark, monkeypatch):
     assert ids.count() == 53 and ids.select("doc_id").distinct().count() == 53
     monkeypatch.setattr(fl, "COPIES_PER_RANGE", 10_000)
     assert {r.doc_id for r in ids.collect()} == {r.doc_id for r in fl.with_row_id(rows, "train").collect()}
+
+
+def test_loaded_corpus_reads_its_texts_once(spark, tmp_path):
+    """The split counted, ordered and filtered the ids, each time from the files and through two shuffles of the texts."""
+    name = "online_boat_listings"
+    rows = spark.createDataFrame([(f"text {i % 7}", float(i % 7)) for i in range(20)], "text string, label double")
+    fl.write_csv(rows, f"{tmp_path}/{name}/train.csv")
+    fl.write_csv(rows.limit(3), f"{tmp_path}/{name}/test.csv")
+    corpus = fl.load_corpus(spark, name, 3, str(tmp_path))
+    assert corpus.where("split <> 'test'")._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 2
+    assert {r["split"]: r["count"] for r in corpus.groupBy("split").count().collect()} == {"train": 15, "val": 5, "test": 3}
