@@ -246,6 +246,16 @@ def test_no_vector_travels_with_a_word_and_none_is_ordered(spark):
     assert plan.count("MapInArrow") == 2 and "Join" not in plan[plan.index("MapInArrow"):]
 
 
+def test_merges_are_applied_inside_the_row(spark):
+    """Every word of the corpus was moved to its pieces and back to its document."""
+    docs = spark.createDataFrame([(1, "low lower"), (1, "low"), (None, ""), (2, None), (3, " newer  low ")], "doc_id long, text string")
+    got = vo.bpe_tokens(docs, 3)
+    plan = plan_of(got)
+    assert "Join" not in plan and "Exchange" not in plan
+    merged = [" ".join(r["tokens"]) for r in got.orderBy("doc_id", "text").collect()]
+    assert merged == ["", "Ġlow", "Ġlow Ġlow e r", "", "Ġ n e w e r Ġlow"] and got.columns == ["doc_id", "text", "tokens"]
+
+
 def linear_rows(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(100, 5))
