@@ -27,6 +27,7 @@ from pipescope.session import cut_lineage, in_small_batches
 
 MAX_FEATURES = 100_000
 BLOCK_BYTES = 64 * 2**20  # of word vectors that a task holds
+WRONG_VECTOR = "a word vector has null entries or another width"
 ROWS_AT_ONCE = 16_384  # word positions whose vectors are written out together
 
 
@@ -200,35 +201,42 @@ def _beside_vectors(
 
 
 def _sums(vec: str, width: int) -> list[Column]:
-    """One sum per dimension: plain numbers, which are added up in a hash table without ordering the rows."""
-    return [F.sum(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(width)]
+    """One sum per dimension: plain numbers, which are added up in a hash table without ordering the rows.
+
+    Null vectors are left out, null or missing entries of a vector are an error.
+    """
+    wrong = F.when(F.col(vec).isNotNull(), F.raise_error(F.lit(WRONG_VECTOR)).cast("double"))
+    return [F.sum(F.coalesce(F.get(vec, F.lit(i)).cast("double"), wrong)).alias(f"_{i}") for i in range(width)]
 
 
 def mean_vectors(docs: DataFrame, vectors: DataFrame, width: int, normalise: bool = True) -> DataFrame:
     """(doc_id, features): mean of the known words' vectors, unit-scaled first unless told otherwise.
 
-    The vectors of a document's words are added up where its words meet them. Documents without a known word
-    get zeros.
+    The vectors of a document's words are added up where its words meet them; null vectors are left out. Documents
+    without a known word get zeros.
     """
     scaled = unit(F.col("vec")) if normalise else F.transform("vec", lambda x: x.cast("double"))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
 
     def pooled(block: _Block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         document, _, vector = block.found(batch)
-        matrix = block.vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(block.vectors), -1)
-        sums = np.zeros((batch.num_rows, matrix.shape[1]))
+        entries = block.vectors.flatten()
+        if entries.null_count or len(entries) != len(block.vectors) * width:
+            raise ValueError(WRONG_VECTOR)
+        matrix = entries.to_numpy().reshape(-1, width)
+        sums = np.zeros((batch.num_rows, width))
         for begin in range(0, len(vector), ROWS_AT_ONCE):
             of = document[begin:begin + ROWS_AT_ONCE]
             edges = np.flatnonzero(np.diff(of, prepend=-1))
             sums[of[edges]] += np.add.reduceat(matrix[vector[begin:begin + ROWS_AT_ONCE]], edges, axis=0)
         n = np.bincount(document, minlength=batch.num_rows)
         some = np.flatnonzero(n)
-        ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * matrix.shape[1])
+        ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * width)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(sums[some].ravel())), pa.array(n[some])],
             ["doc_id", "vec", "n"])
 
-    added = _beside_vectors(docs, vectors.select("token", scaled.alias("vec")), pooled, schema)
+    added = _beside_vectors(docs, vectors.select("token", scaled.alias("vec")).where("vec is not null"), pooled, schema)
     total = added.groupBy("doc_id").agg(*_sums("vec", width), F.sum("n").alias("_n"))
     means = total.select("doc_id", F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(width)]).alias("features"))
     return _every_document(docs, means, width)

@@ -234,6 +234,23 @@ def test_vectors_meet_words_in_blocks(spark, monkeypatch, block_bytes):
     assert firsts[1] == firsts[2] and firsts[1][1] in ([0.0, 2.0], [1.0, 0.0], [0.0, 3.0])
 
 
+def test_null_vectors_are_left_out_and_null_entries_an_error(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"])], "doc_id long, tokens array<string>")
+
+    def means(*vecs):
+        vectors = spark.createDataFrame(list(zip("abc", vecs)), "token string, vec array<float>")
+        rows = ft.token_vector_rows(docs, vectors)
+        return [lambda: ft.mean_vectors(docs, vectors, 2, normalise=False).first()["features"],
+                lambda: ft.mean_position_vector(docs, rows, 2).first()["features"]]
+
+    for mean in means([1.0, 2.0], None, [1.0, 1.0]):
+        assert mean() == [1.0, 2.0]
+    for wrong in ([1.0, None], [1.0]):
+        for mean in means([1.0, 2.0], wrong, [1.0, 1.0]):
+            with pytest.raises(Exception, match="null entries or another width"):
+                mean()
+
+
 def test_no_vector_travels_with_a_word_and_none_is_ordered(spark):
     """Joining words with vectors moved a vector per word, and what pooled them ordered all of these rows."""
     docs, vectors = vector_cases(spark)
