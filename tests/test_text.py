@@ -343,3 +343,40 @@ def test_texts_go_through_python_in_small_batches(spark, work):
         assert int(spark.conf.get(key)) <= 2000
     finally:
         spark.conf.set(key, before)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_lexicon_steps_move_no_word_and_agree_with_the_join(spark, monkeypatch):
+    texts = ["two  mice ran\noff ", "  lead\x1cthe mice", "", None, "the the xx ", "ran"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n", F.col("doc_id") * 2)
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("ran", "run"), ("ran", "r"), ("xx", None), (None, "no")], "token string, lemma string")
+    tags = spark.createDataFrame([("the", "DET"), ("off", "ADP"), ("off", None), ("mice", "NOUN"), ("mice", "VERB"), ("two", "DET"), ("two", "PRON"), (None, "DET")],
+                                 "token string, pos_tag string")
+    steps = [lambda: vo.lemmatise_text(docs, lemmas), lambda: vo.drop_closed_class(docs, tags)]
+    inside = [s() for s in steps]
+    assert [shuffles(df) for df in inside] == [0, 0]
+    monkeypatch.setattr(vo, "SENT_BYTES", -1)
+    joined = [s() for s in steps]
+    assert all(shuffles(df) for df in joined)
+    for a, b in zip(inside, joined):
+        assert a.columns == b.columns == docs.columns
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_word_pieces_move_no_word_and_agree_with_the_join(spark, monkeypatch):
+    texts = ["Unwanted, running Été 中文!", "", None, "x" * 101 + " un " + "x" * 100, "​ un", "wantednot qq"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = spark.createDataFrame([(p,) for p in ["un", "##want", "##wanted", "##ed", "run", "##ning", ",", "ete", "中", "!", "x", "##x", "want", "un", None]], "piece string")
+    inside = vo.wordpiece_tokens(docs, vocabulary)
+    assert shuffles(inside) == 0
+    got = {r["doc_id"]: r["tokens"] for r in inside.collect()}
+    assert got[0][:5] == ["un", "##wanted", ",", "run", "##ning"] and got[3] == ["[UNK]", "un", "x", *["##x"] * 99] and got[4] == ["un"]
+    monkeypatch.setattr(vo, "SENT_BYTES", -1)
+    joined = vo.wordpiece_tokens(docs, vocabulary)
+    assert shuffles(joined) and {r["doc_id"]: r["tokens"] for r in joined.collect()} == got
+    empty = vocabulary.where("piece = 'none'")
+    monkeypatch.undo()
+    assert {r["doc_id"]: r["tokens"] for r in vo.wordpiece_tokens(docs, empty).collect()}[5] == ["[UNK]", "[UNK]"]
