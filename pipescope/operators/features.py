@@ -29,25 +29,64 @@ MAX_FEATURES = 100_000
 BLOCK_BYTES = 64 * 2**20  # of word vectors that a task holds
 WRONG_VECTOR = "a word vector has null entries or another width"
 ROWS_AT_ONCE = 16_384  # word positions whose vectors are written out together
+WORDS_AT_ONCE = 1_000_000  # words of whole documents whose terms are counted together
 
 
-def _terms_with(name: str, kind: T.DataType) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField(name, kind)]))
-
-
-@F.arrow_udf(_terms_with("tf", T.LongType()))
-def counted_terms(tokens: pa.Array) -> pa.Array:
-    """The words and word pairs of each list with their counts, in order of first occurrence."""
-    terms, counts, ends = [], [], [0]
-    for listed in tokens.to_pylist():
+def _plain_counts(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """As `_term_numbers`, for words that are null or hold a space and so may look like a pair."""
+    rows, terms, counts = [], [], []
+    for row, listed in enumerate(tokens.to_pylist()):
         listed = listed or []
         found = Counter(listed)
         found.update([f"{a} {b}" for a, b in zip(listed, listed[1:])])
+        rows += [row] * len(found)
         terms += found.keys()
         counts += found.values()
-        ends.append(len(terms))
-    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+    coded = pa.array(terms, pa.string()).dictionary_encode("encode")
+    of = coded.indices.to_numpy()
+    order = np.argsort(of, kind="stable")
+    return np.array(rows, np.int64)[order], of[order], coded.dictionary, np.array(counts, np.int64)[order]
+
+
+def _coded(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+    """(row, word number) of all words in order and the distinct words; None if a word is null or holds a space."""
+    flat = tokens.flatten()
+    coded = flat.dictionary_encode()
+    if flat.null_count or pc.any(pc.match_substring(coded.dictionary, " ")).as_py():
+        return None
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(tokens)), lengths), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _term_numbers(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(row, term number, terms, tf): the words and word pairs of each list with their counts, by term."""
+    coded = _coded(tokens)
+    if coded is None:
+        return _plain_counts(tokens)
+    row, code, words = coded
+    n, rows = len(words), max(len(tokens), 1)
+    same = np.flatnonzero(row[1:] == row[:-1])
+    single, single_tf = np.unique(code * rows + row, return_counts=True)
+    pair, pair_tf = np.unique((code[same] * n + code[same + 1]) * rows + row[same], return_counts=True)
+    pair_of = pair // rows
+    first = np.diff(pair_of, prepend=-1) != 0
+    left, right = np.divmod(pair_of[first], max(n, 1))
+    pairs = pc.binary_join_element_wise(words.take(pa.array(left)), words.take(pa.array(right)), " ")
+    return (np.concatenate([single % rows, pair % rows]), np.concatenate([single // rows, n - 1 + np.cumsum(first)]),
+            pa.concat_arrays([words, pairs]), np.concatenate([single_tf, pair_tf]))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of documents in runs of whole rows, of about WORDS_AT_ONCE words."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // WORDS_AT_ONCE, prepend=0))
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if begin < end:
+            yield batch.slice(begin, end - begin)
+
+
+def _beside(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([docs.schema["doc_id"], docs.schema["split"], T.StructField("term", T.StringType()), T.StructField(name, kind)])
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -58,8 +97,33 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, split, term, tf) over words and word pairs, counted inside each row."""
-    listed = in_small_batches(spread(docs.select("doc_id", "split", "tokens"))).select("doc_id", "split", F.explode(counted_terms("tokens")).alias("_t"))
-    return listed.select("doc_id", "split", "_t.term", "_t.tf")
+    schema = _beside(docs, "tf", T.LongType())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                row, of, terms, tf = _term_numbers(part.column("tokens"))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(at), part.column("split").take(at), terms.take(pa.array(of)), pa.array(tf)], schema.names)
+
+    return in_small_batches(spread(docs.select("doc_id", "split", "tokens"))).mapInArrow(counted, schema)
+
+
+def _term_totals(docs: DataFrame) -> DataFrame:
+    """(term, total, df) of all rows; the rows of a batch are added up before their terms leave Python."""
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                _, of, terms, tf = _term_numbers(part.column("tokens"))
+                if len(of):
+                    first = np.flatnonzero(np.diff(of, prepend=-1))
+                    df = np.diff(first, append=len(of))
+                    yield pa.RecordBatch.from_arrays(
+                        [terms.take(pa.array(of[first])), pa.array(np.add.reduceat(tf, first)), pa.array(df)], ["term", "total", "df"])
+
+    counted = in_small_batches(spread(docs.select("tokens"))).mapInArrow(added, "term string, total long, df long")
+    return counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
 def fit_terms(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -68,8 +132,7 @@ def fit_terms(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     The number of terms per total (a short table) tells the total at which `max_features` is reached; terms above
     it are a filter, and of those at it the first by digest are found from the leading digits of the digests.
     """
-    train = term_counts(docs.where(F.col("split") == "train"))
-    totals = cut_lineage(train.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
+    totals = cut_lineage(_term_totals(docs.where(F.col("split") == "train")))
     sizes = totals.groupBy("total").agg(F.count(F.lit(1)).alias("_n"))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
@@ -88,6 +151,50 @@ def bag_of_words(docs: DataFrame, terms: DataFrame, binary: bool = False) -> Dat
     return counts.withColumn("tf", F.lit(1).cast("long")) if binary else counts
 
 
+class _Fitted:
+    """Fitted terms, looked up by the numbers of their words."""
+
+    def __init__(self, idf: dict[str | None, float]):
+        self.idf, named = idf, {t: t.split(" ") for t in idf if t is not None}
+        self.terms = pa.array(list(named), pa.string())
+        self.weights = np.array([idf[t] for t in named], np.float64)
+        # of more than two words are only terms of words that hold spaces themselves
+        places = {len_: [i for i, w in enumerate(named.values()) if len(w) == len_] for len_ in (1, 2)}
+        split = list(named.values())
+        self.words = pa.array(sorted({w for k in (1, 2) for i in places[k] for w in split[i]}), pa.string())
+        number = {w: i for i, w in enumerate(self.words.to_pylist())}
+        self.single = np.full(len(number) + 1, -1, np.int64)  # the last stands for unknown words
+        for i in places[1]:
+            self.single[number[split[i][0]]] = i
+        pairs = np.array([number[split[i][0]] * len(number) + number[split[i][1]] for i in places[2]], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_term = pairs[order], np.array(places[2], np.int64)[order]
+
+    def found(self, tokens: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(row, term, tf * idf) of the fitted terms of each list, by row."""
+        coded = _coded(tokens)
+        if coded is None:
+            row, of, terms, tf = _plain_counts(tokens)
+            known = np.array([self.idf.get(t, np.nan) for t in terms.to_pylist()], np.float64)[of]
+            keep = np.flatnonzero(~np.isnan(known))
+            keep = keep[np.argsort(row[keep], kind="stable")]
+            return row[keep], terms.take(pa.array(of[keep])), tf[keep] * known[keep]
+        row, code, words = coded
+        n = len(self.words)
+        number = pc.fill_null(pc.index_in(words, value_set=self.words), n).to_numpy().astype(np.int64)[code]
+        single = self.single[number]
+        held = single >= 0
+        at = np.flatnonzero((row[1:] == row[:-1]) & (number[1:] < n) & (number[:-1] < n)) if len(self.pairs) else np.zeros(0, np.int64)
+        wanted = number[at] * n + number[at + 1]
+        place = np.minimum(np.searchsorted(self.pairs, wanted), max(len(self.pairs) - 1, 0))
+        hit = self.pairs[place] == wanted if len(at) else np.zeros(0, bool)
+        size = max(len(self.terms), 1)
+        keys = np.concatenate([row[held] * size + single[held], row[at[hit]] * size + self.pair_term[place[hit]]])
+        keys, tf = np.unique(keys, return_counts=True)
+        of = keys % size
+        return keys // size, self.terms.take(pa.array(of)), tf * self.weights[of]
+
+
 def tf_idf(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, split, term, weight): tf * (ln((1+n)/(1+df)) + 1), each document scaled to unit length.
 
@@ -97,26 +204,24 @@ def tf_idf(docs: DataFrame, terms: DataFrame) -> DataFrame:
     n = docs.where(F.col("split") == "train").count()
     fitted = {r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in terms.select("term", "df").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    schema = _beside(docs, "weight", T.DoubleType())
 
-    @F.arrow_udf(_terms_with("weight", T.DoubleType()))
-    def weighed(counts: pa.Array) -> pa.Array:
-        idf, ends = shared.value, [0]
-        words, weights = [], []
-        lists, tfs = counts.values.field("term"), counts.values.field("tf")
-        bounds = counts.offsets.to_pylist()
-        names, numbers = lists.to_pylist(), tfs.to_pylist()
-        for begin, end in zip(bounds, bounds[1:]):
-            known = [(t, k * idf[t]) for t, k in zip(names[begin:end], numbers[begin:end]) if t in idf]
-            norm = math.sqrt(math.fsum(w * w for _, w in known))
-            words += [t for t, _ in known]
-            weights += [w / norm for _, w in known]
-            ends.append(len(words))
-        rows = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(weights, pa.float64())], ["term", "weight"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-
-    placed = in_small_batches(spread(docs.select("doc_id", "split", "tokens")))
-    listed = placed.select("doc_id", "split", F.explode(weighed(counted_terms("tokens"))).alias("_t"))
-    return listed.select("doc_id", "split", "_t.term", "_t.weight")
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Fitted(shared.value)
+        for batch in batches:
+            for part in _parts(batch):
+                row, names, weights = known.found(part.column("tokens"))
+                if not len(row):
+                    continue
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                squares, ends = (weights * weights).tolist(), [*first[1:].tolist(), len(row)]
+                norms = np.array([math.sqrt(math.fsum(squares[b:e])) for b, e in zip(first.tolist(), ends)])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(at), part.column("split").take(at), names,
+                     pa.array(weights / np.repeat(norms, np.diff(first, append=len(row))))], schema.names)
+
+    return in_small_batches(spread(docs.select("doc_id", "split", "tokens"))).mapInArrow(weighed, schema)
 
 
 # --- pooled vectors --------------------------------------------------------------------------------

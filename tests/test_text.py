@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -380,3 +381,36 @@ def test_word_pieces_move_no_word_and_agree_with_the_join(spark, monkeypatch):
     empty = vocabulary.where("piece = 'none'")
     monkeypatch.undo()
     assert {r["doc_id"]: r["tokens"] for r in vo.wordpiece_tokens(docs, empty).collect()}[5] == ["[UNK]", "[UNK]"]
+
+
+def test_terms_are_counted_and_weighed_in_batches_as_one_by_one(spark, monkeypatch):
+    """Rows without nulls or spaces in words, others, repeated rows and rows without words; no row of a term is exploded."""
+    lists = [["a", "b", "a", "b"], ["b", "a"], [], None, ["", "a", ""], ["a", "b", "a", "b"]]
+    odd = [["a b", "a", "b"], [None, "a"], ["c"]]
+    monkeypatch.setattr(ft, "WORDS_AT_ONCE", 3)
+    for tokens in (lists, lists + odd):
+        rows = [(i % 5, "train" if i % 2 else None, t) for i, t in enumerate(tokens)]
+        docs = spark.createDataFrame(rows, "doc_id int, split string, tokens array<string>").coalesce(1)
+        want = []
+        for doc, split, t in rows:
+            found = Counter(t or [])
+            found.update(f"{a} {b}" for a, b in zip(t or [], (t or [])[1:]))
+            want.append((doc, split, found))
+        counts = ft.term_counts(docs)
+        assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+        order = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(tuple, counts.collect()), key=order) == sorted(((d, s, x, n) for d, s, f in want for x, n in f.items()), key=order)
+        totals = {r["term"]: (r["total"], r["df"]) for r in ft.fit_terms(docs).collect()}
+        train = [f for _, s, f in want if s == "train"]
+        assert totals == {x: (sum(f[x] for f in train), sum(x in f for f in train)) for f in train for x in f}
+        n = len(train)
+        weights = ft.tf_idf(docs, ft.fit_terms(docs))
+        assert "Generate" not in weights._jdf.queryExecution().executedPlan().toString()
+        expected = []
+        for doc, split, f in want:
+            known = {x: k * (math.log((1 + n) / (1 + totals[x][1])) + 1) for x, k in f.items() if x in totals}
+            norm = math.sqrt(math.fsum(w * w for w in known.values()))
+            expected += [(doc, split, x, w / norm) for x, w in known.items()]
+        assert sorted(map(tuple, weights.collect()), key=order) == sorted(expected, key=order)
+    empty = docs.where("doc_id > 9")
+    assert ft.fit_terms(empty).isEmpty() and ft.tf_idf(docs, ft.fit_terms(empty)).isEmpty()
