@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pipescope.functions import registry
 from pipescope.operators import boosting
@@ -15,6 +17,8 @@ from pipescope.operators import models as md
 from pipescope.operators.aggregates import evaluate
 from pipescope.session import cut_lineage
 
+PART_BYTES = 32 << 20  # of text in a partition; a task of Spark's term counting reads about as much
+
 
 @dataclass(frozen=True)
 class Config:
@@ -62,13 +66,23 @@ def fit_model(featurised: DataFrame, config: Config):
     raise ValueError(f"unknown model {config.model!r}")
 
 
+def dealt(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """`rows` over as many partitions as the texts of `corpus` ask for, if they are fewer.
+
+    Spark's estimators shuffle into as many partitions as they are given, which else follow files or join settings.
+    """
+    held = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = math.ceil(held / PART_BYTES)
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def run(corpus: DataFrame, config: Config, vectors: DataFrame | None = None, width: int = 0,
         lexicons: dict[str, DataFrame] | None = None) -> tuple[DataFrame, object]:
     """(predictions with doc_id, split, prediction, label; the fitted model)."""
     cleaned = registry.apply_steps(corpus.select("doc_id", "split", "text", "label"), config.preprocessers, lexicons)
     # tokens and features are each read many times by the fits: written once to the shared folder
     tokenised = cut_lineage(
-        registry.tokeniser(config.tokeniser)(cleaned).select("doc_id", "split", "label", "tokens")
+        dealt(registry.tokeniser(config.tokeniser)(cleaned).select("doc_id", "split", "label", "tokens"), corpus)
     )
     featurised = cut_lineage(
         featurise(tokenised, config, vectors, width).select("doc_id", "split", "label", "features")

@@ -414,3 +414,17 @@ def test_terms_are_counted_and_weighed_in_batches_as_one_by_one(spark, monkeypat
         assert sorted(map(tuple, weights.collect()), key=order) == sorted(expected, key=order)
     empty = docs.where("doc_id > 9")
     assert ft.fit_terms(empty).isEmpty() and ft.tf_idf(docs, ft.fit_terms(empty)).isEmpty()
+
+
+def test_partitions_of_an_experiment_follow_its_texts(spark, monkeypatch):
+    """Spark's counting of terms has as many tasks as the tokenised rows have partitions."""
+    corpus = spark.range(40).selectExpr("id AS doc_id", "'train' AS split", "'a b c d' AS text", "double(id) AS label").coalesce(2)
+    seen = []
+    featurise = xp.featurise
+    monkeypatch.setattr(xp, "PART_BYTES", 28)
+    monkeypatch.setattr(xp, "featurise", lambda t, *rest: seen.append(t.rdd.getNumPartitions()) or featurise(t, *rest))
+    rows, _ = xp.run(corpus, xp.Config([], "whitespace", "tf_idf", "mean"))
+    assert rows.count() == 40 and seen == [10]
+    monkeypatch.setattr(xp, "PART_BYTES", 1 << 20)
+    xp.run(corpus, xp.Config([], "whitespace", "tf_idf", "mean"))
+    assert seen == [10, 2]
