@@ -39,6 +39,7 @@ SCALE = 1024
 # source does not reject ordinary documents
 FLOORS = (0.5, 0.1, 0.35, 0.1, 0.08)
 D = len(FLOORS)
+GROUPS_A_TASK = 200  # whose bins, some hundreds each, or estimates a task takes
 COORDINATES = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -169,13 +170,13 @@ def _half(total: Column) -> Column:
     return F.least(total, F.floor((total + D + 1) / 2))
 
 
-def _step(rows: DataFrame, estimates: DataFrame, keys: list[str], support: float | None) -> DataFrame:
-    """One concentration step for every group and start."""
+def _step(rows: DataFrame, estimates: DataFrame, keys: list[str], support: float | None, tasks: int) -> DataFrame:
+    """One concentration step for every group and start; `tasks` take the bins and the estimates."""
     near = with_distance(_with_group(rows, estimates, keys), "_d2")
     binned = near.withColumn("_bin", F.floor(16 * F.log2(1 + 64 * F.col("_d2"))))
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(COORDINATES)] + [
         F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
-    bins = binned.groupBy(*keys, "start", "_bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+    bins = binned.groupBy(*keys, "start", "_bin").agg(F.count(F.lit(1)).alias("n"), *sums).coalesce(tasks)
     group = Window.partitionBy(*keys, "start")
     earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     kept = bins.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(group)}).where(
@@ -185,7 +186,7 @@ def _step(rows: DataFrame, estimates: DataFrame, keys: list[str], support: float
         *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS])
     moments = totals.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / SCALE for i in range(D)}).withColumns({
         f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") / SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS})
-    return with_cholesky(moments).select(*keys, "start", *_estimate_columns())
+    return with_cholesky(moments).select(*keys, "start", *_estimate_columns()).coalesce(tasks)
 
 
 def _with_group(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
@@ -202,20 +203,23 @@ def mcd(rows: DataFrame, keys: list[str], support: float | None = 0.75) -> DataF
     """(keys, m_i, l_ij, log_det): the minimum-covariance-determinant estimate of each group; None is (n + p + 1) / 2 rows.
 
     A step that does not make a determinant smaller (bins are taken in whole, so it may grow) leaves its estimate as it
-    was; steps go on until no determinant falls any more.
+    was; steps go on until no determinant falls any more. What is known of the groups is a short table, which as many
+    tasks take as the groups ask for: a step has one stage over the rows, and few tasks besides.
     """
-    estimates = cut_lineage(_step(rows, cut_lineage(_starts(rows, keys)), keys, support))
+    starts = cut_lineage(_starts(rows, keys))
+    tasks = max(1, math.ceil(starts.count() / 2 / GROUPS_A_TASK))
+    estimates = cut_lineage(_step(rows, starts.coalesce(tasks), keys, support, tasks))
     while True:
         both = estimates.withColumn("_new", F.lit(0)).unionByName(
-            _step(rows, estimates, keys, support).withColumn("_new", F.lit(1)))
+            _step(rows, estimates, keys, support, tasks).withColumn("_new", F.lit(1)))
         chosen = both.groupBy(*keys, "start").agg(F.min(F.struct(
             F.round("log_det", 6).alias("_rounded"), "_new", *_estimate_columns())).alias("_least"))
-        stepped = cut_lineage(chosen.select(*keys, "start", "_least.*"))
+        stepped = cut_lineage(chosen.select(*keys, "start", "_least.*").coalesce(tasks))
         estimates = stepped.drop("_rounded", "_new")
         if stepped.where("_new = 1").isEmpty():
             break
     best = Window.partitionBy(*keys).orderBy(F.round("log_det", 9), "start")
-    return estimates.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best", "start")
+    return estimates.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best", "start").coalesce(tasks)
 
 
 def _consistency(support: float) -> float:

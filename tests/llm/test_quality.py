@@ -131,3 +131,23 @@ def test_repeated_short_lines(frame):
     got = quality.judged(frame(rows), keep=("doc_id",)).collect()
     assert {r.doc_id for r in got if not r.kept} == junk
     assert any(not r.base_failed for r in got if not r.kept)
+
+
+def test_estimates_of_few_groups_stay_in_one_task(spark, monkeypatch):
+    """Steps over some groups run few tasks beside those over the rows, whatever the number of shuffle partitions."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = spark.range(120).selectExpr(
+            "if(id % 3 = 0, null, string(id % 3)) AS g", *[f"1000 * {i} + (id * {7 + i}) % 41 AS x{i}" for i in range(quality.D)])
+        cut, tasks = quality.cut_lineage, []
+        monkeypatch.setattr(quality, "cut_lineage", lambda df: tasks.append((out := cut(df)).rdd.getNumPartitions()) or out)
+        one = quality.mcd(rows, ["g"])
+        assert one.rdd.getNumPartitions() == 1 and len(tasks) > 2 and set(tasks[1:]) == {1}
+        got = sorted(map(str, one.collect()))
+        assert len(got) == 3
+        monkeypatch.setattr(quality, "GROUPS_A_TASK", 1)
+        assert sorted(map(str, quality.mcd(rows, ["g"]).collect())) == got
+    finally:
+        spark.conf.set(key, before)
