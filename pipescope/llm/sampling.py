@@ -30,10 +30,10 @@ import heapq
 import math
 import re
 from collections.abc import Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +43,9 @@ from pipescope.llm.pieces import text_parts
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 RANK_OFFSET = 3.0
-PART_BYTES = 1_000_000
+PART_BYTES = 1_000_000  # of texts that are searched side by side
+LATTICE_BYTES = 2_000_000  # of texts whose words share a lattice
+SHARED_END = 32  # characters of word ends looked at for what words have in common
 SCHEMA = ("key long, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, ids array<int>, "
           "decoded boolean")
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -68,23 +70,20 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def _one_space(text: str) -> bool:
+    """Whether a word begins at each space and nowhere else but in front."""
+    return text != "" and text[0] != " " and "  " not in text and MARK not in text
+
+
 def split_words(text: str) -> list[str]:
     """The words of a text, each without its first space mark; further marks of a run of spaces stay in front."""
     if not text:
         return []
-    if text[0] != " " and "  " not in text and MARK not in text:
+    if _one_space(text):
         return text.split(" ")
     return [word[1:] for word in MARKED_WORD.findall(MARK + text.replace(" ", MARK))]
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are met."""
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 class _HashTable:
     """Values of 64-bit hashes, -1 for unknown ones. Open addressing, sparse, so that most look-ups are one step."""
 
@@ -165,51 +164,60 @@ class PieceModel:
 
 
 class Lattice:
-    """The lattices of many distinct words; a node is a character's place in the words laid end to end.
+    """The lattices of many distinct words; a node is what is left of a word, and words that end alike share it.
 
     Edges are sorted by node, longest first. `upper` are the ends of the edges' shares of 2^32, in order within the
     node, so a 32-bit random number draws the first edge whose end is above it.
     """
 
-    def __init__(self, model: PieceModel, words: Sequence[str]):
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        chars = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32) if len(words) else (
-            np.zeros(0, np.uint32))
-        n = len(chars)
-        self.first = np.cumsum(sizes) - sizes
-        self.end = n
-        ends = np.repeat(self.first + sizes, sizes)
+    def __init__(self, model: PieceModel, words: pa.Array):
+        order = pc.array_sort_indices(pc.utf8_reverse(words))  # words that end alike beside each other
+        words = words.take(order)
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
+        last = np.cumsum(sizes)
+        chars = np.full(int(sizes.sum()), ord(MARK), np.uint32)
+        rest = np.ones(len(chars), bool)
+        rest[last - sizes] = False
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_py()
+        chars[rest] = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        places, node_of = self._nodes(chars, last, sizes)
+        self.first = np.empty(len(words), np.int64)
+        self.first[order.to_numpy()] = node_of[last - sizes]
+        n = self.end = len(places)
+        left = np.repeat(last, sizes)[places] - places  # characters to the end of the word
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        at, h = np.arange(n), np.zeros(n, np.uint64)
+        at, h, place, room = np.arange(n), np.zeros(n, np.uint64), places, left
         lone = np.ones(n, bool)
         for size in range(1, model.longest + 1):
             if size > 1:
-                inside = at + size <= ends[at]
-                at, h = at[inside], h[inside]
-            h = h * _MUL + chars[at + (size - 1)] + _ADD
+                goes_on = np.flatnonzero(goes_on & (room >= size))
+                at, h, place, room = at[goes_on], h[goes_on], place[goes_on], room[goes_on]
+            h = h * _MUL + chars[place + (size - 1)] + _ADD
             entry = model.table.find(h)
-            hit = (entry >= 0) & (entry < 2 * model.no_piece)
+            hit = np.flatnonzero((entry >= 0) & (entry < 2 * model.no_piece))
             found.append((size, at[hit], entry[hit] >> 1))
             if size == 1:
                 lone[at[hit]] = False
             goes_on = (entry >= 0) & (entry & 1 == 1)
-            at, h = at[goes_on], h[goes_on]
         unknown = np.flatnonzero(lone)
         byte_ids = [[model.byte_id.get(b, model.unknown) for b in chr(c).encode("utf-8", "surrogatepass")]
-                    for c in chars[unknown].tolist()]
+                    for c in chars[places[unknown]].tolist()]
         found.insert(0, (1, unknown, -1 - np.arange(len(unknown))))
         count = np.zeros(n, np.int64)
         for _, nodes, _ in found:
             count[nodes] += 1
         self.edge_first = np.concatenate([[0], np.cumsum(count)])
         free = self.edge_first[:-1].copy()
-        start, size, ids = (np.empty(int(count.sum()), np.int64) for _ in range(3))
+        start = np.repeat(np.arange(n), count)
+        target, ids = (np.empty(len(start), np.int64) for _ in range(2))
+        node_of = np.append(node_of, n)
         for length, nodes, of in reversed(found):
             place = free[nodes]
-            start[place], size[place], ids[place] = nodes, length, of
+            beyond = places[nodes] + length
+            target[place] = np.where(left[nodes] == length, n, node_of[beyond])
+            ids[place] = of
             free[nodes] += 1
-        self.start = start
-        self.target = np.where(start + size == ends[start], n, start + size)
+        self.start, self.target = start, target
         weight = model.weights[np.maximum(ids, 0)]
         # the ids an edge stands for: one, or the bytes of its character
         self.out_sizes, self.out_starts, self.out = np.ones(len(ids), np.int64), np.arange(len(ids)), ids
@@ -222,7 +230,7 @@ class Lattice:
             self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
             self.out = np.repeat(ids, self.out_sizes)
             self.out[self.out < 0] = np.concatenate([byte_ids[b] for b in (-1 - ids[special]).tolist()])
-        beta = self._backward(weight, ends)
+        beta = self._backward(weight, left)
         self.log_prob = weight + beta[self.target] - beta[start]
         probability = np.exp(self.log_prob)
         above = probability.copy()
@@ -239,10 +247,34 @@ class Lattice:
             rest = np.log1p(-np.minimum(probability, 1 - 1e-16))
         self.log_rest = np.where(count[start] == 1, -np.inf, rest)
 
-    def _backward(self, weight: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log of the total weight from each node to the end of its word, from the ends backwards."""
+    @staticmethod
+    def _nodes(chars: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each node among the characters, the first of those that share it, and the node of each place.
+
+        `last` and `sizes` are the ends and sizes of words in the order of their reversed texts, with the mark in front, which
+        is never shared.
+        """
+        stands_for = np.arange(len(chars))
+        word, alike = np.arange(len(last)), np.zeros(len(last), bool)
+        alike[1:] = True  # with the word before, as far as was looked
+        for d in range(1, SHARED_END + 1):
+            long = sizes[word] > d
+            word, alike = word[long], alike[long]
+            if not alike.any():
+                break
+            place = last[word] - d
+            # a word that is like the one before has that one before it here too, unless it was too short
+            alike[1:] &= (np.diff(word) == 1) & (chars[place[1:]] == chars[place[:-1]])
+            alike[:1] = False
+            stands_for[place] = place[np.maximum.accumulate(np.where(alike, 0, np.arange(len(word))))]
+        own = stands_for == np.arange(len(chars))
+        return np.flatnonzero(own), (np.cumsum(own) - 1)[stands_for]
+
+    def _backward(self, weight: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Log of the total weight from each node to the end of its word, from the ends backwards; `left` are the characters
+        to there."""
         beta = np.zeros(self.end + 1)
-        distance = (ends - np.arange(self.end))[self.start]
+        distance = left[self.start]
         if not len(distance):
             return beta
         small = int(distance.max()) < 1 << 16  # numbers of 16 bits are sorted in linear time
@@ -328,15 +360,26 @@ class _Search:
             heapq.heappush(self.agenda, (-value, -number, number, split_at + i, rule))
 
 
+def lattice_of(model: PieceModel, texts: Sequence[str]) -> tuple[Lattice, list[np.ndarray]]:
+    """The lattice of all words of the texts, and the numbers of each text's words in it."""
+    spaced = pa.array([t if _one_space(t) else " ".join(split_words(t)) if t else None for t in texts], pa.string())
+    listed = pc.split_pattern(spaced, " ")
+    counts = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
+    flat = listed.flatten().dictionary_encode()
+    numbers = flat.indices.to_numpy().astype(np.int64)
+    return Lattice(model, flat.dictionary), [numbers[e - c:e] for e, c in zip(np.cumsum(counts).tolist(), counts.tolist())]
+
+
 def sample_batch(model: PieceModel, texts: Sequence[str], seeds: np.ndarray, k: int) -> tuple[Lattice, list[_Search]]:
-    """Run the search for all texts of a batch side by side, so that every draw is one vector operation."""
-    numbers = _Numbers()
-    listed = [list(map(numbers.__getitem__, split_words(t))) for t in texts]
-    lattice = Lattice(model, list(numbers))
-    counts = np.fromiter(map(len, listed), np.int64, len(listed))
-    words = np.fromiter(chain.from_iterable(listed), np.int64, int(counts.sum()))
-    begins = np.cumsum(counts) - counts
-    searches = [_Search(words[b:b + c], s) for b, c, s in zip(begins.tolist(), counts.tolist(), seeds)]
+    """`search_batch` of texts with a lattice of their own."""
+    lattice, listed = lattice_of(model, texts)
+    return lattice, search_batch(lattice, listed, seeds, k)
+
+
+def search_batch(lattice: Lattice, listed: Sequence[np.ndarray], seeds: np.ndarray, k: int) -> list[_Search]:
+    """Run the search for all texts of a batch side by side, so that every draw is one vector operation. `listed` are the
+    numbers of their words in the lattice."""
+    searches = [_Search(words, s) for words, s in zip(listed, seeds)]
 
     def draws(number: int, of: list[int], first_edges: list[int], skip: list[int]):
         """Sample `number` of some searches from a given edge (-1: none) on: the rest of its word, then the words
@@ -355,8 +398,9 @@ def sample_batch(model: PieceModel, texts: Sequence[str], seeds: np.ndarray, k:
         # put the given edges in front
         given = np.asarray(first_edges, np.int64)
         has = (given >= 0).astype(np.int64)
-        edges = np.insert(edges, (ends - np.diff(ends, prepend=0))[given >= 0], given[given >= 0])
-        ends = ends + np.cumsum(has)
+        if has.any():
+            edges = np.insert(edges, (ends - np.diff(ends, prepend=0))[given >= 0], given[given >= 0])
+            ends = ends + np.cumsum(has)
         n = np.diff(ends, prepend=0)
         place = np.arange(len(edges)) - np.repeat(ends - n, n)
         noise = -np.log(-np.log(_uniform(_seeds(np.repeat(_seeds(seeds[of], 2 * number + 1), n), place))))
@@ -367,7 +411,7 @@ def sample_batch(model: PieceModel, texts: Sequence[str], seeds: np.ndarray, k:
 
     everyone = list(range(len(searches)))
     if not everyone:
-        return lattice, searches
+        return searches
     roots = -np.log(-np.log(_uniform(_seeds(_seeds(seeds, 2 * k + 1), 0))))
     for i, (edges, sizes, drawn) in zip(everyone, draws(0, everyone, [-1] * len(everyone), [0] * len(everyone))):
         searches[i].add(lattice, edges, np.cumsum(sizes) - sizes, float(roots[i]), k, drawn)
@@ -395,7 +439,7 @@ def sample_batch(model: PieceModel, texts: Sequence[str], seeds: np.ndarray, k:
                 rest = rest[1:]
             s.add(lattice, np.concatenate([old_edges[:place], edges]), np.concatenate([old_first[:word + 1], rest]), maximum, k, drawn,
                   parent, place, excluded)
-    return lattice, searches
+    return searches
 
 
 def worker_model(model: bytes, power: float) -> PieceModel:
@@ -425,39 +469,42 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for part, texts in text_parts(batch.column(2), PART_BYTES):
-                lattice, searches = sample_batch(model, texts, seeds[part], k)
-                rows: dict[str, list] = {name: [] for name in schema.names}
-                paths = []
-                for own_key, s in zip(keys[part], searches):
-                    kappa = -s.agenda[0][0] if s.agenda else -math.inf
-                    for number, (edges, _, upto, maximum) in enumerate(s.samples):
-                        log_prob = float(upto[-1]) if len(upto) else 0.0
-                        paths.append(edges)
-                        rows["key"].append(own_key)
-                        rows["sample"].append(number)
-                        rows["log_prob"].append(log_prob)
-                        rows["perturbed"].append(maximum)
-                        rows["inclusion"].append(-math.expm1(-math.exp(min(log_prob - kappa, 700.0))))
-                counts = np.fromiter(map(len, paths), np.int64, len(paths))
-                ids, sizes = lattice.ids(np.concatenate(paths))
-                id_ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-                n_ids = np.diff(id_ends, prepend=0)
-                data, ends = model.decode(ids, n_ids)
-                begin = at = 0
-                for t, s in zip(texts, searches):
-                    want = t.encode("utf-8", "surrogatepass")
-                    for _ in s.samples:
-                        end = int(ends[at])
-                        rows["decoded"].append(data[begin + 1:end] == want)  # without the space put in front
-                        begin, at = end, at + 1
-                offsets = pa.array(np.concatenate([[0], id_ends]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))) if with_ids else pa.nulls(
-                    len(paths), pa.list_(pa.int32()))
-                rows["n_pieces"], rows["ids"] = n_ids, lists
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(rows.values(), schema)], schema=schema)
-                del lattice, searches, s, paths, rows, ids, sizes, data, ends, lists, offsets  # before the next part needs room
+            for group, all_texts in text_parts(batch.column(2), LATTICE_BYTES):
+                lattice, listed = lattice_of(model, all_texts)
+                group_keys, group_seeds = keys[group], seeds[group]
+                for part, texts in text_parts(batch.column(2).slice(group.start, len(all_texts)), PART_BYTES):
+                    searches = search_batch(lattice, listed[part], group_seeds[part], k)
+                    rows: dict[str, list] = {name: [] for name in schema.names}
+                    paths = []
+                    for own_key, s in zip(group_keys[part], searches):
+                        kappa = -s.agenda[0][0] if s.agenda else -math.inf
+                        for number, (edges, _, upto, maximum) in enumerate(s.samples):
+                            log_prob = float(upto[-1]) if len(upto) else 0.0
+                            paths.append(edges)
+                            rows["key"].append(own_key)
+                            rows["sample"].append(number)
+                            rows["log_prob"].append(log_prob)
+                            rows["perturbed"].append(maximum)
+                            rows["inclusion"].append(-math.expm1(-math.exp(min(log_prob - kappa, 700.0))))
+                    counts = np.fromiter(map(len, paths), np.int64, len(paths))
+                    ids, sizes = lattice.ids(np.concatenate(paths))
+                    id_ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+                    n_ids = np.diff(id_ends, prepend=0)
+                    data, ends = model.decode(ids, n_ids)
+                    begin = at = 0
+                    for t, s in zip(texts, searches):
+                        want = t.encode("utf-8", "surrogatepass")
+                        for _ in s.samples:
+                            end = int(ends[at])
+                            rows["decoded"].append(data[begin + 1:end] == want)  # without the space put in front
+                            begin, at = end, at + 1
+                    offsets = pa.array(np.concatenate([[0], id_ends]), pa.int32())
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))) if with_ids else pa.nulls(
+                        len(paths), pa.list_(pa.int32()))
+                    rows["n_pieces"], rows["ids"] = n_ids, lists
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(rows.values(), schema)], schema=schema)
+                    del searches, s, paths, rows, ids, sizes, data, ends, lists, offsets  # before the next part needs room
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key).cast("long"), F.lit(seed)).alias("seed"),
                          F.col(text).alias("text"))

@@ -1,6 +1,7 @@
 import itertools
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -118,3 +119,21 @@ def test_table_of_odd_texts(frame, processor, spark):
     assert sampling.sample_segmentations(frame([]), PATH).count() == 0
     decoded = sampling.sample_segmentations(docs, PATH, k=1).withColumn("t", sampling.decode_ids(F.col("ids"), PATH, spark))
     assert {r.key: r.t for r in decoded.where("key between 3 and 7").collect()} == {i: TEXTS[i] for i in range(3, 8)}
+
+
+def test_words_that_end_alike_share_a_lattice(model):
+    """Most of the work of a text is its lattice, so a word's end is looked up once for all words that have it."""
+    words = ["nation", "station", "on", "ration", "n", "é漢on", "x" * 50 + "ation", "y" * 50, "x" * 50, "ation", "▁on"]
+    seeds = mix(np.arange(1, len(words) + 3, dtype=np.uint64))
+    texts = [*words, "  ".join(words) + " ", " ".join(words[:4])]
+    lattice, searches = sampling.sample_batch(model, texts, seeds, 3)
+    distinct = set(chain.from_iterable(map(sampling.split_words, texts)))
+    ends = {w[i:] for w in distinct for i in range(max(0, len(w) - 32), len(w))}
+    assert lattice.end == len(distinct) + len(ends) + sum(max(0, len(w) - 32) for w in distinct)
+    assert lattice.end < sum(len(w) + 1 for w in distinct)
+    for text, seed, search in zip(texts, seeds, searches):
+        alone, (own,) = sampling.sample_batch(model, [text], np.array([seed]), 3)
+        assert len(own.samples) == len(search.samples)
+        for (edges, _, upto, top), (own_edges, _, own_upto, own_top) in zip(search.samples, own.samples):
+            assert lattice.ids(edges)[0].tolist() == alone.ids(own_edges)[0].tolist()
+            assert upto.tolist() == own_upto.tolist() and top == own_top
