@@ -5,13 +5,17 @@ S, and a split gains GL^2 / (nL + penalty) + GR^2 / (nR + penalty) - G^2 / (n +
 quantiles of train once. A level of a tree is one job with one shuffle: tasks add up (G, n) per node, feature and bin of
 their rows, the sums meet under node and a few features, and the driver sees the best split of each of these, never rows. The loss on val comes with
 the first level of the next tree, so early stopping needs no job of its own.
+
+Binned rows of up to WHOLE_BYTES are read by one task, which grows CUT_EVERY trees in a job: below that, the jobs of the
+levels take longer than their sums.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,8 @@ BINS = 256
 CUT_EVERY = 25  # trees after which predictions are written
 MAX_WIDTH = 1024  # features; a task holds sums of nodes x features x bins
 PART_BYTES = 1 << 21  # of binned rows a task reads
+WHOLE_BYTES = 1 << 25  # of binned rows that one task fits by itself
+ROW_BYTES = 32  # of label, slope and node beside a row's bins; narrower rows count as so wide
 PART_CELLS = 1 << 18  # of sums a task compares
 FEATURES_PER_SUM = 16  # whose sums of a node travel together
 LOSS = -1  # "node" of the loss on val
@@ -226,6 +232,117 @@ def _best_of(sums: np.ndarray, first: int, penalty: float, min_rows: int, unit:
     return found
 
 
+def _lowest(losses: list[float]) -> int:
+    """The place of the first loss that no later one is below."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+    return best
+
+
+def _trees(level: Callable[[Tree, list[int]], dict[int, dict]], losses: list[float], number: int, rounds: int, patience: int,
+           depth: int, penalty: float, min_gain: float) -> Iterator[Tree]:
+    """Trees from the one numbered `number` on, without thresholds, until `rounds` are there or `patience` of them have brought
+    no lower loss on val.
+
+    `level` gives the best split of each node of a frontier, at the root also the loss on val of the trees before, which is
+    added to `losses`.
+    """
+    best = _lowest(losses)
+    for number in range(number, rounds + 1):
+        tree, frontier = Tree.stump(depth), [0]
+        found = level(tree, frontier)
+        loss = found.pop(LOSS)
+        if loss["n"]:
+            losses.append(loss["g"] / loss["n"])
+            if losses[-1] < losses[best]:
+                best = number
+            if number - best >= patience:
+                return
+        if number == rounds:
+            return
+        tree.value[0] = -found[0]["g"] / (found[0]["n"] + penalty)
+        for deep in range(depth):
+            following = []
+            for j in frontier:
+                r = found[j]
+                if r["gain"] is None or r["gain"] <= min_gain:
+                    continue
+                tree.feature[j], tree.bin[j] = r["feature"], r["bin"]
+                tree.value[2 * j + 1] = -r["gl"] / (r["nl"] + penalty)
+                tree.value[2 * j + 2] = -(r["g"] - r["gl"]) / (r["n"] - r["nl"] + penalty)
+                following += [2 * j + 1, 2 * j + 2]
+            frontier = following
+            if not frontier or deep == depth - 1:
+                break
+            found = level(tree, frontier)
+        yield tree
+
+
+class _Rows:
+    """All rows of a fit in one task, those of train first; `bins` has a row per feature."""
+
+    def __init__(self, blocks: list, width: int):
+        train, label, x, pred = (np.concatenate(a) for a in zip(*(_arrays(b, width) for b in blocks)))
+        order = np.argsort(~train, kind="stable")
+        self.n_train = int(train.sum())
+        self.bins = np.ascontiguousarray(x[order].T)
+        self.slope = (pred - label)[order]
+        self.at = np.zeros(len(order), int)
+        self.sums: dict[int, np.ndarray] = {}  # of the nodes of a level
+
+    def descend(self, tree: Tree) -> None:
+        """Rows at a node that is split go on to its children."""
+        f = tree.feature[self.at]
+        moved = np.flatnonzero(f >= 0)
+        at = self.at[moved]
+        self.at[moved] = 2 * at + 1 + (self.bins[f[moved], moved] > tree.bin[at])
+
+    def level(self, tree: Tree, frontier: list[int], bins: int, penalty: float, min_rows: int, unit: float) -> dict[int, dict]:
+        """What `_trees` asks for; the levels of a tree come one after the other."""
+        found: dict[int, dict] = {}
+        if frontier == [0]:
+            self.at[:] = 0
+            slope = self.slope[self.n_train:]
+            found[LOSS] = {"g": float((slope ** 2).sum()), "n": len(slope)}
+        else:
+            self.descend(tree)
+        counted, others = frontier, []
+        if frontier != [0] and all(np.isfinite(of).all() for of in self.sums.values()):
+            # of two children the one with fewer rows is added up, the other has what it leaves of the node above
+            held = np.bincount(self.at[:self.n_train], minlength=len(tree.feature))
+            counted = [j if held[j] <= held[j + 1] else j + 1 for j in frontier[::2]]
+            others = [(j + 1 if c == j else j, c) for j, c in zip(frontier[::2], counted)]
+        sums = self._sums(counted, len(tree.feature), bins)
+        for j, c in others:
+            rest = self.sums[(j - 1) // 2] - sums[c]
+            rest[0][rest[1] == 0] = 0
+            sums[j] = rest
+        self.sums = sums
+        return found | {j: _best_of(sums[j], 0, penalty, min_rows, unit) for j in frontier}
+
+    def _sums(self, nodes: list[int], n_nodes: int, bins: int) -> dict[int, np.ndarray]:
+        """Per node the (2, features, bins) sums of slopes and rows of train."""
+        place = np.full(n_nodes, -1)
+        place[nodes] = np.arange(len(nodes))
+        at = place[self.at[:self.n_train]]
+        used = np.flatnonzero(at >= 0)
+        begin, slope = at[used] * bins, self.slope[used]
+        size, width = len(nodes) * bins, len(self.bins)
+        sums = np.empty((len(nodes), 2, width, bins))
+        for f in range(width):
+            key = begin + self.bins[f][used]
+            sums[:, 0, f] = np.bincount(key, slope, size).reshape(-1, bins)
+            sums[:, 1, f] = np.bincount(key, minlength=size).reshape(-1, bins)
+        return dict(zip(nodes, sums))
+
+    def advance(self, tree: Tree, rate: float) -> None:
+        """Slopes after a tree whose last level has not been gone down yet."""
+        self.descend(tree)
+        self.slope += rate * tree.value[self.at]
+
+
 def fit_penalised(
     df: DataFrame, label: str = "label", features: str = "features", depth: int = 6, rate: float = 0.3, penalty: float = 1.0,
     min_gain: float = 1e-6, min_rows: int = 1, rounds: int = 1000, patience: int = 10, bins: int = BINS,
@@ -253,15 +370,16 @@ def fit_penalised(
         raise ValueError(f"between 1 and {MAX_WIDTH} features, not {width}")
     edges = bin_edges(train, width, bins)
     model = PenalisedTrees(float(base), rate, width, features=features)
-    count = rows.count()
+    count, unit = rows.count(), spread or 1.0
+    whole = count * max(width, ROW_BYTES) <= WHOLE_BYTES
     tasks = math.ceil(count * width / PART_BYTES)
     state = cut_lineage(_blocks(rows.withColumn("pred", F.lit(float(base))).repartition(tasks), edges))
     pending: list[Tree] = []  # trees that `pred` does not hold yet
+    rules = (rounds, patience, depth, penalty, min_gain)
 
     def level(tree: Tree, frontier: list[int]) -> dict[int, dict]:
         parts = math.ceil(len(frontier) * width * bins / PART_CELLS)
         sums = _sums(state.rdd, pending, tree, frontier, rate, width, bins, parts)
-        unit = spread or 1.0
 
         def best(item: tuple) -> tuple[int, dict]:
             (node, first), of = item
@@ -276,38 +394,41 @@ def fit_penalised(
                 found[node] = {**r, "g": found[node]["g"], "n": found[node]["n"]}
         return found
 
-    best = 0
-    for number in range(rounds + 1):
-        tree, frontier = Tree.stump(depth), [0]
-        found = level(tree, frontier)
-        loss = found.pop(LOSS)
-        if loss["n"]:
-            model.losses.append(loss["g"] / loss["n"])
-            if model.losses[-1] < model.losses[best]:
-                best = number
-            if number - best >= patience:
-                break
-        if number == rounds:
-            break
-        tree.value[0] = -found[0]["g"] / (found[0]["n"] + penalty)
-        for deep in range(depth):
-            following = []
-            for j in frontier:
-                r = found[j]
-                if r["gain"] is None or r["gain"] <= min_gain:
-                    continue
-                tree.feature[j], tree.bin[j], tree.threshold[j] = r["feature"], r["bin"], edges[r["feature"]][r["bin"]]
-                tree.value[2 * j + 1] = -r["gl"] / (r["nl"] + penalty)
-                tree.value[2 * j + 2] = -(r["g"] - r["gl"]) / (r["n"] - r["nl"] + penalty)
-                following += [2 * j + 1, 2 * j + 2]
-            frontier = following
-            if not frontier or deep == depth - 1:
-                break
-            found = level(tree, frontier)
+    def next_trees() -> tuple[list[Tree], list[float]]:
+        """Up to CUT_EVERY trees that one task grows, and the losses with those of theirs."""
+        losses, number, most = list(model.losses), len(model.trees), CUT_EVERY
+
+        def grow(part: Iterator) -> Iterator[tuple]:
+            blocks = list(part)
+            if not blocks:
+                return
+            held, out = _Rows(blocks, width), []
+            for tree in islice(_trees(lambda *at: held.level(*at, bins, penalty, min_rows, unit), losses, number, *rules), most):
+                out.append(tree)
+                held.advance(tree, rate)
+            yield out, losses
+
+        ((out, after),) = state.rdd.coalesce(1).mapPartitions(grow).collect()
+        return out, after
+
+    def taken(tree: Tree) -> Tree:
+        for j in np.flatnonzero(tree.feature >= 0):
+            tree.threshold[j] = edges[tree.feature[j]][tree.bin[j]]
         model.trees.append(tree)
-        pending.append(tree)
-        if len(pending) == CUT_EVERY:
-            state, pending = cut_lineage(_advanced(state, pending, rate, width)), []
+        return tree
+
+    if whole:
+        while True:
+            grown, model.losses = next_trees()
+            pending = [taken(tree) for tree in grown]
+            if len(pending) < CUT_EVERY:
+                break
+            state = cut_lineage(_advanced(state, pending, rate, width))
+    else:
+        for tree in _trees(level, model.losses, 0, *rules):
+            pending.append(taken(tree))
+            if len(pending) == CUT_EVERY:
+                state, pending = cut_lineage(_advanced(state, pending, rate, width)), []
     if model.losses:
-        model.trees = model.trees[:best]
+        model.trees = model.trees[:_lowest(model.losses)]
     return model

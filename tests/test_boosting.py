@@ -136,3 +136,59 @@ def test_a_level_is_one_job(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {rounds}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[1] - jobs[0] <= 4 * 3
+
+
+def test_one_task_grows_the_trees_that_levels_of_jobs_grow(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = sample(400)
+    x = np.column_stack([x, rng.integers(0, 3, 400), rng.normal(size=400).round(1)])
+    x[rng.random(400) < 0.05, 4] = np.nan
+    df = rows_of(spark, x, y + rng.normal(scale=30, size=400), np.where(np.arange(400) % 4 < 3, "train", "val"))
+    for options in ({"depth": 4, "patience": 3}, {"depth": 6, "rounds": 5, "min_rows": 9, "bins": 16}, {"depth": 1, "rounds": 3, "rate": 1.0}):
+        found = []
+        for most, every in ((bo.WHOLE_BYTES, 25), (bo.WHOLE_BYTES, 3), (0, 25)):
+            monkeypatch.setattr(bo, "WHOLE_BYTES", most), monkeypatch.setattr(bo, "CUT_EVERY", every)
+            found.append(bo.fit_penalised(df, **options))
+            monkeypatch.undo()
+        *whole, levels = found
+        for model in whole:
+            assert len(model.trees) == len(levels.trees) > 1 and model.losses == pytest.approx(levels.losses)
+            for one, other in zip(model.trees, levels.trees):
+                assert one.feature.tolist() == other.feature.tolist() and one.bin.tolist() == other.bin.tolist()
+                assert one.value == pytest.approx(other.value) and np.array_equal(one.threshold, other.threshold, equal_nan=True)
+
+
+def test_a_fit_that_one_task_holds_is_a_job_for_many_trees(spark):
+    """The jobs of a level take a tenth of a second whatever the rows, and a fit has thousands of levels."""
+    x, y = sample(200)
+    df = rows_of(spark, x, y, ["train"] * 150 + ["val"] * 50)
+    jobs = []
+    for rounds in (5, 60):
+        spark.sparkContext.setJobGroup(f"whole fit {rounds}", "")
+        assert len(bo.fit_penalised(df, rounds=rounds, patience=99).losses) == rounds + 1
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"whole fit {rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 8
+
+
+def test_rows_left_by_the_smaller_child_are_those_of_the_other():
+    """Sums of a child are taken from its parent's: no row is lost, and bins without rows hold nothing."""
+    rng = np.random.default_rng(2)
+    x, slope = rng.integers(0, 8, (300, 4)).astype(np.uint8), rng.normal(size=300) * 1e6
+    train = np.arange(300) % 5 > 0
+    rows = bo._Rows([(train[part].tobytes(), np.zeros(150).tobytes(), x[part].tobytes(), slope[part].tobytes())
+                     for part in (slice(150), slice(150, 300))], 4)
+    tree, rules = bo.Tree.stump(3), (8, 1.0, 1, 1.0)
+    found = rows.level(tree, [0], *rules)
+    assert found[bo.LOSS] == {"g": pytest.approx((slope[~train] ** 2).sum()), "n": 60} and found[0]["n"] == 240
+    tree.feature[:3], tree.bin[:3] = [1, 0, 2], [5, 2, 3]
+    for frontier in ([1, 2], [3, 4, 5, 6]):
+        rows.level(tree, frontier, *rules)
+        upto = bo.Tree(np.where(np.arange(15) < frontier[0], tree.feature, -1), tree.bin, tree.threshold, tree.value)
+        nodes = upto.nodes(x, tree.bin)
+        for j in frontier:
+            at = train & (nodes == j)
+            for f in range(4):
+                assert rows.sums[j][1, f].tolist() == np.bincount(x[at, f], minlength=8).tolist()
+                assert rows.sums[j][0, f] == pytest.approx(np.bincount(x[at, f], slope[at], 8), abs=1e-6)
+                assert not rows.sums[j][0, f][rows.sums[j][1, f] == 0].any()
