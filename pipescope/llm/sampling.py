@@ -20,7 +20,7 @@ depend on batches, partitions or retries.
 
 Defined cases: a null or empty text has one segmentation, the empty one; texts with fewer than k segmentations
 give all of them, with inclusion 1; characters without a piece are their UTF-8 bytes; rows with one key and text
-get the same samples; the space mark itself (U+2581) decodes to a space, as in the library; an empty table gives
+get the same samples, which are drawn once where such rows follow each other, as the epochs of a mix do; the space mark itself (U+2581) decodes to a space, as in the library; an empty table gives
 no rows; only the named columns are read.
 """
 
@@ -451,6 +451,17 @@ def worker_model(model: bytes, power: float) -> PieceModel:
     return cache[key]
 
 
+def _without_copies(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """(key, seed, text) without rows that have the key and text of the row before, and how often each row was there."""
+    n = batch.num_rows
+    copy = np.zeros(n, bool)
+    if n > 1:
+        key, text = (pc.fill_null(pc.equal(c.slice(1), c.slice(0, n - 1)), False) for c in (batch.column(0), batch.column(2)))
+        copy[1:] = pc.and_(key, text).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(~copy)
+    return batch if len(first) == n else batch.take(pa.array(first)), np.diff(first, append=n)
+
+
 def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power: float = 1.0, seed: int = 7,
                          key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """SCHEMA columns: up to k rows per row of `docs`, in falling order of the perturbed log probability.
@@ -467,11 +478,12 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
     def sample(batches):
         model = worker_model(shared.value, power)
         for batch in batches:
+            batch, times = _without_copies(batch)
             keys = batch.column(0).to_pylist()
             seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for group, all_texts in text_parts(batch.column(2), LATTICE_BYTES):
                 lattice, listed = lattice_of(model, all_texts)
-                group_keys, group_seeds = keys[group], seeds[group]
+                group_keys, group_seeds, group_times = keys[group], seeds[group], times[group]
                 for part, texts in text_parts(batch.column(2).slice(group.start, len(all_texts)), PART_BYTES):
                     searches = search_batch(lattice, listed[part], group_seeds[part], k)
                     rows: dict[str, list] = {name: [] for name in schema.names}
@@ -502,9 +514,13 @@ def sample_segmentations(docs: DataFrame, model_path: str, *, k: int = 2, power:
                     lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))) if with_ids else pa.nulls(
                         len(paths), pa.list_(pa.int32()))
                     rows["n_pieces"], rows["ids"] = n_ids, lists
-                    yield pa.RecordBatch.from_arrays(
+                    out = pa.RecordBatch.from_arrays(
                         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(rows.values(), schema)], schema=schema)
-                    del searches, s, paths, rows, ids, sizes, data, ends, lists, offsets  # before the next part needs room
+                    n_times = np.repeat(group_times[part], [len(s.samples) for s in searches])
+                    yield out
+                    for more in range(1, int(n_times.max())):
+                        yield out.filter(pa.array(n_times > more))
+                    del searches, s, paths, rows, ids, sizes, data, ends, lists, offsets, out  # before the next part needs room
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(key).cast("long"), F.lit(seed)).alias("seed"),
                          F.col(text).alias("text"))

@@ -137,3 +137,24 @@ def test_words_that_end_alike_share_a_lattice(model):
         for (edges, _, upto, top), (own_edges, _, own_upto, own_top) in zip(search.samples, own.samples):
             assert lattice.ids(edges)[0].tolist() == alone.ids(own_edges)[0].tolist()
             assert upto.tolist() == own_upto.tolist() and top == own_top
+
+
+def test_copies_that_follow_each_other_are_drawn_once(frame):
+    """The epochs of a mix give a text several times in a row; every row has its samples, one search serves them."""
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 2, 2, None, None, 3, 3, 1]
+    texts = ["the cat", "the cat", "the", "the", "the", "on", "on", None, None, "the cat"]
+    batch, times = sampling._without_copies(pa.record_batch([pa.array(keys), pa.array(range(10)), pa.array(texts)], ["key", "seed", "text"]))
+    assert batch.column(0).to_pylist() == [1, 1, 2, None, None, 3, 3, 1] and times.tolist() == [2, 1, 2, 1, 1, 1, 1, 1]
+    assert batch.column(2).to_pylist() == ["the cat", "the", "the", "on", "on", None, None, "the cat"]
+    assert sampling._without_copies(batch.slice(0, 0))[1].tolist() == []
+
+    rows = [(k, t, "", "", 0) for k, t in zip(keys, texts)] + [(9, "at on " * 50, "", "", 0)] * 7 + [(10, "x y " * 300_000, "", "", 0)] * 2
+    got = Counter(map(str, sampling.sample_segmentations(frame(rows).coalesce(1), PATH, k=3).collect()))
+    each = Counter()
+    for row in set(rows):
+        alone = sampling.sample_segmentations(frame([row]), PATH, k=3).collect()
+        assert 1 <= len(alone) <= 3
+        each.update({str(r): rows.count(row) for r in alone})
+    assert got == each
